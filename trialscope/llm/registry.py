@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialscope.llm import exact, lines, quality, sql
+from trialscope.llm import bpe, exact, html, lines, packing, quality, sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,9 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extraction": lambda s, d: html.extract(table(s, d, "pages")),
+        "op2_byte_bpe": lambda s, d: bpe.round_trip(table(s, d, "documents")),
         "op3_exact_dedup": lambda s, d: exact.exact_groups(table(s, d, "documents")),
         "op4_line_dedup": lambda s, d: lines.line_report(table(s, d, "documents")),
         "op5_quality_rules": lambda s, d: quality.quality(table(s, d, "documents")),
+        "op8_packing": lambda s, d: packing.pack(table(s, d, "documents")),
     }
 
 
