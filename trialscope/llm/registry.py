@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialscope.llm import bpe, exact, html, lines, packing, quality, sql
+from trialscope.llm import bpe, exact, html, jaccard, lines, packing, quality, sql
+
+
+ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Python workers must find this package, also where it is run from a checkout in another folder
+    known = spark.sparkContext.environment
+    known["PYTHONPATH"] = ":".join(dict.fromkeys([ROOT, *filter(None, known.get("PYTHONPATH", "").split(":"))]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -20,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": lambda s, d: exact.exact_groups(table(s, d, "documents")),
         "op4_line_dedup": lambda s, d: lines.line_report(table(s, d, "documents")),
         "op5_quality_rules": lambda s, d: quality.quality(table(s, d, "documents")),
+        "op6_ngram_jaccard": lambda s, d: jaccard.similar_components(table(s, d, "documents")),
         "op8_packing": lambda s, d: packing.pack(table(s, d, "documents")),
     }
 
