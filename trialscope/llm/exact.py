@@ -25,7 +25,7 @@ def heavy_candidates(digests: DataFrame, share: float, counters: int = COUNTERS)
     top = int(1 / share)
     parts = digests.groupBy(F.pmod(F.spark_partition_id(), F.lit(FAN_IN)).alias("part")).agg(F.expr(f"approx_top_k_accumulate(digest, {counters})").alias("sketch"))
     # by a constant key: without one, a task without rows would hand on a sketch without a type, which fails to merge
-    items = parts.groupBy(F.lit(0)).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {counters}), {top})").alias("items"))
+    items = parts.withColumn("all", F.lit(True)).groupBy("all").agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {counters}), {top})").alias("items"))
     return items.select(F.explode("items").alias("i")).select(F.col("i.item").alias("digest"))
 
 
