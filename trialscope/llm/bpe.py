@@ -20,13 +20,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialscope.llm.common import fields, planes, text_of, unplanes, written
+from trialscope.llm.common import bucketed, fields, packed_words, planes, text_of, unplanes, words_of
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Unicode's White_Space, which Java's \s leaves out in part.
 _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 #: A rank file with more tokens is refused: it is broadcast.
 MOST_TOKENS = 1_000_000
+#: Codes that are spread at once, to bound memory.
+BLOCK = 1 << 18
 
 
 def java_pattern(pattern: str = public_tokenizers.PATTERN) -> str:
@@ -70,11 +72,13 @@ def word_codes(tokens: pa.ListArray) -> tuple[list[str], np.ndarray, np.ndarray]
 def spread(codes: np.ndarray, sizes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The values of each code in turn (a code's are at its start, so many as its length), and the end of each document's."""
     n = lengths[codes]
-    ends = np.cumsum(n, dtype=np.int64)
-    total = int(ends[-1]) if len(ends) else 0
-    at = np.arange(total, dtype=np.int64) + np.repeat(starts[codes] - (ends - n), n)
-    last = np.cumsum(sizes)
-    return values[at], np.where(last > 0, np.concatenate([[0], ends])[last], 0)
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(n, dtype=np.int64)])
+    out = np.empty(ends[-1], values.dtype)
+    for a in range(0, len(codes), BLOCK):
+        b = min(a + BLOCK, len(codes))
+        at = np.arange(ends[b] - ends[a]) + np.repeat(starts[codes[a:b]] - (ends[a:b] - ends[a]), n[a:b])
+        out[ends[a] : ends[b]] = values[at]
+    return out, ends[np.cumsum(sizes)]
 
 
 def _chunks(parts: int) -> Callable:
@@ -85,8 +89,8 @@ def _chunks(parts: int) -> Callable:
             words, codes, sizes = word_codes(batch.column("tokens"))
             part = (pd.util.hash_array(np.array(words, object), categorize=False) % parts).astype(np.uint32) if words else np.empty(0, np.uint32)
             order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(parts + 1)).astype(np.int32)
-            dealt = pa.ListArray.from_arrays(pa.array(cuts), pa.array([words[i] for i in order], pa.string()))
+            cuts = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
+            dealt = pa.array([packed_words([words[i] for i in order[a:b]]) if b > a else None for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
             columns = {
                 "chunk": pa.array([(TaskContext.get().partitionId() << 24) + k], pa.int64()),
                 "doc_ids": pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("doc_id")),
@@ -103,20 +107,17 @@ def _chunks(parts: int) -> Callable:
 def _encode_words(ranks) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         encode = encoder(ranks.value)
-        flat = table.column("words").combine_chunks()
-        flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-        codes_of = flat.flatten().dictionary_encode()
-        ids = [encode(w) for w in codes_of.dictionary.to_pylist()]  # each distinct word once
-        lengths = np.array([len(x) for x in ids], np.uint32)
-        values = np.array([i for x in ids for i in x], np.uint32)
-        starts = np.cumsum(lengths, dtype=np.int64) - lengths
-        codes = codes_of.indices.to_numpy()
-        at = flat.offsets.to_numpy() - flat.offsets.to_numpy()[0]
+        ids: dict[str, list[int]] = {}  # each distinct word once
         out_ids, out_lengths = [], []
-        for a, b in zip(at[:-1], at[1:], strict=True):
-            own = codes[a:b]
-            out_ids.append(planes(spread(own, np.array([b - a]), starts, lengths, values)[0]))
-            out_lengths.append(planes(lengths[own]))
+        for blob in table.column("words"):
+            of = []
+            for w in words_of(blob.as_py()):
+                x = ids.get(w)
+                if x is None:
+                    x = ids[w] = encode(w)
+                of.append(x)
+            out_lengths.append(planes(np.fromiter(map(len, of), np.uint32, len(of))))
+            out_ids.append(planes(np.fromiter((i for x in of for i in x), np.uint32)))
         return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "ids": pa.array(out_ids, pa.binary()), "lengths": pa.array(out_lengths, pa.binary())})
 
     return run
@@ -146,8 +147,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
     own = fields(docs, doc_id=id_col, text=text_col).select("doc_id", pretokens(text_of()).alias("tokens"))
     kind = own.schema["doc_id"].dataType.simpleString()
-    chunks = written(own.mapInArrow(_chunks(parts), f"chunk long, doc_ids array<{kind}>, sizes binary, codes binary, parts binary, words array<array<string>>"), "chunks")
-    words = chunks.select("chunk", F.posexplode("words").alias("part", "words")).filter(F.size("words") > 0)
+    chunks = bucketed(own.mapInArrow(_chunks(parts), f"chunk long, doc_ids array<{kind}>, sizes binary, codes binary, parts binary, words array<binary>"), "chunks", "chunk")
+    words = chunks.select("chunk", F.posexplode("words").alias("part", "words")).filter("words is not null")
     ids = words.groupBy("part").applyInArrow(_encode_words(ranks), "chunk long, part int, ids binary, lengths binary")
     left = chunks.select("chunk", "doc_ids", "sizes", "codes", "parts")
     return left.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(_reassemble, f"doc_id {kind}, ids array<int>")
@@ -161,7 +162,7 @@ def _decode_batches(table) -> Callable:
             lengths[i] = len(token)
         values = np.frombuffer(b"".join(token for token, _ in by_id), np.uint8)
         starts = np.cumsum(lengths) - lengths
-        for batch in batches:
+        for batch in (whole.slice(i, 500) for whole in batches for i in range(0, whole.num_rows, 500)):
             ids = batch.column("ids")
             flat = ids.flatten().to_numpy()
             data, ends = spread(flat, np.diff(ids.offsets.to_numpy()).astype(np.int64), starts, lengths, values)

@@ -36,6 +36,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like written, in as many buckets of key as a shuffle has partitions: a later grouping by key moves no row."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark).rstrip('/')}/{table}").bucketBy(buckets, key).saveAsTable(table)
+    return spark.table(table)
+
+
 def small(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """side marked for broadcast if a count proves it within the bound, else as it is (the join then shuffles)."""
     return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side
@@ -65,3 +74,18 @@ def unplanes(blob: bytes, dtype) -> np.ndarray:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     width = np.dtype(dtype).itemsize
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(dtype).ravel() if raw else np.empty(0, dtype)
+
+
+def packed_words(words: list[str]) -> bytes:
+    """A list of strings, compressed: their lengths, then their characters."""
+    raw = [w.encode("utf-8", "surrogatepass") for w in words]
+    lengths = np.fromiter(map(len, raw), np.uint32, len(raw))
+    head = planes(lengths)
+    return len(head).to_bytes(4, "little") + head + zstandard.ZstdCompressor(level=3).compress(b"".join(raw))
+
+
+def words_of(blob: bytes) -> list[str]:
+    n = int.from_bytes(blob[:4], "little")
+    ends = np.cumsum(unplanes(blob[4 : 4 + n], np.uint32), dtype=np.int64).tolist()
+    raw = zstandard.ZstdDecompressor().decompress(blob[4 + n :]) if ends and ends[-1] else b""
+    return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *ends[:-1]], ends, strict=True)]
