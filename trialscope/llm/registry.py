@@ -7,7 +7,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialscope.llm import bpe, exact, html, jaccard, lines, packing, pii, quality, sql, toxicity
+import corpus_pipeline
+from trialscope.llm import bpe, exact, html, jaccard, lines, packing, pii, quality, sql, suffixes, toxicity
 
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -28,8 +29,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": lambda s, d: lines.line_report(table(s, d, "documents")),
         "op5_quality_rules": lambda s, d: quality.quality(table(s, d, "documents")),
         "op6_ngram_jaccard": lambda s, d: jaccard.similar_components(table(s, d, "documents")),
+        "op7_suffix_dedup": lambda s, d: suffixes.report(table(s, d, "documents")),
         "op8_packing": lambda s, d: packing.pack(table(s, d, "documents")),
         "op10_toxicity": lambda s, d: toxicity.toxicity(table(s, d, "documents"), table(s, d, "labels")),
+        "pipeline": corpus_pipeline.run,
         "op9_pii": lambda s, d: pii.report(table(s, d, "documents")),
     }
 
