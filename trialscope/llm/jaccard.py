@@ -6,9 +6,11 @@ it, and n = k + 1 + m parts leave at least m + 1 equal signatures. Tiny sets use
 themselves less one shingle.
 
 Equal signatures meet in a shuffle. Of the m + 1, a few may be empty parts or `hot` ones that more than HOT sets share;
-both are known for each set, so in small buckets a pair must share at least m + 1 less these. Sets for which nothing is
-left (members of large groups of near copies) are joined to the first set of each hot bucket, then to
-four, sixteen and so on, until no bucket holds two components. Every candidate is verified on whole sets, and the components are those of the links.
+both are known for each set, so in small buckets a pair must share at least m + 1 less these. The sets for which nothing
+is left (near copies in large groups, and texts that are mostly a passage which many share) are few; they are split down
+to single shingles, of which each set signs with its rarest fifth and one more: two similar sets share one of these.
+Where even such a bucket is large, all members meet its most typical one first, and a bucket whose members are by then
+in one component is done. Every candidate is verified on whole sets; the components are those of the links.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialscope.llm.common import fields, planes, small, unplanes, written
@@ -109,7 +111,7 @@ def signatures(shingles: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
         n, m = SHAPES[level]
         for retry in range(RETRIES + 1):
             split = 1 + level * (RETRIES + 1) + retry
-            part = ((mixed(shingles + np.uint64(split) * _BASE) >> np.uint64(20)) % np.uint64(n)).astype(np.uint16 if n < 65536 else np.int64)
+            part = ((mixed(shingles + np.array([split], np.uint64) * _BASE) >> np.uint64(20)) % np.uint64(n)).astype(np.uint16 if n < 65536 else np.int64)
             order = np.argsort(part, kind="stable")
             ordered = part[order]
             starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
@@ -119,7 +121,7 @@ def signatures(shingles: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
             if slack < 0 and retry == RETRIES:  # all but impossible: empty parts are signatures too
                 absent = np.setdiff1d(np.arange(n, dtype=np.uint64), present)
                 present, sums, slack = np.append(present, absent), np.append(sums, np.zeros(len(absent), np.uint64)), m
-            yield mixed(sums + mixed(present + np.uint64(split) * _MIX2)), split, max(slack, 0)
+            yield mixed(sums + mixed(present + np.array([split], np.uint64) * _MIX2)), split, max(slack, 0)
             if slack >= 0:
                 break
 
@@ -158,21 +160,20 @@ def _sign(parts: int) -> Callable:
     return run
 
 
-_MET = "a long, b long, split int, slack_a int, slack_b int, shared int, bucket long"
+_MET = "a long, b long, split int, slack_a int, slack_b int, shared int"
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Rows of a part: pairs of small buckets with the signatures they share here (bucket null), and members of hot
-    ones (a the member, b the bucket's least member)."""
+    """Rows of a part: pairs in its small buckets with the signatures they share here, and for each member of hot ones
+    (b null) the number of these."""
     sig, doc, split, slack = (np.concatenate([np.empty(0, t), *(unplanes(x, t) for x in table.column(c).to_pylist())]) for c, t in (("sigs", np.uint64), ("docs", np.int64), ("splits", np.uint16), ("slacks", np.uint8)))
-    part = table.column("part")[0].as_py()
     order = np.lexsort((doc, split, sig))
     sig, doc, split, slack = sig[order], doc[order], split[order], slack[order]
     new_run = np.concatenate([[True], (sig[1:] != sig[:-1]) | (split[1:] != split[:-1])])
     keep = new_run | np.concatenate([[True], doc[1:] != doc[:-1]])
-    sig, doc, split, slack = sig[keep], doc[keep], split[keep], slack[keep]
+    doc, split, slack = doc[keep], split[keep], slack[keep]
     starts = np.flatnonzero(new_run[keep])
-    sizes = np.diff(np.append(starts, len(sig)))
+    sizes = np.diff(np.append(starts, len(doc)))
     firsts, seconds = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for size in np.unique(sizes[(sizes > 1) & (sizes <= HOT)]):
         i, j = np.triu_indices(size, 1)
@@ -180,19 +181,21 @@ def _meet(table: pa.Table) -> pa.Table:
         firsts.append((at[:, None] + i[None, :]).ravel())
         seconds.append((at[:, None] + j[None, :]).ravel())
     x, y = np.concatenate(firsts), np.concatenate(seconds)
-    order = np.lexsort((split[x], doc[y], doc[x]))
-    x, y = x[order], y[order]
-    new = np.flatnonzero(np.concatenate([[True], (doc[x][1:] != doc[x][:-1]) | (doc[y][1:] != doc[y][:-1]) | (split[x][1:] != split[x][:-1])])) if len(x) else np.empty(0, np.int64)
-    shared = np.diff(np.append(new, len(x)))
-    x, y = x[new], y[new]
-    hot = sizes > HOT
-    rows = np.concatenate([np.empty(0, np.int64), *(np.arange(s, s + n) for s, n in zip(starts[hot], sizes[hot], strict=True))]) if hot.any() else np.empty(0, np.int64)
-    lead = np.repeat(starts[hot], sizes[hot])
-    bucket = (sig[lead] ^ (split[lead].astype(np.uint64) << np.uint64(48))).astype(np.int64) * np.int64(1) + np.int64(part) * np.int64(0x5851F42D4C957F2D)
-    column = lambda pairs, hots, t: pa.array(np.concatenate([pairs, hots]).astype(t))
-    none = np.zeros(len(rows), np.int64)
-    buckets = pa.concat_arrays([pa.nulls(len(x), pa.int64()), pa.array(bucket)])
-    return pa.table({"a": column(doc[x], doc[rows], np.int64), "b": column(doc[y], doc[lead], np.int64), "split": column(split[x], split[rows], np.int32), "slack_a": column(slack[x], slack[rows], np.int32), "slack_b": column(slack[y], none, np.int32), "shared": column(shared, none, np.int32), "bucket": buckets})
+    pairs = _counted(x, doc[x], doc[y], split[x])
+    rows = np.flatnonzero(np.repeat(sizes > HOT, sizes))
+    hots = _counted(rows, doc[rows], split[rows])
+    a, b = np.append(x[pairs[0]], rows[hots[0]]), y[pairs[0]]
+    none = pa.nulls(len(hots[0]), pa.int64())
+    return pa.table({"a": pa.array(doc[a]), "b": pa.concat_arrays([pa.array(doc[b], pa.int64()), none]), "split": pa.array(split[a].astype(np.int32)), "slack_a": pa.array(slack[a].astype(np.int32)), "slack_b": pa.concat_arrays([pa.array(slack[b].astype(np.int32)), none.cast(pa.int32())]), "shared": pa.array(np.append(pairs[1], hots[1]).astype(np.int32))})
+
+
+def _counted(rows: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct key, and how often it occurs."""
+    if not len(rows):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    order = np.lexsort(keys[::-1])
+    new = np.flatnonzero(np.concatenate([[True], np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)]))
+    return order[new], np.diff(np.append(new, len(order)))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,46 +243,63 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = named.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // TASK_SIGNATURES) + 1)
     met = written(alone.mapInArrow(_sign(parts), _SIGNED).groupBy("part").applyInArrow(_meet, _MET), "met")
-    hot = met.filter("bucket is not null")
-    heat = written(hot.groupBy(F.col("a").alias("doc"), "split").agg(F.count("*").cast("int").alias("heat"), F.max("slack_a").alias("slack")), "heat")
-    pairs = met.filter("bucket is null").groupBy("a", "b", "split").agg(F.sum("shared").alias("shared"), F.max("slack_a").alias("slack_a"), F.max("slack_b").alias("slack_b"))
+    heat = met.filter("b is null").groupBy(F.col("a").alias("doc"), "split").agg(F.sum("shared").alias("heat"), F.max("slack_a").alias("slack"))
+    heat = written(heat, "heat")
+    pairs = met.filter("b is not null").groupBy("a", "b", "split").agg(F.sum("shared").alias("shared"), F.max("slack_a").alias("slack_a"), F.max("slack_b").alias("slack_b"))
     for side in "ab":
         pairs = pairs.join(small(heat.select(F.col("doc").alias(side), "split", F.col("heat").alias(f"heat_{side}"))), [side, "split"], "left")
     spare = [F.col(f"slack_{s}") - F.coalesce(f"heat_{s}", F.lit(0)) + 1 for s in "ab"]
     pairs = written(pairs.filter(F.col("shared") >= F.greatest(F.lit(1), *spare)).select("a", "b").distinct(), "candidates")
-    unsafe = heat.filter("heat > slack").select(F.col("doc").alias("a"), "split")
-    open_ = written(hot.select("a", "b", "split", "bucket").join(small(unsafe), ["a", "split"], "left_semi").select("a", "bucket"), "hot-buckets")
+    unsafe = written(heat.filter("heat > slack").select("doc").distinct(), "unsafe")
 
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(open_.select("a")).distinct()
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(unsafe).distinct()
     sets = written(_only(alone, written(wanted, "wanted")).mapInArrow(_sets, "doc long, shingles binary"), "sets")
     edges = written(_verified(pairs, sets).unionByName(member.join(small(doubles), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("stands").alias("b"))), "links")
     labels = written(components(edges), "labels")
-    turn = 0
+    open_, turn = _rarest(sets.join(small(unsafe), "doc", "left_semi")), 0
     while not open_.isEmpty():
         open_, tried = _round(open_, labels, turn)
         edges = written(edges.unionByName(_verified(tried, sets)), "links")
         labels = written(components(edges), "labels")
-        turn += 1
+        open_, turn = written(open_, "open"), turn + 1
     rows = measured.join(small(same), ["k1", "k2", "n_shingles"], "left").withColumn("node", F.coalesce("stands", "doc_id"))
     rows = rows.join(small(labels), "node", "left")
     component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.coalesce("component", "node"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")]
+        n = [len(x) for x in sets]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("doc").to_numpy(), n)), pa.array(np.concatenate(sets)), pa.array(np.repeat(n, n).astype(np.int32))], ["a", "bucket", "size"])
+
+
+def _rarest(sets: DataFrame) -> DataFrame:
+    """(a, bucket, typical): the shingles that a set signs with, its rarest fifth and one more in an order common to all
+    sets; typical is the mean number of sets that have its shingles."""
+    rows = sets.mapInArrow(_shingle_rows, "a long, bucket long, size int")
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("df"))
+    ranked = F.row_number().over(Window.partitionBy("a").orderBy("df", "bucket"))
+    typical = F.avg("df").over(Window.partitionBy("a"))
+    signed = rows.join(shared, "bucket").select("a", "bucket", "size", "df", ranked.alias("rank"), typical.alias("typical"))
+    return written(signed.filter((F.col("rank") <= F.floor(F.col("size") / 5) + 1) & (F.col("df") > 1)).select("a", "bucket", "typical"), "open")
+
+
 def _round(open_: DataFrame, labels: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Hot buckets that still hold two components, without those members that lead this turn, and the pairs to verify:
-    each leader with every member of another component. First the least member leads, then 4**turn members, chosen by
-    hash, so the turns are logarithmic even where a bucket's sets are unlike."""
+    """Buckets that still hold two components, without those members that lead this turn, and the pairs to verify: each
+    leader with every member of another component. In a small bucket all lead; in a large one first the most typical
+    member, from the third turn on also 4**(turn - 1) members by hash, so that the turns are logarithmic."""
     label = small(labels.select(F.col("node").alias("a"), F.col("component").alias("label")))
-    rows = open_.select("a", "bucket").join(label, "a", "left").withColumn("label", F.coalesce("label", "a"))
-    state = rows.groupBy("bucket").agg(F.min("a").alias("least"), F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    live = rows.join(small(written(state.select("bucket", "least", "n"), "mixed")), "bucket")
-    share = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(4**turn))).cast("long")
-    leads = (F.col("a") == F.col("least")) | (F.lit(turn > 0) & (F.pmod(F.xxhash64("a"), share) == 0))
-    live = written(live.select("a", "bucket", "label", leads.alias("leads")), "live")
+    rows = open_.join(label, "a", "left").withColumn("label", F.coalesce("label", "a"))
+    state = rows.groupBy("bucket").agg(F.max_by("a", F.struct("typical", "a")).alias("first"), F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    live = rows.join(small(written(state.select("bucket", "first", "n"), "mixed")), "bucket")
+    share = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(4 ** max(turn - 1, 0)))).cast("long")
+    leads = (F.col("n") <= HOT) | (F.col("a") == F.col("first")) | (F.lit(turn > 1) & (F.pmod(F.xxhash64("a"), share) == 0))
+    live = written(live.select("a", "bucket", "typical", "label", leads.alias("leads")), "live")
     leaders = live.filter("leads").select("bucket", F.col("a").alias("b"), F.col("label").alias("lead_label"))
     tried = live.join(leaders, "bucket").filter("label <> lead_label and (not leads or a < b)").select("a", "b").distinct()
-    return live.filter("not leads").select("a", "bucket"), written(tried, "tried")
+    return live.filter("not leads").select("a", "bucket", "typical"), written(tried, "tried")
 
 
 def near_duplicate_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
