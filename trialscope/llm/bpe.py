@@ -29,6 +29,8 @@ _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x
 MOST_TOKENS = 1_000_000
 #: Codes that are spread at once, to bound memory.
 BLOCK = 1 << 18
+#: Pre-tokens of a chunk, about: enough that its words repeat, few enough for a worker's memory.
+CHUNK = 1_500_000
 
 
 def java_pattern(pattern: str = public_tokenizers.PATTERN) -> str:
@@ -61,7 +63,7 @@ def encoder(ranks: dict[bytes, int]) -> Callable[[str], list[int]]:
 def word_codes(tokens: pa.ListArray) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The distinct words of a batch, most frequent first; each pre-token's code; the pre-tokens of each document."""
     sizes = np.diff(tokens.offsets.to_numpy()).astype(np.int64)
-    flat = tokens.flatten().dictionary_encode()
+    flat = tokens.flatten().dictionary_encode()  # flatten keeps to a slice's own values
     codes, words = flat.indices.to_numpy(), flat.dictionary
     order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
     rank = np.empty(len(order), np.uint32)
@@ -81,11 +83,17 @@ def spread(codes: np.ndarray, sizes: np.ndarray, starts: np.ndarray, lengths: np
     return out, ends[np.cumsum(sizes)]
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut where they would pass CHUNK pre-tokens."""
+    for batch in batches:
+        run = np.cumsum(np.diff(batch.column("tokens").offsets.to_numpy()), dtype=np.int64) // CHUNK
+        cuts = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), batch.num_rows]
+        yield from (batch.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a)
+
+
 def _chunks(parts: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, batch in enumerate(batches):
-            if not batch.num_rows:
-                continue
+        for k, batch in enumerate(_pieces(batches)):
             words, codes, sizes = word_codes(batch.column("tokens"))
             part = (pd.util.hash_array(np.array(words, object), categorize=False) % parts).astype(np.uint32) if words else np.empty(0, np.uint32)
             order = np.argsort(part, kind="stable")
