@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trialscope.functions import expr
-from trialscope.operators import contracts, queues, scoring, traces
+from trialscope.operators import contracts, queues, redaction, scoring, traces
 from trialscope.plans.adapters import SPANS_SQL, TRIALS_SQL, spans, table, trials
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -359,6 +359,68 @@ def text_chunks(spark, d):
     return c.select("doc_id", "piece", "start", F.sha2(F.encode("chunk", "UTF-8"), 256).alias("chunk_sha256"))
 
 
+@query("""WITH i AS (SELECT l_orderkey, (l_partkey % 100)::INT AS s, (l_partkey % 100)::INT + l_quantity::INT AS e FROM lineitem),
+    m AS (SELECT *, max(e) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen, row_number() OVER (PARTITION BY l_orderkey ORDER BY s, e) AS rn FROM i),
+    g AS (SELECT *, sum(CASE WHEN s < seen THEN 0 ELSE 1 END) OVER (PARTITION BY l_orderkey ORDER BY rn) AS grp FROM m)
+    SELECT l_orderkey, min(s) AS span_start, max(e) AS span_end FROM g GROUP BY l_orderkey, grp""")
+def interval_union(spark, d):
+    start = (F.col("l_partkey") % 100).cast("int")
+    hit = F.struct(start.alias("start"), (start + F.col("l_quantity").cast("int")).alias("end"), F.col("l_returnflag").alias("type"), F.lit(0.5).alias("score"), F.lit(1).alias("priority"))
+    by_order = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(hit).alias("hits"))
+    return by_order.select("l_orderkey", F.explode(redaction.union_spans(F.col("hits"))).alias("s")).select("l_orderkey", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"))
+
+
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS emails, len(regexp_extract_all(text, '(?:[0-9]{1,3}\.){3}[0-9]{1,3}')) AS ips,
+    len(regexp_extract_all(text, '[0-9]{16}')) AS cards, len(regexp_extract_all(text, 'token = "[0-9a-f]{40}"')) AS tokens FROM documents WHERE text IS NOT NULL""")
+def pattern_hits(spark, d):
+    count = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", count(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}").alias("emails"), count(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}").alias("ips"), count("[0-9]{16}").alias("cards"), count('token = "[0-9a-f]{40}"').alias("tokens"))
+
+
+@query(r"""SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) || '://' || regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) || regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS endpoint FROM pages""")
+def safe_endpoints(spark, d):
+    return table(spark, d, "pages").select("page_id", expr.safe_endpoint(F.col("url")).alias("endpoint"))
+
+
+def _emails(spark, d):
+    hits = F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), F.lit(0))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(hits).alias("start", "identity"))
+
+
+@query(r"""WITH h AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS identity, generate_subscripts(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'), 1) AS i FROM documents),
+    f AS (SELECT doc_id, identity, min(i) AS first FROM h GROUP BY doc_id, identity) SELECT doc_id, identity, row_number() OVER (ORDER BY doc_id, first) AS number FROM f""")
+def alias_numbers(spark, d):
+    found = _emails(spark, d).select(F.col("doc_id").alias("trace_ord"), F.lit(0).alias("leaf_ord"), "start", F.lit("EMAIL_ADDRESS").alias("type"), "identity")
+    return redaction.alias_numbers(found).select(F.col("trace_ord").alias("doc_id"), "identity", F.col("number").cast("long").alias("number"))
+
+
+@query()
+def redacted_text(spark, d):
+    leaves = table(spark, d, "documents").select(F.col("doc_id").alias("trace_ord"), F.lit(0).cast("long").alias("leaf_ord"), "text")
+    return redaction.redact(leaves).select(F.col("trace_ord").alias("doc_id"), "n_spans", "redacted")
+
+
+@query("""SELECT doc_id, count(*) AS n_valid FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{16}')) AS c FROM documents) WHERE c[1] IN ('2', '3', '4', '5', '6') AND
+    list_sum([CASE WHEN i % 2 = 0 THEN c[16 - i]::INT ELSE (c[16 - i]::INT * 2) // 10 + (c[16 - i]::INT * 2) % 10 END for i in range(16)]) % 10 = 0 GROUP BY doc_id""")
+def valid_cards(spark, d):
+    cards = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9]{16}"), F.lit(0))).alias("c"))
+    return cards.filter(expr.card_valid(F.col("c"))).groupBy("doc_id").agg(F.count("*").alias("n_valid"))
+
+
+@query("""SELECT user_id AS nodeid, count(*) FILTER (event_type = 'view') - count(*) FILTER (event_type = 'click') > 0 AS has_open FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'view') - count(*) FILTER (event_type = 'click') > 0""")
+def open_operations(spark, d):
+    e = table(spark, d, "events").filter("event_type in ('view', 'click')").select(F.col("user_id").alias("nodeid"), F.lit("op").alias("operation"), F.when(F.col("event_type") == "view", "start").otherwise("end").alias("event"), F.col("event_id").alias("ord"))
+    return queues.open_operation(e).select("nodeid", F.lit(True).alias("has_open"))
+
+
+@query("SELECT r_name AS module, r_name AS root FROM region UNION ALL SELECT r_name || '.' || n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def prefix_matches(spark, d):
+    region = table(spark, d, "region")
+    roots = region.select(F.col("r_name").alias("root"))
+    nested = table(spark, d, "nation").join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat_ws(".", "r_name", "n_name").alias("module"))
+    return queues.prefix_matches(nested.unionByName(roots.withColumnRenamed("root", "module")), roots).select("module", "root")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
