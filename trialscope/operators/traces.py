@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -77,8 +78,6 @@ def contains_json(document: Column, wanted: dict) -> Column:
         elif value is None:
             checks.append(F.coalesce(F.is_variant_null(at), F.lit(False)))
         elif isinstance(value, list):
-            import json
-
             checks.append(F.coalesce(F.to_json(at) == json.dumps(value, separators=(",", ":"), sort_keys=True), F.lit(False)))
         elif isinstance(value, float):
             kind = F.schema_of_variant(at)

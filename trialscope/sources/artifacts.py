@@ -10,7 +10,7 @@ import json
 import re
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trialscope.functions import formats
@@ -111,7 +111,7 @@ def import_traces(spark: SparkSession, provider: str, source: str, out: str, lim
     bounded(spark, source, max_bytes)
     export = readers.read(spark, provider, source, prefix)
     traces = readers.trace_rows(export, limit)
-    numbered = traces.select("id", "trace_ord").withColumn("n", F.row_number().over(_in_order()).cast("long") - 1)  # at most `limit` rows
+    numbered = traces.select("id", "trace_ord").withColumn("n", F.row_number().over(Window.orderBy("trace_ord")).cast("long") - 1)  # at most `limit` rows
     spans = export.spans.drop("trace_ord").join(F.broadcast(numbered.select(F.col("id").alias("trace_id"), "n")), "trace_id")
     texts = []
     for k, column in enumerate(("name", "status_message", "input", "output")):
@@ -131,12 +131,6 @@ def import_traces(spark: SparkSession, provider: str, source: str, out: str, lim
     return manifest
 
 
-def _in_order():
-    from pyspark.sql import Window
-
-    return Window.orderBy("trace_ord")
-
-
 def load_traces(spark: SparkSession, out: str) -> DataFrame:
     """The spans of an import, if its manifest is safe and its files are those that were written."""
     try:
