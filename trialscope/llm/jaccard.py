@@ -276,30 +276,32 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _rarest(sets: DataFrame) -> DataFrame:
-    """(a, bucket, typical): the shingles that a set signs with, its rarest fifth and one more in an order common to all
-    sets; typical is the mean number of sets that have its shingles."""
+    """(a, bucket, size, rank, typical): the shingles that a set signs with, its rarest fifth and one more in an order
+    common to all sets; rank is a shingle's place in it, typical the mean number of sets that have the set's shingles."""
     rows = sets.mapInArrow(_shingle_rows, "a long, bucket long, size int")
     shared = rows.groupBy("bucket").agg(F.count("*").alias("df"))
     ranked = F.row_number().over(Window.partitionBy("a").orderBy("df", "bucket"))
     typical = F.avg("df").over(Window.partitionBy("a"))
     signed = rows.join(shared, "bucket").select("a", "bucket", "size", "df", ranked.alias("rank"), typical.alias("typical"))
-    return written(signed.filter((F.col("rank") <= F.floor(F.col("size") / 5) + 1) & (F.col("df") > 1)).select("a", "bucket", "typical"), "open")
+    return written(signed.filter((F.col("rank") <= F.floor(F.col("size") / 5) + 1) & (F.col("df") > 1)).select("a", "bucket", "size", "rank", "typical"), "open")
 
 
 def _round(open_: DataFrame, labels: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     """Buckets that still hold two components, without those members that lead this turn, and the pairs to verify: each
     leader with every member of another component. In a small bucket all lead; in a large one first the most typical
-    member, from the third turn on also 4**(turn - 1) members by hash, so that the turns are logarithmic."""
+    member, from the second turn on also 16**turn members by hash, so that the turns are logarithmic."""
     label = small(labels.select(F.col("node").alias("a"), F.col("component").alias("label")))
     rows = open_.join(label, "a", "left").withColumn("label", F.coalesce("label", "a"))
     state = rows.groupBy("bucket").agg(F.max_by("a", F.struct("typical", "a")).alias("first"), F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
     live = rows.join(small(written(state.select("bucket", "first", "n"), "mixed")), "bucket")
-    share = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(4 ** max(turn - 1, 0)))).cast("long")
-    leads = (F.col("n") <= HOT) | (F.col("a") == F.col("first")) | (F.lit(turn > 1) & (F.pmod(F.xxhash64("a"), share) == 0))
-    live = written(live.select("a", "bucket", "typical", "label", leads.alias("leads")), "live")
-    leaders = live.filter("leads").select("bucket", F.col("a").alias("b"), F.col("label").alias("lead_label"))
-    tried = live.join(leaders, "bucket").filter("label <> lead_label and (not leads or a < b)").select("a", "b").distinct()
-    return live.filter("not leads").select("a", "bucket", "typical"), written(tried, "tried")
+    share = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(16**turn))).cast("long")
+    leads = (F.col("n") <= HOT) | (F.col("a") == F.col("first")) | (F.lit(turn > 0) & (F.pmod(F.xxhash64("a"), share) == 0))
+    live = written(live.select("a", "bucket", "size", "rank", "typical", "label", leads.alias("leads")), "live")
+    leaders = live.filter("leads").select("bucket", F.col("a").alias("b"), F.col("label").alias("lead_label"), F.col("size").alias("lead_size"), F.col("rank").alias("lead_rank"))
+    # sizes that can be similar, and enough shingles after the shared one, as at a pair's first shared shingle
+    likely = "5 * least(size, lead_size) >= 4 * greatest(size, lead_size) and 9 * (1 + least(size - rank, lead_size - lead_rank)) >= 4 * (size + lead_size)"
+    tried = live.join(leaders, "bucket").filter(f"label <> lead_label and (not leads or a < b) and {likely}").select("a", "b").distinct()
+    return live.filter("not leads").select("a", "bucket", "size", "rank", "typical"), written(tried, "tried")
 
 
 def near_duplicate_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
