@@ -55,7 +55,7 @@ def duration_ms(start: Column, end: Column) -> Column:
 
 def int_of(value: Column) -> Column:
     """Whole-number text only ("12"); "1.5" and booleans give null."""
-    return F.when(~F.lower(value).isin("true", "false"), F.when(value.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(value).try_cast("long")))
+    return F.when(value.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(value).try_cast("long"))
 
 
 def finite(value: Column) -> Column:

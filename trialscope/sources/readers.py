@@ -221,9 +221,9 @@ def records(spark: SparkSession, source: str) -> DataFrame:
 
 
 def is_span_row(v: Column) -> Column:
-    has = lambda *keys: F.coalesce(*(F.try_variant_get(v, path(k), "variant").isNotNull() for k in keys)) if len(keys) == 1 else F.greatest(*(F.try_variant_get(v, path(k), "variant").isNotNull() for k in keys))
+    marked = F.greatest(*(F.try_variant_get(v, path(k), "variant").isNotNull() for k in (*formats.SPAN_MARKS, *formats.PARENT_MARKS)))
     listed = F.coalesce(F.schema_of_variant(F.try_variant_get(v, '$["spans"]', "variant")).startswith("ARRAY"), F.lit(False))
-    return has(*formats.SPAN_MARKS, *formats.PARENT_MARKS) & ~listed
+    return marked & ~listed
 
 
 def _numbered(spans: DataFrame) -> DataFrame:
