@@ -123,7 +123,7 @@ def _laid(pieces: list[dict]) -> list[dict]:
 
 def _rows(done: list[list], task: int, first: int, closed: bool) -> pa.RecordBatch:
     pieces = [_laid([dict(zip(_PIECE.names, p, strict=False)) for p in w]) for w in done]
-    return pa.RecordBatch.from_arrays([pa.array([(task << 32) + first + i for i in range(len(done))], pa.int64()), pa.array([closed] * len(done)), pa.array([task // MERGE] * len(done), pa.int64()), pa.array(pieces, pa.list_(_PIECE))], ["sequence_id", "closed", "merge", "pieces"])
+    return pa.RecordBatch.from_arrays([pa.array([(task << 32) + first + i for i in range(len(done))], pa.int64()), pa.array([closed] * len(done), pa.bool_()), pa.array([task // MERGE] * len(done), pa.int64()), pa.array(pieces, pa.list_(_PIECE))], ["sequence_id", "closed", "merge", "pieces"])
 
 
 def _merge(window: int) -> Callable:
