@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +17,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 #: Bytes of a packed side that may be broadcast.
 BROADCAST_BYTES = 48 << 20
+#: Bytes of text that a Python worker takes at once, about; a longer text is taken alone.
+TEXT_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,6 +68,15 @@ def fields(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut by their bytes of text: Spark cuts by rows alone, and what a worker once took it holds until it ends."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        run = np.cumsum(sizes, dtype=np.int64) // most
+        cuts = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), batch.num_rows]
+        yield from (batch.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a)
+
+
 def planes(values: np.ndarray) -> bytes:
     """Fixed-width values by byte planes, compressed: high bytes that seldom change cost almost nothing."""
     values = np.ascontiguousarray(values)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialscope.llm.common import fields, planes, small, unplanes, written
+from trialscope.llm.common import fields, planes, slices, small, unplanes, written
 from trialscope.llm.components import components
 
 SHINGLE = 5
@@ -127,7 +127,7 @@ def signatures(shingles: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = [(len(s), int(mixed(s).sum()) - (1 << 63), int(mixed(s ^ _MIX2).sum()) - (1 << 63)) for s in shingle_sets(batch.column("text"))]
         columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_shingles", "k1", "k2"])
@@ -138,8 +138,8 @@ _SIGNED = "part int, sigs binary, docs binary, splits binary, slacks binary"
 
 def _sign(parts: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sigs, docs, splits, slacks = [], [], [], []
+        for batch in slices(batches):
+            sigs, docs = [], []
             for doc, shingles in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text")), strict=True):
                 for s, split, slack in signatures(shingles):
                     sigs.append(s)
@@ -152,10 +152,10 @@ def _sign(parts: int) -> Callable:
             n = np.array([d[3] for d in docs])
             of = [np.repeat(np.array([d[i] for d in docs], t), n)[order] for i, t in ((0, np.int64), (1, np.uint16), (2, np.uint8))]
             part, rest = part[order], rest[order]
-            cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-            used = [i for i in range(parts) if cuts[i + 1] > cuts[i]]
-            cells = [pa.array([planes(x[cuts[i] : cuts[i + 1]]) for i in used], pa.binary()) for x in (rest, *of)]
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *cells], ["part", "sigs", "docs", "splits", "slacks"])
+            used, cuts = np.unique(part, return_index=True)
+            ends = np.append(cuts[1:], len(part))
+            cells = [pa.array([planes(x[a:b]) for a, b in zip(cuts, ends, strict=True)], pa.binary()) for x in (rest, *of)]
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *cells], ["part", "sigs", "docs", "splits", "slacks"])
 
     return run
 
@@ -199,7 +199,7 @@ def _counted(rows: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(batch.column("text"))], pa.binary())], ["doc", "shingles"])
 
 
