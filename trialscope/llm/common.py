@@ -69,9 +69,11 @@ def fields(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches cut by their bytes of text: Spark cuts by rows alone, and what a worker once took it holds until it ends."""
+    """Batches cut by their bytes of text, or by the entries of a list column: Spark cuts by rows alone, and what a worker once took it holds until it ends."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        cells = batch.column(column)
+        length = pc.list_value_length if pa.types.is_list(cells.type) else pc.binary_length
+        sizes = pc.fill_null(length(cells), 0).to_numpy(zero_copy_only=False)
         run = np.cumsum(sizes, dtype=np.int64) // most
         cuts = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), batch.num_rows]
         yield from (batch.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a)

@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialscope.llm.bpe import encoder, pretokens, spread, word_codes
-from trialscope.llm.common import fields, text_of, written
+from trialscope.llm.common import fields, slices, text_of, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WINDOW, END, OPEN, SLACK, MERGE = 2048, 1, 64, 16, 64
 #: Words whose ids a Python worker remembers.
 CACHE = 400_000
+#: Pre-tokens that a worker takes at once, about.
+BLOCK = 500_000
 
 _PIECE = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("offset", pa.int64())])
 
@@ -98,7 +100,7 @@ def _ids_of(words: list[str], encode: Callable) -> tuple[np.ndarray, np.ndarray,
 def _pack_batches(ranks, window: int, end: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, windows, task, n = encoder(ranks.value), Windows(window, OPEN, SLACK), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in slices(batches, "tokens", BLOCK):
             words, codes, sizes = word_codes(batch.column("tokens"))
             ids, ends = spread(codes, sizes, *_ids_of(words, encode))
             done: list[list] = []
