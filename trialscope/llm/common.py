@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 #: Bytes of a packed side that may be broadcast.
 BROADCAST_BYTES = 48 << 20
-#: Bytes of text that a Python worker takes at once, about; a longer text is taken alone.
+#: Bytes of text that a Python worker takes at once: less than these beside one text, which may be longer.
 TEXT_BYTES = 4 << 20
 
 

@@ -204,7 +204,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, "left"):
         keep = []
         for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
             x, y = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
@@ -269,7 +269,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, "shingles"):
         sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")]
         n = [len(x) for x in sets]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("doc").to_numpy(), n)), pa.array(np.concatenate(sets)), pa.array(np.repeat(n, n).astype(np.int32))], ["a", "bucket", "size"])
