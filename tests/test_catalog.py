@@ -1,13 +1,16 @@
 """Every query with SQL equals DuckDB on the smallest tables; outcomes don't hang on partitioning."""
 
 import datetime as dt
+import hashlib
+import json
 import os
+import unicodedata
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from trialscope.operators import contracts, queues, scoring, traces
+from trialscope.operators import contracts, detectors, queues, scoring, traces
 from trialscope.plans import catalog
 
 TABLES = "/root/testdata/sf0.001"
@@ -75,6 +78,29 @@ def test_fingerprint_folds(spark):
     assert df.select(queues.fingerprint(F.col("t"))).distinct().count() == 1
 
 
+def test_documents_that_sql_cannot_fold(spark, tmp_path):
+    texts = ["plain words", "Straße ﬁne\u00a0 x", "it's 2-fold — «ÉTÉ» 42", "", " \n", None, "a\\b\t\"q\"/"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.fingerprint for r in catalog.queries()["document_fingerprints"](spark, str(tmp_path)).collect()}
+    folded = lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split())
+    want = {i: "sha256:" + hashlib.sha256(json.dumps([folded(t)], ensure_ascii=False).encode()).hexdigest() for i, t in enumerate(texts)}
+    assert got == want
+
+
+def test_cards_of_all_lengths_and_separators(spark, tmp_path):
+    texts = ["3782 822463 10005, 378282246310005", "4222222222222 and 6304000000000000000", "4111-1111-1111-1111", "41111111111111111234", "4111 1111 1111 1112", "4444444444444444", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_valid for r in catalog.queries()["document_cards"](spark, str(tmp_path)).collect()}
+    want = {i: sum(detectors.card(m[0]) for m in detectors.CARD.finditer(t or "")) for i, t in enumerate(texts)}
+    assert got == {i: n for i, n in want.items() if n} and got[0] == 2 and got[1] == 2 and got[2] == 1
+
+
+def test_ideas_keep_their_whole_text(spark, tmp_path):
+    spark.createDataFrame([(1, "x" * 200, "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert catalog._ideas(spark, str(tmp_path)).first().failure_pattern == "x" * 200
+
+
 def test_conflicting_runs_fail(spark):
     df = spark.createDataFrame([("r", 1), ("r", 1)], "run_id string, x int")
     assert traces.register_runs(df).count() == 1

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trialscope.functions import expr
-from trialscope.operators import contracts, queues, redaction, scoring, traces
+from trialscope.operators import contracts, detectors, queues, redaction, scoring, traces
 from trialscope.plans.adapters import SPANS_SQL, TRIALS_SQL, spans, table, trials
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -285,8 +285,14 @@ def fingerprints(spark, d):
     return plain.select("doc_id", queues.fingerprint(F.col("text"), fold=F.lower).alias("fingerprint"))
 
 
+@query()
+def document_fingerprints(spark, d):
+    """Of every document; fingerprints is the part that SQL can fold."""
+    return table(spark, d, "documents").select("doc_id", queues.fingerprint(F.col("text")).alias("fingerprint"))
+
+
 def _ideas(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 80).alias("failure_pattern"), F.col("source").alias("file"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("failure_pattern"), F.col("source").alias("file"))
     status = F.when(F.col("toxic") == 1, "rejected").when(F.col("quality") == 1, "accepted").otherwise("proposed")
     return table(spark, d, "labels").join(docs, "doc_id").select(F.concat(F.lit("idea-"), (F.col("doc_id") % 300).cast("string")).alias("id"), F.array("doc_id", F.col("doc_id") + 1).alias("trace_ids"), status.alias("status"), "failure_pattern", "file", "doc_id")
 
@@ -407,6 +413,14 @@ def valid_cards(spark, d):
     return cards.filter(expr.card_valid(F.col("c"))).groupBy("doc_id").agg(F.count("*").alias("n_valid"))
 
 
+@query()
+def document_cards(spark, d):
+    """Of 13 to 19 digits, with or without separators; valid_cards sees runs of 16 digits alone."""
+    found = F.regexp_extract_all("text", F.lit(f"(?U){detectors.CARD.pattern}"), F.lit(0))
+    cards = table(spark, d, "documents").select("doc_id", F.explode(found).alias("c"))
+    return cards.filter(expr.card_valid(F.col("c"))).groupBy("doc_id").agg(F.count("*").alias("n_valid"))
+
+
 @query("""SELECT user_id AS nodeid, count(*) FILTER (event_type = 'view') - count(*) FILTER (event_type = 'click') > 0 AS has_open FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'view') - count(*) FILTER (event_type = 'click') > 0""")
 def open_operations(spark, d):
     e = table(spark, d, "events").filter("event_type in ('view', 'click')").select(F.col("user_id").alias("nodeid"), F.lit("op").alias("operation"), F.when(F.col("event_type") == "view", "start").otherwise("end").alias("event"), F.col("event_id").alias("ord"))
