@@ -36,6 +36,20 @@ def test_invalid_values_and_other_text_stay(spark):
     assert changed(spark, texts) == texts
 
 
+def test_adjacent_values_are_found_each(spark):
+    phones = ["+1 (826) 555-4081", "+1 826 555 4081", "+44 20 7946 0958", "+33 612 34 56 78", "404-189-4974", "(404) 189-4974", "+49 30 1234 5678"]
+    cards = ["4111 1111 1111 1111", "4111111111111111", "3782 822463 10005", "5500-0000-0000-0004", "4222222222222"]
+    others = ["190.137.223.204", "123-45-6789", "2024-01-02", "12.05.2024", "12/05/2024", "GB82WEST12345698765432", "bob@mail8.example.com"]
+    values = phones + cards + others
+    pairs = [f"{a} {b}" for a in values for b in values]
+    tails = [f"{c} {x}" for c in phones + cards for x in ("12/25", "123 or so", "and 7")] + [f"2024 {c}" for c in cards]
+    out = dict(zip(values + pairs + tails, changed(spark, values + pairs + tails), strict=True))
+    wrong = [p for a in values for b in values if out[p := f"{a} {b}"] != f"{out[a]} {out[b]}"]
+    assert wrong == []
+    wrong = [t for t in tails for c in phones + cards if c in t and out[t] != t.replace(c, out[c])]
+    assert wrong == []
+
+
 def test_equal_values_stay_linked_and_others_apart(spark):
     cards = [n for n in (f"4{i:014d}" for i in range(300)) for n in [n + str(next(d for d in range(10) if luhn(n + str(d))))]]
     out = changed(spark, cards + [f"again {cards[7]} here"])

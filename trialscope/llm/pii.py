@@ -32,7 +32,35 @@ FORMATS = {
     "card": r"(?<!\d)[2-6]\d{3}(?:[ -]?\d){9,15}(?!\d)",
     "phone": r"(?<![\dA-Za-z])(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
 }
-ANY = "|".join(p.replace(r"\1", r"\2") if k == "date" else p for k, p in FORMATS.items()).replace(r"([./])", r"(?<sep>[./])").replace(r"\2", r"\k<sep>")
+#: Cards as they are printed, and any grouping of a run's first digits. Which of them are valid no pattern can tell.
+PRINTED = [r"[2-6]\d{3}(?:[ -]?\d{4}){3}", r"[2-6]\d{3}[ -]?\d{6}[ -]?\d{5}", r"[2-6]\d{3}[ -]?\d{6}[ -]?\d{4}", r"[2-6]\d{3}(?:[ -]?\d{4}){3}[ -]?\d{3}", r"[2-6]\d{12,18}"]
+OTHER = [rf"(?<!\d[ -])[2-6]\d{{3}}(?:[ -]?\d){{{n}}}" for n in range(15, 8, -1)]
+RUN = r"\d(?:[ -]?\d){12}"
+#: In the pattern of a text this stands for its valid cards.
+CARDS = "@CARDS@"
+
+
+def _phone_pattern() -> str:
+    """Phone numbers that end where they are complete or where another format starts."""
+    card = rf"(?<![\d.-])(?:{CARDS})(?!\d)"
+    octet = r"(?:[01]?\d?\d|2[0-4]\d|25[0-5])(?!\d)"
+    ip = rf"(?<![\d.]){octet}(?:\.{octet}){{3}}(?!\.?\d)"
+    date = r"(?<![\d./-])(?:(?:19|20)\d{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])|\d{1,2}(?:\.\d{1,2}\.|/\d{1,2}/)(?:19|20)\d{2})(?![\d/-])"
+    apart = f"{card}|{ip}|{date}"
+    also = rf"{apart}|(?<![\d-])(?!000|666|9)\d{{3}}-(?!00)\d{{2}}-(?!0000)\d{{4}}(?![\d-])|(?<!\d)\d{{3}}[.-]\d{{3}}[.-]\d{{4}}(?!\d)|(?<!\d)(?:0?[1-9]|1[0-2])/\d{{2}}(?:\d{{2}})?(?![\d/])"
+    group = lambda n, no: rf"[ .-]?(?!{no})\d{{{n}}}"
+    area = lambda n: rf"\(?\d{{{n}}}\)?"
+    start = rf"\+\d{{1,3}}[ .-]?(?!{card})"
+    national = r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?![.-]?\d)"
+    whole = rf"{start}(?:{area(2)}{group(4, apart)}|{area(3)}{group('3,4', apart)}|{area(4)}{group('2,4', apart)}){group(4, apart)}(?![.-]?\d)"
+    strict = rf"{start}(?!{also}){area('2,4')}(?:{group('2,4', also)}){{2,3}}(?!\d)"
+    loose = rf"{start}{area('2,4')}(?:{group('2,4', apart)}){{2}}(?:{group('2,4', also)})?(?!\d)"
+    return rf"(?<![\dA-Za-z])(?:{national}|{whole}|{strict}|{loose}|\(\d{{3}}\) ?\d{{3}}[ .-]\d{{4}}|\d{{3}}[.-]\d{{3}}[.-]\d{{4}})(?!\d)"
+
+
+SOUGHT = FORMATS | {"card": rf"(?<!\d)(?:{CARDS})(?!\d)", "phone": _phone_pattern()}
+ANY = "|".join(p.replace(r"\1", r"\2") if k == "date" else p for k, p in SOUGHT.items()).replace(r"([./])", r"(?<sep>[./])").replace(r"\2", r"\k<sep>")
+NO_CARDS = ANY.replace(CARDS, "(?!)")
 #: A text without any of these holds none of the formats.
 GATE = r"[0-9@=:]|AKIA"
 
@@ -177,6 +205,19 @@ def pseudonym(m: Column, kind: Column, key: Column) -> Column:
     return out.otherwise(m)
 
 
+def _valid_cards(text: Column) -> Column:
+    """The valid cards of a text, looked for at every place and in every length, the likelier reading first."""
+    seen = lambda p: F.regexp_extract_all(text, F.lit(rf"(?<!\d)(?=({p})(?!\d))"), F.lit(1))
+    return F.filter(F.array_distinct(F.concat(*map(seen, PRINTED + OTHER))), lambda m: F.call_function("luhn_check", _digits(m)))
+
+
+def pattern_of(text: Column) -> Column:
+    """ANY for this text. A candidate that fails its check hides no valid card beside or within it."""
+    cards = F.array_join(_valid_cards(text), "|")
+    filled = F.transform(F.array(cards), lambda c: F.when(c == "", F.lit(NO_CARDS)).otherwise(F.replace(F.lit(ANY), F.lit(CARDS), c)))
+    return F.when(text.rlike(RUN), F.element_at(filled, 1)).otherwise(F.lit(NO_CARDS))
+
+
 def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, count_col: str | None = None) -> DataFrame:
     """docs with the text's private values replaced; count_col, if named, gets their number.
 
@@ -185,16 +226,17 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, count_
     """
     text, secret = F.col(f"`{text_col}`"), _secret(key)
     live = text.rlike(GATE)
-    found = F.when(live, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    d = docs.withColumn("__found", F.transform(found, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"))))
+    d = docs.withColumn("__any", F.when(live, pattern_of(text)))
+    found = F.when(live, F.regexp_extract_all(text, F.col("__any"), F.lit(0)))
+    d = d.withColumn("__found", F.transform(found, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"))))
     any_ = F.exists("__found", lambda x: x["kind"].isNotNull())
     new = F.transform("__found", lambda x: pseudonym(x["m"], x["kind"], secret))
-    joined = F.array_join(F.zip_with(F.split(text, ANY, -1), F.concat(new, F.array(F.lit(""))), lambda gap, value: F.concat(gap, value)), "")
+    joined = F.array_join(F.zip_with(F.split(text, F.col("__any"), -1), F.concat(new, F.array(F.lit(""))), lambda gap, value: F.concat(gap, value)), "")
     out = d.withColumn(text_col, F.when(F.coalesce(any_, F.lit(False)), joined).otherwise(text))
     if count_col:
         out = out.withColumn(count_col, F.coalesce(F.size(F.filter("__found", lambda x: x["kind"].isNotNull())), F.lit(0)).cast("long"))
         out = out.withColumn(count_col, F.greatest(F.col(count_col), F.lit(0)))
-    return out.drop("__found")
+    return out.drop("__found", "__any")
 
 
 def report(docs: DataFrame) -> DataFrame:
