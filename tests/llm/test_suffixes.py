@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from trialscope.llm import suffixes
 
@@ -52,6 +53,24 @@ def test_long_texts_in_pieces(spark, monkeypatch):
     assert rows_of(suffixes.report(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))) == found
 
 
+def test_piece_borders_change_no_segment(spark, monkeypatch):
+    rng = random.Random(9)
+    some = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    texts = [some(n) for n in (4096, 4097, 5000, 9000, 1023)] + ["a" * 3000]
+    texts.append(some(505) + texts[3][4000:4700] + some(2000))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["row", "text"])
+
+    def segments():
+        dealt = pa.Table.from_batches(suffixes._deal(1)([batch]))
+        return sorted(zip(*(np.concatenate([suffixes.unplanes(x, suffixes._COLUMNS[c]) for x in dealt.column(c).to_pylist()]).tolist() for c in ("row", "at", "left", "more", "gram", "segment")), strict=True))
+
+    whole = segments()
+    monkeypatch.setattr(suffixes, "BLOCK", 128)
+    assert segments() == whole and len({s[:2] for s in whole}) == len(whole)
+    rows = list(enumerate(texts))
+    assert rows_of(suffixes.report(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))) == sorted(brute(rows))
+
+
 def test_columns_inserted_one_by_one():
     rng = np.random.default_rng(0)
     n = 60

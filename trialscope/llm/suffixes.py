@@ -80,25 +80,36 @@ def anchors(data: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
     return {"text": owner, "at": (at - (ends - sizes)[owner]).astype(np.uint32), "left": (at - x0).astype(np.uint8), "more": (x1 - x0).astype(np.uint8), "gram": grams[at], "segment": segment}
 
 
-def _blocks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
-    """Runs of texts of about BLOCK bytes: data, sizes, number of the first text, and where its piece starts. A very
-    long text comes in pieces that overlap by WIDTH - 1 bytes; a piece border only splits a segment in two."""
+def _blocks(texts: list[bytes], block: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """Runs of texts of about `block` bytes: data, sizes, number of the first text, and where its piece starts. A text
+    of more than 8 blocks comes in pieces of 4 blocks of windows and one before; REACH + 1 more follow, so a piece has
+    the whole of each segment that starts in its blocks (see _own)."""
+    block = block or BLOCK
     i = 0
     while i < len(texts):
-        if len(texts[i]) > 8 * BLOCK:
-            for start in range(0, len(texts[i]) - WIDTH + 1, 4 * BLOCK):
-                piece = texts[i][start : start + 4 * BLOCK + WIDTH - 1]
+        if len(texts[i]) > 8 * block:
+            for own in range(0, len(texts[i]) - WIDTH + 1, 4 * block):
+                start = max(0, own - 1)
+                piece = texts[i][start : own + 4 * block + REACH + WIDTH]
                 yield np.frombuffer(piece, np.uint8), np.array([len(piece)]), i, start
             i += 1
             continue
         j, size = i, 0
-        while j < len(texts) and len(texts[j]) <= 8 * BLOCK and (j == i or size + len(texts[j]) <= BLOCK):
+        while j < len(texts) and len(texts[j]) <= 8 * block and (j == i or size + len(texts[j]) <= block):
             size += len(texts[j])
             j += 1
         yield np.frombuffer(b"".join(texts[i:j]), np.uint8), np.array([len(t) for t in texts[i:j]]), i, 0
         i = j
 
 
+def _own(a: dict[str, np.ndarray], start: int, block: int) -> dict[str, np.ndarray]:
+    """Of a piece's segments those that start in its own blocks: a segment across a border is one piece's alone."""
+    first = a["at"].astype(np.int64) - a["left"] + start
+    own = start + (start > 0)
+    keep = (first >= own) & (first < own + 4 * block)
+    return {c: v[keep] for c, v in a.items()}
+
+
 def _raw(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 
@@ -107,12 +118,16 @@ _COLUMNS = {"gram": np.uint64, "segment": np.uint64, "row": np.int64, "at": np.u
 _DEALT = "part int, " + ", ".join(f"{c} binary" for c in _COLUMNS)
 
 
-def _deal(parts: int):
+def _deal(parts: int, block: int | None = None):
+    block = block or BLOCK  # as it is on the driver
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, texts, found = batch.column("row").to_numpy(), _raw(batch.column("text")), []
-            for data, sizes, first, start in _blocks(texts):
+            for data, sizes, first, start in _blocks(texts, block):
                 a = anchors(data, sizes)
+                if len(texts[first]) > 8 * block:
+                    a = _own(a, start, block)
                 a["row"] = rows[first + a.pop("text")]
                 a["at"] = a["at"] + np.uint32(start)
                 found.append(a)
