@@ -81,6 +81,19 @@ def test_grammar():
     assert toxicity.features("fine. you fool! he is no fool", words, {"fool"})[0] > 0
 
 
+def test_threats_and_softening_in_either_order():
+    words = {"fool": 1.0}
+    clause = lambda s: toxicity.clause_weight(s.split(), words)
+    weight = lambda s: clause(s)[0]
+    assert weight("i will kill you") == weight("you i will kill") == weight("kill him") == 2.0 and clause("i will kill you")[1:] == (True, True, False)
+    assert weight("kill time") == weight("time to kill") == 0
+    assert weight("kill and hurt you") == weight("you i kill and hurt") == 4.0
+    assert 0 < weight("not kill you") == weight("kill you not") == weight("you not kill") < 2.0
+    assert weight("a fool said anna") == weight("anna said a fool") < 1.0 and weight("a fool never") == weight("never a fool") < 1.0
+    assert weight("kill you said anna") == weight("anna said kill you") < 2.0
+    assert toxicity.features("I will kill you!", words, {"kill"}) == toxicity.features("You I will kill!", words, {"kill"}) != (0.0,) * len(toxicity.FEATURES)
+
+
 def test_learned_and_held_out(spark, messy, none):
     rows, labels = [], []
     for i in range(900):

@@ -41,12 +41,12 @@ _WORD = re.compile(r"[^\W\d_]+")
 FEATURES = ("clauses", "weight", "heaviest", "aimed", "threats", "softened")
 
 
-def flag(symbol: str, factor: dict[str, float]) -> dict:
+def flag(symbol: str, factor: dict[str, float], back: float = 1.0) -> dict:
     """A transducer of two states that remembers having read `symbol`; in the second state arcs for the symbols of
-    factor multiply their weight by it."""
+    factor multiply their weight by it. The arc between the states has the weight `back` for what was read before."""
     arcs = {}
     for state, read in product((0, 1), (*SYMBOLS, None)):
-        arcs[state, read] = (1 if read == symbol or state else 0, factor.get(read, 1.0) if state else 1.0)
+        arcs[state, read] = (1 if read == symbol or state else 0, factor.get(read, 1.0) if state else back if read == symbol else 1.0)
     return arcs
 
 
@@ -67,13 +67,14 @@ def compose(parts: list[dict]) -> dict:
 
 
 #: Order: target, negation, report, insult (a second insult in a clause adds weight), threat.
-GRAMMAR = compose([flag("target", {"insult": 1.5, "threat": 2.0}), flag("negation", {"insult": 0.5, "threat": 0.5}), flag("report", {"insult": 0.4, "threat": 0.4}), flag("insult", {"insult": 1.2, "target": 1.0}), flag("threat", {"target": 1.0})])
+GRAMMAR = compose([flag("target", {"insult": 1.5, "threat": 2.0}), flag("negation", {"insult": 0.5, "threat": 0.5}, 0.5), flag("report", {"insult": 0.4, "threat": 0.4}, 0.4), flag("insult", {"insult": 1.2, "target": 1.0}), flag("threat", {"target": 2.0})])
 START = (0, 0, 0, 0, 0)
 
 
 def clause_weight(words: list[str], insults: dict[str, float]) -> tuple[float, bool, bool, bool]:
-    """(weight, aimed, threat, softened) of a clause's accepted path; a weight of 0 if nothing in it is toxic."""
-    state, total, hit, threat = START, 0.0, False, False
+    """(weight, aimed, threat, softened) of a clause's accepted path; a weight of 0 if nothing in it is toxic. Threats
+    count if a target is read as well, before or after them."""
+    state, total, waiting, hit, threat = START, 0.0, 0.0, False, False
     for w in words:
         worth = insults.get(w)
         symbol = "insult" if worth is not None else _LEXICON.get(w)
@@ -85,6 +86,14 @@ def clause_weight(words: list[str], insults: dict[str, float]) -> tuple[float, b
         elif symbol == "threat" and state[0]:
             hit = threat = True
             total += weight
+        elif symbol == "threat":
+            waiting += weight
+        elif symbol == "target":
+            if waiting:
+                hit = threat = True
+            total, waiting = total + waiting * weight, 0.0
+        else:
+            total, waiting = total * weight, waiting * weight
     return (total, bool(state[0]), threat, bool(state[1] or state[2])) if hit else (0.0, False, False, False)
 
 
