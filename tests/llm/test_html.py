@@ -18,6 +18,22 @@ def test_surge_and_dive_without_a_main_element():
     assert "link text" not in main_text(f"{links}{body}{links}")
 
 
+def test_all_of_an_article_without_a_main_element():
+    advert = '<div class="advert"><p>buy</p><p>now</p><p>here</p><p>!</p></div>'
+    long, closing = ["plain words " * 100] * 4, "closing words " * 28
+    body = "".join(f"<p>{t}</p>" for t in long)
+    want = [t.strip() for t in (*long, closing)]
+    assert main_text(f"<div>{body}{advert}<p>{closing}</p></div>").split("\n\n") == want
+    assert main_text(f"<div>{body}{advert}<p>The end.</p></div><div><p>by us</p></div>").split("\n\n") == [*want[:-1], "The end."]
+
+
+def test_a_teaser_does_not_stand_for_the_page():
+    teaser, body = "<article><p>A card.</p></article>", "".join(f"<p>{'plain words ' * 60}</p>" for _ in range(5))
+    advert = '<div class="advert"><p>buy</p><p>now</p><p>here</p></div>'
+    text = main_text(f"{teaser}<div>{body}{advert}<p>Last.</p></div>{advert}<div><p>by us</p></div>")
+    assert text.count("plain words") == 300 and text.startswith("A card.") and text.endswith("Last.")
+
+
 def test_odd_pages():
     assert main_text(None) == main_text("") == main_text("<script>x") == main_text("<!-- open") == ""
     assert main_text("plain") == "plain"

@@ -2,7 +2,8 @@
 
 Markup is stripped into lines, one per block element. A line counts with its text length, or with zero if it is mostly
 links or belongs to a menu, notice, form and the like. Sums over sliding windows of lines give the distribution: text
-is kept from where it surges to where it dives to zero.
+is kept from where it surges to where it dives to zero, and so are other lines of the same container. Lines outside an
+article or main element weigh less if the page has one.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ from pyspark.sql import DataFrame
 
 from trialscope.llm.common import fields
 
-#: Lines of a window, its least text to be a surge where the page names no main part, and the least share of the
-#: largest region that another region needs to be kept with it.
-WINDOW, SURGE, SHARE = 3, 80, 0.2
+#: Lines of a window, its least weight to be a surge outside a main element, and the weight of a character there if
+#: the page has such an element.
+WINDOW, SURGE, OUTSIDE = 3, 80, 0.25
 
 #: Element and attribute names of HTML.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split())
@@ -27,6 +28,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math object select button canvas audio video".split())
 NOT_TEXT = frozenset("nav footer aside form menu dialog head search".split())
 MAIN = frozenset("article main".split())
+INNER = frozenset("p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd blockquote pre figure figcaption table caption thead tbody tfoot tr center address details summary".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 NAMES = frozenset("ad ads adv advert adverts advertisement adsense sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead footer comment comments commentlist disqus respond replies cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets pagination pager toolbar copyright disclaimer skip banner".split())
 
@@ -51,11 +53,13 @@ def _unwanted(tag: str, attributes: str, in_main: bool) -> bool:
     return False
 
 
-def page_lines(page: str) -> list[tuple[str, bool, bool, float]]:
-    """(text, unwanted, in a main element, share of link characters) of each block with text, in page order."""
-    out: list[tuple[str, bool, bool, float]] = []
+def page_lines(page: str) -> list[tuple[str, bool, bool, float, int]]:
+    """(text, unwanted, in a main element, share of link characters, number of its container) of each block with text,
+    in page order."""
+    out: list[tuple[str, bool, bool, float, int]] = []
     open_: list[tuple[str, bool, bool]] = []  # tag, unwanted, main
-    bad = main = links = 0
+    holders = [0]  # the container within each open element, and 0 for the page
+    bad = main = links = opened = 0
     parts: list[str] = []
     linked = [0]
 
@@ -63,7 +67,7 @@ def page_lines(page: str) -> list[tuple[str, bool, bool, float]]:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            out.append((text, bad > 0, main > 0, linked[0] / len(text)))
+            out.append((text, bad > 0, main > 0, linked[0] / len(text), holders[-1]))
         linked[0] = 0
 
     def add(text: str) -> None:
@@ -107,39 +111,52 @@ def page_lines(page: str) -> list[tuple[str, bool, bool, float]]:
                 if any(t == tag for t, _, _ in open_):
                     while True:
                         t, was_bad, was_main = open_.pop()
+                        holders.pop()
                         bad, main = bad - was_bad, main - was_main
                         if t == tag:
                             break
             elif tag not in VOID and not m[3].endswith("/"):
                 if tag == "p" and open_ and open_[-1][0] == "p" or tag == "li" and open_ and open_[-1][0] == "li":
                     t, was_bad, was_main = open_.pop()
+                    holders.pop()
                     bad, main = bad - was_bad, main - was_main
                 if tag not in BLOCKS:
                     flush()
                 entry = (tag, _unwanted(tag, m[3], main > 0), tag in MAIN)
                 open_.append(entry)
+                opened += 1
+                holders.append(holders[-1] if tag in INNER else opened)
                 bad, main = bad + entry[1], main + entry[2]
     flush()
     return out
 
 
+def _regions(weights: list[float], least: float) -> set[int]:
+    """The lines of all regions from a surge to a dive."""
+    out: set[int] = set()
+    blocks = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
+    i = 0
+    while i < len(weights):
+        if weights[i] and blocks[i] >= least:  # surge
+            while i < len(weights) and blocks[i] > 0:
+                out.add(i)
+                i += 1  # until the dive
+        i += 1
+    return {k for k in out if weights[k]}
+
+
 def main_text(page: str | None) -> str:
     """The article of a page. Null, empty and text-free pages give an empty string."""
     lines = page_lines(page or "")
-    named = any(in_main and not bad for _, bad, in_main, _ in lines)
-    weights = [0 if bad or named and not in_main or not named and share > 0.5 else len(text) for text, bad, in_main, share in lines]
-    regions: list[tuple[int, int, int]] = []
-    blocks = [sum(weights[i : i + WINDOW]) for i in range(len(lines))]
-    i, least = 0, SURGE if not named and max(blocks, default=0) >= SURGE else 1
-    while i < len(lines):
-        if weights[i] and blocks[i] >= least:  # surge
-            start = i
-            while i < len(lines) and blocks[i] > 0:
-                i += 1
-            regions.append((sum(weights[start:i]), start, i))  # dive
-        i += 1
-    floor = 0 if named else SHARE * max((r[0] for r in regions), default=0)
-    return "\n\n".join(lines[k][0] for total, a, b in regions if total >= floor for k in range(a, b) if weights[k])
+    named = any(in_main and not bad for _, bad, in_main, _, _ in lines)
+    inside = [len(text) if in_main and not bad else 0 for text, bad, in_main, _, _ in lines]
+    outside = [0 if bad or in_main or share > 0.5 else len(text) * (OUTSIDE if named else 1) for text, bad, in_main, share, _ in lines]
+    most = max((sum(outside[i : i + WINDOW]) for i in range(len(lines))), default=0)
+    kept = _regions(outside, SURGE if named or most >= SURGE else 1)
+    holders = {lines[k][4] for k in kept}
+    kept |= {k for k, line in enumerate(lines) if outside[k] and line[4] in holders}
+    kept |= _regions(inside, 1)
+    return "\n\n".join(lines[k][0] for k in sorted(kept))
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
