@@ -9,6 +9,7 @@ put together again by position. Decoding joins ids with the token-byte table, wh
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialscope.llm.common import bucketed, fields, packed_words, planes, text_of, unplanes, words_of
+from trialscope.llm.common import bucketed, fields, frugal, frugal_group, give_back, packed_words, planes, text_of, unplanes, words_of
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Unicode's White_Space, which Java's \s leaves out in part.
@@ -50,14 +51,20 @@ def read_ranks(path: str = RANKS) -> dict[bytes, int]:
     return ranks
 
 
-_ENCODERS: dict[int, tiktoken.Encoding] = {}
+_ENCODER: dict[str, tiktoken.Encoding] = {}
 
 
-def encoder(ranks: dict[bytes, int]) -> Callable[[str], list[int]]:
-    """One encoder a Python worker."""
-    if len(ranks) not in _ENCODERS:
-        _ENCODERS[len(ranks)] = tiktoken.Encoding(f"ranks{len(ranks)}", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[len(ranks)].encode_ordinary
+def named(ranks: dict[bytes, int]) -> tuple[str, dict[bytes, int]]:
+    """Ranks and their digest, by which workers know them."""
+    return hashlib.sha256(b"".join(b"%d %d " % (i, len(t)) + t for t, i in ranks.items())).hexdigest(), ranks
+
+
+def encoder(digest: str, ranks: dict[bytes, int]) -> Callable[[str], list[int]]:
+    """The encoder of these ranks; a Python worker keeps the last one."""
+    if digest not in _ENCODER:
+        _ENCODER.clear()
+        _ENCODER[digest] = tiktoken.Encoding(f"ranks-{digest}", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODER[digest].encode_ordinary
 
 
 def word_codes(tokens: pa.ListArray) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -92,6 +99,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _chunks(parts: int) -> Callable:
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, batch in enumerate(_pieces(batches)):
             words, codes, sizes = word_codes(batch.column("tokens"))
@@ -113,8 +121,9 @@ def _chunks(parts: int) -> Callable:
 
 
 def _encode_words(ranks) -> Callable[[pa.Table], pa.Table]:
+    @frugal_group
     def run(table: pa.Table) -> pa.Table:
-        encode = encoder(ranks.value)
+        encode = encoder(*ranks.value)
         ids: dict[str, list[int]] = {}  # each distinct word once
         out_ids, out_lengths = [], []
         for blob in table.column("words"):
@@ -144,6 +153,7 @@ def _reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
     ids, ends = spread(place[codes] if len(codes) else codes.astype(np.int64), sizes, starts, lengths, values)
     doc_ids = left.column("doc_ids").combine_chunks()
     doc_ids = (doc_ids.chunk(0) if isinstance(doc_ids, pa.ChunkedArray) else doc_ids).flatten()
+    give_back()
     return pa.table({"doc_id": doc_ids, "ids": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32)))})
 
 
@@ -152,7 +162,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     each; an empty table gives no rows. Special tokens' strings are ordinary text."""
     spark = docs.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
+    ranks = spark.sparkContext.broadcast(named(read_ranks(ranks_path)))
     own = fields(docs, doc_id=id_col, text=text_col).select("doc_id", pretokens(text_of()).alias("tokens"))
     kind = own.schema["doc_id"].dataType.simpleString()
     chunks = bucketed(own.mapInArrow(_chunks(parts), f"chunk long, doc_ids array<{kind}>, sizes binary, codes binary, parts binary, words array<binary>"), "chunks", "chunk")
@@ -163,6 +173,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
 
 
 def _decode_batches(table) -> Callable:
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_id = sorted(table.value.items(), key=lambda x: x[1])
         lengths = np.zeros(by_id[-1][1] + 1, np.int64)

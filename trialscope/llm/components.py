@@ -10,13 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialscope.llm.common import written
+from trialscope.llm.common import frugal, written
 
 
 #: Edges (16 bytes each) that one task may join; beyond them the stars do, in a few shuffles a turn.
 FEW_EDGES = 500_000
 
 
+@frugal
 def _join_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Least labels along edges, then to the labels' own labels, until nothing changes."""
     got = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches if b.num_rows]

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialscope.llm.common import fields, planes, slices, small, unplanes, written
+from trialscope.llm.common import fields, frugal, frugal_group, planes, slices, small, unplanes, written
 from trialscope.llm.components import components
 
 SHINGLE = 5
@@ -126,6 +126,7 @@ def signatures(shingles: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
                 break
 
 
+@frugal
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         rows = [(len(s), int(mixed(s).sum()) - (1 << 63), int(mixed(s ^ _MIX2).sum()) - (1 << 63)) for s in shingle_sets(batch.column("text"))]
@@ -137,6 +138,7 @@ _SIGNED = "part int, sigs binary, docs binary, splits binary, slacks binary"
 
 
 def _sign(parts: int) -> Callable:
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sigs, docs = [], []
@@ -163,6 +165,7 @@ def _sign(parts: int) -> Callable:
 _MET = "a long, b long, split int, slack_a int, slack_b int, shared int"
 
 
+@frugal_group
 def _meet(table: pa.Table) -> pa.Table:
     """Rows of a part: pairs in its small buckets with the signatures they share here, and for each member of hot ones
     (b null) the number of these."""
@@ -198,11 +201,13 @@ def _counted(rows: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order[new], np.diff(np.append(new, len(order)))
 
 
+@frugal
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(batch.column("text"))], pa.binary())], ["doc", "shingles"])
 
 
+@frugal
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "left"):
         keep = []
@@ -268,6 +273,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
+@frugal
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "shingles"):
         sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")]

@@ -20,13 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialscope.llm.bpe import encoder, pretokens, spread, word_codes
-from trialscope.llm.common import fields, slices, text_of, written
+from trialscope.llm.bpe import encoder, named, pretokens, spread, word_codes
+from trialscope.llm.common import fields, frugal, frugal_group, slices, text_of, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WINDOW, END, OPEN, SLACK, MERGE = 2048, 1, 64, 16, 64
-#: Words whose ids a Python worker remembers.
-CACHE = 400_000
+#: Words whose ids a task remembers.
+CACHE = 200_000
 #: Pre-tokens that a worker takes at once, about.
 BLOCK = 500_000
 
@@ -81,28 +81,27 @@ class Windows:
                 done.append(self.inside.pop(key))
 
 
-_SEEN: dict[str, list[int]] = {}
-
-
-def _ids_of(words: list[str], encode: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if len(_SEEN) > CACHE:
-        _SEEN.clear()
+def _ids_of(words: list[str], encode: Callable, seen: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if len(seen) > CACHE:
+        seen.clear()
     ids = []
     for w in words:
-        x = _SEEN.get(w)
+        x = seen.get(w)
         if x is None:
-            x = _SEEN[w] = encode(w)
+            x = seen[w] = encode(w)
         ids.append(x)
     lengths = np.fromiter(map(len, ids), np.int64, len(ids))
     return np.cumsum(lengths) - lengths, lengths, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
 
 
 def _pack_batches(ranks, window: int, end: int) -> Callable:
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, windows, task, n = encoder(ranks.value), Windows(window, OPEN, SLACK), TaskContext.get().partitionId(), 0
+        encode, windows, task, n = encoder(*ranks.value), Windows(window, OPEN, SLACK), TaskContext.get().partitionId(), 0
+        seen: dict[str, list[int]] = {}
         for batch in slices(batches, "tokens", BLOCK):
             words, codes, sizes = word_codes(batch.column("tokens"))
-            ids, ends = spread(codes, sizes, *_ids_of(words, encode))
+            ids, ends = spread(codes, sizes, *_ids_of(words, encode, seen))
             done: list[list] = []
             for doc, a, b in zip(batch.column("doc_id").to_pylist(), np.concatenate([[0], ends[:-1]]) if len(ends) else [], ends, strict=True):
                 own = np.append(ids[a:b], np.uint32(end)).astype("<u4")
@@ -129,6 +128,7 @@ def _rows(done: list[list], task: int, first: int, closed: bool) -> pa.RecordBat
 
 
 def _merge(window: int) -> Callable:
+    @frugal_group
     def run(table: pa.Table) -> pa.Table:
         """Leftover windows of up to MERGE partitions, each put whole into another where it fits."""
         table = table.sort_by("sequence_id")
@@ -150,7 +150,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     A document's tokens are its ids and then `end`; a null or empty text has only that one. Repeated rows are packed
     each, null ids stay null, an empty table gives no rows.
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    ranks = docs.sparkSession.sparkContext.broadcast(named(read_vocabulary(vocabulary)))
     own = fields(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), pretokens(text_of()).alias("tokens"))
     piece = "array<struct<doc_id: long, start: long, length: long, ids_crc32: long, doc_tokens: long, offset: long>>"
     made = written(own.mapInArrow(_pack_batches(ranks, window, end), f"sequence_id long, closed boolean, merge long, pieces {piece}"), "windows")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialscope.llm.common import fields, small, written
+from trialscope.llm.common import fields, frugal, slices, small, written
 
 MIN_WORDS = 20
 WINDOW = 8
@@ -44,8 +44,9 @@ def counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - blank, len(_SYMBOLS.findall(text)), len(lines) - len(set(lines)), repeated
 
 
+@frugal
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = [counts(x.as_py() or "") for x in batch.column("text")]
         columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), *columns], ["doc_id", "host", *_COUNTS])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialscope.llm.common import fields, planes, text_of, unplanes, written
+from trialscope.llm.common import fields, frugal, frugal_group, planes, slices, text_of, unplanes, written
 from trialscope.llm.jaccard import mixed
 
 WIDTH, GRAM = 200, 100
@@ -121,6 +121,7 @@ _DEALT = "part int, " + ", ".join(f"{c} binary" for c in _COLUMNS)
 def _deal(parts: int, block: int | None = None):
     block = block or BLOCK  # as it is on the driver
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, texts, found = batch.column("row").to_numpy(), _raw(batch.column("text")), []
@@ -155,6 +156,7 @@ def _deal(parts: int, block: int | None = None):
 _FOUND = "row long, start int, end int, at int, left int, more int, gram long"
 
 
+@frugal_group
 def _settle(table: pa.Table) -> pa.Table:
     """Covered ranges (at is null), and contexts that are wanted for anchors with unlike segments."""
     a = {c: np.concatenate([np.empty(0, t), *(unplanes(x, t) for x in table.column(c).to_pylist())]) for c, t in _COLUMNS.items()}
@@ -184,6 +186,7 @@ _CONTEXT = {"gram": np.uint64, "row": np.int64, "at": np.int32, "left": np.uint8
 
 
 def _contexts(parts: int):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {c: [] for c in _CONTEXT}
@@ -263,6 +266,7 @@ def range_min(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+@frugal_group
 def _compare(table: pa.Table) -> pa.Table:
     a = {c: np.concatenate([np.empty(0, t), *(unplanes(x, t) for x in table.column(c).to_pylist())]) for c, t in _CONTEXT.items()}
     body = np.concatenate([unplanes(x, np.uint8) for x in table.column("body").to_pylist()]).reshape(-1, _SIZE)
@@ -306,6 +310,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     return written(ranges.select("row", joined.alias("ranges")), "ranges")
 
 
+@frugal
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept, removed, spans, sizes = [], [], [], []
