@@ -1,6 +1,103 @@
+import random
+import time
+from html.parser import HTMLParser
+from pathlib import Path
+
+import pyarrow.parquet as pq
+import pytest
+
 from trialscope.llm.html import extract, main_text
 
 
+class Tree(HTMLParser):
+    """An independent reading of well-formed pages by the standard library's parser: the blocks of the article, without
+    elements that are never text or have an unwanted class."""
+
+    BLOCKS = {"html", "head", "body", "div", "nav", "ul", "li", "p", "h1", "h2", "article", "main", "footer", "section", "aside", "table", "tr", "blockquote"}
+    GONE = {"script", "style", "title", "nav", "footer", "aside", "form"}
+    VOID = {"meta", "br", "img", "hr", "link"}
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.blocks, self.now = [], [], ""
+        self.feed(page)
+        self.close()
+        self.flush()
+
+    def flush(self):
+        if x := " ".join(self.now.split()):
+            self.blocks.append(x)
+        self.now = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BLOCKS:
+            self.flush()
+        if tag == "br":
+            self.now += " " if self.live() else ""
+        if tag not in self.VOID:
+            self.stack.append((tag, tag in self.GONE or dict(attrs).get("class") in ("ad", "comments", "cookie-notice")))
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS:
+            self.flush()
+        while self.stack and self.stack.pop()[0] != tag:
+            pass
+
+    def live(self):
+        return any(t in ("article", "main") for t, _ in self.stack) and not any(gone for _, gone in self.stack)
+
+    def handle_data(self, data):
+        if self.live():
+            self.now += data
+
+
+def made_page(rng):
+    words = lambda n: " ".join(rng.choice(["plain", "words", "&amp;", "caf&eacute;", "<b>bold</b>", "<a href='/x'>link</a>", "a<br>b", "&#x41;", "12 &lt; 13"]) for _ in range(n))
+    block = lambda: rng.choice(["<p>{}</p>", "<h2>{}</h2>", "<ul><li>{}</li></ul>", "<blockquote>{}</blockquote>", "<div>{}</div>", "<section class='has-menu'><p>{}</p></section>"]).format(words(rng.randrange(0, 30)))
+    junk = lambda: rng.choice(["<div class='ad'>{}</div>", "<aside>{}</aside>", "<div class='comments'><p>{}</p></div>", "<form>{}</form>", "<script>var x='{}</p>';</script>", "<!-- {} -->", "<div class='cookie-notice'><p>{}</p></div>"]).format("buy this " * rng.randrange(30))
+    inner = "".join(rng.choice([block, block, junk])() for _ in range(rng.randrange(1, 12)))
+    wrap = rng.choice(["{}", "<div class='content has-sidebar'>{}</div>", "<div class='layout with-widgets'>{}</div>", "<div class='post no-comments'>{}</div>", "<div id='page'>{}</div>"])
+    main = rng.choice(["<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>"]).format(inner)
+    return f"<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style></head><body><nav><ul><li>menu</li></ul></nav>{junk()}{wrap.format(main)}{junk()}<footer>foot</footer></body></html>"
+
+
+def test_against_another_parser():
+    rng = random.Random(3)
+    for _ in range(600):
+        page = made_page(rng)
+        assert main_text(page).split("\n\n") == (Tree(page).blocks or [""]), page
+
+
+def test_given_pages_against_another_parser():
+    path = Path("/root/testdata/sf0.001/pages.parquet")
+    if not path.exists():
+        pytest.skip("no tables here")
+    for page in pq.read_table(path).column("html").to_pylist():
+        assert main_text(page) == "\n\n".join(Tree(page or "").blocks)
+
+
+@pytest.mark.parametrize("wrapper", ["content has-sidebar", "post no-comments", "layout with-widgets", "no-menu", "page sidebar", "menu-open", "widget"])
+def test_wrappers_of_the_article(wrapper):
+    body = "<article><p>" + "plain words " * 40 + "</p></article>"
+    talk = "<div class='comments'><article><p>" + "said so " * 400 + "</p></article></div>"
+    want = ("plain words " * 40).strip()
+    assert main_text(f"<body><div class='{wrapper}'>{body}{talk}</div></body>") == want
+    assert main_text(f"<body><div id='{wrapper}'><main>{body}</main></div>{talk}</body>") == want
+
+
+def test_related_cards_stay_out():
+    cards = "<div class='related'>" + "<article><h3>Card</h3><p>teaser</p></article>" * 9 + "</div>"
+    assert main_text(f"<article><p>own text</p></article>{cards}") == "own text"
+
+
+def test_long_pages_take_time_in_proportion():
+    pages = ["<div>" * 40_000 + "</p>" * 40_000 + "<p>end</p>" + "</div>" * 40_000, "<div class='widget'>" * 40_000 + "x", "<p><b><i>x" * 80_000, "<a '\">" * 120_000 + "x", "<a x=\"" * 120_000, "<p>" + "&amp; " * 200_000, "<" * 1_000_000]
+    for page in pages:
+        began = time.process_time()
+        main_text(page)
+        assert time.process_time() - began < 6 * max(1, len(page) / 1e6), page[:30]
+
+
 def test_article_of_a_whole_page():
     page = '<html><head><title>no</title><script>var t="</p>";</script></head><body><nav><a href=/>menu</a></nav><div class="ad">buy</div><article><h1>A &amp; B</h1><p><b>one\n  two<br>three<p>four</p></article><footer>&copy;</footer></body></html>'
     assert main_text(page) == "A & B\n\none two three\n\nfour"

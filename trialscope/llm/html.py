@@ -9,13 +9,15 @@ article or main element weigh less if the page has one.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from trialscope.llm.common import fields
+from trialscope.llm.common import fields, frugal, slices
 
 #: Lines of a window, its least weight to be a surge outside a main element, and the weight of a character there if
 #: the page has such an element.
@@ -30,105 +32,189 @@ NOT_TEXT = frozenset("nav footer aside form menu dialog head search".split())
 MAIN = frozenset("article main".split())
 INNER = frozenset("p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd blockquote pre figure figcaption table caption thead tbody tfoot tr center address details summary".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-NAMES = frozenset("ad ads adv advert adverts advertisement adsense sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead footer comment comments commentlist disqus respond replies cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets pagination pager toolbar copyright disclaimer skip banner".split())
+NAMES = frozenset("ad ads adv advert adverts advertisement adsense sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets pagination pager toolbar copyright disclaimer skip banner".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^"'>]+|"[^"]*"|'[^']*')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)""", re.S)
+#: First parts of a class that say what is not there or only that a page has it, and names of talk.
+NEGATIONS = frozenset("has have no not with without hide is".split())
+TALK = frozenset("comment comments commentlist disqus respond replies".split())
+
+# a quote opens a value only after an equals sign
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]+|=\s*(?:"[^"]*"|'[^']*')|=)*+)>|</?[a-zA-Z][^>]*(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PART = re.compile(r"[^a-z0-9]+")
 
+CLEAN, SOFT, TALKING, HARD = range(4)
+
+
+class Line(NamedTuple):
+    """A block with text: hard if an element or role around it is never text; the numbers of the elements around it
+    whose class or id is unwanted; whether it lies in a main element; the share of link characters; the number of its
+    container; and of its outermost article, 0 if none."""
+
+    text: str
+    hard: bool
+    softs: tuple[int, ...]
+    main: bool
+    share: float
+    holder: int
+    article: int
+
+
+def _named(words: str, in_main: bool, tag: str) -> int:
+    """Whether a class or id is one of NAMES: whole, or as the first or last part of a hyphenated one."""
+    out = CLEAN
+    for word in words.split():
+        parts = [p for p in _PART.split(word) if p]
+        if not parts or len(parts) > 1 and parts[0] in NEGATIONS:
+            continue
+        ends = {word, parts[0], parts[-1]}
+        if ends & TALK:
+            return TALKING
+        if ends & NAMES or "header" in ends and not in_main and tag not in ("h1", "h2", "h3"):
+            out = SOFT
+    return out
+
 
-def _unwanted(tag: str, attributes: str, in_main: bool) -> bool:
+def _unwanted(tag: str, attributes: str, in_main: bool) -> int:
     if tag in NOT_TEXT or tag == "header" and not in_main:
-        return True
-    if not attributes or tag in MAIN or tag in ("html", "body"):
-        return False
+        return HARD
+    if not attributes or tag in ("html", "body"):
+        return CLEAN
+    out = CLEAN
     for name, value in _ATTR.findall(attributes):
         name, value = name.lower(), unescape(value.strip("\"'")).lower()
-        if name in ("class", "id"):
-            words = set(_PART.split(value))
-            if words & NAMES or "header" in words and not in_main and tag not in ("h1", "h2", "h3"):
-                return True
-        elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-    return False
-
-
-def page_lines(page: str) -> list[tuple[str, bool, bool, float, int]]:
-    """(text, unwanted, in a main element, share of link characters, number of its container) of each block with text,
-    in page order."""
-    out: list[tuple[str, bool, bool, float, int]] = []
-    open_: list[tuple[str, bool, bool]] = []  # tag, unwanted, main
-    holders = [0]  # the container within each open element, and 0 for the page
-    bad = main = links = opened = 0
-    parts: list[str] = []
-    linked = [0]
-
-    def flush() -> None:
-        text = " ".join("".join(parts).split())
-        parts.clear()
-        if text:
-            out.append((text, bad > 0, main > 0, linked[0] / len(text), holders[-1]))
-        linked[0] = 0
-
-    def add(text: str) -> None:
-        if text:
-            parts.append(text := unescape(text))
-            if links:
-                linked[0] += len(text.strip())
-
-    at, size = 0, len(page)
-    lower = None
-    while at < size:
-        m = _TAG.search(page, at)
-        if not m:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            continue
-        tag, closing = m[2].lower(), bool(m[1])
-        if tag in RAW and not closing:
-            if m[3].endswith("/") and tag in ("svg", "math"):
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES and tag not in MAIN:
+            return HARD
+        if name in ("class", "id") and tag not in MAIN:
+            out = max(out, _named(value, in_main, tag))
+    return out
+
+
+class _Open(NamedTuple):
+    tag: str
+    hard: bool
+    soft: int
+    main: bool
+    article: bool
+
+
+class Page:
+    """A page's lines, in page order, and what is known of its softly unwanted elements."""
+
+    def __init__(self, page: str):
+        self.lines: list[Line] = []
+        self.talk: set[int] = set()  # softs that are comments and the like
+        self.around: dict[int, tuple[int, ...]] = {}  # softs around each outermost article
+        self.lifted: set[int] = set()  # softs around a main element: wrappers, not boxes
+        self._read(page)
+
+    def _read(self, page: str) -> None:
+        open_: list[_Open] = []
+        count: Counter[str] = Counter()  # of open elements by tag
+        holders = [0]  # the container within each open element, and 0 for the page
+        softs: tuple[int, ...] = ()
+        hard = main = links = opened = articles = article = linked = 0
+        parts: list[str] = []
+
+        def flush() -> None:
+            nonlocal linked
+            text = " ".join("".join(parts).split())
+            parts.clear()
+            if text:
+                self.lines.append(Line(text, hard > 0, softs, main > 0, linked / len(text), holders[-1], article if articles else 0))
+            linked = 0
+
+        def add(text: str) -> None:
+            nonlocal linked
+            if text:
+                parts.append(text := unescape(text))
+                if links:
+                    linked += len(text.strip())
+
+        def close() -> str:
+            nonlocal hard, main, softs, articles
+            e = open_.pop()
+            holders.pop()
+            count[e.tag] -= 1
+            hard, main, articles = hard - e.hard, main - e.main, articles - e.article
+            if e.soft:
+                softs = softs[:-1]
+            return e.tag
+
+        at, size, lower = 0, len(page), None
+        while at < size:
+            m = _TAG.search(page, at)
+            if not m:
+                add(page[at:])
+                break
+            add(page[at : m.start()])
+            at = m.end()
+            if not m[2]:
+                continue
+            tag, closing = m[2].lower(), bool(m[1])
+            if tag in RAW and not closing:
+                if m[3].endswith("/") and tag in ("svg", "math"):
+                    continue
+                lower = lower or page.lower()
+                end = lower.find(f"</{tag}", at) if len(lower) == size else page.find(f"</{tag}", at)
+                at = size if end < 0 else end
+                if tag in BLOCKS:
+                    flush()
+                continue
+            if tag == "a":
+                links = max(0, links - 1) if closing else links + 1
+                continue
+            if tag in SPACED:
+                parts.append(" ")
+                continue
+            what = CLEAN if closing or tag in VOID else _unwanted(tag, m[3], main > 0)
+            if tag not in BLOCKS and not what and not (closing and any(e.tag == tag for e in open_[-3:])):
                 continue
-            lower = lower or page.lower()
-            end = lower.find(f"</{tag}", at) if len(lower) == size else page.find(f"</{tag}", at)
-            at = size if end < 0 else end
-            if tag in BLOCKS:
-                flush()
-            continue
-        if tag == "a":
-            links = max(0, links - 1) if closing else links + 1
-        elif tag in SPACED:
-            parts.append(" ")
-        elif tag in BLOCKS or not closing and tag not in VOID and _unwanted(tag, m[3], main > 0) or closing and any(t == tag for t, _, _ in open_[-3:]):
             if tag in BLOCKS:
                 flush()
                 links = 0
             else:
                 parts.append(" ")
             if closing:
-                if any(t == tag for t, _, _ in open_):
-                    while True:
-                        t, was_bad, was_main = open_.pop()
-                        holders.pop()
-                        bad, main = bad - was_bad, main - was_main
-                        if t == tag:
-                            break
+                if count[tag]:
+                    while close() != tag:
+                        pass
             elif tag not in VOID and not m[3].endswith("/"):
-                if tag == "p" and open_ and open_[-1][0] == "p" or tag == "li" and open_ and open_[-1][0] == "li":
-                    t, was_bad, was_main = open_.pop()
-                    holders.pop()
-                    bad, main = bad - was_bad, main - was_main
+                if tag in ("p", "li") and open_ and open_[-1].tag == tag:
+                    close()
                 if tag not in BLOCKS:
                     flush()
-                entry = (tag, _unwanted(tag, m[3], main > 0), tag in MAIN)
-                open_.append(entry)
                 opened += 1
+                soft = opened if what in (SOFT, TALKING) else 0
+                e = _Open(tag, what == HARD, soft, tag in MAIN, tag == "article")
+                open_.append(e)
+                count[tag] += 1
                 holders.append(holders[-1] if tag in INNER else opened)
-                bad, main = bad + entry[1], main + entry[2]
-    flush()
-    return out
+                if soft:
+                    softs = (*softs, soft)
+                    if what == TALKING:
+                        self.talk.add(soft)
+                if e.article and not articles:
+                    article = opened
+                    self.around[opened] = softs
+                hard, main, articles = hard + e.hard, main + e.main, articles + e.article
+                if tag == "main" and not hard:
+                    self.lifted.update(softs)
+        flush()
+
+    def wanted(self) -> list[bool]:
+        """Which lines are neither hard nor in an unwanted element. An element around a main element is a wrapper; so
+        are those around the longest article, comments apart, if the page has no other main element."""
+        keep = lambda x: not x.hard and self.lifted.issuperset(x.softs)
+        if not any(x.main and keep(x) for x in self.lines):
+            size: Counter[int] = Counter()
+            for x in self.lines:
+                if x.article and not x.hard and self.talk.isdisjoint(x.softs) and x.softs == self.around[x.article]:
+                    size[x.article] += len(x.text)
+            if size:
+                best = max(size, key=lambda k: (size[k], -k))
+                self.lifted.update(self.around[best])
+        return [keep(x) for x in self.lines]
 
 
 def _regions(weights: list[float], least: float) -> set[int]:
@@ -147,27 +233,30 @@ def _regions(weights: list[float], least: float) -> set[int]:
 
 def main_text(page: str | None) -> str:
     """The article of a page. Null, empty and text-free pages give an empty string."""
-    lines = page_lines(page or "")
-    named = any(in_main and not bad for _, bad, in_main, _, _ in lines)
-    inside = [len(text) if in_main and not bad else 0 for text, bad, in_main, _, _ in lines]
-    outside = [0 if bad or in_main or share > 0.5 else len(text) * (OUTSIDE if named else 1) for text, bad, in_main, share, _ in lines]
+    read = Page(page or "")
+    lines, wanted = read.lines, read.wanted()
+    named = any(x.main and w for x, w in zip(lines, wanted, strict=True))
+    inside = [len(x.text) if x.main and w else 0 for x, w in zip(lines, wanted, strict=True)]
+    outside = [0 if not w or x.main or x.share > 0.5 else len(x.text) * (OUTSIDE if named else 1) for x, w in zip(lines, wanted, strict=True)]
     most = max((sum(outside[i : i + WINDOW]) for i in range(len(lines))), default=0)
     kept = _regions(outside, SURGE if named or most >= SURGE else 1)
-    holders = {lines[k][4] for k in kept}
-    kept |= {k for k, line in enumerate(lines) if outside[k] and line[4] in holders}
+    holders = {lines[k].holder for k in kept}
+    kept |= {k for k, line in enumerate(lines) if outside[k] and line.holder in holders}
     kept |= _regions(inside, 1)
-    return "\n\n".join(lines[k][0] for k in sorted(kept))
+    return "\n\n".join(lines[k].text for k in sorted(kept))
 
 
+@frugal
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, "html"):
         texts = [main_text(x.as_py()) for x in batch.column("html")]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars. No shuffle; repeated rows and null ids stay as they are,
-    a null or empty page gives an empty text, an empty table no rows."""
+    a null or empty page gives an empty text, an empty table no rows; other columns aren't read. A page is read in time
+    proportional to its length, whole."""
     own = fields(pages, page_id=id_col, url=url_col, html=html_col)
     kinds = dict(own.dtypes)
     return own.mapInArrow(_batches, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
