@@ -1,10 +1,16 @@
 import datetime as dt
+import hashlib
+import random
 import re
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from trialscope.llm import pii, toxicity
 
+KEY = "a key for tests"
+
 
 def luhn(s):
     d = [int(c) for c in s if c.isdigit()]
@@ -13,7 +19,7 @@ def luhn(s):
 
 def changed(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return [r.text for r in pii.pseudonymise(df).orderBy("doc_id").collect()]
+    return [r.text for r in pii.pseudonymise(df, KEY).orderBy("doc_id").collect()]
 
 
 def test_formats_stay_and_values_go(spark):
@@ -23,7 +29,7 @@ def test_formats_stay_and_values_go(spark):
         assert before != after and len(before) == len(after) or "ip" in before
     assert luhn(out[0]) and re.fullmatch(r"pay \d{4} \d{4} \d{4} \d{4} now", out[0])
     a, b, c = re.fullmatch(r"born (\S+), (\S+), (\S+)", out[1]).groups()
-    assert dt.date.fromisoformat(a) == dt.datetime.strptime(b, "%d.%m.%Y").date() and dt.datetime.strptime(c, "%d/%m/%Y")
+    assert dt.date.fromisoformat(a) == dt.datetime.strptime(b, "%d.%m.%Y").date() and dt.datetime.strptime(c, "%m/%d/%Y")
     assert int("".join(str(int(x, 36)) for x in out[2][4:] + out[2][:4])) % 97 == 1
     assert all(int(x) < 256 for x in out[3][3:].split("."))
     assert re.fullmatch(r"ssn (?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", out[4])
@@ -56,6 +62,138 @@ def test_equal_values_stay_linked_and_others_apart(spark):
     assert out[-1] == f"again {out[7]} here" and len(set(out[:-1])) == 300 and all(luhn(x) for x in out[:-1])
 
 
+class Plain:
+    """The same network in plain Python, for values that are known to be valid."""
+
+    def __init__(self, key):
+        self.key = hashlib.sha256(key.encode()).hexdigest()
+
+    def noise(self, kind, i, other):
+        return hashlib.sha256(f"{self.key}{kind}|{i}|{other}".encode()).hexdigest()
+
+    def shifted(self, half, noise):
+        out = []
+        for i, c in enumerate(half):
+            by = int(noise[2 * (i % 32) : 2 * (i % 32) + 2], 16)
+            for base, n in (("0", 10), ("a", 26), ("A", 26)):
+                if ord(base) <= ord(c) < ord(base) + n:
+                    c = chr(ord(base) + (ord(c) - ord(base) + by) % n)
+                    break
+            out.append(c)
+        return "".join(out)
+
+    def text(self, value, kind):
+        left, right = value[: len(value) // 2], value[len(value) // 2 :]
+        for i in range(pii.TURNS):
+            if i % 2:
+                right = self.shifted(right, self.noise(kind, i, left))
+            else:
+                left = self.shifted(left, self.noise(kind, i, right))
+        return left + right
+
+    def pair(self, left, right, kind, a, b):
+        for i in range(pii.TURNS):
+            if i % 2:
+                right = (right + int(self.noise(kind, i, left)[:12], 16)) % b
+            else:
+                left = (left + int(self.noise(kind, i, right)[:12], 16)) % a
+        return left, right
+
+    def card(self, v):
+        head = v[0] + self.text(v[1:-1], "card")
+        return head + next(str(d) for d in range(10) if luhn(head + str(d)))
+
+    def ssn(self, v):
+        while True:
+            v = self.text(v, "ssn")
+            if re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}", v):
+                return v
+
+    def ip(self, v):
+        o = list(map(int, v.split(".")))
+        x, y = self.pair(o[0] * 256 + o[1], o[2] * 256 + o[3], "ip", 65536, 65536)
+        return f"{x // 256}.{x % 256}.{y // 256}.{y % 256}"
+
+    def date(self, y, m, d, day_wide, month_wide, order, sep):
+        days, months = 31 if day_wide else 9, 12 if month_wide else 9
+        left, right = d - 1, (y - 1900) * months + m - 1
+        while True:
+            left, right = self.pair(left, right, "date", days, months * 200)
+            d, m, y = left + 1, right % months + 1, right // months + 1900
+            try:
+                dt.date(y, m, d)
+            except ValueError:
+                continue
+            part = {"y": str(y), "m": f"{m:02d}" if month_wide else str(m), "d": f"{d:02d}" if day_wide else str(d)}
+            return sep.join(part[x] for x in order)
+
+    def email(self, v):
+        name, host = v.split("@")
+        return f"{self.text(name, 'email')}@{host}"
+
+
+def test_against_a_plain_network_with_neighbours(spark):
+    rng, plain = random.Random(11), Plain(KEY)
+
+    def value():
+        kind = rng.choice(["card", "ssn", "ip", "iso", "dotted", "narrow", "us", "email"])
+        y, m, d = rng.randrange(1900, 2100), rng.randrange(1, 13), rng.randrange(1, 29)
+        if kind == "card":
+            head = f"{rng.randrange(2, 7)}{rng.randrange(10**14):014d}"
+            digits = head + next(str(c) for c in range(10) if luhn(head + str(c)))
+            v = rng.choice(["", " ", "-"]).join(digits[i : i + 4] for i in (0, 4, 8, 12))
+            return v, plain.card(v)
+        if kind == "ssn":
+            v = f"{rng.randrange(100, 600)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}"
+            return v, plain.ssn(v)
+        if kind == "ip":
+            v = ".".join(str(rng.randrange(256)) for _ in range(4))
+            return v, plain.ip(v)
+        if kind == "email":
+            v = f"ann{rng.randrange(1000)}@mail.example.org"
+            return v, plain.email(v)
+        if kind == "iso":
+            return f"{y}-{m:02d}-{d:02d}", plain.date(y, m, d, True, True, "ymd", "-")
+        if kind == "dotted":
+            return f"{d:02d}.{m:02d}.{y}", plain.date(y, m, d, True, True, "dmy", ".")
+        if kind == "us":
+            d = rng.randrange(13, 29)
+            return f"{m:02d}/{d:02d}/{y}", plain.date(y, m, d, True, True, "mdy", "/")
+        d, m = rng.randrange(1, 10), rng.randrange(1, 10)
+        return f"{d}.{m}.{y}", plain.date(y, m, d, False, False, "dmy", ".")
+
+    texts, want = [], []
+    for _ in range(400):
+        before, after = [], []
+        for _ in range(rng.randrange(1, 5)):
+            a, b = value()
+            word = rng.choice(["and", "see", "the note,", "for", "(x)"])
+            before += [word, a]
+            after += [word, b]
+        texts.append(" ".join(before) + ".")
+        want.append(" ".join(after) + ".")
+    got = changed(spark, texts)
+    assert [(t, w, g) for t, w, g in zip(texts, want, got, strict=True) if w != g] == []
+    # pseudonyms are values of the same formats: a second pass finds each one again
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    once = pii.pseudonymise(df, KEY, count_col="n")
+    again = pii.pseudonymise(once.withColumnRenamed("n", "n1"), KEY, count_col="n")
+    assert again.filter("n <> n1").count() == 0
+
+
+def test_a_key_is_required(spark, messy):
+    with pytest.raises(ValueError):
+        pii.pseudonymise(messy, "")
+    assert pii.key_of(spark) == pii.key_of(spark) != ""
+
+
+def test_clashing_columns_and_long_texts(spark):
+    df = spark.createDataFrame([("x " * 200_000 + "123-45-6789", "a", "b", 5)], "text string, _found string, _pattern string, n long")
+    out = pii.pseudonymise(df, KEY)
+    row = out.first()
+    assert out.columns == df.columns and (row._found, row._pattern, row.n) == ("a", "b", 5) and not row.text.endswith("123-45-6789") and len(row.text) == 400_011
+
+
 def test_numbers_are_permuted(spark):
     rows = spark.range(97).select(pii.permuted_number(F.floor(F.col("id") / 10), F.pmod("id", F.lit(10)), F.lit("k"), "x", 10, 10).alias("s"), "id")
     got = {(r.s.l, r.s.r) for r in rows.collect()}
@@ -67,9 +205,9 @@ def test_numbers_are_permuted(spark):
 
 
 def test_messy_rows(messy, none):
-    out = pii.pseudonymise(messy)
-    assert out.columns == messy.columns and out.count() == 11 and pii.pseudonymise(none).count() == 0
-    assert {r.n_values for r in pii.report(messy).collect()} == {0}
+    out = pii.pseudonymise(messy, KEY)
+    assert out.columns == messy.columns and out.count() == 11 and pii.pseudonymise(none, KEY).count() == 0
+    assert {r.n_values for r in pii.report(messy, KEY).collect()} == {0}
 
 
 def test_grammar():

@@ -15,10 +15,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a side that may be broadcast; beyond it the same join shuffles.
-BROADCAST_ROWS = 1_000_000
-#: Bytes of a packed side that may be broadcast.
-BROADCAST_BYTES = 48 << 20
+#: Bytes of a side that may be broadcast, as _bytes reckons them; beyond it the same join shuffles.
+BROADCAST_BYTES = 32 << 20
 #: Bytes of text that a Python worker takes at once: less than these beside one text, which may be longer.
 TEXT_BYTES = 4 << 20
 
@@ -52,13 +50,24 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     return spark.table(table)
 
 
-def small(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def _bytes(df: DataFrame) -> Column:
+    """What a row takes, about: 16 bytes and 8 a column, and the contents of strings and lists."""
+    of = F.lit(16 + 8 * len(df.columns))
+    for column, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            of = of + F.coalesce(F.octet_length(f"`{column}`"), F.lit(0))
+        elif kind.startswith("array"):
+            of = of + 32 * F.coalesce(F.size(f"`{column}`"), F.lit(0))
+    return of.cast("long")
+
+
+def small(side: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """side marked for broadcast if a count proves it within the bound, else as it is (the join then shuffles)."""
-    return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side
+    return F.broadcast(side) if (side.agg(F.sum(_bytes(side))).first()[0] or 0) <= most else side
 
 
 def text_of(column: str = "text") -> Column:
-    return F.coalesce(F.col(column), F.lit(""))
+    return F.coalesce(F.col(f"`{column}`"), F.lit(""))
 
 
 def sha_of_text(column: Column) -> Column:
@@ -70,6 +79,14 @@ def fields(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have (Spark tells no case apart)."""
+    taken = {c.lower() for c in df.columns}
+    while (name := f"_{name}") in taken:
+        pass
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut by their bytes of text, or by the entries of a list column: Spark cuts by rows alone, and what a worker once took it holds until it ends."""
     for batch in batches:

@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import secrets
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialscope.llm.common import text_of
+from trialscope.llm.common import fresh, text_of
 
-KEY = "replace-this-key"
+#: The session setting that holds the key.
+KEY = "spark.trialscope.pii.key"
 TURNS = 8
 #: Dates are permuted among the days from the first to the last.
 FIRST, LAST = dt.date(1900, 1, 1), dt.date(2099, 12, 31)
@@ -65,6 +67,16 @@ NO_CARDS = ANY.replace(CARDS, "(?!)")
 GATE = r"[0-9@=:]|AKIA"
 
 
+def key_of(spark: SparkSession) -> str:
+    """The session's key: the setting KEY, or a random one drawn once a session. Without the setting, values stay linked
+    within the session alone."""
+    key = spark.conf.get(KEY, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY, key)
+    return key
+
+
 def _secret(key: str) -> Column:
     return F.lit(hashlib.sha256(key.encode()).hexdigest())
 
@@ -99,14 +111,15 @@ def permuted(value: Column, key: Column, kind: str) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(TURNS - 1)), start, turn, lambda s: F.concat(s["l"], s["r"]))
 
 
-def permuted_number(left: Column, right: Column, key: Column, kind: str, a: int, b: int) -> Column:
+def permuted_number(left: Column, right: Column, key: Column, kind: str, a: int | Column, b: int | Column) -> Column:
     """A Feistel network over a pair of numbers below a and b; a struct (l, r)."""
+    a, b = (x if isinstance(x, Column) else F.lit(x) for x in (a, b))
     own = F.concat(key, F.lit(kind))
     word = lambda i, x: F.conv(F.substring(_noise(own, i, x), 1, 12), 16, 10).cast("long")
 
     def turn(s, i):
         even = F.pmod(i, F.lit(2)) == 0
-        return F.struct(F.when(even, F.pmod(s["l"] + word(i, s["r"]), F.lit(a))).otherwise(s["l"]).cast("long").alias("l"), F.when(even, s["r"]).otherwise(F.pmod(s["r"] + word(i, s["l"]), F.lit(b))).cast("long").alias("r"))
+        return F.struct(F.when(even, F.pmod(s["l"] + word(i, s["r"]), a)).otherwise(s["l"]).cast("long").alias("l"), F.when(even, s["r"]).otherwise(F.pmod(s["r"] + word(i, s["l"]), b)).cast("long").alias("r"))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(TURNS - 1)), F.struct(left.cast("long").alias("l"), right.cast("long").alias("r")), turn)
 
@@ -116,7 +129,8 @@ def _digits(value: Column) -> Column:
 
 
 def _card(m: Column, key: Column) -> Column:
-    head = permuted(F.substring(m, F.lit(1), F.length(m) - 1), key, "card")
+    """The first digit stays, as it tells a card's kind, and the check digit follows from the others."""
+    head = F.concat(F.substring(m, 1, 1), permuted(F.substring(m, F.lit(2), F.length(m) - 2), key, "card"))
     tail = F.filter(F.sequence(F.lit(0), F.lit(9)), lambda d: F.call_function("luhn_check", F.concat(_digits(head), d.cast("string"))))
     return F.concat(head, F.element_at(tail, 1).cast("string"))
 
@@ -167,15 +181,32 @@ def _day(m: Column) -> Column:
 
 
 def _date(m: Column, key: Column) -> Column:
-    days = (LAST - FIRST).days + 1
-    side = int(days**0.5) + 1
-    at = F.datediff(_day(m), F.lit(FIRST)).cast("long")
-    turn = lambda x: F.element_at(F.transform(F.array(permuted_number(F.floor(x / side), F.pmod(x, F.lit(side)), key, "date", side, side)), lambda s: s["l"] * side + s["r"]), 1)
-    moved = F.aggregate(F.sequence(F.lit(1), F.lit(8)), turn(at), lambda x, _: F.when(x < days, x).otherwise(turn(x)))
-    day = F.date_add(F.lit(FIRST), moved.cast("int"))
-    sep = F.regexp_extract(m, "[./]", 0)
-    dotted = F.concat(F.date_format(day, "dd"), sep, F.date_format(day, "MM"), sep, F.date_format(day, "yyyy"))
-    return F.when(m.contains("-"), F.date_format(day, "yyyy-MM-dd")).otherwise(dotted)
+    """Another date in the same order, its day and month as wide as they were: one digit stays one digit."""
+    day, p = _day(m), F.split(m, "[./-]")
+    iso = m.contains("-")
+    turned = ~iso & F.concat_ws("-", p[2], F.lpad(p[1], 2, "0"), F.lpad(p[0], 2, "0")).try_cast("date").isNull()
+    wide = lambda i: F.lit(True) if i is None else F.length(p[i]) == 2
+    day_wide = iso | F.when(turned, wide(1)).otherwise(wide(0))
+    month_wide = iso | F.when(turned, wide(0)).otherwise(wide(1))
+    days, months = F.when(day_wide, F.lit(31)).otherwise(F.lit(9)), F.when(month_wide, F.lit(12)).otherwise(F.lit(9))
+    years = LAST.year - FIRST.year + 1
+    start = F.struct((F.day(day) - 1).cast("long").alias("l"), ((F.year(day) - FIRST.year) * months + F.month(day) - 1).cast("long").alias("r"))
+    turn = lambda s: permuted_number(s["l"], s["r"], key, "date", days, months * years)
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    part = lambda s: (s["l"] + 1, F.pmod(s["r"], months.cast("long")) + 1, F.floor(s["r"] / months) + FIRST.year)
+
+    def valid(s):
+        d, mo, y = part(s)
+        return F.concat_ws("-", y.cast("string"), two(mo), two(d)).try_cast("date").isNotNull()
+
+    def shown(s):
+        d, mo, y = part(s)
+        d, mo, y = F.when(day_wide, two(d)).otherwise(d.cast("string")), F.when(month_wide, two(mo)).otherwise(mo.cast("string")), y.cast("string")
+        sep = F.regexp_extract(m, "[./]", 0)
+        return F.when(iso, F.concat_ws("-", y, mo, d)).when(turned, F.concat(mo, sep, d, sep, y)).otherwise(F.concat(d, sep, mo, sep, y))
+
+    # again until there is such a day (at least 9 in 10 are one), so the dates of a width are permuted
+    return F.aggregate(F.sequence(F.lit(1), F.lit(24)), turn(start), lambda s, _: F.when(valid(s), s).otherwise(turn(s)), shown)
 
 
 def _email(m: Column, key: Column) -> Column:
@@ -218,28 +249,33 @@ def pattern_of(text: Column) -> Column:
     return F.when(text.rlike(RUN), F.element_at(filled, 1)).otherwise(F.lit(NO_CARDS))
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, count_col: str | None = None) -> DataFrame:
-    """docs with the text's private values replaced; count_col, if named, gets their number.
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """docs with the text's private values replaced under the key; all other columns stay as they are, whatever their
+    names. count_col, if named, gets the number of values and replaces a column of this name.
 
-    No shuffle. A null text stays null and counts none. Numbers that fail their check are left alone. Repeated rows
+    No shuffle. A null text stays null and an empty one empty, both count none; a text of any length is searched whole.
+    Numbers that fail their check, and values in no format of FORMATS (names, addresses), are left alone. Repeated rows
     are treated alike, an empty table stays empty.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     text, secret = F.col(f"`{text_col}`"), _secret(key)
     live = text.rlike(GATE)
-    d = docs.withColumn("__any", F.when(live, pattern_of(text)))
-    found = F.when(live, F.regexp_extract_all(text, F.col("__any"), F.lit(0)))
-    d = d.withColumn("__found", F.transform(found, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"))))
-    any_ = F.exists("__found", lambda x: x["kind"].isNotNull())
-    new = F.transform("__found", lambda x: pseudonym(x["m"], x["kind"], secret))
-    joined = F.array_join(F.zip_with(F.split(text, F.col("__any"), -1), F.concat(new, F.array(F.lit(""))), lambda gap, value: F.concat(gap, value)), "")
+    pattern, found = fresh(docs, "pattern"), fresh(docs, "found")
+    d = docs.withColumn(pattern, F.when(live, pattern_of(text)))
+    hits = F.when(live, F.regexp_extract_all(text, F.col(pattern), F.lit(0)))
+    d = d.withColumn(found, F.transform(hits, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"))))
+    any_ = F.exists(found, lambda x: x["kind"].isNotNull())
+    new = F.transform(found, lambda x: pseudonym(x["m"], x["kind"], secret))
+    joined = F.array_join(F.zip_with(F.split(text, F.col(pattern), -1), F.concat(new, F.array(F.lit(""))), lambda gap, value: F.concat(gap, value)), "")
     out = d.withColumn(text_col, F.when(F.coalesce(any_, F.lit(False)), joined).otherwise(text))
     if count_col:
-        out = out.withColumn(count_col, F.coalesce(F.size(F.filter("__found", lambda x: x["kind"].isNotNull())), F.lit(0)).cast("long"))
+        out = out.withColumn(count_col, F.coalesce(F.size(F.filter(found, lambda x: x["kind"].isNotNull())), F.lit(0)).cast("long"))
         out = out.withColumn(count_col, F.greatest(F.col(count_col), F.lit(0)))
-    return out.drop("__found", "__any")
+    return out.drop(found, pattern)
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, n_values (private values replaced), text."""
-    out = pseudonymise(docs.select("doc_id", text_of().alias("text")), count_col="n_values")
+    out = pseudonymise(docs.select("doc_id", text_of().alias("text")), key, count_col="n_values")
     return out.select("doc_id", "n_values", "text")

@@ -33,7 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": lambda s, d: packing.pack(table(s, d, "documents")),
         "op10_toxicity": lambda s, d: toxicity.toxicity(table(s, d, "documents"), table(s, d, "labels")),
         "pipeline": corpus_pipeline.run,
-        "op9_pii": lambda s, d: pii.report(table(s, d, "documents")),
+        "op9_pii": lambda s, d: pii.report(table(s, d, "documents"), pii.key_of(s)),
     }
 
 
