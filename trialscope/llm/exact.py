@@ -2,15 +2,16 @@
 
 A Misra-Gries type frequent-items sketch over the digests names every digest that may hold more than `share` of the
 rows. Its candidates are counted exactly; the verified ones, at most 1 / share, are broadcast, so their copies are
-settled where they are read. Only the other digests are shuffled, and none of those groups is large.
+settled where they are read. The other digests are aggregated with partial sums, so a group costs a row a task, and
+only groups of two or more rows are joined back to theirs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialscope.llm.common import fields, sha_of_text, small, text_of, written
+from trialscope.llm.common import fields, fresh, sha_of_text, small, text_of, written
 
 #: Counters of a sketch (a power of two). It keeps every digest above 1 / (0.75 * COUNTERS) of its rows.
 COUNTERS = 4096
@@ -48,8 +49,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rest = d.join(heavy, "digest", "left_anti")
     else:
         settled, rest = None, d
-    group = Window.partitionBy("digest")
-    out = rest.withColumns({"best": best.over(group), "group_size": F.count("*").over(group)})
+    shared = rest.groupBy("digest").agg(best.alias("best"), F.count("*").alias("group_size")).filter("group_size > 1")
+    shared = small(written(shared, "shared-digests"))
+    alone = F.struct("doc_id", "row")
+    out = rest.join(shared, "digest", "left").withColumns({"best": F.coalesce("best", alone), "group_size": F.coalesce("group_size", F.lit(1).cast("long"))})
     if settled is not None:
         out = out.unionByName(settled)
     return out.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.col("digest").alias("text_sha256"))
@@ -59,17 +62,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs without the rows that exact_groups drops, all columns as they are.
 
     The dropped (id, digest) pairs are broadcast if a count proves them few; else the join shuffles. Of rows repeated
-    with the same id and text one stays, with the columns of any of them.
+    with the same id and text one stays, with the columns of any of them. No column of docs is renamed or overwritten.
     """
-    groups = written(exact_groups(docs, id_col, text_col), "groups").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "kept")
-    same = groups.groupBy("__id", "__sha").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    same = written(same.filter(~F.col("kept") | (F.col("n") > 1)), "dropped")
-    keyed = docs.withColumn("__sha", sha_of_text(text_of(text_col)))
-    on = lambda side: (F.col(f"`{id_col}`").eqNullSafe(side["__id"])) & (keyed["__sha"] == side["__sha"])
+    groups = written(exact_groups(docs, id_col, text_col), "groups")
+    id_, sha, kept = fresh(docs, "id"), fresh(docs, "sha"), fresh(docs, "kept")
+    same = groups.groupBy(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha)).agg(F.max("kept").alias(kept), F.count("*").alias("n"))
+    same = written(same.filter(~F.col(kept) | (F.col("n") > 1)).drop("n"), "dropped")
+    keyed = docs.withColumn(sha, sha_of_text(text_of(text_col)))
+    on = lambda side: (F.col(f"`{id_col}`").eqNullSafe(side[id_])) & (keyed[sha] == side[sha])
     gone = small(same)
-    once = keyed.join(gone, on(gone), "left_anti").drop("__sha")
-    repeated = same.filter("kept")
+    once = keyed.join(gone, on(gone), "left_anti").drop(sha)
+    repeated = same.filter(F.col(kept))
     if repeated.isEmpty():
         return once
     twice = small(repeated)
-    return once.unionByName(keyed.join(twice, on(twice), "left_semi").dropDuplicates([id_col, "__sha"]).drop("__sha"))
+    return once.unionByName(keyed.join(twice, on(twice), "left_semi").dropDuplicates([id_col, sha]).drop(sha))
