@@ -36,7 +36,7 @@ def test_heavy_hitters_take_the_other_way(spark):
 def test_line_dedup(spark, messy, none):
     rows = [(i, f" common \nown {i}\n\nrare {i // 3}", f"site{i % 7}") for i in range(40)] + [(99, None, "site1"), (100, "common\n", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in lines.line_dedup(df).collect()}
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in lines.line_dedup(df, counts=("n_lines", "n_removed")).collect()}
     assert got[4] == ("own 4\n\nrare 1", 4, 1) and got[99] == (None, 0, 0) and got[100] == ("", 2, 1)
     assert lines.line_dedup(messy).count() == messy.count() and lines.line_dedup(none).count() == 0
 
@@ -45,7 +45,7 @@ def test_line_dedup(spark, messy, none):
 def test_line_threshold_is_exact(spark, sites):
     rows = [(k * 100 + s, f"line {k}", f"site{s}") for k in range(1, 12) for s in range(k)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    gone = {r.doc_id // 100 for r in lines.line_dedup(df, sites=sites).filter("n_removed > 0").collect()}
+    gone = {r.doc_id // 100 for r in lines.line_dedup(df, sites=sites, counts=("n_lines", "n_removed")).filter("n_removed > 0").collect()}
     assert gone == set(range(sites, 12))
 
 
