@@ -11,10 +11,10 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialscope.llm.common import fields, frugal, slices, small, written
+from trialscope.llm.common import fields, fresh, frugal, slices, small, written
 
 MIN_WORDS = 20
 WINDOW = 8
@@ -49,7 +49,8 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in slices(batches):
         rows = [counts(x.as_py() or "") for x in batch.column("text")]
         columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), *columns], ["doc_id", "host", *_COUNTS])
+        own = ["doc_id", "host", "a", "b"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, own), *columns], [*own, *_COUNTS])
 
 
 def host_verdicts(measured: DataFrame) -> DataFrame:
@@ -71,24 +72,38 @@ def host_verdicts(measured: DataFrame) -> DataFrame:
     return out.withColumn("host_failed", F.col("rate") - F.lit(SURE) * doubt > F.lit(MAX_RATE))
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One row per row of docs: doc_id, the counts, base_failed, kept.
+def _text_key(text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
 
-    A null or empty text has no words and fails. A row without a host has only its own verdict. Repeated rows count
-    each. An empty table gives no rows.
-    """
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """What quality returns, with host and 128 bits of the text (a, b): the verdict depends on these alone."""
     own = fields(docs, doc_id=id_col, text=text_col, host=host_col).withColumn("host", F.col("host").cast("string"))
+    own = own.withColumns(dict(zip("ab", _text_key(F.col("text")), strict=True)))
     kind = dict(own.dtypes)["doc_id"]
-    d = own.mapInArrow(_count_batches, f"doc_id {kind}, host string, " + ", ".join(f"{c} long" for c in _COUNTS))
+    d = own.mapInArrow(_count_batches, f"doc_id {kind}, host string, a long, b long, " + ", ".join(f"{c} long" for c in _COUNTS))
     d = d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     d = written(d, "measured")
     verdicts = small(written(host_verdicts(d).filter("host_failed").select("host", "host_failed"), "verdicts"))
     out = d.join(verdicts, "host", "left")
-    return out.select("doc_id", *_COUNTS, "base_failed", (~F.col("base_failed") & ~F.coalesce("host_failed", F.lit(False))).alias("kept"))
+    return out.select("doc_id", *_COUNTS, "base_failed", (~F.col("base_failed") & ~F.coalesce("host_failed", F.lit(False))).alias("kept"), "host", "a", "b")
+
+
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """One row per row of docs: doc_id, the counts, base_failed, kept.
+
+    A null or empty text has no words and fails. A row without a host has only its own verdict. Repeated rows count
+    each, and long texts are counted whole. An empty table gives no rows.
+    """
+    return _judged(docs, id_col, text_col, host_col).drop("host", "a", "b")
 
 
 def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """docs that keep their place, all columns as they are. Rows that share an id stay if any of them passes."""
-    kept = written(quality(docs, id_col, text_col, host_col), "quality").groupBy(F.col("doc_id").alias("__id")).agg(F.max("kept").alias("__kept"))
-    gone = small(written(kept.filter(~F.col("__kept")).select("__id"), "rejected"))
-    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(gone["__id"]), "left_anti")
+    """docs that keep their place, all columns as they are. Each row has its own verdict, also where ids are null or
+    repeated: a verdict is known by id, host and text."""
+    names = {c: fresh(docs, c) for c in ("doc_id", "host", "a", "b")}
+    gone = _judged(docs, id_col, text_col, host_col).filter("not kept").select(*names).distinct().withColumnsRenamed(names)
+    gone = small(written(gone, "rejected"))
+    own = (F.col(f"`{id_col}`"), F.col(f"`{host_col}`").cast("string"), *_text_key(F.col(f"`{text_col}`")))
+    same = [x.eqNullSafe(gone[n]) for x, n in zip(own, names.values(), strict=True)]
+    return docs.join(gone, same, "left_anti")
