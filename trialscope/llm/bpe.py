@@ -30,6 +30,8 @@ _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x
 MOST_TOKENS = 1_000_000
 #: Codes that are spread at once, to bound memory.
 BLOCK = 1 << 18
+#: Bytes of text whose words a task encodes, about: a part gets an equal share of all words.
+PART_BYTES = 64 << 20
 #: Pre-tokens of a chunk, about: enough that its words repeat, few enough for a worker's memory.
 CHUNK = 1_500_000
 
@@ -106,14 +108,15 @@ def _chunks(parts: int) -> Callable:
             part = (pd.util.hash_array(np.array(words, object), categorize=False) % parts).astype(np.uint32) if words else np.empty(0, np.uint32)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
-            dealt = pa.array([packed_words([words[i] for i in order[a:b]]) if b > a else None for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+            used = [p for p in range(parts) if cuts[p + 1] > cuts[p]]
+            dealt = pa.StructArray.from_arrays([pa.array(used, pa.int32()), pa.array([packed_words([words[i] for i in order[cuts[p] : cuts[p + 1]]]) for p in used], pa.binary())], ["part", "words"])
             columns = {
                 "chunk": pa.array([(TaskContext.get().partitionId() << 24) + k], pa.int64()),
                 "doc_ids": pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("doc_id")),
                 "sizes": pa.array([planes(sizes)], pa.binary()),
                 "codes": pa.array([planes(codes)], pa.binary()),
                 "parts": pa.array([planes(part)], pa.binary()),
-                "words": pa.ListArray.from_arrays(pa.array([0, parts], pa.int32()), dealt),
+                "words": pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), dealt),
             }
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
@@ -161,12 +164,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     """One row per row of docs: doc_id, ids. A null text counts as empty and has no ids; repeated rows are encoded
     each; an empty table gives no rows. Special tokens' strings are ordinary text."""
     spark = docs.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = fields(docs, text=text_col).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
     ranks = spark.sparkContext.broadcast(named(read_ranks(ranks_path)))
     own = fields(docs, doc_id=id_col, text=text_col).select("doc_id", pretokens(text_of()).alias("tokens"))
     kind = own.schema["doc_id"].dataType.simpleString()
-    chunks = bucketed(own.mapInArrow(_chunks(parts), f"chunk long, doc_ids array<{kind}>, sizes binary, codes binary, parts binary, words array<binary>"), "chunks", "chunk")
-    words = chunks.select("chunk", F.posexplode("words").alias("part", "words")).filter("words is not null")
+    chunks = bucketed(own.mapInArrow(_chunks(parts), f"chunk long, doc_ids array<{kind}>, sizes binary, codes binary, parts binary, words array<struct<part: int, words: binary>>"), "chunks", "chunk")
+    words = chunks.select("chunk", F.explode("words").alias("w")).select("chunk", "w.part", "w.words")
     ids = words.groupBy("part").applyInArrow(_encode_words(ranks), "chunk long, part int, ids binary, lengths binary")
     left = chunks.select("chunk", "doc_ids", "sizes", "codes", "parts")
     return left.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(_reassemble, f"doc_id {kind}, ids array<int>")
