@@ -1,5 +1,7 @@
 import datetime as dt
 import hashlib
+import itertools
+import math
 import random
 import re
 
@@ -232,6 +234,29 @@ def test_threats_and_softening_in_either_order():
     assert toxicity.features("I will kill you!", words, {"kill"}) == toxicity.features("You I will kill!", words, {"kill"}) != (0.0,) * len(toxicity.FEATURES)
 
 
+def test_composition_is_the_product_of_its_parts():
+    for n in range(5):
+        for path in itertools.product(toxicity.SYMBOLS, repeat=n):
+            state, alone = toxicity.START, [s for s, _ in toxicity.PARTS]
+            for symbol in path:
+                state, got = toxicity.GRAMMAR[state, symbol]
+                steps = [arcs[s, symbol] for (_, arcs), s in zip(toxicity.PARTS, alone, strict=True)]
+                alone = [s for s, _ in steps]
+                assert state == tuple(alone) and all(abs(g - math.prod(f[i] for _, f in steps)) < 1e-12 for i, g in enumerate(got))
+
+
+def test_phrases_scope_and_quotation():
+    words = {"fool": 1.0}
+    weight = lambda s: toxicity.clause_weight(toxicity._TOKEN.findall(s.lower()), words)[0]
+    assert weight("shut up") == weight("you piece of trash") / 1.5 == 1.0 and weight("piece of cake") == 0
+    assert weight("fool, you") == weight("you fool") == 1.5 * weight("a fool")
+    assert weight("not a fool") == 0.5 and weight("not the best of them all, fool") > 0.5 and weight("not here, but a fool") == weight("a fool") == 1.0
+    assert weight('she said "you fool"') < weight("you fool") and weight('"you fool" she said') < weight("you fool")
+    assert weight('she said "hello" you fool') == weight("you fool")
+    assert weight("she said you fool") == weight("you fool said she")
+    assert toxicity.features('She said: "You fool!" and left.', words, {"fool"})[1] < toxicity.features("You fool! and left.", words, {"fool"})[1]
+
+
 def test_learned_and_held_out(spark, messy, none):
     rows, labels = [], []
     for i in range(900):
