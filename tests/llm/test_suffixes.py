@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from trialscope.llm import suffixes
 
@@ -71,7 +72,8 @@ def test_piece_borders_change_no_segment(spark, monkeypatch):
     assert rows_of(suffixes.report(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))) == sorted(brute(rows))
 
 
-def test_columns_inserted_one_by_one():
+@pytest.mark.parametrize("block", [4, 7, 1 << 20])
+def test_columns_inserted_one_by_one(block, tmp_path):
     rng = np.random.default_rng(0)
     n = 60
     body = rng.integers(97, 99, (n, suffixes._SIZE)).astype(np.uint8)
@@ -82,8 +84,11 @@ def test_columns_inserted_one_by_one():
         body[i + 2, 250 + rng.integers(0, 50) :] = 121
     low, high = np.zeros(n, np.int16), np.full(n, suffixes._SIZE, np.int16)
     high[5], low[9] = 240, 30
-    group = np.arange(n) // 6
-    got = suffixes.repeats(body, group, low, high)
+    group = np.sort(np.append(np.arange(n - 20) // 6, np.full(20, 3)))
+    made = suffixes.Construction(str(tmp_path), n, block)
+    made.columns[:] = body.T
+    made.run(group, low, high)
+    got = np.array(made.hits).T
     for i in range(n):
         for c in range(suffixes.REACH + 1):
             fits = lambda k: low[k] <= c and c + 200 <= high[k]  # noqa: E731, B023
@@ -91,6 +96,20 @@ def test_columns_inserted_one_by_one():
             assert got[i, c] == want
 
 
+def test_dealt_twice(spark, monkeypatch):
+    rows = corpus()
+    monkeypatch.setattr(suffixes, "FAN", 4)
+    assert rows_of(suffixes.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == sorted(brute(rows))
+
+
+def test_a_passage_in_very_many_texts(spark):
+    rng = random.Random(2)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = some(450)
+    rows = [(i, some(rng.randrange(40)) + passage + some(rng.randrange(40))) for i in range(700)]
+    assert rows_of(suffixes.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))) == sorted(brute(rows))
+
+
 def test_messy_rows(messy, none):
     out = suffixes.suffix_dedup(messy).collect()
     assert len(out) == 11 and suffixes.suffix_dedup(none).count() == 0

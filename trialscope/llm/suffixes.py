@@ -5,11 +5,13 @@ A collection-wide column-wise construction needs a round per byte of the longest
 its GRAM-byte grams by hash; equal windows have equal anchors, and the windows of one anchor form a segment. Equal
 segments are settled by their digest. Where an anchor has unlike segments, one context of each is sent to the anchor's
 task, which runs the column-wise construction over its contexts: one byte of each is inserted a round, from the right,
-updating their order and longest common prefixes. A window whose prefix with a neighbour reaches WIDTH repeats.
+updating the transform, the contexts' order and their longest common prefixes in sequential files. A window whose prefix
+with a neighbour reaches WIDTH repeats.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +24,12 @@ from trialscope.llm.jaccard import mixed
 
 WIDTH, GRAM = 200, 100
 REACH = WIDTH - GRAM  # a window starts at most so far left of its anchor
+#: Bytes of text that a worker takes at once, and bytes whose segments a task settles, about.
+SLICE, PART_BYTES = 16 << 20, 64 << 20
+#: Parts that a slice is dealt to at once; beyond them segments are dealt twice, first to coarse parts.
+FAN = 2048
+#: Contexts that a block of the construction's files has.
+ENTRIES = 1 << 20
 #: Bytes of text hashed at once, and the entries of a side that may be broadcast (about 24 bytes each).
 BLOCK, BROADCAST_ENTRIES = 1 << 20, 1_000_000
 
@@ -118,12 +126,30 @@ _COLUMNS = {"gram": np.uint64, "segment": np.uint64, "row": np.int64, "at": np.u
 _DEALT = "part int, " + ", ".join(f"{c} binary" for c in _COLUMNS)
 
 
+def _packed(part: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A row for each part that occurs: its entries of each column, packed."""
+    order = np.argsort(part, kind="stable")
+    used, cuts = np.unique(part[order], return_index=True)
+    ends = np.append(cuts[1:], len(part))
+    cells = [pa.array([planes(np.ascontiguousarray(x[order[a:b]]).ravel()) for a, b in zip(cuts, ends, strict=True)], pa.binary()) for x in columns.values()]
+    return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *cells], ["part", *columns])
+
+
+def _unpacked(table, kinds: dict[str, type]) -> dict[str, np.ndarray]:
+    return {c: np.concatenate([np.empty(0, t), *(unplanes(x, t) for x in table.column(c).to_pylist())]) for c, t in kinds.items()}
+
+
+def _part_of(a: dict[str, np.ndarray], parts: int) -> np.ndarray:
+    """Segments go to their anchor's part, those settled already to their row's."""
+    return np.where(a["settled"] == 2, a["row"].astype(np.uint64) % np.uint64(parts), a["gram"] % np.uint64(parts)).astype(np.int64)
+
+
 def _deal(parts: int, block: int | None = None):
     block = block or BLOCK  # as it is on the driver
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, most=SLICE):
             rows, texts, found = batch.column("row").to_numpy(), _raw(batch.column("text")), []
             for data, sizes, first, start in _blocks(texts, block):
                 a = anchors(data, sizes)
@@ -143,23 +169,42 @@ def _deal(parts: int, block: int | None = None):
             run_of = np.cumsum(new) - 1
             many = (np.bincount(run_of) > 1)[run_of] if len(order) else new
             a["settled"] = np.where(many, np.where(new, 1, 2), 0).astype(np.uint8)
-            part = np.where(a["settled"] == 2, a["row"].astype(np.uint64) % np.uint64(parts), a["gram"] % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            used = [i for i in range(parts) if cuts[i + 1] > cuts[i]]
-            a = {c: v[order] for c, v in a.items()}
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array([planes(a[c][cuts[i] : cuts[i + 1]]) for i in used], pa.binary()) for c in _COLUMNS)], ["part", *_COLUMNS])
+            yield _packed(_part_of(a, parts), a)
+
+    return run
+
+
+def _redeal(parts: int):
+    """Dealt segments of coarse parts, gathered until they fill a slice and dealt to finer ones."""
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, size = [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                kept.append(_unpacked(batch.slice(i, 1), _COLUMNS))
+                size += len(kept[-1]["gram"])
+                if size > SLICE // 16:
+                    yield _regathered(kept, parts)
+                    kept, size = [], 0
+        if kept:
+            yield _regathered(kept, parts)
 
     return run
 
 
+def _regathered(kept: list[dict[str, np.ndarray]], parts: int) -> pa.RecordBatch:
+    a = {c: np.concatenate([k[c] for k in kept]) for c in _COLUMNS}
+    return _packed(_part_of(a, parts), a)
+
+
 _FOUND = "row long, start int, end int, at int, left int, more int, gram long"
 
 
 @frugal_group
 def _settle(table: pa.Table) -> pa.Table:
     """Covered ranges (at is null), and contexts that are wanted for anchors with unlike segments."""
-    a = {c: np.concatenate([np.empty(0, t), *(unplanes(x, t) for x in table.column(c).to_pylist())]) for c, t in _COLUMNS.items()}
+    a = _unpacked(table, _COLUMNS)
     passed = a["settled"] == 2
     done = {c: v[passed] for c, v in a.items()}
     a = {c: v[~passed] for c, v in a.items()}
@@ -188,7 +233,7 @@ _CONTEXT = {"gram": np.uint64, "row": np.int64, "at": np.int32, "left": np.uint8
 def _contexts(parts: int):
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, most=SLICE // 4):
             out: dict[str, list] = {c: [] for c in _CONTEXT}
             data = []
             wanted = batch.column("wanted")
@@ -207,48 +252,102 @@ def _contexts(parts: int):
             if not data:
                 continue
             cols = {c: (np.concatenate(v).astype(t) if c in of else np.array(v, t)) for (c, t), v in zip(_CONTEXT.items(), (out[c] for c in _CONTEXT), strict=True)}
-            matrix = np.frombuffer(b"".join(data), np.uint8).reshape(-1, _SIZE)
-            part = (cols["gram"] % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            used = [i for i in range(parts) if cuts[i + 1] > cuts[i]]
-            cells = [pa.array([planes(cols[c][order[cuts[i] : cuts[i + 1]]]) for i in used], pa.binary()) for c in _CONTEXT]
-            bodies = pa.array([planes_of_rows(matrix[order[cuts[i] : cuts[i + 1]]]) for i in used], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *cells, bodies], ["part", *_CONTEXT, "body"])
+            cols["body"] = np.frombuffer(b"".join(data), np.uint8).reshape(-1, _SIZE)
+            yield _packed((cols["gram"] % np.uint64(parts)).astype(np.int64), cols)
 
     return run
 
 
-def planes_of_rows(matrix: np.ndarray) -> bytes:
-    return planes(np.ascontiguousarray(matrix).ravel())
-
+class Construction:
+    """The column-wise construction over contexts of one task, in sequential files of a folder of the task's own.
 
-def repeats(body: np.ndarray, group: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Whether the window at each of the first columns of a context occurs in another context of its group.
-
-    Column-wise: round by round, from the last column to the first, one byte of every context is inserted. `order` has
-    the contexts sorted by group and by what was inserted, `common` each one's longest common prefix with the one before.
+    The contexts are kept column by column. `order` has them sorted by group and by what was inserted so far, `common`
+    each one's longest common prefix with the one before. A round reads one column and both files in blocks, writes the
+    column's symbols in the present order (the round's share of the transform), and from these deals the contexts out by
+    symbol into the files of the next round. A block has whole groups; a larger group is dealt in several blocks, the
+    least common prefix since each symbol's last occurrence being carried from block to block.
     """
-    n = len(body)
-    out = np.zeros((n, REACH + 1), bool)
-    order = np.argsort(group, kind="stable")
-    common = np.zeros(n, np.int32)
-    columns = np.ascontiguousarray(body.T)
-    for c in range(_SIZE - 1, -1, -1):
-        byte = np.where((c >= low) & (c < high), columns[c], 256).astype(np.int64)
-        key = (group.astype(np.int64) * 257 + byte)[order]
+
+    def __init__(self, folder: str, n: int, block: int | None = None):
+        self.n, self.block = n, block or ENTRIES
+        made = lambda name, kind, *shape: np.memmap(f"{folder}/{name}", kind, "w+", shape=shape)
+        self.columns = made("columns", np.uint8, _SIZE, n)
+        self.hits = made("hits", bool, REACH + 1, n)
+        self.transform = made("transform", np.int16, n)
+        self.order, self.order_next = made("order-0", np.int64, n), made("order-1", np.int64, n)
+        self.common, self.common_next = made("common-0", np.int16, n), made("common-1", np.int16, n)
+
+    def run(self, group: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        """Fills hits: whether the window at each of the first columns of a context occurs in another of its group."""
+        self.order[:] = np.argsort(group, kind="stable")
+        sizes = np.bincount(group)
+        for c in range(_SIZE - 1, -1, -1):
+            column = np.where((c >= low) & (c < high), self.columns[c], 256).astype(np.int16)
+            for a, b in self._spans(sizes):
+                if b - a <= self.block:
+                    self._whole_groups(a, b, column, group)
+                else:
+                    self._large_group(a, b, column)
+            self.order, self.order_next = self.order_next, self.order
+            self.common, self.common_next = self.common_next, self.common
+            if c <= REACH:
+                for a in range(0, self.n, self.block):
+                    b = min(a + self.block, self.n)
+                    hit = np.append(self.common[a : b + 1], np.zeros(1 if b == self.n else 0, np.int16)) >= WIDTH
+                    self.hits[c, self.order[a:b][hit[:-1] | hit[1:]]] = True
+
+    def _spans(self, sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Runs of whole groups of up to a block, or one larger group."""
+        ends = np.cumsum(sizes)
+        a = 0
+        while a < self.n:
+            i = np.searchsorted(ends, a + self.block, side="right") - 1
+            b = int(ends[i]) if i >= 0 and ends[i] > a else int(ends[i + 1])
+            yield a, b
+            a = b
+
+    def _whole_groups(self, a: int, b: int, column: np.ndarray, group: np.ndarray) -> None:
+        order, common = np.array(self.order[a:b]), np.array(self.common[a:b])
+        self.transform[a:b] = column[order]
+        key = group[order] * 257 + self.transform[a:b]
         step = np.argsort(key, kind="stable")
-        ordered = key[step]
-        same = np.concatenate([[False], (ordered[1:] == ordered[:-1]) & (ordered[1:] % 257 != 256)])
-        least = np.zeros(n, np.int32)
-        here = np.flatnonzero(same)
-        if len(here):
-            least[here] = range_min(common, step[here - 1] + 1, step[here]) + 1
-        order, common = order[step], least
-        if c <= REACH:
-            hit = common >= WIDTH
-            hit[:-1] |= hit[1:].copy()
-            out[order[hit], c] = True
+        self.order_next[a:b] = order[step]
+        self.common_next[a:b] = _next_common(key[step], step, common)
+
+    def _large_group(self, a: int, b: int, column: np.ndarray) -> None:
+        blocks = [(x, min(x + self.block, b)) for x in range(a, b, self.block)]
+        count = np.zeros(257, np.int64)
+        for x, y in blocks:
+            self.transform[x:y] = column[self.order[x:y]]
+            count += np.bincount(self.transform[x:y], minlength=257)
+        at = a + np.cumsum(count) - count
+        carry = np.full(257, -1, np.int64)  # least common prefix since the last one; -1: none yet
+        for x, y in blocks:
+            order, common, symbol = np.array(self.order[x:y]), np.array(self.common[x:y]), np.array(self.transform[x:y])
+            step = np.argsort(symbol, kind="stable")
+            ordered = symbol[step]
+            new = _next_common(ordered, step, common)
+            first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+            last = np.append(first[1:], len(ordered)) - 1
+            present = ordered[first]
+            before = np.minimum.accumulate(common)
+            known = (carry[present] >= 0) & (present != 256)
+            new[first[known]] = np.minimum(carry[present[known]], before[step[first[known]]]) + 1
+            after = np.append(np.minimum.accumulate(common[::-1])[::-1][1:], np.iinfo(np.int16).max)
+            carry = np.where(carry >= 0, np.minimum(carry, before[-1]), carry)
+            carry[present] = after[step[last]]
+            for s, i, j in zip(present.tolist(), first.tolist(), (last + 1).tolist(), strict=True):
+                to = at[s]
+                self.order_next[to : to + j - i], self.common_next[to : to + j - i] = order[step[i:j]], new[i:j]
+                at[s] += j - i
+
+
+def _next_common(ordered: np.ndarray, step: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The common prefixes after a round, from the sorted keys, where each came from, and the prefixes before it."""
+    out = np.zeros(len(step), np.int16)
+    here = np.flatnonzero(np.concatenate([[False], (ordered[1:] == ordered[:-1]) & (ordered[1:] % 257 != 256)]))
+    if len(here):
+        out[here] = range_min(common, step[here - 1] + 1, step[here]) + 1
     return out
 
 
@@ -268,23 +367,32 @@ def range_min(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 @frugal_group
 def _compare(table: pa.Table) -> pa.Table:
-    a = {c: np.concatenate([np.empty(0, t), *(unplanes(x, t) for x in table.column(c).to_pylist())]) for c, t in _CONTEXT.items()}
-    body = np.concatenate([unplanes(x, np.uint8) for x in table.column("body").to_pylist()]).reshape(-1, _SIZE)
-    group = np.unique(a["gram"], return_inverse=True)[1]
-    hits = repeats(body, group, a["low"], a["high"])
-    first = REACH - a["left"].astype(np.int64)
-    column = np.arange(REACH + 1)
-    hits &= (column >= first[:, None]) & (column <= (first + a["more"])[:, None])
-    edges = np.diff(np.pad(hits, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-    i, start = np.nonzero(edges == 1)
-    _, end = np.nonzero(edges == -1)
-    at = a["at"][i].astype(np.int64) - REACH
-    return pa.table({"row": pa.array(a["row"][i]), "start": pa.array((at + start).astype(np.int32)), "end": pa.array((at + end - 1 + WIDTH).astype(np.int32))})
+    a = _unpacked(table, _CONTEXT)
+    n = len(a["gram"])
+    first, column = REACH - a["left"].astype(np.int64), np.arange(REACH + 1)
+    found = [(np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32))]
+    with tempfile.TemporaryDirectory() as folder:
+        made, at = Construction(folder, n), 0
+        for cell in table.column("body"):
+            body = unplanes(cell.as_py(), np.uint8).reshape(-1, _SIZE)
+            made.columns[:, at : at + len(body)] = body.T
+            at += len(body)
+        made.run(np.unique(a["gram"], return_inverse=True)[1], a["low"], a["high"])
+        for x in range(0, n, made.block):
+            i = slice(x, x + made.block)
+            hits = np.array(made.hits[:, i]).T & (column >= first[i, None]) & (column <= (first[i] + a["more"][i])[:, None])
+            edges = np.diff(np.pad(hits, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+            k, start = np.nonzero(edges == 1)
+            _, end = np.nonzero(edges == -1)
+            place = a["at"][i][k].astype(np.int64) - REACH
+            found.append((a["row"][i][k], (place + start).astype(np.int32), (place + end - 1 + WIDTH).astype(np.int32)))
+    return pa.table({c: pa.array(np.concatenate([f[j] for f in found])) for j, c in enumerate(("row", "start", "end"))})
 
 
 def _with_row(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, an assigned row number and the text's bytes, as a written table: every later read sees the same."""
     own = fields(docs, doc_id=id_col, text=text_col).select("doc_id", text_of().alias("text"))
-    return own.withColumn("row", F.xxhash64("doc_id", "text"))
+    return written(own.withColumns({"row": F.monotonically_increasing_id(), "n_bytes": F.octet_length("text")}), "rows")
 
 
 def _checked(side: DataFrame, entries: str) -> DataFrame:
@@ -295,9 +403,13 @@ def _checked(side: DataFrame, entries: str) -> DataFrame:
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(row, ranges): each text's covered byte ranges, joined and in order. docs: as from _with_row."""
     spark = docs.sparkSession
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.filter(F.octet_length("text") >= WIDTH).select("row", "text")
-    found = written(texts.mapInArrow(_deal(parts), _DEALT).groupBy("part").applyInArrow(_settle, _FOUND), "segments")
+    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), (docs.agg(F.sum("n_bytes")).first()[0] or 0) // PART_BYTES)
+    parts = -(-parts // FAN) * FAN if parts > FAN else parts  # a coarse part is so many whole finer ones
+    texts = docs.filter(F.col("n_bytes") >= WIDTH).select("row", "text")
+    dealt = texts.mapInArrow(_deal(min(parts, FAN)), _DEALT)
+    if parts > FAN:  # else a slice would have few entries for each part
+        dealt = dealt.repartition("part", F.pmod(F.xxhash64("gram"), F.lit(16))).mapInArrow(_redeal(parts), _DEALT)
+    found = written(dealt.groupBy("part").applyInArrow(_settle, _FOUND), "segments")
     wanted = found.filter("at is not null").groupBy("row").agg(F.collect_list(F.struct("gram", "at", "left", "more")).alias("wanted"))
     wanted = _checked(written(wanted, "wanted"), "wanted")
     dealt = texts.join(wanted, "row").select("row", "text", "wanted").mapInArrow(_contexts(parts), "part int, " + ", ".join(f"{c} binary" for c in _CONTEXT) + ", body binary")
@@ -312,7 +424,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
 
 @frugal
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, most=SLICE):
         kept, removed, spans, sizes = [], [], [], []
         for text, ranges in zip(_raw(batch.column("text")), batch.column("ranges").to_pylist(), strict=True):
             at, parts, gone = 0, [], 0
@@ -332,7 +444,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fall within a character).
 
     Null text counts as empty. Texts under WIDTH bytes stay. Repeated rows are other occurrences of each other. Null
-    ids stay null; an empty table gives no rows. Texts are told apart by a 64-bit hash of id and text.
+    ids stay null; an empty table gives no rows. Rows are told apart by assigned numbers; other columns aren't read.
     """
     d = _with_row(docs, id_col, text_col)
     ranges = _checked(repeated_ranges(d), "ranges")
