@@ -14,8 +14,9 @@ def test_import_gate_and_tampering(spark, tmp_path):
     src = tmp_path / "s.jsonl"
     src.write_text("\n".join(map(json.dumps, rows)))
     out = str(tmp_path / "out")
-    m = artifacts.import_traces(spark, "jsonl", str(src), out)
-    assert m["redacted_span_count"] == 8 and m["trace_count"] == 1
+    m = artifacts.import_traces(spark, "jsonl", str(src), out, key=b"k" * 32)
+    assert m["redacted_span_count"] == 9 and m["trace_count"] == 1  # the trace takes its first span's name
+    assert m["entity_instance_counts"] == {"CREDIT_CARD": 1, "EMAIL_ADDRESS": 2} and artifacts.warnings(m) == ["redaction changed 9 value(s)"]
     got = artifacts.load_traces(spark, out).collect()
     assert len(got) == 4 and all("example.com" not in r.name and "4111" not in r.input for r in got)
     spark.range(1).write.mode("append").json(f"{out}/spans")
@@ -27,12 +28,17 @@ def test_import_gate_and_tampering(spark, tmp_path):
         artifacts.load_traces(spark, str(tmp_path / "nowhere"))
 
 
-def test_manifest_rules():
-    good = {"version": artifacts.VERSION, "mandatory": True, "value_redaction_applied": True, "redaction_available": True, "ruleset_hash": "h", "language": "en", "pseudonymization": artifacts.SCHEME}
+def test_manifest_rules(spark):
+    good = {"model": {"name": "patterns", "version": "1", "checksum_verified": True}, "version": artifacts.VERSION, "mandatory": True, "value_redaction_applied": True, "redaction_available": True, "ruleset_hash": "h", "language": "en", "pseudonymization": artifacts.SCHEME}
     assert artifacts.manifest_problem(good, "h") is None
     assert artifacts.manifest_problem({}) == "no manifest"
     for key in good:
         assert artifacts.manifest_problem(good | {key: None}, "h")
+    model = good["model"]
+    assert artifacts.manifest_problem(good | {"model": model | {"version": "2"}}, "h") == "unknown model"
+    assert artifacts.manifest_problem(good | {"model": model | {"checksum_verified": False}}, "h") == "unverified model"
+    assert artifacts.manifest_problem(good | {"language": "fr"}, "h") == "unsupported language"
+    assert artifacts.manifest_problem(good | {"raw_source": True}, "h") == "raw source"
 
 
 def test_since_and_pages():
@@ -98,3 +104,85 @@ def test_empty_run(spark):
     assert s["latency"].first().asDict() == {"latency_p50_ms": 0.0, "latency_p95_ms": 0.0, "latency_mean_ms": 0.0}
     cost = s["cost"].first()
     assert cost.total_cost_usd is None and cost.cost_coverage == 0.0 and s["pass_k_curve"].count() == 0
+
+
+def test_an_import_holds_no_raw_id_and_no_secret(spark, tmp_path):
+    spans = [
+        {"span_id": "raw-root", "name": "root", "start_time_unix_nano": 5, "usage": {"input_tokens": 4111111111111111}, "input": {"api_key": {"deep": [1, "x"]}, "bob@example.com": 1, "ann@example.com": 2, "n": 4111111111111111}},
+        {"span_id": "raw-child", "parent_span_id": "raw-root", "name": "child", "output": ["call ann@example.com", {"password": "a b"}]},
+        {"span_id": "raw-lost", "parent_span_id": "raw-gone", "name": "lost", "status_message": "dob 1990-01-02"},
+    ]
+    doc = {"traces": [{"id": "raw-trace", "name": "for ann@example.com", "input": {"authorization": 7}, "output": "fine", "spans": spans}]}
+    (tmp_path / "t.json").write_text(json.dumps(doc))
+    out = str(tmp_path / "out")
+    m = artifacts.import_traces(spark, "json", str(tmp_path / "t.json"), out, key=b"k" * 32, run_id="r1")
+    assert m["secret_keys_redacted"] and m["span_count"] == 3
+    s = {r.name: r for r in artifacts.load(spark, out).collect()}
+    t = artifacts.load(spark, out, "traces").first()
+    everything = json.dumps([[str(v) for v in r] for r in [*s.values(), t]])
+    assert all(x not in everything for x in ("raw-", "example.com", "deep", "1990", "a b"))
+    assert s["child"].parent_id == s["root"].span_id and s["lost"].parent_id is None and {r.trace_id for r in s.values()} == {t.id}
+    assert (t.name, json.loads(t.input), t.output, t.import_run_id) == ("for [EMAIL_ADDRESS_1]", {"authorization": "[SECRET_1]"}, '"fine"', "r1")
+    assert json.loads(s["root"].input) == {"api_key": "[SECRET_2]", "[EMAIL_ADDRESS_2]": 1, "[EMAIL_ADDRESS_1]": 2, "n": "[CREDIT_CARD_1]"}
+    assert s["root"].usage.input_tokens == 4111111111111111 and json.loads(s["child"].output) == ["call [EMAIL_ADDRESS_1]", {"password": "[SECRET_3]"}]
+    again = artifacts.import_traces(spark, "json", str(tmp_path / "t.json"), str(tmp_path / "again"), key=b"k" * 32)
+    assert again["entity_instance_counts"] == m["entity_instance_counts"]
+    assert {r.span_id for r in artifacts.load(spark, str(tmp_path / "again")).collect()} == {r.span_id for r in s.values()}
+
+
+def test_keys_that_become_alike(spark):
+    from trialscope.operators import documents
+
+    doc = {"input": {"a@x.com": 1, "[EMAIL_ADDRESS_1]": 2, "p": {"token": None}}, "name": "", "n": True}
+    df = spark.createDataFrame([(0, 0, [], json.dumps(doc)), (0, 1, [], None)], "trace_ord long, doc_ord long, path array<string>, doc string")
+    out, leaves = documents.redact_documents(df)
+    assert [json.loads(r.doc) for r in out.collect()] == [{"input": {"[EMAIL_ADDRESS_1]": 1, "[REDACTED_KEY_1]": 2, "p": {"token": "[SECRET_1]"}}, "name": "", "n": True}]
+    assert documents.statistics(leaves) == {"redacted_span_count": 2, "changed_value_count": 2, "secret_keys_redacted": True, "entity_instance_counts": {"EMAIL_ADDRESS": 1, "SECRET": 1}}
+
+
+def test_key_file(tmp_path):
+    path = str(tmp_path / "keys" / "k")
+    assert artifacts.pseudonym_key(path) == artifacts.pseudonym_key(path) and (tmp_path / "keys" / "k").stat().st_mode & 0o777 == 0o600
+    (tmp_path / "bad").write_bytes(b"short")
+    with pytest.raises(ValueError):
+        artifacts.pseudonym_key(str(tmp_path / "bad"))
+
+
+def test_runs_are_written_and_read_by_contract(spark, tmp_path):
+    from trialscope.plans import adapters
+
+    t = adapters.trials(spark, "/root/testdata/sf0.001").filter("group_id < 200 and status <> 'skipped'")
+    out = str(tmp_path / "run")
+    artifacts.write_run(t, out, "r")
+    assert artifacts.load_run(spark, out).count() == t.count()
+    with pytest.raises(ValueError):
+        artifacts.write_run(t.withColumn("nodeid", F.lit("same")), out, "r")
+    assert artifacts.load_run(spark, out).count() == t.count()  # the old run stays
+    spark.read.parquet(f"{out}/aggregates").withColumn("passed", F.col("passed") + 1).write.parquet(f"{out}/other")
+    artifacts.replace(spark.read.parquet(f"{out}/other"), f"{out}/aggregates")
+    with pytest.raises(ValueError):
+        artifacts.load_run(spark, out)
+
+
+def test_pointers_captures_and_queues(spark, tmp_path):
+    spans = spark.createDataFrame([("t", "a"), ("t", "b"), ("u", "c")], "trace_id string, span_id string")
+    m = artifacts.write_spans(spans, str(tmp_path / "raw"), "r")
+    assert (m["span_count"], m["trace_count"]) == (3, 2) and artifacts.manifest_problem(m) == "raw source"
+    assert artifacts.capture_provider(spark, "jsonl", str(tmp_path / "raw/spans")) == "local-jsonl" == artifacts.capture_provider(spark, "jsonl", str(tmp_path / "raw/spans/part"))
+    assert artifacts.capture_provider(spark, "jsonl", str(tmp_path / "other/x/y.jsonl")) == "jsonl"
+    pointer = str(tmp_path / "latest.json")
+    with pytest.raises(ValueError):
+        artifacts.resolve_latest(spark, None, pointer)
+    artifacts.write_latest(spark, pointer, "raw", m)
+    assert artifacts.resolve_latest(spark, None, pointer) == str(tmp_path / "raw") and artifacts.resolve_latest(spark, "file:/x", pointer) == "/x"
+    artifacts.write_latest(spark, pointer, "gone", m)
+    with pytest.raises(ValueError):
+        artifacts.resolve_latest(spark, None, pointer)
+    (tmp_path / "q").mkdir()
+    (tmp_path / "q/a.json").write_text('{"items": [{"id": "x"}, {"id": "y"}]}')
+    (tmp_path / "q/b.json").write_text('{"items": 3}')
+    (tmp_path / "q/c.json").write_text("{")
+    (tmp_path / "q/old.md").write_text("# old")
+    items, problems = artifacts.queue_files(spark, str(tmp_path / "q"), json.loads)
+    assert sorted((r.file, r["item"]) for r in items.collect()) == [("a.json", '{"id": "x"}'), ("a.json", '{"id": "y"}')]
+    assert {r.file for r in problems.collect()} == {"b.json", "c.json", "old.md"}

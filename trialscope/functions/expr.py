@@ -29,9 +29,10 @@ def kind_of(kind: Column, tool_name: Column) -> Column:
 
 
 def runtime_kind(explicit: Column, tool_name: Column, operation: Column, has_genai: Column) -> Column:
-    """Explicit kind, tool, generative operation, any generative attribute, else span."""
+    """Explicit kind as it is, tool, generative operation or another, any generative attribute, else span."""
     tool = F.coalesce(tool_name != "", F.lit(False))
-    return F.when(F.coalesce(explicit != "", F.lit(False)), F.lower(explicit)).when(tool, "tool").when(operation.isin(*formats.GENERATION) | has_genai, "llm").otherwise("span")
+    by_operation = F.when(operation.isin(*formats.GENERATION), "llm").otherwise("span")
+    return F.when(F.coalesce(explicit != "", F.lit(False)), explicit).when(tool, "tool").when(operation.isNotNull(), by_operation).when(has_genai, "llm").otherwise("span")
 
 
 def nanos_of(value: Column) -> Column:

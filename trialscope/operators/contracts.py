@@ -36,15 +36,18 @@ def ordered(trials: DataFrame, ordinal: str) -> DataFrame:
 
 
 def trial_rows(trials: DataFrame) -> DataFrame:
-    """Index within the configured number; a failure exactly on fail, error and skipped; known statuses."""
+    """Index within the configured number; a failure exactly on fail, error and skipped; known statuses; a case's own id,
+    where the column inner_case_id has it, is the trial's."""
     has = F.col("failure_kind").isNotNull()
     rules = {
         "trial_index out of range": (F.col("trial_index") < 1) | (F.col("trial_index") > F.col("configured_trials")),
-        "failure missing": F.col("status").isin("fail", "error") & ~has,
+        "failure missing": F.col("status").isin("fail", "error", "skipped") & ~has,
         "failure not wanted": F.col("status").isin("pass", "provisional") & has,
         "unknown status": ~F.col("status").isin(*formats.STATUSES),
         "unknown category": F.col("failure_category").isNotNull() & ~F.col("failure_category").isin(*formats.CATEGORIES),
     }
+    if "inner_case_id" in trials.columns:
+        rules["case id differs"] = F.col("inner_case_id") != F.col("case_id")
     found = F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in rules.items())), lambda x: x.isNotNull())
     return trials.select(F.explode(found).alias("rule"), F.col("nodeid").cast("string").alias("key"), F.col("status").alias("detail"))
 
@@ -58,9 +61,29 @@ def derived_equal(trials: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def nested_trials(aggregates: DataFrame, trials: DataFrame) -> DataFrame:
-    """Trials embedded in an aggregate (nodeids) that are not its own trials."""
-    inner = aggregates.select("group_id", F.explode("nodeids").alias("nodeid"))
-    return _rows(inner.join(trials.select("group_id", "nodeid"), ["group_id", "nodeid"], "left_anti"), "embedded trial unknown", F.col("nodeid"), F.col("group_id"))
+    """aggregates: group_id, case_id, nodeids. Embedded trials that aren't the aggregate's own, and trials that ran but
+    are embedded in none."""
+    inner = aggregates.select("group_id", "case_id", F.explode("nodeids").alias("nodeid"))
+    ran = trials.filter("status <> 'skipped'").select("group_id", "case_id", "nodeid")
+    keys = ["group_id", "case_id", "nodeid"]
+    unknown = _rows(inner.join(trials.select(*keys), keys, "left_anti"), "embedded trial unknown", F.col("nodeid"), F.col("group_id"))
+    return unknown.unionByName(_rows(ran.join(inner, keys, "left_anti"), "trial not embedded", F.col("nodeid"), F.col("group_id")))
+
+
+def summary_equal(trials: DataFrame, stored: dict[str, DataFrame]) -> DataFrame:
+    """Parts of a stored summary that differ from those derived anew, on either side; stored as from run_summary.
+    Fractions are compared to six digits: sums of them hang on the order of summands."""
+    now = scoring.run_summary(trials)
+
+    def as_row(df: DataFrame) -> DataFrame:
+        columns = [F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in sorted(df.dtypes)]
+        return df.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("row"))
+
+    parts = []
+    for name, df in now.items():
+        a, b = as_row(df), as_row(stored[name].select(df.columns))
+        parts += [_rows(a.exceptAll(b), f"{name} missing", F.lit(name), F.col("row")), _rows(b.exceptAll(a), f"{name} not derived", F.lit(name), F.col("row"))]
+    return all_of(*parts)
 
 
 def run_complete(run: DataFrame) -> DataFrame:
@@ -70,24 +93,45 @@ def run_complete(run: DataFrame) -> DataFrame:
 
 def messages(rows: DataFrame) -> DataFrame:
     """Chat message rules over (case_id, turn, role, content, tool_calls array<struct<id>>, tool_call_id): known roles,
-    text where it is due, tool calls answered before any other role, no unknown or repeated call ids."""
-    w = Window.partitionBy("case_id").orderBy("turn")
-    calls = F.coalesce(F.size(F.coalesce("tool_calls", F.array().cast("array<struct<id: string>>"))), F.lit(0))
-    answer = (F.col("role") == "tool").cast("int")
-    m = rows.withColumns({"open": F.coalesce(F.sum(calls - answer).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "calls": calls})
+    text where it is due; each call of an assistant turn is answered once, by id, before the next other turn or the end,
+    and nothing else is answered.
+
+    A turn that isn't a tool's opens a block, which its answers belong to; ids may come again in a later block.
+    """
+    w = Window.partitionBy("case_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    none = F.array().cast("array<string>")
+    ids = F.when(F.col("tool_calls").isNotNull(), F.transform("tool_calls", lambda c: c["id"]))
+    m = rows.withColumns({"ids": ids, "block": F.count_if(F.col("role") != "tool").over(w)})
+    calls = F.coalesce(F.size(F.coalesce("ids", none)), F.lit(0))
+    speaks = F.col("role") == "assistant"
     rules = {
-        "unknown role": ~F.col("role").isin(*ROLES),
+        "unknown role": ~F.coalesce(F.col("role").isin(*ROLES), F.lit(False)),
         "no text": F.col("role").isin("system", "developer", "user", "tool") & F.col("content").isNull(),
-        "empty assistant turn": (F.col("role") == "assistant") & F.col("content").isNull() & (F.col("calls") == 0),
-        "tool calls not answered": (F.col("role") != "tool") & (F.col("open") > 0),
-        "answer without a call": (F.col("role") == "tool") & (F.col("open") <= 0),
-        "tool calls outside an assistant turn": (F.col("role") != "assistant") & (F.col("calls") > 0),
+        "empty assistant turn": speaks & F.col("content").isNull() & F.col("ids").isNull(),
+        "empty tool calls": speaks & F.col("ids").isNotNull() & (calls == 0),
+        "tool call without id": F.exists(F.coalesce("ids", none), lambda x: F.coalesce(x, F.lit("")) == ""),
+        "repeated tool call id": calls > F.size(F.array_distinct(F.coalesce("ids", none))),
+        "tool calls outside an assistant turn": ~speaks & (calls > 0),
+        "answer without id": (F.col("role") == "tool") & (F.coalesce("tool_call_id", F.lit("")) == ""),
     }
     found = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items())), lambda x: x.isNotNull())
-    by_row = m.select(F.explode(found).alias("rule"), F.concat_ws("/", F.col("case_id").cast("string"), F.col("turn").cast("string")).alias("key"), F.col("role").alias("detail"))
-    made = rows.select("case_id", F.explode("tool_calls.id").alias("call"))
-    unknown = rows.filter("role = 'tool' and tool_call_id is not null").select("case_id", F.col("tool_call_id").alias("call")).join(made, ["case_id", "call"], "left_anti")
-    return by_row.unionByName(_rows(unknown, "unknown tool call id", F.col("case_id"), F.col("call"))).unionByName(repeated(made, "repeated tool call id", "case_id", "call"))
+    place = F.concat_ws("/", F.col("case_id").cast("string"), F.col("turn").cast("string"))
+    by_row = m.select(F.explode(found).alias("rule"), place.alias("key"), F.col("role").alias("detail"))
+    made = m.filter(speaks).select("case_id", "block", "turn", F.explode(F.array_distinct(F.coalesce("ids", none))).alias("call")).filter("call <> ''")
+    answers = m.filter("role = 'tool' and tool_call_id <> ''").select("case_id", "block", "turn", F.col("tool_call_id").alias("call"))
+    keys = ["case_id", "block", "call"]
+    first = answers.groupBy(*keys).agg(F.count("*").alias("n"), F.max("turn").alias("turn"))
+    open_ = _rows(made.join(answers, keys, "left_anti"), "tool call not answered", place, F.col("call"))
+    unknown = _rows(answers.join(made, keys, "left_anti"), "unknown tool call id", place, F.col("call"))
+    again = _rows(first.filter("n > 1").join(made.drop("turn"), keys, "left_semi"), "tool call answered again", place, F.col("call"))
+    return all_of(by_row, open_, unknown, again)
+
+
+def case_rows(cases: DataFrame) -> DataFrame:
+    """Cases (id, has_input, has_messages): an id, and not both an input and messages."""
+    rules = {"no id": F.coalesce(F.col("id"), F.lit("")) == "", "both input and messages": F.col("has_input") & F.col("has_messages")}
+    found = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items())), lambda x: x.isNotNull())
+    return cases.select(F.explode(found).alias("rule"), F.col("id").cast("string").alias("key"), F.lit("case").alias("detail"))
 
 
 def alternation(rows: DataFrame) -> DataFrame:
@@ -104,16 +148,23 @@ def visible_history(rows: DataFrame) -> DataFrame:
 
 
 def ideas(rows: DataFrame) -> DataFrame:
+    """Ideas: an id in form, trace ids that aren't blank, a known status, and the other required texts that rows has."""
     rules = {
-        "bad id": ~F.col("id").rlike("^[a-z0-9][a-z0-9-]*$"),
+        "bad id": ~F.col("id").rlike("^[a-z0-9][a-z0-9-]{0,63}$"),
         "no trace ids": F.coalesce(F.size("trace_ids"), F.lit(0)) < 1,
         "blank trace id": F.exists("trace_ids", lambda x: F.trim(x) == ""),
-        "unknown status": ~F.col("status").isin("proposed", "accepted", "rejected", "implemented"),
+        "unknown status": ~F.col("status").isin(*formats.IDEA_STATUSES),
     }
+    rules |= {f"no {c}": F.trim(c) == "" for c in ("source", "failure_pattern", "expected_outcome") if c in rows.columns}
     found = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(True)), F.lit(n)) for n, c in rules.items())), lambda x: x.isNotNull())
     return rows.select(F.explode(found).alias("rule"), F.col("id").alias("key"), F.col("status").alias("detail"))
 
 
+def fingerprints_equal(rows: DataFrame, fingerprint: Column, stored: str = "semantic_fingerprint") -> DataFrame:
+    """Rows whose stored fingerprint isn't the one derived from their texts."""
+    return _rows(rows.filter(~F.col(stored).eqNullSafe(fingerprint)), "fingerprint differs", F.col("id"), F.col(stored))
+
+
 def agent_runs(events: DataFrame) -> DataFrame:
     """Events of a run: unique ids, strictly increasing sequence, no event its own parent, no end before its start."""
     w = Window.partitionBy("run_id").orderBy("ord")
@@ -124,6 +175,14 @@ def agent_runs(events: DataFrame) -> DataFrame:
     return by_row.unionByName(repeated(events, "repeated event id", "run_id", "id"))
 
 
+def run_completeness(runs: DataFrame) -> DataFrame:
+    """Runs (run_id, trajectory_completeness, state_completeness, incomplete_reason): a reason exactly if incomplete."""
+    complete = (F.col("trajectory_completeness") == "complete") & (F.col("state_completeness") == "complete")
+    has = F.col("incomplete_reason").isNotNull()
+    rule = F.when(complete & has, "reason not wanted").when(~complete & ~has, "reason missing").when(has & (F.trim("incomplete_reason") == ""), "blank reason")
+    return runs.withColumn("rule", rule).filter("rule is not null").select("rule", F.col("run_id").cast("string").alias("key"), F.col("incomplete_reason").alias("detail"))
+
+
 def judge_results(rows: DataFrame) -> DataFrame:
     """Outcome of each judge result: a broken contract, an execution error, a failed assertion, or ok."""
     broken = F.col("passed").isNull() | F.coalesce(F.trim("reasoning") == "", F.lit(True))
@@ -143,4 +202,10 @@ def all_of(*parts: DataFrame) -> DataFrame:
 
 
 def trial_contract(trials: DataFrame) -> DataFrame:
-    return all_of(repeated(trials, "repeated node id", "nodeid"), repeated(trials, "repeated trial", "group_id", "trial_index"), configured_constant(trials), trial_rows(trials))
+    """All rules over trials. Those on groups come from one aggregate: repeated indexes are pairs of a group that occur
+    more often than once, a changing number of trials is seen by its bounds."""
+    pairs = trials.groupBy("group_id", "trial_index").agg(F.count("*").alias("n"), F.min("configured_trials").alias("low"), F.max("configured_trials").alias("high"))
+    by_pair = _rows(pairs.filter("n > 1"), "repeated trial", F.concat_ws("/", "group_id", "trial_index"), F.col("n"))
+    groups = pairs.groupBy("group_id").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high")
+    by_group = _rows(groups, "configured_trials differ", F.col("group_id"), F.concat_ws("..", "low", "high"))
+    return all_of(repeated(trials, "repeated node id", "nodeid"), by_pair, by_group, trial_rows(trials))

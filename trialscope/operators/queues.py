@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,10 +15,11 @@ def duplicate_ids(ideas: DataFrame) -> DataFrame:
     return ideas.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def cross_file_duplicates(ideas: DataFrame, most: int = 1000) -> DataFrame:
-    """Ids in more than one file, with their number of files and the first `most` of them in order."""
+def cross_file_duplicates(ideas: DataFrame) -> DataFrame:
+    """Ids in more than one file, with the number of these and their sorted list. Only ids of several files are gathered."""
     once = ideas.select("id", "file").distinct()
-    return once.groupBy("id").agg(F.count("*").alias("n_files"), F.min("file").alias("first_file"), F.max("file").alias("last_file")).filter("n_files > 1")
+    several = once.groupBy("id").agg(F.count("*").alias("n_files")).filter("n_files > 1")
+    return once.join(several, "id").groupBy("id", "n_files").agg(F.array_sort(F.collect_list("file")).alias("files"))
 
 
 def unknown_traces(ideas: DataFrame, traces: DataFrame) -> DataFrame:
@@ -72,9 +73,29 @@ def timeout_failure(phase: Column, operation: Column) -> Column:
 
 
 def open_operation(events: DataFrame) -> DataFrame:
-    """The latest operation of each node that was started and not ended."""
-    g = events.groupBy("nodeid", "operation").agg(F.sum(F.when(F.col("event") == "start", 1).otherwise(-1)).alias("depth"), F.max(F.when(F.col("event") == "start", F.col("ord"))).alias("ord"))
-    return g.filter("depth > 0").groupBy("nodeid").agg(F.max_by("operation", "ord").alias("operation"))
+    """The latest operation of each node that was started and not ended. An end closes the latest open start of its
+    name, so what is still open began where the name's depth last rose to its final value."""
+    step = F.when(F.col("event") == "start", 1).otherwise(-1)
+    own = Window.partitionBy("nodeid", "operation")
+    e = events.withColumns({"depth": F.sum(step).over(own.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)), "last": F.sum(step).over(own)})
+    began = e.filter("event = 'start' and last > 0 and depth = last")
+    return began.groupBy("nodeid").agg(F.max_by("operation", "ord").alias("operation"))
+
+
+def elapsed_ms(now: Column, started: Column, call_started: Column, phase: Column) -> Column:
+    """Milliseconds since the call began, in its phase, else since the trial did; never negative."""
+    since = F.when((phase == "call") & call_started.isNotNull(), call_started).otherwise(started)
+    return F.greatest(F.lit(0.0), (now - since) / F.lit(1e6))
+
+
+def timed_out(active: DataFrame, stored: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Trials that timed out, joined to what is known of them: a control snapshot of the node, else its stored trial,
+    else nothing but the active row. active: nodeid, message, failure; the others: nodeid and payload columns."""
+    payload = [c for c in stored.columns if c != "nodeid"]
+    side = lambda df, name: df.select("nodeid", F.struct(*payload).alias(name))
+    j = active.join(side(stored, "stored"), "nodeid", "left").join(side(snapshots, "snapshot"), "nodeid", "left")
+    known = F.coalesce("snapshot", "stored")
+    return j.select(*active.columns, known.isNotNull().alias("known"), *(known[c].alias(c) for c in payload), F.lit("error").alias("status"), F.lit(True).alias("incomplete"))
 
 
 def prefix_matches(modules: DataFrame, registry: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trialscope.operators import detectors
 from trialscope.operators.queues import folded, squeezed
+from trialscope.sources.stage import staged
 
 HIDDEN = "[REDACTED]"
 #: Traces whose counts one task sums up at a time for the alias offsets.
@@ -65,23 +66,37 @@ def alias_numbers(found: DataFrame) -> DataFrame:
     return ranked.join(offsets, ["type", "trace_ord"]).select("type", "trace_ord", "identity", (F.col("rank") + F.col("offset")).alias("number"))
 
 
-def redact(leaves: DataFrame, drop_dates: str | None = None) -> DataFrame:
-    """leaves: (trace_ord long, leaf_ord long, text). Adds redacted and n_spans. drop_dates names a boolean column: where
-    it is true, dates stay. A null text stays null."""
-    hits = detectors.detector_udf()(F.col("text"))
-    if drop_dates:
-        hits = F.filter(hits, lambda h: ~F.coalesce(F.col(drop_dates), F.lit(False)) | (h["type"] != "DATE_TIME"))
-    base = leaves.withColumn("spans", union_spans(hits))
+def named_spans(found: DataFrame) -> DataFrame:
+    """found: (trace_ord, leaf_ord, text, spans), as from union_spans, and any other columns. Adds replaced (the text with
+    its aliases), n_spans and types (type and number of each alias). Rows must be written before: they are read thrice."""
     known = F.col("s.type").isin(*detectors.TYPES) & ~F.col("s.conflicted")
     value = F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
-    exploded = base.select("trace_ord", "leaf_ord", "text", F.explode("spans").alias("s")).select("trace_ord", "leaf_ord", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.when(known, F.col("s.type")).alias("type"), value.alias("value"))
-    exploded = exploded.withColumn("identity", F.when(F.col("type").isin(*detectors.FOLDED_TYPES), squeezed(folded(F.col("value")))).otherwise(F.col("value")))
+    exploded = found.select("trace_ord", "leaf_ord", "text", F.explode("spans").alias("s")).select("trace_ord", "leaf_ord", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.when(known, F.col("s.type")).alias("type"), value.alias("value"))
+    folds = F.col("type").isin(*detectors.FOLDED_TYPES)
+    plain = exploded.filter(~F.coalesce(folds, F.lit(False))).withColumn("identity", F.col("value"))
+    names = exploded.filter(folds).withColumn("identity", squeezed(folded(F.col("value"))))
+    exploded = plain.unionByName(names)
     numbers = alias_numbers(exploded.filter("type is not null"))
     named = exploded.join(numbers, ["type", "trace_ord", "identity"], "left")
     alias = F.when(F.col("type").isNull(), F.lit(HIDDEN)).otherwise(F.concat(F.lit("["), F.col("type"), F.lit("_"), F.col("number").cast("string"), F.lit("]")))
-    by_leaf = named.groupBy("trace_ord", "leaf_ord").agg(F.array_sort(F.collect_list(F.struct("start", "end", alias.alias("alias")))).alias("replaced"))
-    out = base.drop("spans").join(by_leaf, ["trace_ord", "leaf_ord"], "left")
-    return out.withColumns({"redacted": F.when(F.col("replaced").isNull(), F.col("text")).otherwise(splice(F.col("text"), F.col("replaced"))), "n_spans": F.coalesce(F.size("replaced"), F.lit(0))}).drop("replaced")
+    by_leaf = named.groupBy("trace_ord", "leaf_ord").agg(
+        F.array_sort(F.collect_list(F.struct("start", "end", alias.alias("alias")))).alias("aliases"),
+        F.collect_set(F.when(F.col("type").isNotNull(), F.struct("type", "number"))).alias("types"),
+    )
+    out = found.drop("spans").join(by_leaf, ["trace_ord", "leaf_ord"])
+    return out.withColumns({"replaced": splice(F.col("text"), F.col("aliases")), "n_spans": F.size("aliases")}).drop("aliases")
+
+
+def redact(leaves: DataFrame, drop_dates: str | None = None) -> DataFrame:
+    """leaves: (trace_ord long, leaf_ord long, text). Adds redacted and n_spans. drop_dates names a boolean column: where
+    it is true, dates stay. A null text stays null. Texts without a sign of any value never reach the detectors."""
+    dates = F.coalesce(F.col(drop_dates), F.lit(False)) if drop_dates else F.lit(False)
+    read = leaves.filter(detectors.gated(F.col("text"))).select("trace_ord", "leaf_ord", "text", dates.alias("no_dates"))
+    hits = F.filter(detectors.detector_udf()(F.col("text")), lambda h: ~F.col("no_dates") | (h["type"] != "DATE_TIME"))
+    found = staged(read.withColumn("spans", union_spans(hits)).filter(F.size("spans") > 0).drop("no_dates"), "found")
+    named = named_spans(found).select("trace_ord", "leaf_ord", "replaced", "n_spans")
+    out = leaves.join(named, ["trace_ord", "leaf_ord"], "left")
+    return out.withColumns({"redacted": F.coalesce("replaced", "text"), "n_spans": F.coalesce("n_spans", F.lit(0))}).drop("replaced")
 
 
 def manifest(redacted: DataFrame) -> DataFrame:

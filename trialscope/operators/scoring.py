@@ -59,19 +59,34 @@ def pass_k_curve(groups: DataFrame) -> DataFrame:
     return points.groupBy("k").agg((F.sum(value * F.col("n")) / F.sum("n")).alias("value"), F.sum("n").alias("cohorts"))
 
 
-def latency(trials: DataFrame) -> DataFrame:
+def latency(trials: DataFrame, ranges: int = 4096) -> DataFrame:
     """Exact median, nearest-rank p95 and mean of the durations; zeros if there are none.
 
-    Durations are counted by value before they are ranked: one task sees distinct values, not trials.
+    Durations are counted by range first, ranges of equal width between the least and the greatest. Their sums tell
+    which ranges hold the ranks asked for; only the values of these are ranked, each range by itself.
     """
-    by_value = trials.filter("duration_ms is not null").groupBy("duration_ms").agg(F.count("*").alias("n"))
-    ranked = by_value.withColumn("upto", F.sum("n").over(Window.orderBy("duration_ms").rowsBetween(Window.unboundedPreceding, 0)))
-    ranked = ranked.crossJoin(F.broadcast(by_value.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"))))  # one row
-    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("duration_ms")))
-    low, high = F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)
-    out = ranked.agg(((at(low) + at(high)) / 2).alias("p50"), at(F.bround(F.lit(0.95) * (F.col("all") - 1), 0)).alias("p95"), (F.sum(F.col("duration_ms") * F.col("n")) / F.sum("n")).alias("mean"))
+    d = trials.select(F.col("duration_ms").cast("double").alias("x")).filter("x is not null")
+    low, high, n, total = d.agg(F.min("x"), F.max("x"), F.count("*"), F.sum("x")).first()
     zero = F.lit(0.0)
-    return out.select(F.coalesce("p50", zero).alias("latency_p50_ms"), F.coalesce("p95", zero).alias("latency_p95_ms"), F.coalesce("mean", zero).alias("latency_mean_ms"))
+    if not n:
+        return trials.sparkSession.range(1).select(zero.alias("latency_p50_ms"), zero.alias("latency_p95_ms"), zero.alias("latency_mean_ms"))
+    width = (high - low) / ranges or 1.0
+    cell = lambda x: F.least(F.lit(ranges - 1), F.floor((x - low) / F.lit(width)).cast("int"))
+    counts = d.groupBy(cell(F.col("x")).alias("cell")).agg(F.count("*").alias("n")).orderBy("cell").collect()  # at most `ranges` rows
+    ranks = [(n - 1) // 2, n // 2, round(0.95 * (n - 1))]
+    wanted, before = {}, 0
+    for r in counts:
+        for rank in ranks:
+            if before <= rank < before + r.n:
+                wanted[rank] = (r.cell, rank - before)
+        before += r.n
+    cells = sorted({c for c, _ in wanted.values()})
+    values = d.withColumn("cell", cell(F.col("x"))).filter(F.col("cell").isin(*cells)).groupBy("cell", "x").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("cell").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = values.withColumn("upto", upto)
+    at = lambda rank: F.min(F.when((F.col("cell") == wanted[rank][0]) & (F.col("upto") > wanted[rank][1]), F.col("x")))
+    out = ranked.agg(*(at(r).alias(f"r{i}") for i, r in enumerate(ranks)))
+    return out.select(((F.col("r0") + F.col("r1")) / 2).alias("latency_p50_ms"), F.col("r2").alias("latency_p95_ms"), F.lit(total / n).alias("latency_mean_ms"))
 
 
 def cost_observation(trials: DataFrame) -> DataFrame:
@@ -129,6 +144,9 @@ def excluded_errors(trials: DataFrame) -> DataFrame:
     return trials.filter((F.col("status") == "error") & ~F.col("smoke") & ~agent).agg(F.count("*").alias("excluded_error_trials"))
 
 
+SUMMARY_PARTS = ("pass_k_curve", "pass_k_cohorts", "error_counts", "excluded_error_trials", "latency", "cost")
+
+
 def run_summary(trials: DataFrame) -> dict[str, DataFrame]:
     """All parts of a run's summary, each a table."""
     scored = eligible(trials)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -62,6 +61,26 @@ def _type_name(value) -> str:
     return {bool: "BOOLEAN", int: "BIGINT", str: "STRING"}.get(type(value), "")
 
 
+def _equal(document: Column, value, path: str) -> Column:
+    """Whether the variant at the path is the JSON value: same types, same keys, element by element."""
+    at = F.try_variant_get(document, path, "variant")
+    kind = F.schema_of_variant(at)
+    if isinstance(value, (dict, list)):
+        keyed = isinstance(value, dict)
+        inner = F.map_keys(F.try_variant_get(document, path, "map<string, variant>")) if keyed else F.try_variant_get(document, path, "array<variant>")
+        checks = [kind.startswith("OBJECT" if keyed else "ARRAY"), F.size(inner) == len(value)]
+        checks += [_equal(document, v, f'{path}["{k}"]') for k, v in value.items()] if keyed else [_equal(document, v, f"{path}[{i}]") for i, v in enumerate(value)]
+        return F.coalesce(reduce(lambda a, b: a & b, checks), F.lit(False))
+    if value is None:
+        return F.coalesce(F.is_variant_null(at), F.lit(False))
+    if isinstance(value, float):
+        return F.coalesce((kind.startswith("DECIMAL") | (kind == "DOUBLE")) & (F.try_variant_get(document, path, "double") == F.lit(value)), F.lit(False))
+    if not _type_name(value):
+        raise TypeError(f"not JSON: {value!r}")
+    spark_type = {"BOOLEAN": "boolean", "BIGINT": "bigint", "STRING": "string"}[_type_name(value)]
+    return F.coalesce((kind == _type_name(value)) & (F.try_variant_get(document, path, spark_type) == F.lit(value)), F.lit(False))
+
+
 def contains_json(document: Column, wanted: dict) -> Column:
     """Whether a variant object holds `wanted`: objects by subset at every depth, arrays and scalars by type and value
     (true is not 1, 1 is not 1.0). An absent document never does, not even for an empty filter."""
@@ -75,18 +94,8 @@ def contains_json(document: Column, wanted: dict) -> Column:
             checks.append(F.coalesce(F.schema_of_variant(at).startswith("OBJECT"), F.lit(False)))
             for k, v in value.items():
                 walk(v, f'{path}["{k}"]')
-        elif value is None:
-            checks.append(F.coalesce(F.is_variant_null(at), F.lit(False)))
-        elif isinstance(value, list):
-            checks.append(F.coalesce(F.to_json(at) == json.dumps(value, separators=(",", ":"), sort_keys=True), F.lit(False)))
-        elif isinstance(value, float):
-            kind = F.schema_of_variant(at)
-            checks.append(F.coalesce((kind.startswith("DECIMAL") | (kind == "DOUBLE")) & (F.try_variant_get(document, path, "double") == F.lit(value)), F.lit(False)))
-        elif _type_name(value):
-            spark_type = {"BOOLEAN": "boolean", "BIGINT": "bigint", "STRING": "string"}[_type_name(value)]
-            checks.append(F.coalesce((F.schema_of_variant(at) == _type_name(value)) & (F.try_variant_get(document, path, spark_type) == F.lit(value)), F.lit(False)))
         else:
-            raise TypeError(f"not JSON: {value!r}")
+            checks.append(_equal(document, value, path))
 
     for k, v in wanted.items():
         walk(v, f'$["{k}"]')
@@ -103,6 +112,26 @@ def matching(calls: DataFrame, name: str, arguments: dict | None = None, result:
     return out
 
 
+def called(calls: DataFrame, name: str, arguments: dict | None = None, result: dict | None = None, status: str | None = None) -> DataFrame:
+    """Whether any call of each trace that has calls satisfies the filters."""
+    hits = matching(calls, name, arguments, result, status).select("trace_id", F.lit(True).alias("hit")).distinct()
+    return calls.select("trace_id").distinct().join(hits, "trace_id", "left").select("trace_id", F.coalesce("hit", F.lit(False)).alias("called"))
+
+
+def trace_documents(spans: DataFrame) -> DataFrame:
+    """One document per trace: its tool names and calls in order, cost, turns and extent. Only tool calls are gathered."""
+    names = tool_names(tool_calls(spans))
+    m = measures(spans).join(costs(spans), "trace_id").join(names, "trace_id", "left")
+    none = F.array().cast("array<string>")
+    return m.select("trace_id", F.coalesce("names", none).alias("tools"), "cost", "known_cost", "cost_available", "llm_turns", F.col("extent_ms").alias("duration_ms"))
+
+
+def generative_spans(spans: DataFrame) -> DataFrame:
+    """Spans of instrumented model calls: no kind of their own, and by operation, attributes and tool a model's."""
+    from_attributes = expr.runtime_kind(F.lit(None).cast("string"), F.col("tool_name"), F.col("operation"), F.coalesce("has_genai", F.lit(False)))
+    return spans.filter(F.col("explicit_kind").isNull() & (from_attributes == "llm"))
+
+
 def costs(spans: DataFrame) -> DataFrame:
     """Known cost, whether every billable span is priced, and the cost if so."""
     billable = F.coalesce(F.lower("kind") == "llm", F.lit(False)) | F.col("cost_usd").isNotNull()

@@ -7,15 +7,22 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import os
 import re
+import secrets
+import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trialscope.functions import formats
-from trialscope.operators import detectors, redaction
+from trialscope.functions import expr, formats
+from trialscope.operators import contracts, detectors, documents, scoring
+from trialscope.operators import traces as operators
 from trialscope.sources import readers
+from trialscope.sources.stage import staged
 
 VERSION = "redactor-v2"
 SCHEME = "hmac-sha256-96"
@@ -40,40 +47,65 @@ def digest(spark: SparkSession, path: str) -> str:
     return parts.agg(F.sha2(F.encode(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "sha"))), lambda x: x["sha"]), ","), "UTF-8"), 256)).first()[0]
 
 
-def manifest_problem(manifest: dict | None, rules: str | None = None) -> str | None:
-    """Why a manifest isn't safe, in order of the rules; None if it is."""
-    m = manifest or {}
-    checks = [
-        (not manifest, "no manifest"),
-        (m.get("raw_source") is True, "raw source"),
-        (m.get("version") != VERSION, "not redacted by this version"),
-        (m.get("mandatory") is not True, "redaction was not mandatory"),
-        (m.get("value_redaction_applied") is not True, "values were not redacted"),
-        (m.get("redaction_available") is not True, "redaction was not available"),
-        (m.get("ruleset_hash") != (rules or detectors.ruleset_hash()), "unknown ruleset"),
-        (m.get("language") != "en", "unsupported language"),
-        (not m.get("pseudonymization"), "no pseudonyms"),
-        (m.get("pseudonymization") != SCHEME, "unsupported pseudonyms"),
-    ]
-    return next((why for bad, why in checks if bad), None)
-
-
-def manifest_problems(manifests: DataFrame) -> DataFrame:
-    """The same rules over a table of manifests: path and problem of each unsafe one."""
-    rules = [
-        (F.coalesce("raw_source", F.lit(False)), "raw source"),
-        (F.coalesce(F.col("version") != VERSION, F.lit(True)), "not redacted by this version"),
-        (~F.coalesce("mandatory", F.lit(False)), "redaction was not mandatory"),
-        (~F.coalesce("value_redaction_applied", F.lit(False)), "values were not redacted"),
-        (F.coalesce(F.col("ruleset_hash") != detectors.ruleset_hash(), F.lit(True)), "unknown ruleset"),
-        (F.coalesce(F.col("pseudonymization") != SCHEME, F.lit(True)), "unsupported pseudonyms"),
+#: Model and version that a manifest may name: the pattern detectors. register_model() adds a named-entity model.
+MODELS: set[tuple[str, str]] = {("patterns", "1")}
+
+_MANIFEST = (
+    "raw_source boolean, version string, mandatory boolean, value_redaction_applied boolean, redaction_available boolean, ruleset_hash string, "
+    "language string, pseudonymization string, model struct<name: string, version: string, checksum_verified: boolean>"
+)
+
+
+def register_model(name: str, version: str) -> None:
+    MODELS.add((name, version))
+
+
+def _rules(rules: str) -> list[tuple[Column, str]]:
+    """What makes a manifest unsafe, in order."""
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    model = F.struct(F.col("model.name"), F.col("model.version"))
+    known = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(v).alias("version")) for n, v in sorted(MODELS)))
+    return [
+        (yes("raw_source"), "raw source"),
+        (~F.col("version").eqNullSafe(VERSION), "not redacted by this version"),
+        (~yes("mandatory"), "redaction was not mandatory"),
+        (~yes("value_redaction_applied"), "values were not redacted"),
+        (~yes("redaction_available"), "redaction was not available"),
+        (~F.col("ruleset_hash").eqNullSafe(rules), "unknown ruleset"),
+        (~F.col("language").eqNullSafe("en"), "unsupported language"),
+        (F.coalesce("pseudonymization", F.lit("")) == "", "no pseudonyms"),
+        (~F.col("pseudonymization").eqNullSafe(SCHEME), "unsupported pseudonyms"),
+        (F.col("model").isNull(), "no model"),
+        (~F.coalesce(F.array_contains(known, model), F.lit(False)), "unknown model"),
+        (~yes("model.checksum_verified"), "unverified model"),
     ]
+
+
+def manifest_problems(manifests: DataFrame, rules: str | None = None) -> DataFrame:
+    """path and problem of each unsafe manifest, of a table of them (path, and the columns of _MANIFEST)."""
     problem: Column | None = None
-    for bad, why in rules:
+    for bad, why in _rules(rules or detectors.ruleset_hash()):
         problem = F.when(bad, why) if problem is None else problem.when(bad, why)
     return manifests.withColumn("problem", problem).filter("problem is not null").select("path", "problem")
 
 
+def manifest_problem(manifest: dict | None, rules: str | None = None) -> str | None:
+    """Why a manifest isn't safe, by the same rules; None if it is."""
+    if not isinstance(manifest, dict) or not manifest:
+        return "no manifest"
+    spark = SparkSession.active()
+    text = F.lit(json.dumps(manifest))
+    row = spark.range(1).select(F.lit("").alias("path"), F.from_json(text, _MANIFEST).alias("m")).select("path", "m.*")
+    found = manifest_problems(row, rules).first()
+    return found.problem if found else None
+
+
+def manifests(spark: SparkSession, pattern: str) -> DataFrame:
+    """path and fields of all manifests of a pattern; those that are no JSON have no fields."""
+    text = spark.read.text(pattern, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    return text.select("path", F.from_json("value", _MANIFEST).alias("m")).select("path", "m.*")
+
+
 def _paths(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -104,35 +136,109 @@ def read_text(spark: SparkSession, path: str) -> str:
     return "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
 
 
-def import_traces(spark: SparkSession, provider: str, source: str, out: str, limit: int = 1000, max_bytes: int = 50_000_000, prefix: str = formats.PREFIX) -> dict:
-    """Reads an export, redacts the payloads of the first `limit` traces, writes spans and traces and their manifest."""
+def pseudonym_key(path: str) -> bytes:
+    """The key of a file on the driver, made if there is none: 32 random bytes for the owner alone. The file appears
+    whole or not at all; of two writers at once the first one's key stays."""
+    if not os.path.exists(path):
+        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+        handle, new = tempfile.mkstemp(dir=os.path.dirname(path) or ".")
+        try:
+            os.write(handle, secrets.token_bytes(32))
+            os.close(handle)
+            os.link(new, path)
+        except FileExistsError:
+            pass
+        finally:
+            os.unlink(new)
+    os.chmod(path, 0o600)
+    with open(path, "rb") as f:
+        key = f.read()
+    if len(key) != 32:
+        raise ValueError(f"{path} holds no key of 32 bytes")
+    return key
+
+
+def pseudonymous(traces: DataFrame, spans: DataFrame, key: bytes) -> tuple[DataFrame, DataFrame]:
+    """Both tables with keyed hashes for ids; a parent that is no span of the trace becomes null."""
+    own = lambda c: expr.pseudonym(key, "span", F.col("trace_id"), F.col(c))
+    s = operators.resolve_parents(spans).withColumns({"span_id": own("span_id"), "parent_id": own("parent_id"), "trace_id": expr.pseudonym(key, "trace", F.col("trace_id"))})
+    return traces.withColumn("id", expr.pseudonym(key, "trace", F.col("id"))), s.select(*spans.columns)
+
+
+#: Fields of a trace and of a span that are redacted, as one document each.
+TRACE_FIELDS, SPAN_FIELDS = ("name", "status", "input", "output"), ("name", "kind", "tool_name", "status", "status_message", "input", "output", "usage")
+
+
+def _document(fields: tuple[str, ...]) -> Column:
+    return F.to_json(F.struct(*fields))
+
+
+def _fields(doc: Column, fields: tuple[str, ...]) -> dict[str, Column]:
+    """The fields of a redacted document: payloads as JSON text, usage as it was but for its texts, others as text."""
+    v = F.parse_json(doc)
+    out = {}
+    for f in fields:
+        got = F.try_variant_get(v, readers.path(f), "variant")
+        out[f] = F.to_json(got) if f in ("input", "output") else F.from_json(F.to_json(got), readers.USAGE_SQL) if f == "usage" else F.try_variant_get(v, readers.path(f), "string")
+    return out
+
+
+def import_traces(spark: SparkSession, provider: str, source: str, out: str, limit: int = 1000, max_bytes: int = 50_000_000, prefix: str = formats.PREFIX, key: bytes | None = None, run_id: str | None = None) -> dict:
+    """Reads an export, replaces ids by pseudonyms, redacts the first `limit` traces and writes traces, spans and their
+    manifest. key: of the pseudonyms, 32 bytes; without one, a key drawn for this import links nothing else.
+
+    A jsonl beside a manifest that calls it a local capture is one. The detectors read each value once.
+    """
     if limit < 1 or max_bytes < 1:
         raise ValueError("limit and max_bytes are at least 1")
+    if key is not None and len(key) < 16:
+        raise ValueError("a key has at least 16 bytes")
+    provider = capture_provider(spark, provider.lower(), source)
     bounded(spark, source, max_bytes)
     export = readers.read(spark, provider, source, prefix)
-    traces = readers.trace_rows(export, limit)
-    numbered = traces.select("id", "trace_ord").withColumn("n", F.row_number().over(Window.orderBy("trace_ord")).cast("long") - 1)  # at most `limit` rows
-    spans = export.spans.drop("trace_ord").join(F.broadcast(numbered.select(F.col("id").alias("trace_id"), "n")), "trace_id")
-    texts = []
-    for k, column in enumerate(("name", "status_message", "input", "output")):
-        text = F.to_json(column) if column in ("input", "output") else F.col(column)
-        texts.append(spans.select(F.col("n").alias("trace_ord"), F.xxhash64("trace_id", "span_id", F.lit(k)).alias("leaf_ord"), text.alias("text")))
-    leaves = texts[0].unionByName(texts[1]).unionByName(texts[2]).unionByName(texts[3]).filter("text is not null")
-    safe = redaction.redact(leaves)
-    stats = redaction.manifest(safe).first()
-    wide = spans
-    for k, column in enumerate(("name", "status_message", "input", "output")):
-        side = safe.select(F.col("leaf_ord").alias("leaf"), F.col("redacted").alias(f"safe_{column}"))
-        wide = wide.join(side, F.xxhash64("trace_id", "span_id", F.lit(k)) == F.col("leaf"), "left").drop("leaf", column).withColumnRenamed(f"safe_{column}", column)
-    replace(wide.drop("span_ord", "n"), f"{out}/spans")
-    replace(traces.select("id", "started_at", "ended_at", "duration_ms", "status", "span_count"), f"{out}/traces")
-    manifest = {"version": VERSION, "mandatory": True, "language": "en", "value_redaction_applied": True, "redaction_available": True, "ruleset_hash": stats.ruleset_hash, "pseudonymization": SCHEME, "redacted_span_count": stats.redacted_span_count, "changed_value_count": stats.changed_value_count, "trace_count": traces.count(), "provider": provider.lower(), "imported_at": dt.datetime.now(dt.UTC).isoformat(), "sha256": digest(spark, f"{out}/spans")}
+    traces = staged(readers.trace_rows(export, limit), "import-traces")
+    numbered = traces.select(F.col("id").alias("trace_id"), (F.row_number().over(Window.orderBy("trace_ord")) - 1).cast("long").alias("n"))  # at most `limit` rows
+    spans = export.spans.drop("trace_ord").join(F.broadcast(numbered), "trace_id")
+    order = Window.partitionBy("n").orderBy("span_ord")
+    spans = staged(spans.withColumn("doc_ord", F.row_number().over(order).cast("long")).drop("span_ord"), "import-spans")
+    whole = F.array().cast("array<string>")
+    docs = traces.join(F.broadcast(numbered), traces["id"] == numbered["trace_id"]).select(F.col("n").alias("trace_ord"), F.lit(0).cast("long").alias("doc_ord"), whole.alias("path"), _document(TRACE_FIELDS).alias("doc"))
+    docs = docs.unionByName(spans.select(F.col("n").alias("trace_ord"), "doc_ord", F.array(*map(F.lit, documents.SPAN)).alias("path"), _document(SPAN_FIELDS).alias("doc")))
+    safe, leaves = documents.redact_documents(docs)
+    safe = staged(safe, "import-safe")
+    key = key or secrets.token_bytes(32)
+    run_id = run_id or uuid.uuid4().hex
+    now = dt.datetime.now(dt.UTC).isoformat()
+    s = spans.join(safe.filter("doc_ord > 0").withColumnRenamed("trace_ord", "n"), ["n", "doc_ord"]).withColumns(_fields(F.col("doc"), SPAN_FIELDS)).drop("doc")
+    t = traces.join(F.broadcast(numbered), traces["id"] == numbered["trace_id"]).join(safe.filter("doc_ord = 0").select(F.col("trace_ord").alias("n"), "doc"), "n").withColumns(_fields(F.col("doc"), TRACE_FIELDS))
+    t = t.withColumns({"provider": F.lit(provider), "import_run_id": F.lit(run_id), "imported_at": F.lit(now)})
+    t, s = pseudonymous(t, s, key)
+    replace(s.select("n", "doc_ord", *readers.SPAN_COLUMNS), f"{out}/spans")
+    replace(t.select("n", *TRACE_COLUMNS), f"{out}/traces")
+    stats = documents.statistics(leaves)
+    manifest = {"version": VERSION, "mandatory": True, "language": "en", "value_redaction_applied": True, "redaction_available": True, "ruleset_hash": detectors.ruleset_hash(), "pseudonymization": SCHEME, "model": {"name": "patterns", "version": "1", "checksum_verified": True}}
+    manifest |= stats | {"trace_count": traces.count(), "span_count": spans.count(), "provider": provider, "import_run_id": run_id, "imported_at": now, "sha256": _digests(spark, out)}
     write_text(spark, f"{out}/manifest.json", json.dumps(manifest, sort_keys=True))
     return manifest
 
 
-def load_traces(spark: SparkSession, out: str) -> DataFrame:
-    """The spans of an import, if its manifest is safe and its files are those that were written."""
+TRACE_COLUMNS = ("id", "name", "provider", "import_run_id", "imported_at", "started_at", "ended_at", "duration_ms", "status", "input", "output", "span_count")
+
+
+def _digests(spark: SparkSession, out: str) -> str:
+    return f"{digest(spark, f'{out}/traces')},{digest(spark, f'{out}/spans')}"
+
+
+def warnings(manifest: dict) -> list[str]:
+    """What an import's user should know."""
+    out = ["secret-like fields were redacted"] if manifest.get("secret_keys_redacted") else []
+    changed = int(manifest.get("changed_value_count") or 0)
+    return out + ([f"redaction changed {changed} value(s)"] if changed else [])
+
+
+def load(spark: SparkSession, out: str, part: str = "spans") -> DataFrame:
+    """The spans or traces of an import, if its manifest is safe, its files are those that were written and their
+    columns those of the format."""
     try:
         manifest = json.loads(read_text(spark, f"{out}/manifest.json"))
     except Exception as error:
@@ -140,9 +246,160 @@ def load_traces(spark: SparkSession, out: str) -> DataFrame:
     problem = manifest_problem(manifest)
     if problem:
         raise GateError(problem)
-    if digest(spark, f"{out}/spans") != manifest.get("sha256"):
+    if _digests(spark, out) != manifest.get("sha256"):
         raise GateError("the files are not those of the manifest")
-    return spark.read.parquet(f"{out}/spans")
+    df = spark.read.parquet(f"{out}/{part}")
+    wanted = {"n", "doc_ord", *readers.SPAN_COLUMNS} if part == "spans" else {"n", *TRACE_COLUMNS}
+    if set(df.columns) != wanted:
+        raise GateError("the columns are not those of the format")
+    return df
+
+
+def load_traces(spark: SparkSession, out: str) -> DataFrame:
+    return load(spark, out)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs, _ = _paths(spark, path)
+    return fs.exists(p)
+
+
+def capture_provider(spark: SparkSession, provider: str, source: str) -> str:
+    """local-jsonl for a jsonl whose folder, or the one above, has a manifest that says so."""
+    if provider != "jsonl":
+        return provider
+    folder = source.rsplit("/", 1)[0]
+    for place in (folder, folder.rsplit("/", 1)[0]):
+        if exists(spark, f"{place}/manifest.json"):
+            try:
+                found = json.loads(read_text(spark, f"{place}/manifest.json"))
+            except ValueError:
+                continue
+            return "local-jsonl" if isinstance(found, dict) and found.get("source") == "local-jsonl" else provider
+    return provider
+
+
+RAW = {"raw_source": True, "mandatory": False, "value_redaction_applied": False, "redaction_available": False}
+
+
+def write_spans(spans: DataFrame, folder: str, run_id: str) -> dict:
+    """A run's raw spans and their manifest, which is never safe: raw spans become evidence by an import only."""
+    spark = spans.sparkSession
+    spans.write.mode("append").json(f"{folder}/spans")
+    counts = spark.read.schema("trace_id string").json(f"{folder}/spans").agg(F.count("*").alias("spans"), F.count_distinct("trace_id").alias("traces")).first()
+    manifest = {"run_id": run_id, "source": "local-jsonl", "files": ["spans"], "span_count": counts.spans, "trace_count": counts.traces, "created_at": dt.datetime.now(dt.UTC).isoformat(), "redaction": RAW, **RAW}
+    write_text(spark, f"{folder}/manifest.json", json.dumps(manifest, sort_keys=True))
+    return manifest
+
+
+LATEST = "trace-import-latest-1"
+
+
+def write_latest(spark: SparkSession, pointer: str, artifact: str, manifest: dict) -> None:
+    keep = {k: manifest.get(k) for k in ("provider", "trace_count", "span_count", "imported_at")}
+    write_text(spark, pointer, json.dumps({"schema_version": LATEST, "artifact_path": artifact, **keep}, sort_keys=True))
+
+
+def resolve_latest(spark: SparkSession, source: str | None, pointer: str) -> str:
+    """The named source, without file:, or what the pointer names, relative to the pointer's folder."""
+    if source:
+        return source.removeprefix("file:")
+    if not exists(spark, pointer):
+        raise ValueError("no latest import: import traces first or name a source")
+    try:
+        found = json.loads(read_text(spark, pointer))
+    except ValueError as error:
+        raise ValueError("the pointer to the latest import is malformed") from error
+    if not isinstance(found, dict) or found.get("schema_version") != LATEST:
+        raise ValueError("the pointer to the latest import is malformed")
+    artifact = found.get("artifact_path")
+    if not isinstance(artifact, str) or not artifact:
+        raise ValueError("the pointer to the latest import names no artifact")
+    path = artifact if "://" in artifact or artifact.startswith("/") else f"{pointer.rsplit('/', 1)[0]}/{artifact}"
+    if not exists(spark, path):
+        raise ValueError(f"the latest import is not there: {path}")
+    return path
+
+
+RESULT = "run-result-1"
+TRIAL_COLUMNS = ("nodeid", "group_id", "case_id", "trial_index", "configured_trials", "status", "failure_kind", "failure_category", "smoke", "duration_ms", "cost_usd", "llm_turns")
+
+
+def write_run(trials: DataFrame, out: str, run_id: str, complete: bool = True, interruption: str | None = None) -> dict:
+    """A run's trials in order, its aggregates and summary, and its manifest. A broken contract leaves the old run."""
+    spark = trials.sparkSession
+    t = staged(trials.select(*TRIAL_COLUMNS), "run-trials")
+    provisional = t.filter("status = 'provisional'").count()
+    broken = contracts.trial_contract(t).first()
+    if broken:
+        raise ValueError(f"{broken.rule}: {broken.key}")
+    if complete and (provisional or interruption):
+        raise ValueError("a complete run is neither interrupted nor provisional")
+    replace(t.orderBy("group_id", "trial_index", "nodeid"), f"{out}/trials")
+    replace(scoring.verdicts(t), f"{out}/aggregates")
+    for name, df in scoring.run_summary(t).items():
+        replace(df, f"{out}/summary/{name}")
+    manifest = {"schema_version": RESULT, "run_id": run_id, "complete": complete, "interruption": interruption, "trials": t.count()}
+    write_text(spark, f"{out}/manifest.json", json.dumps(manifest, sort_keys=True))
+    return manifest
+
+
+def load_run(spark: SparkSession, out: str) -> DataFrame:
+    """The trials of a run, after its version, contract, aggregates and summary were found right."""
+    try:
+        manifest = json.loads(read_text(spark, f"{out}/manifest.json"))
+    except Exception as error:
+        raise ValueError("no readable result") from error
+    if not isinstance(manifest, dict) or "schema_version" not in manifest:
+        raise ValueError("the result has no schema version")
+    if manifest["schema_version"] != RESULT:
+        raise ValueError(f"unsupported schema version {manifest['schema_version']!r}")
+    t = spark.read.parquet(f"{out}/trials")
+    if set(t.columns) != set(TRIAL_COLUMNS):
+        raise ValueError("the trials' columns are not those of the format")
+    run = spark.createDataFrame([(manifest["run_id"], manifest["complete"], manifest["interruption"], t.filter("status = 'provisional'").count())], "run_id string, complete boolean, interruption string, provisional long")
+    stored = {name: spark.read.parquet(f"{out}/summary/{name}") for name in scoring.SUMMARY_PARTS}
+    problems = contracts.all_of(contracts.run_complete(run), contracts.trial_contract(t), contracts.derived_equal(t, spark.read.parquet(f"{out}/aggregates")), contracts.summary_equal(t, stored))
+    broken = problems.first()
+    if broken:
+        raise ValueError(f"{broken.rule}: {broken.key}")
+    return t
+
+
+def trial_traces(trials: DataFrame, run_id: str) -> DataFrame:
+    """One record per trial with a case, under an id of run, case and index."""
+    id_ = F.concat_ws("_", F.lit(run_id), "case_id", F.concat(F.lit("trial"), F.col("trial_index").cast("string")))
+    return trials.filter("case is not null").select(id_.alias("id"), F.lit(run_id).alias("run_id"), *[c for c in trials.columns if c not in ("id", "run_id")])
+
+
+def queue_files(spark: SparkSession, folder: str, parse: Callable[[str], object]) -> tuple[DataFrame, DataFrame]:
+    """Review queues of a folder's .yaml, .yml and .json files: (file, item) with items as JSON text, and (file, problem)
+    of files that can't be read; other files count as legacy. parse turns a file's text into an object and runs on
+    executors: json.loads, or a YAML loader where one is installed."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    named = files.filter(F.col("file").rlike(r"\.(ya?ml|json)$"))
+
+    def read(batches):
+        for batch in batches:
+            rows = {"file": [], "item": [], "problem": []}
+            for file, content in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                items, problem = [], None
+                try:
+                    found = parse(content.decode())
+                    items = found["items"] if isinstance(found, dict) and isinstance(found.get("items"), list) else None
+                    if items is None or any(not isinstance(x, dict) for x in items):
+                        items, problem = [], "no list of items"
+                except Exception as error:  # a file's own fault is a row, not the job's end
+                    problem = f"cannot be read: {type(error).__name__}"
+                for item, why in [(json.dumps(x, sort_keys=True), None) for x in items] + ([(None, problem)] if problem else []):
+                    rows["file"].append(file)
+                    rows["item"].append(item)
+                    rows["problem"].append(why)
+            yield pa.RecordBatch.from_pydict(rows, pa.schema([(c, pa.string()) for c in rows]))
+
+    got = staged(named.mapInArrow(read, "file string, item string, problem string"), "queues")
+    legacy = files.filter(F.col("file").endswith(".md")).select("file", F.lit("legacy queue ignored").alias("problem"))
+    return got.filter("item is not null").select("file", "item"), got.filter("problem is not null").select("file", "problem").unionByName(legacy)
 
 
 def latest_path(spark: SparkSession, pattern: str) -> str | None:

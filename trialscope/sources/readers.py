@@ -18,6 +18,9 @@ from trialscope.functions import expr, formats
 SPAN_COLUMNS = ("trace_id", "span_id", "parent_id", "name", "kind", "tool_name", "started_at", "ended_at", "duration_ms", "status", "status_message", "input", "output", "usage")
 
 
+USAGE_SQL = "struct<model_provider: string, model: string, input_tokens: long, output_tokens: long, total_tokens: long, cache_read_input_tokens: long, cache_creation_input_tokens: long, cost_usd: double>"
+
+
 @dataclass(frozen=True)
 class Export:
     """What a reader returns: spans, and trace rows with the fields their records state (null for grouped spans)."""
@@ -35,6 +38,18 @@ def text(v: Column, *keys: str) -> Column:
     return F.coalesce(*(F.try_variant_get(v, path(k), "string") for k in keys))
 
 
+def whole(v: Column, *keys: str) -> Column:
+    """Like text, but a string that writes a fraction ("1.5") gives an empty text, which no number is read from: unlike
+    the number 1.5 it isn't cut to 1."""
+
+    def one(k: str) -> Column:
+        got = F.try_variant_get(v, path(k), "string")
+        written = F.schema_of_variant(F.try_variant_get(v, path(k), "variant")) == "STRING"
+        return F.when(written & got.rlike(r"^\s*[+-]?(\d+\.\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?\d+[eE][+-]?\d+\s*$"), F.lit("")).otherwise(got)
+
+    return F.coalesce(*map(one, keys))
+
+
 def raw(v: Column, *keys: str) -> Column:
     """The first of the keys that is neither absent nor null, as variant."""
     found = (F.try_variant_get(v, path(k), "variant") for k in keys)
@@ -69,12 +84,12 @@ def attributes(v: Column, prefix: str) -> Callable[..., Column]:
     """Looks up evidence attributes: the row's own keys win over metadata, that over attributes. Others aren't read."""
     allowed = set(formats.evidence_keys(prefix))
 
-    def look(*keys: str) -> Column:
+    def look(*keys: str, read: Callable = text) -> Column:
         places = []
         for k in keys:
             if k not in allowed:
                 raise KeyError(k)
-            places += [text(v, k), text(F.try_variant_get(v, '$["metadata"]', "variant"), k), text(F.try_variant_get(v, '$["attributes"]', "variant"), k)]
+            places += [read(v, k), read(F.try_variant_get(v, '$["metadata"]', "variant"), k), read(F.try_variant_get(v, '$["attributes"]', "variant"), k)]
         return F.coalesce(*places)
 
     return look
@@ -83,7 +98,7 @@ def attributes(v: Column, prefix: str) -> Callable[..., Column]:
 def usage(v: Column, look: Callable[..., Column], prefix: str) -> Column:
     """Tokens, cost, model and provider of a span."""
     u, c = raw(v, *formats.USAGE), raw(v, *formats.COST)
-    tokens = lambda names, own, key: number(F.coalesce(text(u, *names), text(v, *own) if own else F.lit(None).cast("string"), look(key)), "long")
+    tokens = lambda names, own, key: number(F.coalesce(whole(u, *names), whole(v, *own) if own else F.lit(None).cast("string"), look(key, read=whole)), "long")
     inputs = tokens(formats.INPUT_TOKENS, ("inputUsage", "input_usage"), "gen_ai.usage.input_tokens")
     outputs = tokens(formats.OUTPUT_TOKENS, ("outputUsage", "output_usage"), "gen_ai.usage.output_tokens")
     total = tokens(formats.TOTAL_TOKENS, ("totalUsage", "total_usage"), "gen_ai.usage.total_tokens")
@@ -121,8 +136,8 @@ def json_spans(rows: DataFrame, prefix: str) -> DataFrame:
         name=F.coalesce(expr.first_text(text(v, "name")), kind),
         kind=kind,
         tool_name=tool,
-        started_at=expr.nanos_of(text(v, *formats.STARTED)),
-        ended_at=expr.nanos_of(text(v, *formats.ENDED)),
+        started_at=expr.nanos_of(whole(v, *formats.STARTED)),
+        ended_at=expr.nanos_of(whole(v, *formats.ENDED)),
         status=status(v, "status", "status_code", "statusCode"),
         status_message=text(v, "status_message", "status.message"),
         input=raw(v, *formats.INPUT),
@@ -136,7 +151,7 @@ def observation_spans(rows: DataFrame, prefix: str) -> DataFrame:
     type_ = F.coalesce(expr.first_text(text(v, "type", "observationType", "observation_type")), F.lit("span"))
     name = F.coalesce(expr.first_text(text(v, "name")), type_)
     allowed = set(formats.evidence_keys(prefix))
-    look = lambda *keys: text(meta, *(k for k in keys if k in allowed))
+    look = lambda *keys, read=text: read(meta, *(k for k in keys if k in allowed))
     tool = F.when(F.lower(type_) == "tool", name).otherwise(text(meta, "tool.name", f"{prefix}.tool.name", "openinference.tool.name"))
     return _finish(
         rows,
@@ -146,8 +161,8 @@ def observation_spans(rows: DataFrame, prefix: str) -> DataFrame:
         name=name,
         kind=expr.kind_of(F.trim(type_), tool),
         tool_name=tool,
-        started_at=expr.nanos_of(text(v, *formats.STARTED)),
-        ended_at=expr.nanos_of(text(v, *formats.ENDED)),
+        started_at=expr.nanos_of(whole(v, *formats.STARTED)),
+        ended_at=expr.nanos_of(whole(v, *formats.ENDED)),
         status=status(v, "status", "level", "error"),
         status_message=text(v, "status_message", "statusMessage"),
         input=raw(v, *formats.INPUT),
@@ -164,7 +179,7 @@ def otlp_spans(rows: DataFrame, prefix: str) -> DataFrame:
     v = F.col("v")
     pairs = F.col("pairs")
 
-    def look(*keys: str) -> Column:
+    def look(*keys: str, read: Callable | None = None) -> Column:  # tagged values tell their types themselves
         def one(k: str) -> Column:
             values = F.filter(pairs, lambda p: text(p, "key") == k)
             value = F.try_variant_get(F.try_element_at(F.filter(values, lambda p: raw(p, "value").isNotNull()), F.lit(-1)), '$["value"]', "variant")
@@ -246,7 +261,7 @@ def read_json(spark: SparkSession, source: str, prefix: str = formats.PREFIX) ->
 
 def _stated(rows: DataFrame, state: Column, inputs: tuple[str, ...], outputs: tuple[str, ...]) -> DataFrame:
     v = F.col("v")
-    return rows.select("trace_id", F.col("ord").alias("trace_ord"), text(v, *formats.NAME).alias("name"), expr.nanos_of(text(v, *formats.STARTED)).alias("started_at"), expr.nanos_of(text(v, *formats.ENDED)).alias("ended_at"), state.alias("status"), raw(v, *inputs).alias("input"), raw(v, *outputs).alias("output"))
+    return rows.select("trace_id", F.col("ord").alias("trace_ord"), text(v, *formats.NAME).alias("name"), expr.nanos_of(whole(v, *formats.STARTED)).alias("started_at"), expr.nanos_of(whole(v, *formats.ENDED)).alias("ended_at"), state.alias("status"), raw(v, *inputs).alias("input"), raw(v, *outputs).alias("output"))
 
 
 def read_otlp(spark: SparkSession, source: str, prefix: str = formats.PREFIX) -> Export:
