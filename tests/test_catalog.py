@@ -62,6 +62,9 @@ def test_json_containment(spark):
     assert hit({"a": None}) == [False, False, False, True, False]
     assert hit({"l": [1, 2]}) == [True, False, False, False, False]
     assert hit({}) == [True, True, True, True, False]
+    assert hit({"l": [1]}) == hit({"l": [1, 2.0]}) == hit({"l": [2, 1]}) == [False] * 5
+    with pytest.raises(TypeError):
+        hit({"l": [object()]})
 
 
 def test_message_contract(spark):
@@ -70,7 +73,27 @@ def test_message_contract(spark):
     rows += [("bad", 0, "robot", "hi", None, None), ("bad", 1, "assistant", None, call("y"), None), ("bad", 2, "user", "too soon", None, None), ("bad", 3, "tool", "r", None, "z")]
     df = spark.createDataFrame(rows, "case_id string, turn int, role string, content string, tool_calls array<struct<id:string>>, tool_call_id string")
     got = {(r.rule, r.key) for r in contracts.messages(df).collect()}
-    assert got == {("unknown role", "bad/0"), ("tool calls not answered", "bad/2"), ("unknown tool call id", "bad")}
+    assert got == {("unknown role", "bad/0"), ("tool call not answered", "bad/1"), ("unknown tool call id", "bad/3")}
+
+
+def test_message_contract_matches_ids_to_the_end(spark):
+    schema = "case_id string, turn int, role string, content string, tool_calls array<struct<id:string>>, tool_call_id string"
+    ask = lambda case, turn, *ids: (case, turn, "assistant", None, [{"id": i} for i in ids], None)
+    answer = lambda case, turn, i: (case, turn, "tool", "r", None, i)
+    rows = [ask("twice", 0, "x", "y"), answer("twice", 1, "x"), answer("twice", 2, "x")]
+    rows += [ask("open", 0, "x")]
+    rows += [ask("nameless", 0, "x"), answer("nameless", 1, None)]
+    rows += [ask("reuse", 0, "x"), answer("reuse", 1, "x"), ask("reuse", 2, "x"), answer("reuse", 3, "x")]
+    rows += [ask("same", 0, "x", "x"), answer("same", 1, "x")]
+    got = {(r.rule, r.key) for r in contracts.messages(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {
+        ("tool call answered again", "twice/2"),
+        ("tool call not answered", "twice/0"),
+        ("tool call not answered", "open/0"),
+        ("answer without id", "nameless/1"),
+        ("tool call not answered", "nameless/0"),
+        ("repeated tool call id", "same/0"),
+    }
 
 
 def test_fingerprint_folds(spark):
@@ -106,3 +129,27 @@ def test_conflicting_runs_fail(spark):
     assert traces.register_runs(df).count() == 1
     with pytest.raises(Exception):  # noqa: B017
         traces.register_runs(spark.createDataFrame([("r", 1), ("r", 2)], "run_id string, x int")).collect()
+
+
+def test_latency_over_ranges(spark):
+    import random
+    import statistics
+
+    rng = random.Random(4)
+    for n, ranges in ((1, 4), (2, 4), (399, 8), (1000, 4096)):
+        xs = [rng.choice([rng.random() * 1000, 5.0, 5.0, 7.25]) for _ in range(n)]
+        df = spark.createDataFrame([(x,) for x in [*xs, None]], "duration_ms double")
+        r = scoring.latency(df, ranges).first()
+        assert abs(r.latency_p50_ms - statistics.median(xs)) < 1e-9 and r.latency_p95_ms == sorted(xs)[round(0.95 * (n - 1))] and abs(r.latency_mean_ms - sum(xs) / n) < 1e-6
+
+
+def test_payload_rules(spark):
+    from trialscope.operators import payloads
+
+    assert payloads.strict_object({"a": [1, {"b": None}]}) == {"a": [1, {"b": None}]}
+    for bad in ([], {"a": float("nan")}, {1: 2}, {"a": {2: 1}}):
+        with pytest.raises(TypeError):
+            payloads.strict_object(bad)
+    texts = ["{\"a\": \"NaN\"}", "NaN", "[NaN]", "plain", "1", None]
+    df = spark.createDataFrame([(json.dumps(t),) for t in texts], "j string").select(F.to_json(payloads.decoded_once(F.parse_json("j"))).alias("o"))
+    assert [r.o for r in df.collect()] == ['{"a":"NaN"}', '"NaN"', '"[NaN]"', '"plain"', "1", "null"]

@@ -9,28 +9,12 @@ from pyspark.sql import functions as F
 
 from trialscope.functions import expr
 from trialscope.operators import contracts, detectors, queues, redaction, scoring, traces
-from trialscope.plans.adapters import SPANS_SQL, TRIALS_SQL, spans, table, trials
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from trialscope.plans.adapters import spans, table, trials
+from trialscope.plans.register import ORACLES, QUERIES, query
 
 KEY = b"0123456789abcdef0123456789abcdef"
 
 
-def query(sql: str | None = None, uses: str = ""):
-    """Registers a query under its function's name; uses names the adapter whose SQL comes first."""
-    prelude = {"trials": TRIALS_SQL, "spans": SPANS_SQL, "": ""}[uses]
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            text = sql.strip()
-            ORACLES[f.__name__] = (f"WITH {prelude.strip()}" + (", " + text[5:] if text.startswith("WITH ") else " " + text)) if prelude else text
-        return f
-
-    return register
-
-
 VERDICTS_SQL = """WITH g AS (SELECT group_id, arg_min(case_id, trial_index) FILTER (status <> 'skipped') AS case_id, max(configured_trials) AS configured_trials,
     count(*) FILTER (status <> 'skipped') AS total, count(*) FILTER (status = 'pass') AS passed, count(*) FILTER (status = 'fail') AS failed,
     count(*) FILTER (status = 'error') AS errored, count(*) FILTER (status = 'skipped') AS skipped,
@@ -139,7 +123,7 @@ def run_diff(spark, d):
 
 
 @query("""WITH t AS (SELECT *, group_id || '::' || trial_index AS nodeid FROM trials) SELECT 'repeated node' AS rule, l_orderkey || '/' || l_linenumber AS key, count(*)::VARCHAR AS detail FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
-    UNION ALL SELECT 'failure missing', nodeid, status FROM t WHERE status IN ('fail', 'error') AND failure_kind IS NULL""", "trials")
+    UNION ALL SELECT 'failure missing', nodeid, status FROM t WHERE status IN ('fail', 'error', 'skipped') AND failure_kind IS NULL""", "trials")
 def contract_violations(spark, d):
     li = contracts.repeated(table(spark, d, "lineitem"), "repeated node", "l_orderkey", "l_linenumber")
     return contracts.all_of(li, contracts.trial_contract(trials(spark, d)))
@@ -238,9 +222,12 @@ def args_containment(spark, d):
     return table(spark, d, "events").select("event_id", F.coalesce(traces.contains_json(v, {"k": 3}), F.lit(False)).alias("matched"))
 
 
-@query("""SELECT trace_id, round(sum(cost_usd), 6) AS known_cost, count(*) FILTER (kind = 'llm' OR cost_usd IS NOT NULL) > 0 AS cost_available FROM spans GROUP BY trace_id""", "spans")
+@query("""WITH s AS (SELECT trace_id || '-' || (span_id % 3) AS trace_id, kind, CASE WHEN span_id % 5 > 0 OR kind <> 'llm' THEN cost_usd END AS cost_usd FROM spans),
+    c AS (SELECT trace_id, round(sum(cost_usd), 6) AS known_cost, count(*) FILTER (kind = 'llm' OR cost_usd IS NOT NULL) > 0 AND bool_and(cost_usd IS NOT NULL OR kind <> 'llm') AS cost_available FROM s GROUP BY trace_id)
+    SELECT *, CASE WHEN cost_available THEN known_cost END AS cost FROM c""", "spans")
 def trace_cost(spark, d):
-    return traces.costs(spans(spark, d)).select("trace_id", F.round("known_cost", 6).alias("known_cost"), "cost_available")
+    s = spans(spark, d).withColumns({"trace_id": F.concat_ws("-", "trace_id", (F.col("span_id") % 3).cast("string")), "cost_usd": F.when((F.col("span_id") % 5 > 0) | (F.col("kind") != "llm"), F.col("cost_usd"))})
+    return traces.costs(s).select("trace_id", F.round("known_cost", 6).alias("known_cost"), "cost_available", F.round("cost", 6).alias("cost"))
 
 
 @query("SELECT trace_id, count(*) FILTER (kind = 'llm') AS llm_turns, round((max(ended_at) - min(started_at)) / 1e6::DOUBLE, 6) AS extent_ms FROM spans GROUP BY trace_id", "spans")
@@ -292,12 +279,12 @@ def document_fingerprints(spark, d):
 
 
 def _ideas(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("failure_pattern"), F.col("source").alias("file"))
-    status = F.when(F.col("toxic") == 1, "rejected").when(F.col("quality") == 1, "accepted").otherwise("proposed")
-    return table(spark, d, "labels").join(docs, "doc_id").select(F.concat(F.lit("idea-"), (F.col("doc_id") % 300).cast("string")).alias("id"), F.array("doc_id", F.col("doc_id") + 1).alias("trace_ids"), status.alias("status"), "failure_pattern", "file", "doc_id")
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("failure_pattern"), F.concat("source", F.lit("/"), (F.col("doc_id") % 7).cast("string")).alias("file"))
+    status = F.when(F.col("toxic") == 1, "rejected").when(F.col("quality") == 1, "approved").otherwise("pending")
+    return table(spark, d, "labels").join(docs, "doc_id").select(F.concat(F.lit("idea-"), (F.col("doc_id") % 50).cast("string")).alias("id"), F.array("doc_id", F.col("doc_id") + 1).alias("trace_ids"), status.alias("status"), "failure_pattern", "file", "doc_id")
 
 
-IDEAS_SQL = """WITH i AS (SELECT 'idea-' || (doc_id % 300) AS id, doc_id, CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'accepted' ELSE 'proposed' END AS status, source AS file
+IDEAS_SQL = """WITH i AS (SELECT 'idea-' || (doc_id % 50) AS id, doc_id, CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'approved' ELSE 'pending' END AS status, source || '/' || (doc_id % 7) AS file
     FROM labels JOIN documents USING (doc_id))"""
 
 
@@ -306,9 +293,9 @@ def idea_duplicates(spark, d):
     return queues.duplicate_ids(_ideas(spark, d))
 
 
-@query(IDEAS_SQL + " SELECT id, count(DISTINCT file) AS n_files, min(file) AS first_file, max(file) AS last_file FROM i GROUP BY id HAVING count(DISTINCT file) > 1")
+@query(IDEAS_SQL + " SELECT id, count(DISTINCT file) AS n_files, string_agg(DISTINCT file, ',' ORDER BY file) AS files FROM i GROUP BY id HAVING count(DISTINCT file) > 1")
 def idea_cross_file(spark, d):
-    return queues.cross_file_duplicates(_ideas(spark, d))
+    return queues.cross_file_duplicates(_ideas(spark, d)).withColumn("files", F.array_join("files", ","))
 
 
 @query(IDEAS_SQL + " SELECT DISTINCT t AS trace_id FROM (SELECT unnest([doc_id, doc_id + 1]) AS t FROM i) WHERE t NOT IN (SELECT doc_id FROM labels)")
@@ -316,9 +303,9 @@ def idea_unknown_traces(spark, d):
     return queues.unknown_traces(_ideas(spark, d), table(spark, d, "labels").select(F.col("doc_id").alias("trace_id")))
 
 
-@query(IDEAS_SQL + " SELECT doc_id, id FROM i WHERE status = 'accepted'")
+@query(IDEAS_SQL + " SELECT doc_id, id FROM i WHERE status = 'approved'")
 def ideas_by_status(spark, d):
-    return _ideas(spark, d).filter("status = 'accepted'").select("doc_id", "id")
+    return _ideas(spark, d).filter("status = 'approved'").select("doc_id", "id")
 
 
 def _messages(spark, d):
@@ -331,15 +318,11 @@ def visible_history(spark, d):
     return contracts.visible_history(_messages(spark, d))
 
 
-@query("SELECT 'no text' AS rule, conv_id || '/' || turn AS key, role AS detail FROM conversations WHERE role IN ('system', 'user') AND text IS NULL")
-def message_contract(spark, d):
-    return contracts.messages(_messages(spark, d))
-
-
-@query("""WITH u AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WHERE role IN ('user', 'assistant'))
+@query("""WITH m AS (SELECT * FROM conversations WHERE (conv_id + turn) % 5 <> 0), u AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM m WHERE role IN ('user', 'assistant'))
     SELECT 'role repeats' AS rule, conv_id || '/' || turn AS key, role AS detail FROM u WHERE before = role""")
 def alternation_violations(spark, d):
-    return contracts.alternation(_messages(spark, d))
+    """Over a record with gaps: a turn in five is missing."""
+    return contracts.alternation(_messages(spark, d).filter((F.col("case_id") + F.col("turn")) % 5 != 0))
 
 
 @query("""WITH b AS (SELECT user_id::VARCHAR AS nodeid, epoch_us(ts) / 1e6::DOUBLE AS beat, min(epoch_us(ts) / 1e6::DOUBLE) OVER (PARTITION BY user_id) AS started FROM events)
@@ -421,10 +404,14 @@ def document_cards(spark, d):
     return cards.filter(expr.card_valid(F.col("c"))).groupBy("doc_id").agg(F.count("*").alias("n_valid"))
 
 
-@query("""SELECT user_id AS nodeid, count(*) FILTER (event_type = 'view') - count(*) FILTER (event_type = 'click') > 0 AS has_open FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'view') - count(*) FILTER (event_type = 'click') > 0""")
+@query("""WITH e AS (SELECT user_id AS nodeid, event_id, props, CASE WHEN event_type = 'view' THEN 1 ELSE -1 END AS step, 'op' || (event_id % 3) AS operation FROM events WHERE event_type IN ('view', 'click')),
+    b AS (SELECT *, sum(step) OVER (PARTITION BY nodeid, operation ORDER BY event_id) AS depth, sum(step) OVER (PARTITION BY nodeid, operation) AS last FROM e)
+    SELECT nodeid, arg_max(operation, event_id) AS operation FROM b WHERE step = 1 AND last > 0 AND depth = last GROUP BY nodeid""")
 def open_operations(spark, d):
-    e = table(spark, d, "events").filter("event_type in ('view', 'click')").select(F.col("user_id").alias("nodeid"), F.lit("op").alias("operation"), F.when(F.col("event_type") == "view", "start").otherwise("end").alias("event"), F.col("event_id").alias("ord"))
-    return queues.open_operation(e).select("nodeid", F.lit(True).alias("has_open"))
+    e = table(spark, d, "events").filter("event_type in ('view', 'click')")
+    op = F.concat(F.lit("op"), (F.col("event_id") % 3).cast("string"))
+    e = e.select(F.col("user_id").alias("nodeid"), op.alias("operation"), F.when(F.col("event_type") == "view", "start").otherwise("end").alias("event"), F.col("event_id").alias("ord"))
+    return queues.open_operation(e)
 
 
 @query("SELECT r_name AS module, r_name AS root FROM region UNION ALL SELECT r_name || '.' || n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -435,6 +422,9 @@ def prefix_matches(spark, d):
     return queues.prefix_matches(nested.unionByName(roots.withColumnRenamed("root", "module")), roots).select("module", "root")
 
 
+from trialscope.plans import checks, readings  # noqa: E402, F401  they register theirs
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

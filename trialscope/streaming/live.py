@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from trialscope.operators import scoring
 
@@ -34,6 +36,28 @@ def timeouts(events: DataFrame, timeout: str = "300 seconds", late: str = "1 min
     return starts.join(ends, within, "left_outer").filter("ended is null").select("nodeid", "started")
 
 
+def open_operations(events: DataFrame) -> DataFrame:
+    """The latest open operation of each node (nodeid, ord, operation, event start or end), as a running view for update
+    mode: the stack of open operations is the node's state. Ends come after their starts; an end without one is ignored.
+    A node's events of a batch are taken in the order of ord."""
+
+    def step(key, batches, state):
+        stack = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values("ord")
+        for event, operation in zip(rows["event"], rows["operation"], strict=True):
+            if event == "start":
+                stack.append(operation)
+            elif operation in stack:
+                del stack[len(stack) - 1 - stack[::-1].index(operation)]
+        if stack:
+            state.update((stack,))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"nodeid": [str(key[0])], "operation": [stack[-1] if stack else None]})
+
+    return events.groupBy("nodeid").applyInPandasWithState(step, "nodeid string, operation string", "open array<string>", "update", GroupStateTimeout.NoTimeout)
+
+
 def verdict_counts(trials: DataFrame) -> DataFrame:
     """Running counts per group, for complete or update mode."""
     count = lambda s: F.count_if(F.col("status") == s).cast("long").alias(s)
