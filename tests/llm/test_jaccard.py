@@ -2,6 +2,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from trialscope.llm import components as cc
@@ -64,19 +65,42 @@ def test_against_brute_force(spark):
 
 
 def test_every_similar_pair_shares_a_signature():
-    import numpy as np
-
     rng = np.random.default_rng(3)
-    for _ in range(300):
-        size = int(rng.integers(1, 120))
+    signed = lambda z: [jaccard.signatures([np.sort(x)]) for x in z]
+    met = 0
+    for _ in range(400):
+        size = int(rng.integers(1, 160))
         base = np.unique(rng.integers(0, 1 << 62, 2 * size).astype(np.uint64))
+        rng.shuffle(base)
         a = base[:size]
         gone = int(rng.integers(0, size // 5 + 1))
-        b = np.unique(np.concatenate([a[gone:], base[size : size + int(rng.integers(0, 3))]]))
+        b = np.concatenate([a[gone:], base[size : size + int(rng.integers(0, max(1, size // 9)))]])
         both = len(np.intersect1d(a, b))
         if both and 100 * both >= 80 * (len(a) + len(b) - both):
-            x, y = ({(int(s), split) for sigs, split, _ in jaccard.signatures(z) for s in sigs} for z in (a, b))
-            assert x & y
+            x, y = signed((a, b))
+            shared = [set(zip(z.sig.tolist(), z.split.tolist(), strict=True)) for z in (x, y)]
+            common = shared[0] & shared[1]
+            assert common
+            # as many parts as the slack says, in some split
+            for z in (x, y):
+                parts = {}
+                for sig, split, spot, slack in zip(z.sig.tolist(), z.split.tolist(), z.spot.tolist(), z.slack.tolist(), strict=True):
+                    parts.setdefault(split, (slack, set()))
+                    if (sig, split) in common:
+                        parts[split][1].add(spot)
+                assert any(len(spots) >= (slack + 2) // 2 for slack, spots in parts.values())
+            met += 1
+    assert met > 150
+
+
+def test_signatures_do_not_depend_on_other_sets():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in (1, 3, 9, 10, 40, 41, 300, 1000, 0, 12)]
+    together = jaccard.signatures(sets)
+    for i, x in enumerate(sets):
+        alone, own = jaccard.signatures([x]), together.owner == i
+        key = lambda s, m: sorted(zip(s.sig[m].tolist(), s.spot[m].tolist(), s.split[m].tolist(), s.slack[m].tolist(), strict=True))
+        assert key(alone, slice(None)) == key(together, own)
 
 
 def test_messy_rows(messy, none):

@@ -1,14 +1,17 @@
 """N-gram Jaccard join by PartEnum signatures.
 
-Sets of like size (a level) split the shingle domain into n parts by hash. Two sets with a Jaccard similarity of 0.8 or
-more differ in at most k shingles, so they agree on all but k parts: a part's signature is the hash of the shingles in
-it, and n = k + 1 + m parts leave at least m + 1 equal signatures. Tiny sets use subsets instead: themselves and
-themselves less one shingle.
-
-Equal signatures meet in a shuffle. Of the m + 1, a few may be empty parts or `hot` ones that more than HOT sets share;
-both are known for each set, so in small buckets a pair must share at least m + 1 less these. The sets for which nothing
-is left (near copies in large groups, and texts that are mostly a passage which many share) are few; they are split down
-to single shingles, of which each set signs with its rarest fifth and one more: two similar sets share one of these.
+Sets of like size (a level) split the shingle domain into n parts by hash, and each part into PIECES pieces. Two sets
+with a Jaccard similarity of 0.8 or more differ in at most k shingles, so in all but k / 2 parts they differ in at most
+one, and there they agree on all pieces but one. The signatures of a part are its subsets of all pieces but one, each
+by the hash of its shingles; n = k / 2 + 1 + m parts leave more than m equal signatures. Tiny sets have their own
+shingles as pieces: themselves and themselves less one shingle.
+
+Equal signatures meet in a shuffle. A few may be lost, where a subset is empty, or `hot`, where more than HOT sets share
+it; both are known for each set, and with them the fewest signatures that a pair must share in small buckets (see
+Signed). Sets for which nothing is left (near copies in large groups, and texts that are mostly a passage which many
+share) also meet the first set of most of their hot buckets; a bucket whose sets are then one component hides no link.
+What still isn't covered is split down to single shingles, of which each set signs with its rarest fifth and one more:
+two similar sets share one of these.
 Where even such a bucket is large, all members meet its most typical one first, and a bucket whose members are by then
 in one component is done. Every candidate is verified on whole sets; the components are those of the links.
 """
@@ -16,6 +19,7 @@ in one component is done. Every candidate is verified on whole sets; the compone
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +38,11 @@ HOT = 32
 TINY = 9
 #: Signatures a bucket task gets, about.
 TASK_SIGNATURES = 1_000_000
-#: Other splits tried for a set with too many empty parts.
+#: Differences that hide a part of which so many subsets can be met.
+COST = np.array([0, 1, 1, 2])
+#: Pieces of a part, and pieces that are summed up at once.
+PIECES, CELLS = 3, 1 << 20
+#: Other splits tried for a set with too many lost parts.
 RETRIES = 3
 
 _MIX1, _MIX2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -54,8 +62,8 @@ def _levels() -> tuple[np.ndarray, list[tuple[int, int]]]:
     shape = []
     for u in uppers:
         k = 2 * u // 9  # sets of sizes r, s differ in at most (r + s) / 9 shingles
-        m = max(2, (k + 1) // 2)
-        shape.append((k + 1 + m, m))
+        m = max(2, (k + 5) // 6)
+        shape.append((k // 2 + 1 + m, k))
     return np.array(uppers), shape
 
 
@@ -93,37 +101,66 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
             yield np.empty(0, np.uint64)
 
 
-def signatures(shingles: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
-    """(signatures, split, slack) for each split of the set; slack: how many more of them may be hot before a similar
-    set could be missed."""
-    size = len(shingles)
-    if not size:
-        return
-    if size <= TINY:
-        whole = mixed(shingles)
-        total = whole.sum()
-        yield mixed(np.append(total - whole, total) + np.uint64(1)), 0, 0
-    first, last = np.searchsorted(UPPERS, max(size, TINY + 1)), np.searchsorted(UPPERS, size * 5 // 4)
-    if size * 5 // 4 <= TINY:
-        return
+class Signed(NamedTuple):
+    """Signatures, the set (its number), spot and split of each, and the set's slack in that split. A spot is the number
+    of the part, times 4, and how many of its subsets aren't empty.
+
+    A similar set that shares none of a part's signatures differs in two shingles there if all its subsets can be met,
+    in one if some can, in none if none can. So as long as these numbers, over all parts, add up to more than k, a
+    similar set shares a signature; slack is what may be missing from the sum."""
+
+    sig: np.ndarray
+    owner: np.ndarray
+    spot: np.ndarray
+    split: np.ndarray
+    slack: np.ndarray
+
+
+def signatures(sets: list[np.ndarray]) -> Signed:
+    """All signatures of some sets; a set's don't depend on the others."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    out = [Signed(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint32), np.empty(0, np.uint16), np.empty(0, np.uint8))]
+    for i in np.flatnonzero((sizes > 0) & (sizes <= TINY)):
+        one = mixed(sets[i])
+        sig = mixed(np.append(one.sum() - one, one.sum()) + np.uint64(1))
+        out.append(Signed(sig, np.full(len(sig), i), np.arange(len(sig), dtype=np.uint32) * np.uint32(4) + np.uint32(1), np.zeros(len(sig), np.uint16), np.zeros(len(sig), np.uint8)))
+    first, last = np.searchsorted(UPPERS, np.maximum(sizes, TINY + 1)), np.searchsorted(UPPERS, sizes * 5 // 4)
+    large = sizes * 5 // 4 > TINY
+    flat, starts = np.concatenate([np.empty(0, np.uint64), *sets]), np.cumsum(sizes) - sizes
+    for level in range(int(first[large].min()), int(last[large].max()) + 1) if large.any() else ():
+        everyone = np.flatnonzero(large & (first <= level) & (level <= last))
+        some = max(1, CELLS // (SHAPES[level][0] * PIECES))
+        for a in range(0, len(everyone), some):
+            who = everyone[a : a + some]
+            for retry in range(RETRIES + 1):
+                if len(who):
+                    signed, slack = _split(flat, starts, sizes, who, level, retry)
+                    out.append(signed)
+                    who = who[slack < 0]
+    return Signed(*map(np.concatenate, zip(*out, strict=True)))
+
+
+def _split(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, who: np.ndarray, level: int, retry: int) -> tuple[Signed, np.ndarray]:
+    """The signatures of the sets `who` in one split of a level, and each one's slack, below 0 if too many parts are lost."""
+    (n, k), split, size = SHAPES[level], 1 + level * (RETRIES + 1) + retry, sizes[who]
+    take = np.repeat(starts[who] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    shingles = flat[take]
     weight = mixed(shingles ^ _MIX1)
-    for level in range(first, last + 1):
-        n, m = SHAPES[level]
-        for retry in range(RETRIES + 1):
-            split = 1 + level * (RETRIES + 1) + retry
-            part = ((mixed(shingles + np.array([split], np.uint64) * _BASE) >> np.uint64(20)) % np.uint64(n)).astype(np.uint16 if n < 65536 else np.int64)
-            order = np.argsort(part, kind="stable")
-            ordered = part[order]
-            starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-            sums = np.add.reduceat(weight[order], starts)
-            present = ordered[starts].astype(np.uint64)
-            slack = m - (n - len(starts))
-            if slack < 0 and retry == RETRIES:  # all but impossible: empty parts are signatures too
-                absent = np.setdiff1d(np.arange(n, dtype=np.uint64), present)
-                present, sums, slack = np.append(present, absent), np.append(sums, np.zeros(len(absent), np.uint64)), m
-            yield mixed(sums + mixed(present + np.array([split], np.uint64) * _MIX2)), split, max(slack, 0)
-            if slack >= 0:
-                break
+    drawn = mixed(shingles + np.array([split], np.uint64) * _BASE) >> np.uint64(20)
+    cell = np.repeat(np.arange(len(who)) * n * PIECES, size) + (drawn % np.uint64(n * PIECES)).astype(np.int64)
+    total = lambda x: np.bincount(cell, x, len(who) * n * PIECES).astype(np.uint64)  # noqa: E731  exact: below 2**53
+    sums = (total((weight >> np.uint64(32)).astype(np.float64)) << np.uint64(32)) + total((weight & np.uint64(0xFFFFFFFF)).astype(np.float64))
+    sums, count = sums.reshape(-1, n, PIECES), np.bincount(cell, minlength=len(who) * n * PIECES).reshape(-1, n, PIECES)
+    subset = sums.sum(2, keepdims=True) - sums  # each part less one piece
+    full = count.sum(2, keepdims=True) > count
+    slack = COST[full.sum(2)].sum(1) - k - 1
+    if retry == RETRIES:  # all but impossible: empty subsets are signatures too
+        full[slack < 0] = True
+        slack = COST[full.sum(2)].sum(1) - k - 1
+    usable = full.sum(2)
+    i, spot, piece = np.nonzero(full)
+    sig = mixed(subset[full] + mixed((spot * PIECES + piece).astype(np.uint64) + np.array([split], np.uint64) * _MIX2))
+    return Signed(sig, who[i], (spot * 4 + usable[i, spot]).astype(np.uint32), np.full(len(sig), split, np.uint16), np.clip(slack, 0, 255).astype(np.uint8)[i]), slack
 
 
 @frugal
@@ -134,47 +171,40 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_shingles", "k1", "k2"])
 
 
-_SIGNED = "part int, sigs binary, docs binary, splits binary, slacks binary"
+_SIGNED = "part int, sigs binary, docs binary, spots binary, splits binary, slacks binary"
 
 
 def _sign(parts: int) -> Callable:
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sigs, docs = [], []
-            for doc, shingles in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text")), strict=True):
-                for s, split, slack in signatures(shingles):
-                    sigs.append(s)
-                    docs.append((doc, split, min(slack, 31), len(s)))
-            if not sigs:
+            signed = signatures(list(shingle_sets(batch.column("text"))))
+            if not len(signed.sig):
                 continue
-            sig = np.concatenate(sigs)
-            part, rest = sig % np.uint64(parts), (sig // np.uint64(parts)) >> np.uint64(8)
+            part, rest = (signed.sig % np.uint64(parts)).astype(np.int32), (signed.sig // np.uint64(parts)) >> np.uint64(8)
             order = np.lexsort((rest, part))
-            n = np.array([d[3] for d in docs])
-            of = [np.repeat(np.array([d[i] for d in docs], t), n)[order] for i, t in ((0, np.int64), (1, np.uint16), (2, np.uint8))]
-            part, rest = part[order], rest[order]
-            used, cuts = np.unique(part, return_index=True)
-            ends = np.append(cuts[1:], len(part))
-            cells = [pa.array([planes(x[a:b]) for a, b in zip(cuts, ends, strict=True)], pa.binary()) for x in (rest, *of)]
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *cells], ["part", "sigs", "docs", "splits", "slacks"])
+            columns = [x[order] for x in (rest, batch.column("doc_id").to_numpy()[signed.owner], signed.spot, signed.split, signed.slack)]
+            used, cuts = np.unique(part[order], return_index=True)
+            ends = np.append(cuts[1:], len(order))
+            cells = [pa.array([planes(x[a:b]) for a, b in zip(cuts, ends, strict=True)], pa.binary()) for x in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(used), *cells], ["part", "sigs", "docs", "spots", "splits", "slacks"])
 
     return run
 
 
-_MET = "a long, b long, split int, slack_a int, slack_b int, shared int"
+_MET = "a long, b long, split int, slack_a int, slack_b int, shared int, spot int, bucket long"
 
 
 @frugal_group
 def _meet(table: pa.Table) -> pa.Table:
-    """Rows of a part: pairs in its small buckets with the signatures they share here, and for each member of hot ones
-    (b null) the number of these."""
-    sig, doc, split, slack = (np.concatenate([np.empty(0, t), *(unplanes(x, t) for x in table.column(c).to_pylist())]) for c, t in (("sigs", np.uint64), ("docs", np.int64), ("splits", np.uint16), ("slacks", np.uint8)))
+    """Rows of a part: pairs in its small buckets with the signatures they share here (bucket null), and each member of
+    hot ones: the part of the set that the signature is of, the bucket, and as b its first member."""
+    sig, doc, spot, split, slack = (np.concatenate([np.empty(0, t), *(unplanes(x, t) for x in table.column(c).to_pylist())]) for c, t in (("sigs", np.uint64), ("docs", np.int64), ("spots", np.uint32), ("splits", np.uint16), ("slacks", np.uint8)))
     order = np.lexsort((doc, split, sig))
-    sig, doc, split, slack = sig[order], doc[order], split[order], slack[order]
+    sig, doc, spot, split, slack = (x[order] for x in (sig, doc, spot, split, slack))
     new_run = np.concatenate([[True], (sig[1:] != sig[:-1]) | (split[1:] != split[:-1])])
     keep = new_run | np.concatenate([[True], doc[1:] != doc[:-1]])
-    doc, split, slack = doc[keep], split[keep], slack[keep]
+    sig, doc, spot, split, slack = (x[keep] for x in (sig, doc, spot, split, slack))
     starts = np.flatnonzero(new_run[keep])
     sizes = np.diff(np.append(starts, len(doc)))
     firsts, seconds = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -186,10 +216,13 @@ def _meet(table: pa.Table) -> pa.Table:
     x, y = np.concatenate(firsts), np.concatenate(seconds)
     pairs = _counted(x, doc[x], doc[y], split[x])
     rows = np.flatnonzero(np.repeat(sizes > HOT, sizes))
-    hots = _counted(rows, doc[rows], split[rows])
-    a, b = np.append(x[pairs[0]], rows[hots[0]]), y[pairs[0]]
-    none = pa.nulls(len(hots[0]), pa.int64())
-    return pa.table({"a": pa.array(doc[a]), "b": pa.concat_arrays([pa.array(doc[b], pa.int64()), none]), "split": pa.array(split[a].astype(np.int32)), "slack_a": pa.array(slack[a].astype(np.int32)), "slack_b": pa.concat_arrays([pa.array(slack[b].astype(np.int32)), none.cast(pa.int32())]), "shared": pa.array(np.append(pairs[1], hots[1]).astype(np.int32))})
+    bucket = mixed(sig[rows] + mixed(split[rows].astype(np.uint64) + np.uint64(table.column("part")[0].as_py()) * _BASE)).astype(np.int64)
+    lead = doc[np.repeat(starts, sizes)[rows]]
+    a, n, hot = np.append(x[pairs[0]], rows), len(pairs[0]), len(rows)
+    both = lambda of_pairs, of_hot, t: pa.concat_arrays([pa.array(of_pairs, t) if of_pairs is not None else pa.nulls(n, t), pa.array(of_hot, t) if of_hot is not None else pa.nulls(hot, t)])
+    i32, i64 = pa.int32(), pa.int64()
+    second = y[pairs[0]]
+    return pa.table({"a": pa.array(doc[a]), "b": both(doc[second], lead, i64), "split": pa.array(split[a].astype(np.int32)), "slack_a": pa.array(slack[a].astype(np.int32)), "slack_b": both(slack[second].astype(np.int32), None, i32), "shared": both(pairs[1].astype(np.int32), None, i32), "spot": both(None, spot[rows].astype(np.int32), i32), "bucket": both(None, bucket, i64)})
 
 
 def _counted(rows: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,6 +261,15 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(small(ids), "doc_id", "left_semi")
 
 
+def _heat(hot: DataFrame) -> DataFrame:
+    """(doc, split, heat, slack): by how much the hot signatures of a set lower the differences that hide it."""
+    cost = lambda n: F.when(n >= PIECES, 2).when(n > 0, 1).otherwise(0)
+    usable = F.col("spot") % 4
+    parts = hot.groupBy("doc", "split", "spot").agg(F.countDistinct("bucket").alias("n"), F.max("slack").alias("slack"))
+    lost = cost(usable) - cost(usable - F.col("n"))
+    return parts.groupBy("doc", "split").agg(F.sum(lost).alias("heat"), F.max("slack").alias("slack"))
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the least id reachable by links of similarity 0.8).
 
@@ -248,19 +290,26 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = named.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // TASK_SIGNATURES) + 1)
     met = written(alone.mapInArrow(_sign(parts), _SIGNED).groupBy("part").applyInArrow(_meet, _MET), "met")
-    heat = met.filter("b is null").groupBy(F.col("a").alias("doc"), "split").agg(F.sum("shared").alias("heat"), F.max("slack_a").alias("slack"))
-    heat = written(heat, "heat")
-    pairs = met.filter("b is not null").groupBy("a", "b", "split").agg(F.sum("shared").alias("shared"), F.max("slack_a").alias("slack_a"), F.max("slack_b").alias("slack_b"))
+    hot = met.filter("bucket is not null").select(F.col("a").alias("doc"), F.col("b").alias("lead"), "split", "spot", "bucket", F.col("slack_a").alias("slack"))
+    heat = written(_heat(hot), "heat")
+    pairs = met.filter("bucket is null").groupBy("a", "b", "split").agg(F.sum("shared").alias("shared"), F.max("slack_a").alias("slack_a"), F.max("slack_b").alias("slack_b"))
     for side in "ab":
         pairs = pairs.join(small(heat.select(F.col("doc").alias(side), "split", F.col("heat").alias(f"heat_{side}"))), [side, "split"], "left")
-    spare = [F.col(f"slack_{s}") - F.coalesce(f"heat_{s}", F.lit(0)) + 1 for s in "ab"]
-    pairs = written(pairs.filter(F.col("shared") >= F.greatest(F.lit(1), *spare)).select("a", "b").distinct(), "candidates")
-    unsafe = written(heat.filter("heat > slack").select("doc").distinct(), "unsafe")
-
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(unsafe).distinct()
+    spare = [F.ceil((F.col(f"slack_{s}") - F.coalesce(f"heat_{s}", F.lit(0)) + 1) / 2) for s in "ab"]
+    pairs = pairs.filter(F.col("shared") >= F.greatest(F.lit(1), *spare)).select("a", "b").distinct()
+    crowded = small(written(heat.filter("heat > slack").select("doc").distinct(), "crowded"))
+    own = hot.join(crowded, "doc", "left_semi")
+    led = own.groupBy("doc", "lead").agg(F.count("*").alias("n")).groupBy("doc").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"))
+    pairs = written(pairs.unionByName(led.filter("doc <> lead").select(F.col("doc").alias("a"), F.col("lead").alias("b"))), "candidates")
+
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(crowded).distinct()
     sets = written(_only(alone, written(wanted, "wanted")).mapInArrow(_sets, "doc long, shingles binary"), "sets")
     edges = written(_verified(pairs, sets).unionByName(member.join(small(doubles), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("stands").alias("b"))), "links")
     labels = written(components(edges), "labels")
+    # a hot bucket whose members are one component by now hides no link
+    named_hot = hot.join(small(labels.withColumnRenamed("node", "doc")), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    unlike = named_hot.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
+    unsafe = written(_heat(own.join(small(written(unlike, "unlike")), "bucket", "left_semi")).filter("heat > slack").select("doc").distinct(), "unsafe")
     open_, turn = _rarest(sets.join(small(unsafe), "doc", "left_semi")), 0
     while not open_.isEmpty():
         open_, tried = _round(open_, labels, turn)
