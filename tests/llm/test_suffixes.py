@@ -102,6 +102,13 @@ def test_dealt_twice(spark, monkeypatch):
     assert rows_of(suffixes.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == sorted(brute(rows))
 
 
+@pytest.mark.parametrize("most", [3, 100])
+def test_anchors_with_many_contexts(spark, monkeypatch, most):
+    rows = corpus()
+    monkeypatch.setattr(suffixes, "MOST", most)
+    assert rows_of(suffixes.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == sorted(brute(rows))
+
+
 def test_a_passage_in_very_many_texts(spark):
     rng = random.Random(2)
     some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))

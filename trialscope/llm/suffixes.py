@@ -6,7 +6,8 @@ its GRAM-byte grams by hash; equal windows have equal anchors, and the windows o
 segments are settled by their digest. Where an anchor has unlike segments, one context of each is sent to the anchor's
 task, which runs the column-wise construction over its contexts: one byte of each is inserted a round, from the right,
 updating the transform, the contexts' order and their longest common prefixes in sequential files. A window whose prefix
-with a neighbour reaches WIDTH repeats.
+with a neighbour reaches WIDTH repeats. The windows of an anchor with more than MOST contexts, at the border of a
+passage that a great many texts share, meet by digests instead, in a counting shuffle.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialscope.llm.common import fields, frugal, frugal_group, planes, slices, text_of, unplanes, written
+from trialscope.llm.common import fields, frugal, frugal_group, planes, slices, small, text_of, unplanes, written
 from trialscope.llm.jaccard import mixed
 
 WIDTH, GRAM = 200, 100
@@ -28,30 +29,33 @@ REACH = WIDTH - GRAM  # a window starts at most so far left of its anchor
 SLICE, PART_BYTES = 16 << 20, 64 << 20
 #: Parts that a slice is dealt to at once; beyond them segments are dealt twice, first to coarse parts.
 FAN = 2048
+#: An anchor with more contexts isn't compared in one task: its windows meet by their digests.
+MOST = 50_000
 #: Contexts that a block of the construction's files has.
 ENTRIES = 1 << 20
 #: Bytes of text hashed at once, and the entries of a side that may be broadcast (about 24 bytes each).
 BLOCK, BROADCAST_ENTRIES = 1 << 20, 1_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 _PLACE = np.uint64((1 << 24) - 1)
-_POWERS: dict[str, np.ndarray] = {}
+_OTHER = np.uint64(0xC2B2AE3D27D4EB4F)  # a second base, where a digest is of 128 bits
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS["up"]) < n:
-        m = max(2 * n, 2 * BLOCK)
-        _POWERS["up"], _POWERS["back"] = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(m - 1, b)])) for b in (_BASE, _BACK))
-    return _POWERS["up"][:n], _POWERS["back"][:n]
+def _powers(n: int, base: np.uint64 = _BASE) -> tuple[np.ndarray, np.ndarray]:
+    if len(_POWERS.get(int(base), ((),))[0]) < n:
+        m, back = max(2 * n, 2 * BLOCK), np.uint64(pow(int(base), -1, 1 << 64))
+        _POWERS[int(base)] = tuple(np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(m - 1, b)])) for b in (base, back))
+    up, back = _POWERS[int(base)]
+    return up[:n], back[:n]
 
 
 class Hashes:
     """Rolling hashes of a buffer."""
 
-    def __init__(self, data: np.ndarray):
-        up, self.back = _powers(len(data) + 1)
+    def __init__(self, data: np.ndarray, base: np.uint64 = _BASE):
+        up, self.back = _powers(len(data) + 1, base)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[:-1])])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -389,6 +393,33 @@ def _compare(table: pa.Table) -> pa.Table:
     return pa.table({c: pa.array(np.concatenate([f[j] for f in found])) for j, c in enumerate(("row", "start", "end"))})
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The digests of all windows of the wanted contexts: a, b, row, start."""
+    for batch in slices(batches, most=SLICE // 16):
+        wanted = batch.column("wanted")
+        flat, offsets = wanted.flatten(), wanted.offsets.to_numpy() - wanted.offsets.to_numpy()[0]
+        at, left, more = (flat.field(c).to_numpy().astype(np.int64) for c in ("at", "left", "more"))
+        for k, (row, text) in enumerate(zip(batch.column("row").to_pylist(), _raw(batch.column("text")), strict=True)):
+            i = slice(offsets[k], offsets[k + 1])
+            n = more[i] + 1
+            start = np.repeat(at[i] - left[i] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            data = np.frombuffer(text, np.uint8)
+            a, b = (mixed(Hashes(data, base).of(start, start + WIDTH)).astype(np.int64) for base in (_BASE, _OTHER))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(start), row)), pa.array(start.astype(np.int32))], ["a", "b", "row", "start"])
+
+
+def _wanted(found: DataFrame) -> DataFrame:
+    return found.groupBy("row").agg(F.collect_list(F.struct("gram", "at", "left", "more")).alias("wanted"))
+
+
+def _hot_windows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Repeated windows (row, start, end) of anchors with very many contexts, by 128-bit digests. Digests are counted with
+    partial sums, so no task gets the rows of a passage that a large share of all texts has."""
+    met = written(texts.join(wanted, "row").select("row", "text", "wanted").mapInArrow(frugal(_windows), "a long, b long, row long, start int"), "hot-windows")
+    often = small(written(met.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "hot-digests"))
+    return met.join(often, ["a", "b"], "left_semi").select("row", "start", (F.col("start") + WIDTH).alias("end"))
+
+
 def _with_row(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text, an assigned row number and the text's bytes, as a written table: every later read sees the same."""
     own = fields(docs, doc_id=id_col, text=text_col).select("doc_id", text_of().alias("text"))
@@ -410,10 +441,17 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     if parts > FAN:  # else a slice would have few entries for each part
         dealt = dealt.repartition("part", F.pmod(F.xxhash64("gram"), F.lit(16))).mapInArrow(_redeal(parts), _DEALT)
     found = written(dealt.groupBy("part").applyInArrow(_settle, _FOUND), "segments")
-    wanted = found.filter("at is not null").groupBy("row").agg(F.collect_list(F.struct("gram", "at", "left", "more")).alias("wanted"))
-    wanted = _checked(written(wanted, "wanted"), "wanted")
+    sought = found.filter("at is not null")
+    hot = written(sought.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > MOST).select("gram"), "hot-anchors")
+    by_digest = None
+    if not hot.isEmpty():
+        hot = small(hot)
+        by_digest = _hot_windows(texts, _checked(written(_wanted(sought.join(hot, "gram", "left_semi")), "wanted-hot"), "wanted"))
+        sought = sought.join(hot, "gram", "left_anti")
+    wanted = _checked(written(_wanted(sought), "wanted"), "wanted")
     dealt = texts.join(wanted, "row").select("row", "text", "wanted").mapInArrow(_contexts(parts), "part int, " + ", ".join(f"{c} binary" for c in _CONTEXT) + ", body binary")
     more = written(dealt.groupBy("part").applyInArrow(_compare, "row long, start int, end int"), "windows")
+    more = more if by_digest is None else more.unionByName(by_digest)
     ranges = found.filter("at is null").select("row", "start", "end").unionByName(more).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"))
     joined = F.expr("""aggregate(ranges, cast(array() as array<struct<start: int, end: int>>), (a, x) ->
         if(size(a) > 0 and element_at(a, -1).end >= x.start,
