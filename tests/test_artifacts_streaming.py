@@ -186,3 +186,22 @@ def test_pointers_captures_and_queues(spark, tmp_path):
     items, problems = artifacts.queue_files(spark, str(tmp_path / "q"), json.loads)
     assert sorted((r.file, r["item"]) for r in items.collect()) == [("a.json", '{"id": "x"}'), ("a.json", '{"id": "y"}')]
     assert {r.file for r in problems.collect()} == {"b.json", "c.json", "old.md"}
+
+
+def test_connectors(spark, tmp_path):
+    pages = {None: (["a", "b"], "1"), "1": (["b", "c"], "2"), "2": (["d"], None)}
+    fetch = lambda cursor: {"data": [{"traceId": i} for i in pages[cursor][0]], "meta": {"cursor": pages[cursor][1]}}
+    assert artifacts.discover(fetch, 10) == ["a", "b", "c", "d"] and artifacts.discover(fetch, 3) == ["a", "b", "c"]
+    with pytest.raises(ValueError):
+        artifacts.discover(lambda c: {"data": [], "meta": {"cursor": "same"}}, 5)
+
+    def gone():
+        raise FileNotFoundError
+
+    assert artifacts.fetched(gone, lambda: [1]) == [1] and artifacts.fetched(lambda: [2], gone) == [2]
+    with pytest.raises(FileNotFoundError):
+        artifacts.fetched(gone, lambda: [1], "legacy")
+    m = artifacts.import_records(spark, "json", {"traces": [{"id": "t", "spans": [{"id": "s", "name": "n"}]}]}, str(tmp_path / "o"))
+    assert m["trace_count"] == 1
+    with pytest.raises(ValueError):
+        artifacts.import_records(spark, "json", {"traces": []}, str(tmp_path / "p"), max_bytes=3)

@@ -191,6 +191,35 @@ def judge_results(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"status": status, "category": F.when(kind == "ok", None).when(kind == "assertion", "agent").otherwise("judge"), "kind": kind})
 
 
+def judge_snapshots(rows: DataFrame) -> DataFrame:
+    """Judge results with broken ones replaced: not passed, in error, and of their fields only who judged."""
+    broken = F.col("passed").isNull() | F.coalesce(F.trim("reasoning") == "", F.lit(True))
+    return rows.withColumns({
+        "passed": F.when(broken, F.lit(False)).otherwise(F.col("passed")),
+        "reasoning": F.when(broken, F.lit("the judge's result breaks its contract")).otherwise(F.trim("reasoning")),
+        "error": F.when(broken, F.lit(True)).otherwise(F.coalesce("error", F.lit(False))),
+    })
+
+
+def markers(rows: DataFrame) -> DataFrame:
+    """Markers (nodeid, trials, timeout_s): at least one trial, a positive finite timeout if any."""
+    timeout = F.col("timeout_s")
+    rules = {"trials below 1": F.coalesce(F.col("trials") < 1, F.lit(False)), "timeout not positive and finite": timeout.isNotNull() & (F.isnan(timeout) | (timeout <= 0) | (timeout == F.lit(float("inf"))))}
+    found = F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in rules.items())), lambda x: x.isNotNull())
+    return rows.select(F.explode(found).alias("rule"), F.col("nodeid").alias("key"), timeout.cast("string").alias("detail"))
+
+
+def assertions(rows: DataFrame, checks: dict[str, Column], key: str = "trace_id") -> DataFrame:
+    """Each named condition over traces or calls, as (key, check, passed); null counts as not passed."""
+    named = F.array(*(F.struct(F.lit(n).alias("check"), F.coalesce(c, F.lit(False)).alias("passed")) for n, c in checks.items()))
+    return rows.select(key, F.explode(named).alias("c")).select(key, "c.check", "c.passed")
+
+
+def publishable(trials: DataFrame) -> DataFrame:
+    """Running trials whose snapshot may be shown: an output was recorded, or only a trace was asked for."""
+    return trials.filter(F.col("output_recorded") | F.col("trace_only"))
+
+
 def env_judge(setting: Column) -> Column:
     """pass, fail or error from a judge setting."""
     t = F.lower(F.trim(setting))

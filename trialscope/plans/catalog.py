@@ -318,11 +318,12 @@ def visible_history(spark, d):
     return contracts.visible_history(_messages(spark, d))
 
 
-@query("""WITH m AS (SELECT * FROM conversations WHERE (conv_id + turn) % 5 <> 0), u AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM m WHERE role IN ('user', 'assistant'))
+@query("""WITH m AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 5 = 0 THEN 'user' ELSE role END AS role FROM conversations), u AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM m WHERE role IN ('user', 'assistant'))
     SELECT 'role repeats' AS rule, conv_id || '/' || turn AS key, role AS detail FROM u WHERE before = role""")
 def alternation_violations(spark, d):
-    """Over a record with gaps: a turn in five is missing."""
-    return contracts.alternation(_messages(spark, d).filter((F.col("case_id") + F.col("turn")) % 5 != 0))
+    """Over a record in which every fifth turn is said to be a user's."""
+    said = F.when((F.col("case_id") + F.col("turn")) % 5 == 0, "user").otherwise(F.col("role"))
+    return contracts.alternation(_messages(spark, d).withColumn("role", said))
 
 
 @query("""WITH b AS (SELECT user_id::VARCHAR AS nodeid, epoch_us(ts) / 1e6::DOUBLE AS beat, min(epoch_us(ts) / 1e6::DOUBLE) OVER (PARTITION BY user_id) AS started FROM events)

@@ -22,7 +22,7 @@ def pick(key: Column, *values) -> Column:
 
 
 @query("""WITH l AS (SELECT l_orderkey, l_linenumber FROM lineitem),
-    m AS (SELECT DISTINCT l_orderkey, l_linenumber FROM l WHERE l_orderkey % 9 <> 4)
+    m AS (SELECT DISTINCT l_orderkey, l_linenumber FROM l)
     SELECT 'tool call not answered' AS rule, l_orderkey || '/1' AS key, 'c' || l_linenumber AS detail FROM m WHERE l_linenumber % 4 = 3
     UNION ALL SELECT 'unknown tool call id', l_orderkey || '/' || (1 + l_linenumber), 'x' || l_linenumber FROM m WHERE l_linenumber % 4 = 3
     UNION ALL SELECT 'tool call answered again', l_orderkey || '/' || (101 + l_linenumber), 'c' || l_linenumber FROM m WHERE l_linenumber % 4 = 2 AND l_orderkey % 5 = 0
@@ -32,7 +32,7 @@ def pick(key: Column, *values) -> Column:
     UNION ALL SELECT 'empty tool calls', l_orderkey || '/300', 'assistant' FROM m WHERE l_orderkey % 3 = 1 GROUP BY l_orderkey""")
 def message_contract(spark, d):
     """A case an order: a user turn, an assistant turn with a call a line, answers, and a last turn."""
-    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), "l_linenumber").distinct().filter("case_id % 9 <> 4")
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), "l_linenumber").distinct()
     call = F.concat(F.lit("c"), text("l_linenumber"))
     kind, none = "array<struct<id: string>>", F.lit(None)
     base = li.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(call)), lambda c: F.struct(c.alias("id"))).alias("tool_calls"))
@@ -226,12 +226,12 @@ def remote_endpoints(spark, d):
     return payloads.remote_endpoints(table(spark, d, "customer").select(F.concat(F.lit("API_URL_"), text("c_custkey")).alias("key"), value.alias("value")))
 
 
-@query("""WITH a AS (SELECT c_custkey AS n FROM customer WHERE c_custkey % 2 = 0)
+@query("""WITH a AS (SELECT c_custkey AS n FROM customer)
     SELECT n::VARCHAR AS nodeid, n % 3 = 0 OR n % 4 = 0 AS known, CASE WHEN n % 3 = 0 THEN 'snapshot' WHEN n % 4 = 0 THEN 'stored' END AS output, 'error' AS status, true AS incomplete FROM a""")
 def timed_out_trials(spark, d):
     c = table(spark, d, "customer").select(text("c_custkey").alias("nodeid"), F.col("c_custkey").alias("n"))
     side = lambda k, word: c.filter(F.col("n") % k == 0).select("nodeid", F.lit(word).alias("output"))
-    return queues.timed_out(c.filter("n % 2 = 0").select("nodeid"), side(4, "stored"), side(3, "snapshot"))
+    return queues.timed_out(c.select("nodeid"), side(4, "stored"), side(3, "snapshot"))
 
 
 @query("""WITH b AS (SELECT c_custkey AS n, c_mktsegment AS s FROM customer WHERE c_custkey % 3 <> 0), a AS (SELECT c_custkey AS n, CASE WHEN c_custkey % 5 = 0 THEN 'X' ELSE c_mktsegment END AS s FROM customer WHERE c_custkey % 4 <> 0)
@@ -300,10 +300,10 @@ def _responses(spark, d) -> DataFrame:
     c = table(spark, d, "conversations").filter("role in ('user', 'assistant')")
     agent = F.col("role") == "assistant"
     k = F.col("conv_id") + F.col("turn")
-    return c.select(F.col("conv_id").alias("case_id"), "turn", F.when(agent, "agent").otherwise("simulator").alias("source"), F.when(~agent | (k % 3 != 0), F.substring("text", 1, 20)).alias("content"), F.when(agent & (k % 4 == 0), F.lit("stated")).alias("output"), (agent & (k % 4 == 0)).alias("has_output"), F.when(agent & (k % 5 == 0), "done").alias("reason"), (k % 11 == 0).alias("error"))
+    return c.select(F.col("conv_id").alias("case_id"), "turn", F.when(agent, "agent").otherwise("simulator").alias("source"), F.when(~agent | (k % 3 != 0), F.col("text")).alias("content"), F.when(agent & (k % 4 == 0), F.lit("stated")).alias("output"), (agent & (k % 4 == 0)).alias("has_output"), F.when(agent & (k % 5 == 0), "done").alias("reason"), (k % 11 == 0).alias("error"))
 
 
-RESPONSES_SQL = """WITH r AS (SELECT conv_id AS case_id, turn, CASE WHEN role = 'assistant' THEN 'agent' ELSE 'simulator' END AS source, CASE WHEN role = 'user' OR (conv_id + turn) % 3 <> 0 THEN text[1:20] END AS content,
+RESPONSES_SQL = """WITH r AS (SELECT conv_id AS case_id, turn, CASE WHEN role = 'assistant' THEN 'agent' ELSE 'simulator' END AS source, CASE WHEN role = 'user' OR (conv_id + turn) % 3 <> 0 THEN text END AS content,
     role = 'assistant' AND (conv_id + turn) % 4 = 0 AS has_output, CASE WHEN role = 'assistant' AND (conv_id + turn) % 5 = 0 THEN 'done' END AS reason, (conv_id + turn) % 11 = 0 AS error FROM conversations WHERE role IN ('user', 'assistant')),
     o AS (SELECT *, CASE WHEN has_output THEN 'stated' WHEN source = 'agent' THEN content END AS said FROM r)"""
 
@@ -351,3 +351,38 @@ def cost_forms(spark, d):
     form = F.col("trial_index") % 4
     t = t.withColumns({"cost_available": F.when(form == 1, True).when(form == 2, False), "known_cost_usd": F.when(form == 1, F.col("cost_usd")).when(form > 1, F.col("cost_usd") / 2), "has_known_cost": form == 3})
     return scoring.cost_observation(t).select("group_id", "trial_index", "relevant", "complete", F.round("observed_cost", 9).alias("observed_cost"))
+
+
+@query("""SELECT c_custkey::VARCHAR AS key, CASE WHEN c_custkey % 3 = 0 THEN 'trials below 1' ELSE 'timeout not positive and finite' END AS rule FROM customer WHERE c_custkey % 3 = 0
+    UNION ALL SELECT c_custkey::VARCHAR, 'timeout not positive and finite' FROM customer WHERE c_custkey % 4 = 1""")
+def marker_rules(spark, d):
+    n = F.col("c_custkey")
+    rows = table(spark, d, "customer").select(text("c_custkey").alias("nodeid"), F.when(n % 3 == 0, 0).otherwise(2).alias("trials"), F.when(n % 4 == 0, 5.0).when(n % 4 == 1, float("inf")).alias("timeout_s"))
+    return contracts.markers(rows).select("key", "rule")
+
+
+@query("""SELECT c_custkey AS n, c_custkey % 5 > 0 AND c_custkey % 7 > 0 AND c_custkey % 2 = 0 AS passed, CASE WHEN c_custkey % 5 = 0 OR c_custkey % 7 = 0 THEN 'the judge''s result breaks its contract' ELSE 'why' END AS reasoning, c_custkey % 5 = 0 OR c_custkey % 7 = 0 AS error, 'm' AS model FROM customer""")
+def judge_snapshots(spark, d):
+    n = F.col("n")
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("n")).select("n", F.when(n % 5 != 0, n % 2 == 0).alias("passed"), F.when(n % 7 == 0, " ").otherwise(" why ").alias("reasoning"), F.lit(None).cast("boolean").alias("error"), F.lit("m").alias("model"))
+    return contracts.judge_snapshots(rows)
+
+
+@query("""WITH n AS (SELECT trace_id, list(tool_name) AS names FROM spans WHERE tool_name IS NOT NULL GROUP BY trace_id)
+    SELECT trace_id, 'buys' AS check, list_contains(names, 'purchase') AS passed FROM n UNION ALL SELECT trace_id, 'few', len(names) < 40 FROM n""", "spans")
+def trace_assertions(spark, d):
+    names = traces.tool_names(traces.tool_calls(spans(spark, d)))
+    return contracts.assertions(names, {"buys": traces.include(F.col("names"), ["purchase"]), "few": F.size("names") < 40})
+
+
+@query("""SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0""")
+def publishable_snapshots(spark, d):
+    n = F.col("c_custkey")
+    return contracts.publishable(table(spark, d, "customer").select("c_custkey", (n % 2 == 0).alias("output_recorded"), (n % 3 == 0).alias("trace_only"))).select("c_custkey")
+
+
+@query("""SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 1""")
+def earliest_deadline(spark, d):
+    seconds = F.unix_micros(F.col("o_orderdate").cast("timestamp")) / F.lit(1e6)
+    t = table(spark, d, "orders").select("o_orderkey", "o_custkey", (seconds + F.col("o_orderkey") / F.lit(1e6)).alias("started"), F.lit(1.0).alias("timeout_s"))
+    return queues.earliest_deadline(t).select("o_orderkey", "o_custkey")

@@ -22,7 +22,7 @@ from trialscope.functions import expr, formats
 from trialscope.operators import contracts, detectors, documents, scoring
 from trialscope.operators import traces as operators
 from trialscope.sources import readers
-from trialscope.sources.stage import staged
+from trialscope.sources.stage import shared_dir, staged
 
 VERSION = "redactor-v2"
 SCHEME = "hmac-sha256-96"
@@ -222,6 +222,16 @@ def import_traces(spark: SparkSession, provider: str, source: str, out: str, lim
     return manifest
 
 
+def import_records(spark: SparkSession, provider: str, payload: object, out: str, **options) -> dict:
+    """An import of records held by the driver, as when a connector fetched them: bounded by their JSON's length."""
+    text = json.dumps(payload, sort_keys=True)
+    if len(text.encode()) > options.get("max_bytes", 50_000_000):
+        raise ValueError("the records are larger than max_bytes")
+    source = f"{shared_dir(spark).rstrip('/')}/records-{uuid.uuid4().hex}.json"
+    write_text(spark, source, text)
+    return import_traces(spark, provider, source, out, **options)
+
+
 TRACE_COLUMNS = ("id", "name", "provider", "import_run_id", "imported_at", "started_at", "ended_at", "duration_ms", "status", "input", "output", "span_count")
 
 
@@ -437,6 +447,35 @@ def pages(fetch, limit: int, size: int = 100) -> list[dict]:
     return rows[:limit]
 
 
+def discover(fetch, limit: int) -> list[str]:
+    """Ids of a source paged by cursor, each once, in the order they were first seen, up to limit: fetch(cursor) gives
+    {"data": [{"traceId": ...}], "meta": {"cursor": ...}}. A cursor that comes again fails."""
+    ids: dict[str, None] = {}
+    cursor, seen = None, set()
+    while len(ids) < limit:
+        got = fetch(cursor)
+        data, cursor = got.get("data"), (got.get("meta") or {}).get("cursor")
+        if not isinstance(data, list):
+            raise ValueError("a page has no data list")
+        ids |= dict.fromkeys(str(r["traceId"]) for r in data if isinstance(r, dict) and r.get("traceId"))
+        if not cursor:
+            break
+        if cursor in seen:
+            raise ValueError("the source's cursor does not advance")
+        seen.add(cursor)
+    return list(ids)[:limit]
+
+
+def fetched(legacy: Callable[[], list], current: Callable[[], list], mode: str = "auto") -> list:
+    """Records of a connector by the mode asked for; auto takes the newer interface only if the older isn't there."""
+    if mode != "auto":
+        return {"legacy": legacy, "current": current}[mode]()
+    try:
+        return legacy()
+    except FileNotFoundError:
+        return current()
+
+
 def report(summary: dict[str, DataFrame], verdicts: DataFrame, top: int = 200) -> str:
     """A Markdown report: the reliability curve, cost and latency, and the first `top` groups that did not pass."""
     lines = ["# Report", "", "| k | pass^k | cohorts |", "|-|-|-|"]
