@@ -47,7 +47,9 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     table = f"{name}_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark).rstrip('/')}/{table}").bucketBy(buckets, key).saveAsTable(table)
-    return spark.table(table)
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the catalog forgets it; found and the files stay
+    return found
 
 
 def _bytes(df: DataFrame) -> Column:
