@@ -47,6 +47,11 @@ def test_otlp(spark, tmp_path):
     assert empty.spans.count() == 0
 
 
+def test_otlp_values_nest(spark):
+    nested = {"kvlistValue": {"values": [{"key": "a", "value": {"arrayValue": {"values": [{"intValue": "1"}, {"kvlistValue": {"values": [{"key": "b", "value": {"arrayValue": {}}}, {"value": {}}]}}, {}, None]}}}]}}
+    assert readers.untagged(nested) == {"a": ["1", {"b": []}, {}, None]} and readers.untagged(5) == 5 and readers.untagged({"other": 1}) == {"other": 1}
+
+
 def test_observations_join_their_traces(spark, tmp_path):
     doc = {"traces": [{"id": "t", "observations": [{"id": "o1", "type": "TOOL", "name": "find"}]}], "observations": [{"id": "o2", "traceId": "t", "type": "GENERATION", "level": "ERROR", "usageDetails": {"input": 3, "total": 9}, "totalCost": 0.5, "providedModelName": "m"}, {"id": "o3", "traceId": "gone"}]}
     e = readers.read(spark, "langfuse", write(tmp_path, "l.json", json.dumps(doc)))

@@ -93,12 +93,14 @@ def read_otlp(spark, d):
     pair = lambda key, v: F.concat(s('{"key":"'), s(key), s('","value":'), v, s("}"))
     quoted = lambda c: F.concat(q, c, q)
     tool = F.when(F.col("event_id") % 2 == 0, F.concat(s(","), pair("agent.tool.name", value("stringValue", quoted(F.col("event_type")))))).otherwise(s(""))
-    kv = value("kvlistValue", F.concat(s('{"values":['), pair("k", value("intValue", F.get_json_object("props", "$.k"))), s("]}")))
+    inner = value("kvlistValue", F.concat(s('{"values":['), pair("k", value("intValue", F.get_json_object("props", "$.k"))), s("]}")))
+    listed = value("arrayValue", F.concat(s('{"values":['), value("boolValue", s("true")), s(","), inner, s("]}")))
+    kv = value("kvlistValue", F.concat(s('{"values":['), pair("list", listed), s("]}")))
     attributes = F.concat(pair("gen_ai.usage.input_tokens", value("intValue", quoted(text("event_id")))), s(","), pair("gen_ai.usage.output_tokens", value("doubleValue", s("3.0"))), s(","), pair("input", kv), s(","), pair("dropped", value("boolValue", s("true"))), tool)
     span = F.concat(s('{"traceId":"'), text("user_id"), s('","spanId":"'), text("event_id"), s('","kind":3,"startTimeUnixNano":"'), F.unix_micros(F.col("ts").cast("timestamp")).cast("string"), s('000","status":{"code":'), F.when(F.col("event_id") % 4 == 0, "2").otherwise("1"), s('},"attributes":['), attributes, s("]}"))
     doc = F.concat(s('{"resourceSpans":[{"scopeSpans":[{"spans":['), span, s("]}]}]}"))
     spans = readers.read(spark, "otlp", lines(table(spark, d, "events").select(doc.alias("value")), "otlp")).spans
-    payload = F.concat(s('{"k": '), F.regexp_extract(F.try_variant_get("input", "$", "string"), r"\d+", 0), s("}"))
+    payload = F.concat(s('{"k": '), F.try_variant_get("input", "$.list[1].k", "string"), s("}"))
     return spans.select("trace_id", "span_id", "kind", "tool_name", "started_at", "status", F.col("usage.total_tokens").alias("total_tokens"), payload.alias("input"))
 
 

@@ -7,11 +7,14 @@ no JSON, a missing id, a span id used twice in a trace, and a mix of trace recor
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trialscope.functions import expr, formats
 
@@ -175,6 +178,28 @@ def observation_spans(rows: DataFrame, prefix: str) -> DataFrame:
 TAGS = ("stringValue", "intValue", "doubleValue", "boolValue", "bytesValue")
 
 
+def untagged(value):
+    """What a tagged OTLP value stands for: lists and key-value lists at any depth."""
+    if not isinstance(value, dict):
+        return value
+    for tag in TAGS:
+        if tag in value:
+            return value[tag]
+    values = lambda tag: [x for x in (value[tag] or {}).get("values") or []]
+    if "arrayValue" in value:
+        return [untagged(x) for x in values("arrayValue")]
+    if "kvlistValue" in value:
+        return {str(x["key"]): untagged(x.get("value")) for x in values("kvlistValue") if isinstance(x, dict) and x.get("key") is not None}
+    return value
+
+
+@F.pandas_udf(T.StringType())
+def untagged_json(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """JSON of tagged values to JSON of what they stand for. Spark's expressions have no recursion."""
+    for s in values:
+        yield s.map(lambda x: None if x is None else json.dumps(untagged(json.loads(x)), ensure_ascii=False))
+
+
 def otlp_spans(rows: DataFrame, prefix: str) -> DataFrame:
     v = F.col("v")
     pairs = F.col("pairs")
@@ -194,9 +219,16 @@ def otlp_spans(rows: DataFrame, prefix: str) -> DataFrame:
 
     tool = look("tool.name", f"{prefix}.tool.name", "openinference.tool.name")
     kind = expr.kind_of(F.trim(text(v, "kind")), tool)
-    payload = lambda *keys: F.to_variant_object(F.array(look(*keys)))
-    first = lambda a: F.try_variant_get(a, "$[0]", "variant")
     rows = rows.withColumn("pairs", items(v, "attributes"))
+
+    def payload(*keys: str) -> Column:
+        """The first of the keys whose last value isn't null, as it is tagged."""
+
+        def one(k: str) -> Column:
+            values = F.filter(pairs, lambda p: (text(p, "key") == k) & raw(p, "value").isNotNull())
+            return F.to_json(raw(F.try_element_at(values, F.lit(-1)), "value"))
+
+        return F.parse_json(untagged_json(F.coalesce(*map(one, keys))))
     return _finish(
         rows,
         trace_id=required(text(v, "traceId"), "trace id"),
@@ -209,8 +241,8 @@ def otlp_spans(rows: DataFrame, prefix: str) -> DataFrame:
         ended_at=expr.nanos_of(text(v, "endTimeUnixNano")),
         status=status(F.try_variant_get(v, '$["status"]', "variant"), "code"),
         status_message=F.try_variant_get(v, '$["status"]["message"]', "string"),
-        input=first(payload("input", "gen_ai.input.messages", "gen_ai.prompt", f"{prefix}.case.input")),
-        output=first(payload("output", "gen_ai.output.messages", "gen_ai.completion", f"{prefix}.final_output")),
+        input=payload("input", "gen_ai.input.messages", "gen_ai.prompt", f"{prefix}.case.input"),
+        output=payload("output", "gen_ai.output.messages", "gen_ai.completion", f"{prefix}.final_output"),
         usage=usage(v, look, prefix),
     )
 
