@@ -68,8 +68,13 @@ def earliest_deadline(trials: DataFrame) -> DataFrame:
 
 
 def timeout_failure(phase: Column, operation: Column) -> Column:
-    """Category of a timeout: the open operation's owner, else by phase."""
-    return F.when(operation.startswith("judge"), "judge").when(operation.startswith("simulator"), "simulator").when(phase.isin("setup", "teardown"), "harness").otherwise("agent")
+    """Category of a timeout: the harness's in setup and teardown, else the owner's of the open operation (judge, or a
+    simulator's response), else the agent's."""
+    return F.when(phase.isin("setup", "teardown"), "harness").when(operation == "simulator", "simulator").when(operation == "judge", "judge").otherwise("agent")
+
+
+def timeout_kind(phase: Column) -> Column:
+    return F.when(phase.isin("setup", "teardown"), phase).otherwise("timeout")
 
 
 def open_operation(events: DataFrame) -> DataFrame:

@@ -386,3 +386,10 @@ def earliest_deadline(spark, d):
     seconds = F.unix_micros(F.col("o_orderdate").cast("timestamp")) / F.lit(1e6)
     t = table(spark, d, "orders").select("o_orderkey", "o_custkey", (seconds + F.col("o_orderkey") / F.lit(1e6)).alias("started"), F.lit(1.0).alias("timeout_s"))
     return queues.earliest_deadline(t).select("o_orderkey", "o_custkey")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'harness' ELSE ['simulator', 'judge', 'agent', 'agent'][(c_custkey % 4)::INT + 1] END AS category, CASE WHEN c_custkey % 3 = 0 THEN 'setup' ELSE 'timeout' END AS kind FROM customer""")
+def timeout_failures(spark, d):
+    n = F.col("c_custkey")
+    phase, operation = pick(n, "setup", "call", "call"), F.when(n % 4 < 3, pick(n, "simulator", "judge", "llm", "none"))
+    return table(spark, d, "customer").select("c_custkey", queues.timeout_failure(phase, operation).alias("category"), queues.timeout_kind(phase).alias("kind"))
