@@ -184,7 +184,7 @@ def ruleset_hash() -> str:
 
 
 #: A text without any of these holds nothing that the built-in detectors find: signs that each pattern needs.
-GATE = r"(?i)[0-9@=\"']|www\.|https?:|bearer|basic|eyJ|-----BEGIN|(?:key|secret|token|passw(?:or)?d|credential)[\"']?\s*:|xox[abeoprs]-|glpat-|npm_|pypi-|sk-|SG\.|gh[pousr]_|[rs]k_live_|(?:[0-9a-f]{0,4}:){2}"
+GATE = r"(?i)[0-9@=\"']|www\.|https?:|bearer|basic|eyJ|-----BEGIN|(?:key|secret|token|passw(?:or)?d|credential)[\"']?\s*:|xox[abeoprs]-|glpat-|npm_|pypi-|sk-|SG\.|gh[pousr]_|[rs]k_live_|(?:[0-9a-f]{0,4}:){2}|(?:[0-9a-f]{2}[:-]){2}|AKIA|ASIA"
 _BUILT_IN = len(REGISTRY)
 
 
