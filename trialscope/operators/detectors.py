@@ -179,8 +179,10 @@ def register(name: str, detector: Callable[[str], Iterable[Hit]], priority: int
 
 
 def ruleset_hash() -> str:
+    """Changes with any pattern, score, priority, entity type or registered detector."""
     rules = [p.pattern for p in (EMAIL, URL, CARD, SSN, SSN_PLAIN, SSN_CONTEXT, DATE, DOB_CONTEXT, IPV4, IPV6, MAC, IBAN, BITCOIN, BECH32, ETHER, JWT, AUTH, SECRET_SHAPES, SECRET_WORD, QUOTED)]
-    return "sha256:" + hashlib.sha256("\n".join([*(n for n, _, _ in REGISTRY), *rules]).encode()).hexdigest()
+    settings = [SECRET_SCORE, PARSER_SCORE, PATTERN_SCORE, CONTEXT_SCORE, *sorted(TYPES), *sorted(FOLDED_TYPES), GATE]
+    return "sha256:" + hashlib.sha256("\n".join([*(f"{n} {p}" for n, _, p in REGISTRY), *rules, *map(str, settings)]).encode()).hexdigest()
 
 
 #: A text without any of these holds nothing that the built-in detectors find: signs that each pattern needs.
