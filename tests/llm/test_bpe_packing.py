@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from trialscope.llm import bpe, packing
 
-TEXTS = ["It's 'll  a\n\n\tb   c\x1c\x1dd", "<|endoftext|> 中文字 é ½ ٣٤ 🎉🎉\r\n   ", "", None, "word " * 5000, "same words same words", "x" * 3000, " ", "a b c\u0085d"]
+TEXTS = ["It's 'll  a\n\n\tb   c\x1c\x1dd", "<|endoftext|> 中文字 é ½ ٣٤ 🎉🎉\r\n   ", "", None, "word " * 5000, "same words same words", "x" * 3000, " ", "a b c\u0085d", " ", "    x  \n"]
 
 
 @pytest.fixture(scope="module")
@@ -72,3 +72,17 @@ def test_windows_stay_bounded_and_full():
         w.add(int(n), lambda a, b: b - a, done)
         assert len(w.room) <= 4
     assert all(95 <= sum(x) <= 100 for x in done)
+
+
+def test_words_encoded_together_are_as_alone(monkeypatch):
+    ranks = bpe.read_ranks()
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    words = ["", " ", "", " ", "  ", "a", " b", "'s", "中文", "\n\n", "x" * 500, "!?"]
+    for together in (1, 3, 100):
+        monkeypatch.setattr(bpe, "TOGETHER", together)
+        ids, lengths = bpe.encoder(*bpe.named(ranks))(words)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [library.encode_ordinary(w) for w in words]
+    ids, lengths = bpe.encoder(*bpe.named(ranks))([])
+    assert len(ids) == len(lengths) == 0
+    with pytest.raises(ValueError):
+        bpe.encoder(*bpe.named(ranks))([bpe.BETWEEN, "a"])

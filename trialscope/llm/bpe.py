@@ -53,6 +53,11 @@ def read_ranks(path: str = RANKS) -> dict[bytes, int]:
     return ranks
 
 
+#: Stands between words that are encoded together: a space within other characters, which no match of the pattern has.
+BETWEEN = "\ue000 \ue000"
+#: Words that are encoded together.
+TOGETHER = 100_000
+
 _ENCODER: dict[str, tiktoken.Encoding] = {}
 
 
@@ -61,12 +66,28 @@ def named(ranks: dict[bytes, int]) -> tuple[str, dict[bytes, int]]:
     return hashlib.sha256(b"".join(b"%d %d " % (i, len(t)) + t for t, i in ranks.items())).hexdigest(), ranks
 
 
-def encoder(digest: str, ranks: dict[bytes, int]) -> Callable[[str], list[int]]:
-    """The encoder of these ranks; a Python worker keeps the last one."""
+def encoder(digest: str, ranks: dict[bytes, int]) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """The encoder of these ranks: from pre-tokens their ids, one after the other, and the number of each one's. A Python
+    worker keeps the last encoder."""
+    end = max(ranks.values()) + 1
     if digest not in _ENCODER:
         _ENCODER.clear()
-        _ENCODER[digest] = tiktoken.Encoding(f"ranks-{digest}", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODER[digest].encode_ordinary
+        _ENCODER[digest] = tiktoken.Encoding(f"ranks-{digest}", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={BETWEEN: end})
+    encoding = _ENCODER[digest]
+
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, lengths = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for a in range(0, len(words), TOGETHER):
+            some = words[a : a + TOGETHER]
+            got = encoding.encode_to_numpy(BETWEEN.join(some), allowed_special={BETWEEN})
+            cuts = np.flatnonzero(got == end)
+            if len(cuts) != len(some) - 1:
+                raise ValueError("a word holds the mark between words, so it is no match of the pattern")
+            lengths.append(np.diff(np.concatenate([[-1], cuts, [len(got)]])) - 1)
+            ids.append(got[got != end].astype(np.uint32))
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    return encode
 
 
 def word_codes(tokens: pa.ListArray) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -126,18 +147,15 @@ def _chunks(parts: int) -> Callable:
 def _encode_words(ranks) -> Callable[[pa.Table], pa.Table]:
     @frugal_group
     def run(table: pa.Table) -> pa.Table:
-        encode = encoder(*ranks.value)
-        ids: dict[str, list[int]] = {}  # each distinct word once
+        number: dict[str, int] = {}  # each distinct word once
+        codes = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(blob.as_py())), np.int64) for blob in table.column("words")]
+        ids, lengths = encoder(*ranks.value)(list(number))
+        del number
+        starts = np.cumsum(lengths) - lengths
         out_ids, out_lengths = [], []
-        for blob in table.column("words"):
-            of = []
-            for w in words_of(blob.as_py()):
-                x = ids.get(w)
-                if x is None:
-                    x = ids[w] = encode(w)
-                of.append(x)
-            out_lengths.append(planes(np.fromiter(map(len, of), np.uint32, len(of))))
-            out_ids.append(planes(np.fromiter((i for x in of for i in x), np.uint32)))
+        for of in codes:
+            out_lengths.append(planes(lengths[of].astype(np.uint32)))
+            out_ids.append(planes(spread(of, np.array([len(of)]), starts, lengths, ids)[0]))
         return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "ids": pa.array(out_ids, pa.binary()), "lengths": pa.array(out_lengths, pa.binary())})
 
     return run
