@@ -80,7 +80,11 @@ def test_upsert_sink(spark, tmp_path):
     rows = lambda *r: spark.createDataFrame(list(r), "nodeid string, ord int, status string")
     sink(rows(("a", 1, "provisional"), ("b", 1, "pass")), 0)
     sink(rows(("a", 2, "pass")), 1)
-    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "t/1")).select("nodeid", "status").collect()} == {("a", "pass"), ("b", "pass")}
+    sink(rows(("a", 2, "pass")), 1)
+    sink(rows(("c", 1, "fail")), 2)
+    sink(rows().limit(0), 3)
+    got = live.latest_rows(spark, str(tmp_path / "t"))
+    assert {tuple(r) for r in got.select("nodeid", "status").collect()} == {("a", "pass"), ("b", "pass"), ("c", "fail")} and got.columns == ["nodeid", "ord", "status"]
 
 
 def test_pass_k_numbers(spark):

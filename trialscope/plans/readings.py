@@ -281,3 +281,15 @@ def streamed_open_operations(spark, d):
     out = _streamed(e.coalesce(1), live.open_operations, "open", "update")
     last = out.groupBy("nodeid").agg(F.max_by(F.struct("operation"), "batch").alias("o"))
     return last.select(F.col("nodeid").cast("long").alias("nodeid"), "o.operation").filter("operation is not null")
+
+
+@query("SELECT l_orderkey::VARCHAR AS nodeid, arg_max(l_partkey, (l_linenumber, l_partkey)) AS part FROM lineitem GROUP BY l_orderkey")
+def streamed_upserts(spark, d):
+    """Trial snapshots of a stream, the latest kept of each node, in a table of which a batch rewrites parts."""
+    li = table(spark, d, "lineitem").select(text("l_orderkey").alias("nodeid"), F.struct("l_linenumber", "l_partkey").alias("ord"), F.col("l_partkey").alias("part"))
+    source, sink = place(spark, "snapshots"), place(spark, "latest")
+    li.repartition(3).write.parquet(source)
+    stream = spark.readStream.schema(li.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    q = stream.writeStream.foreachBatch(live.upsert(sink)).option("checkpointLocation", place(spark, "latest-state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return live.latest_rows(spark, sink).select("nodeid", "part")

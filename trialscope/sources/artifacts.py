@@ -22,7 +22,7 @@ from trialscope.functions import expr, formats
 from trialscope.operators import contracts, detectors, documents, scoring
 from trialscope.operators import traces as operators
 from trialscope.sources import readers
-from trialscope.sources.stage import shared_dir, staged
+from trialscope.sources.stage import exists, shared_dir, staged
 
 VERSION = "redactor-v2"
 SCHEME = "hmac-sha256-96"
@@ -269,11 +269,6 @@ def load_traces(spark: SparkSession, out: str) -> DataFrame:
     return load(spark, out)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p, fs, _ = _paths(spark, path)
-    return fs.exists(p)
-
-
 def capture_provider(spark: SparkSession, provider: str, source: str) -> str:
     """local-jsonl for a jsonl whose folder, or the one above, has a manifest that says so."""
     if provider != "jsonl":
