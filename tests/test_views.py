@@ -62,3 +62,12 @@ def test_small_rules(spark):
     assert traces.called(calls, "find", status="error").first().called is False and traces.called(calls, "find").first().called is True
     checks = contracts.assertions(calls, {"null": F.lit(None).cast("boolean"), "yes": F.col("tool") == "find"})
     assert {(r.check, r.passed) for r in checks.collect()} == {("null", False), ("yes", True)}
+
+
+def test_names_by_list_and_by_aggregate(spark):
+    rows = [("t", "a", 0), ("t", "b", 1), ("u", "a", 0), ("u", "a", 1), ("v", "c", 0)]
+    calls = spark.createDataFrame(rows, "trace_id string, tool string, sequence long")
+    for wanted, banned in (([], []), (["a"], ["b"]), (["a", "b"], ["c"]), (["a", "a"], ["x"])):
+        n = F.col("names")
+        lists = traces.tool_names(calls).select("trace_id", traces.include(n, wanted), traces.exclude(n, banned), traces.no_repeats(n))
+        assert sorted(map(tuple, lists.collect())) == sorted(map(tuple, traces.tool_checks(calls, wanted, banned).collect()))

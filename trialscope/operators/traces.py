@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialscope.functions import expr
+from trialscope.operators.payloads import strict_object
 
 ORDER = ("started_at", "span_id")
 
@@ -45,6 +46,14 @@ def tool_names(calls: DataFrame) -> DataFrame:
     return calls.groupBy("trace_id").agg(names.alias("names"))
 
 
+def tool_checks(calls: DataFrame, wanted: list[str], banned: list[str]) -> DataFrame:
+    """(trace_id, includes, excludes, no_repeats) by partial aggregates: no trace's names are gathered."""
+    seen = lambda name: F.bool_or(F.col("tool") == name)
+    every = reduce(lambda a, b: a & b, map(seen, wanted), F.lit(True))
+    none = ~F.bool_or(F.col("tool").isin(*banned)) if banned else F.lit(True)
+    return calls.groupBy("trace_id").agg(every.alias("includes"), none.alias("excludes"), (F.count("tool") == F.count_distinct("tool")).alias("no_repeats"))
+
+
 def include(names: Column, wanted: list[str]) -> Column:
     return F.size(F.array_except(F.array(*map(F.lit, wanted)).cast("array<string>"), names)) == 0
 
@@ -108,7 +117,7 @@ def matching(calls: DataFrame, name: str, arguments: dict | None = None, result:
         out = out.filter(F.col("status") == status)
     for column, wanted in (("arguments", arguments), ("result", result)):
         if wanted is not None:
-            out = out.filter(F.col(f"{column}_recorded") & contains_json(F.col(column), wanted))
+            out = out.filter(F.col(f"{column}_recorded") & contains_json(F.col(column), strict_object(wanted)))
     return out
 
 

@@ -202,8 +202,8 @@ def tool_names(spark, d):
 
 @query(NAMES_SQL + " SELECT trace_id, list_has_all(names, ['click', 'purchase']) AS both, NOT list_has_any(names, ['purchase']) AS no_purchase, len(names) = len(list_distinct(names)) AS unique_names FROM n", "spans")
 def tools_include_exclude(spark, d):
-    n = F.col("names")
-    return _names(spark, d).select("trace_id", traces.include(n, ["click", "purchase"]).alias("both"), traces.exclude(n, ["purchase"]).alias("no_purchase"), traces.no_repeats(n).alias("unique_names"))
+    checks = traces.tool_checks(traces.tool_calls(spans(spark, d)), ["click", "purchase"], ["purchase"])
+    return checks.select("trace_id", F.col("includes").alias("both"), F.col("excludes").alias("no_purchase"), F.col("no_repeats").alias("unique_names"))
 
 
 @query(NAMES_SQL + " SELECT trace_id, regexp_matches(array_to_string(names, ','), '(^|,)click(,.*)?,purchase(,.*)?,purchase(,.*)?,click') AS in_order FROM n", "spans")
@@ -398,7 +398,9 @@ def valid_cards(spark, d):
     return cards.filter(expr.card_valid(F.col("c"))).groupBy("doc_id").agg(F.count("*").alias("n_valid"))
 
 
-@query()
+@query(r"""WITH c AS (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, '\b(?:[0-9][ -]?){12,18}[0-9]\b')), '[ -]', '', 'g') AS c FROM documents)
+    SELECT doc_id, count(*) AS n_valid FROM c WHERE c[1] IN ('2', '3', '4', '5', '6') AND len(list_distinct(string_split(c, ''))) > 1 AND
+    list_sum([CASE WHEN i % 2 = 0 THEN c[len(c) - i]::INT ELSE (c[len(c) - i]::INT * 2) // 10 + (c[len(c) - i]::INT * 2) % 10 END for i in range(len(c))]) % 10 = 0 GROUP BY doc_id""")
 def document_cards(spark, d):
     """Of 13 to 19 digits, with or without separators; valid_cards sees runs of 16 digits alone."""
     found = F.regexp_extract_all("text", F.lit(f"(?U){detectors.CARD.pattern}"), F.lit(0))
