@@ -66,14 +66,22 @@ def named(ranks: dict[bytes, int]) -> tuple[str, dict[bytes, int]]:
     return hashlib.sha256(b"".join(b"%d %d " % (i, len(t)) + t for t, i in ranks.items())).hexdigest(), ranks
 
 
-def encoder(digest: str, ranks: dict[bytes, int]) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
-    """The encoder of these ranks: from pre-tokens their ids, one after the other, and the number of each one's. A Python
-    worker keeps the last encoder."""
-    end = max(ranks.values()) + 1
+def _encoding(digest: str, ranks: dict[bytes, int]) -> tiktoken.Encoding:
+    """The encoding of these ranks; a Python worker keeps the last one."""
     if digest not in _ENCODER:
         _ENCODER.clear()
-        _ENCODER[digest] = tiktoken.Encoding(f"ranks-{digest}", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={BETWEEN: end})
-    encoding = _ENCODER[digest]
+        _ENCODER[digest] = tiktoken.Encoding(f"ranks-{digest}", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={BETWEEN: max(ranks.values()) + 1})
+    return _ENCODER[digest]
+
+
+def word_encoder(digest: str, ranks: dict[bytes, int]) -> Callable[[str], list[int]]:
+    """From one pre-token its ids, with little memory."""
+    return _encoding(digest, ranks).encode_ordinary
+
+
+def encoder(digest: str, ranks: dict[bytes, int]) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """From pre-tokens their ids, one after the other, and the number of each one's."""
+    encoding, end = _encoding(digest, ranks), max(ranks.values()) + 1
 
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids, lengths = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]

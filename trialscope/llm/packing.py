@@ -20,13 +20,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialscope.llm.bpe import encoder, named, pretokens, spread, word_codes
+from trialscope.llm.bpe import named, pretokens, spread, word_codes, word_encoder
 from trialscope.llm.common import fields, frugal, frugal_group, slices, text_of, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WINDOW, END, OPEN, SLACK, MERGE = 2048, 1, 64, 16, 64
+#: Words whose ids a task remembers.
+CACHE = 200_000
 #: Pre-tokens that a worker takes at once, about.
-BLOCK = 1_000_000
+BLOCK = 500_000
 
 _PIECE = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("offset", pa.int64())])
 
@@ -79,14 +81,27 @@ class Windows:
                 done.append(self.inside.pop(key))
 
 
+def _ids_of(words: list[str], encode: Callable, seen: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if len(seen) > CACHE:
+        seen.clear()
+    ids = []
+    for w in words:
+        x = seen.get(w)
+        if x is None:
+            x = seen[w] = encode(w)
+        ids.append(x)
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.cumsum(lengths) - lengths, lengths, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
+
+
 def _pack_batches(ranks, window: int, end: int) -> Callable:
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, windows, task, n = encoder(*ranks.value), Windows(window, OPEN, SLACK), TaskContext.get().partitionId(), 0
+        encode, windows, task, n = word_encoder(*ranks.value), Windows(window, OPEN, SLACK), TaskContext.get().partitionId(), 0
+        seen: dict[str, list[int]] = {}
         for batch in slices(batches, "tokens", BLOCK):
             words, codes, sizes = word_codes(batch.column("tokens"))
-            values, lengths = encode(words)
-            ids, ends = spread(codes, sizes, np.cumsum(lengths) - lengths, lengths, values)
+            ids, ends = spread(codes, sizes, *_ids_of(words, encode, seen))
             done: list[list] = []
             for doc, a, b in zip(batch.column("doc_id").to_pylist(), np.concatenate([[0], ends[:-1]]) if len(ends) else [], ends, strict=True):
                 own = np.append(ids[a:b], np.uint32(end)).astype("<u4")
