@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of a side that may be broadcast, as _bytes reckons them; beyond it the same join shuffles.
@@ -160,3 +160,24 @@ def words_of(blob: bytes) -> list[str]:
     ends = np.cumsum(unplanes(blob[4 : 4 + n], np.uint32), dtype=np.int64).tolist()
     raw = zstandard.ZstdDecompressor().decompress(blob[4 + n :]) if ends and ends[-1] else b""
     return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def ranked(df: DataFrame, group: str, *order: str, name: str = "ranked") -> DataFrame:
+    """df with its rows' place by order within their group (rank, from 0), the group's rows (n) and a number that orders
+    the groups (tree; nulls first). Ties stand in any order.
+
+    Rows are dealt by range over group and order, so a large group spreads over tasks, and equal rows are told apart by
+    where they were read. A task's rows lie in order; the counts of its groups, a row each, give where they begin.
+    """
+    row, at, part = fresh(df, "row"), fresh(df, "at"), fresh(df, "part")
+    by = [F.col(f"`{c}`") for c in dict.fromkeys((group, *order))]
+    dealt = df.withColumn(row, F.monotonically_increasing_id()).repartitionByRange(*by, F.col(row)).sortWithinPartitions(*by, F.col(row)).drop(row)
+    placed = written(dealt.withColumn(at, F.monotonically_increasing_id()), name).withColumn(part, F.shiftright(F.col(at), 33))
+    first, key = fresh(df, "first"), fresh(df, "key")
+    spans = placed.groupBy(F.col(part).alias(part), F.col(f"`{group}`").alias(key)).agg(F.count("*").alias("rows"), F.min(at).alias(first))
+    same = Window.partitionBy(key)
+    before = F.coalesce(F.sum("rows").over(same.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = written(spans.select(F.col(part), F.col(key), F.col(first), before.alias("before"), F.sum("rows").over(same).alias("n"), F.min(first).over(same).alias("tree")), f"{name}-spans")
+    spans = small(spans.withColumnRenamed(part, f"{part}2"))
+    joined = placed.join(spans, (placed[part] == spans[f"{part}2"]) & placed[group].eqNullSafe(spans[key]))
+    return joined.select(*[placed[f"`{c}`"] for c in df.columns], "tree", "n", (F.col("before") + F.col(at) - F.col(first)).alias("rank"))

@@ -50,4 +50,46 @@ ORACLES = {
         SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id FROM documents d LEFT JOIN n USING (doc_id)
         JOIN (SELECT doc_id, min(top) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)
     """,
+    "op11_chat_formatting": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -1, i, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)),
+             o AS (SELECT *, regexp_replace(text, '([\[<])(\\*(?:(?:/?(?:INST|SYS|ROLE)|[:+])\]|/?s>))', '\1\\\2', 'g') AS safe,
+                          regexp_replace(role, '([\[<])(\\*(?:(?:/?(?:INST|SYS|ROLE)|[:+])\]|/?s>))', '\1\\\2', 'g') AS safe_role,
+                          lag(role) OVER w IS NOT DISTINCT FROM role AND lag(role) OVER w IS NOT NULL AS joins
+                   FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+             p AS (SELECT *, CASE WHEN joins THEN 3 ELSE CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 ELSE length(safe_role) + 18 END END AS marks FROM o)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(length(safe) + marks)::BIGINT AS formatted_chars
+        FROM p GROUP BY conv_id
+    """,
+    "op13_merkle_manifest": r"""
+        WITH RECURSIVE
+             f AS (SELECT doc_id, lang, n_chars, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+                          coalesce(strlen(text) || ':' || text, '-') AS tail FROM documents),
+             l AS (SELECT doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+                          sha256(head || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || tail) AS changed FROM f),
+             r AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree
+                   FROM l WINDOW w AS (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf)),
+             t AS (SELECT tree, 0 AS lvl, i, n, leaf AS node FROM r UNION ALL
+                   SELECT tree, lvl + 1, i // 2, any_value((n + 1) // 2), sha256(string_agg(node, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY tree, lvl, i // 2),
+             s AS (SELECT tree AS i, node, count(*) OVER () AS n FROM t WHERE n = 1),
+             u AS (SELECT 0 AS lvl, i, n, node FROM s UNION ALL SELECT lvl + 1, i // 2, any_value((n + 1) // 2), sha256(string_agg(node, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY lvl, i // 2),
+             h AS (SELECT tree, max(lvl) AS h FROM t GROUP BY tree),
+             w AS (SELECT r.tree, r.i, x.lvl, x.node, r.i >> x.lvl AS at FROM r JOIN h USING (tree), unnest(range(h)) v(k) LEFT JOIN t x ON x.tree = r.tree AND x.lvl = k AND x.i = xor(r.i >> k, 1) WHERE x.node IS NOT NULL
+                   UNION ALL SELECT r.tree, r.i, h + x.lvl, x.node, r.tree >> x.lvl FROM r JOIN h USING (tree) JOIN u x ON x.i = xor(r.tree >> x.lvl, 1) WHERE x.n > 1),
+             p AS (SELECT tree, i, sha256(string_agg(node, '' ORDER BY lvl)) AS proof FROM w GROUP BY tree, i),
+             b AS (SELECT k, list_reduce(list_prepend(k::BIGINT, range(8)), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v FROM range(256) g(k)),
+             crcs AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                             lambda x, y: xor(x >> 8, list_extract(crc_table, (xor(x, y) & 255) + 1))), 4294967295) AS crc
+                      FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), (SELECT list(v ORDER BY k) AS crc_table FROM b)),
+             c AS (SELECT r.*, h.h + (SELECT max(lvl) FROM u) AS top, CASE WHEN doc_id IS NOT NULL AND n_changed THEN changed ELSE leaf END AS tried
+                   FROM (SELECT *, doc_id IN (SELECT doc_id FROM crcs WHERE crc % 7 = 0) AS n_changed FROM r) r JOIN h USING (tree)),
+             z AS (SELECT tree, i, 0 AS lvl, top, tried AS node FROM c UNION ALL
+                   SELECT z.tree, z.i, z.lvl + 1, z.top, sha256(CASE WHEN w.node IS NULL THEN z.node WHEN w.at % 2 = 1 THEN w.node || z.node ELSE z.node || w.node END)
+                   FROM z LEFT JOIN w ON w.tree = z.tree AND w.i = z.i AND w.lvl = z.lvl WHERE z.lvl < z.top)
+        SELECT c.doc_id, c.leaf, s.node AS subroot, g.node AS root, coalesce(p.proof, sha256('')) AS proof_sha256, z.node AS folded_root, z.node = g.node AS verified
+        FROM c JOIN s ON s.i = c.tree JOIN z ON z.tree = c.tree AND z.i = c.i AND z.lvl = z.top LEFT JOIN p ON p.tree = c.tree AND p.i = c.i, (SELECT node FROM u WHERE n = 1) g
+    """,
 }
