@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from trialscope.llm import bpe, chat, exact, html, jaccard, lines, merkle, packing, pii, quality, sql, suffixes, toxicity
+from trialscope.llm import bpe, chat, exact, html, jaccard, lines, merkle, packing, phrases, pii, quality, sql, suffixes, toxicity
 
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -34,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_toxicity": lambda s, d: toxicity.toxicity(table(s, d, "documents"), table(s, d, "labels")),
         "pipeline": corpus_pipeline.run,
         "op11_chat_formatting": lambda s, d: chat.digests(table(s, d, "conversations")),
+        "op12_phrase_collocations": lambda s, d: phrases.collocations(table(s, d, "documents")),
         "op13_merkle_manifest": lambda s, d: merkle.verified(table(s, d, "documents")),
         "op9_pii": lambda s, d: pii.report(table(s, d, "documents"), pii.key_of(s)),
     }

@@ -64,6 +64,22 @@ ORACLES = {
                sum(length(safe) + marks)::BIGINT AS formatted_chars
         FROM p GROUP BY conv_id
     """,
+    "op12_phrase_collocations": r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+             p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+             w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+             t AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM w GROUP BY lang),
+             f AS (SELECT lang, m, phrase, count(*)::HUGEINT AS f FROM (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM w, range(1, 6) s(m), unnest(range(1, greatest(len(ws) - m + 2, 1))) g(i)) GROUP BY ALL HAVING count(*) >= 100),
+             k AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1),
+             b AS (SELECT DISTINCT x.lang, array_to_string(x.ws[i:i + m2 - 1], ' ') AS phrase, x.a AS longer FROM k x, range(2, 5) s(m2), unnest(range(1, greatest(x.m - m2 + 2, 1))) g(i) WHERE m2 < x.m),
+             c AS (SELECT k.lang, k.phrase, k.a, l.f AS l, r.f AS r, t.n, (1000 * k.a * t.n) // (l.f * r.f) AS score, i
+                   FROM k JOIN t USING (lang), unnest(range(1, k.m)) g(i) JOIN f l ON l.lang = k.lang AND l.m = i AND l.phrase = array_to_string(k.ws[:i], ' ')
+                   JOIN f r ON r.lang = k.lang AND r.m = k.m - i AND r.phrase = array_to_string(k.ws[i + 1:], ' ')),
+             s AS (SELECT * FROM c WHERE NOT EXISTS (FROM b WHERE b.lang = c.lang AND b.phrase = c.phrase AND 100 * b.longer >= 100 * c.a)
+                   QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+        FROM s QUALIFY rank <= 2000
+    """,
     "op13_merkle_manifest": r"""
         WITH RECURSIVE
              f AS (SELECT doc_id, lang, n_chars, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
