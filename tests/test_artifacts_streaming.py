@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialscope.operators import scoring
-from trialscope.sources import artifacts
+from trialscope.sources import artifacts, versions
 from trialscope.streaming import live
 
 
@@ -19,7 +19,7 @@ def test_import_gate_and_tampering(spark, tmp_path):
     assert m["entity_instance_counts"] == {"CREDIT_CARD": 1, "EMAIL_ADDRESS": 2} and artifacts.warnings(m) == ["redaction changed 9 value(s)"]
     got = artifacts.load_traces(spark, out).collect()
     assert len(got) == 4 and all("example.com" not in r.name and "4111" not in r.input for r in got)
-    spark.range(1).write.mode("append").json(f"{out}/spans")
+    spark.range(1).write.mode("append").json(f"{out}/{versions.version(spark, out).members['spans'][versions.WHOLE]}")
     with pytest.raises(artifacts.GateError):
         artifacts.load_traces(spark, out)
     with pytest.raises(ValueError):
@@ -162,10 +162,10 @@ def test_runs_are_written_and_read_by_contract(spark, tmp_path):
     with pytest.raises(ValueError):
         artifacts.write_run(t.withColumn("nodeid", F.lit("same")), out, "r")
     assert artifacts.load_run(spark, out).count() == t.count()  # the old run stays
-    spark.read.parquet(f"{out}/aggregates").withColumn("passed", F.col("passed") + 1).write.parquet(f"{out}/other")
-    artifacts.replace(spark.read.parquet(f"{out}/other"), f"{out}/aggregates")
+    versions.replace(spark, out, {"aggregates": versions.read(spark, out, "aggregates").withColumn("passed", F.col("passed") + 1)})
     with pytest.raises(ValueError):
         artifacts.load_run(spark, out)
+    assert artifacts.load_run(spark, out, 0).count() == t.count()
 
 
 def test_pointers_captures_and_queues(spark, tmp_path):

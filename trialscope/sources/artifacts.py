@@ -12,17 +12,17 @@ import re
 import secrets
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialscope.functions import expr, formats
 from trialscope.operators import contracts, detectors, documents, scoring
 from trialscope.operators import traces as operators
-from trialscope.sources import readers
-from trialscope.sources.stage import exists, shared_dir, staged
+from trialscope.sources import exporter, readers, versions
+from trialscope.sources.stage import exists, numbered, shared_dir, staged
 
 VERSION = "redactor-v2"
 SCHEME = "hmac-sha256-96"
@@ -112,19 +112,6 @@ def _paths(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
-def replace(df: DataFrame, path: str) -> None:
-    """Writes beside the target and renames; until the rename the old artifact stays."""
-    spark = df.sparkSession
-    stage = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    df.write.parquet(stage)
-    target, fs, Path = _paths(spark, path)
-    old = Path(f"{stage}.old")
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(Path(stage), target)
-    fs.delete(old, True)
-
-
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     target, fs, _ = _paths(spark, path)
     out = fs.create(target, True)
@@ -183,26 +170,26 @@ def _fields(doc: Column, fields: tuple[str, ...]) -> dict[str, Column]:
     return out
 
 
-def import_traces(spark: SparkSession, provider: str, source: str, out: str, limit: int = 1000, max_bytes: int = 50_000_000, prefix: str = formats.PREFIX, key: bytes | None = None, run_id: str | None = None) -> dict:
-    """Reads an export, replaces ids by pseudonyms, redacts the first `limit` traces and writes traces, spans and their
-    manifest. key: of the pseudonyms, 32 bytes; without one, a key drawn for this import links nothing else.
+def import_traces(spark: SparkSession, provider: str, source: str, out: str, limit: int | None = 1000, max_bytes: int = 50_000_000, prefix: str = formats.PREFIX, key: bytes | None = None, run_id: str | None = None) -> dict:
+    """Reads an export, replaces ids by pseudonyms, redacts the first `limit` traces (None: all) and writes traces, spans
+    and their manifest as one version. key: of the pseudonyms, 32 bytes; without one, a key drawn for this import links nothing else.
 
     A jsonl beside a manifest that calls it a local capture is one. The detectors read each value once.
     """
-    if limit < 1 or max_bytes < 1:
+    if (limit is not None and limit < 1) or max_bytes < 1:
         raise ValueError("limit and max_bytes are at least 1")
     if key is not None and len(key) < 16:
         raise ValueError("a key has at least 16 bytes")
     provider = capture_provider(spark, provider.lower(), source)
     bounded(spark, source, max_bytes)
     export = readers.read(spark, provider, source, prefix)
-    traces = staged(readers.trace_rows(export, limit), "import-traces")
-    numbered = traces.select(F.col("id").alias("trace_id"), (F.row_number().over(Window.orderBy("trace_ord")) - 1).cast("long").alias("n"))  # at most `limit` rows
-    spans = export.spans.drop("trace_ord").join(F.broadcast(numbered), "trace_id")
-    order = Window.partitionBy("n").orderBy("span_ord")
-    spans = staged(spans.withColumn("doc_ord", F.row_number().over(order).cast("long")).drop("span_ord"), "import-spans")
+    traces = numbered(readers.trace_rows(export), ["trace_ord"], "n")
+    traces = staged(traces.filter(F.col("n") < limit) if limit else traces, "import-traces")
+    spans = numbered(export.spans.drop("trace_ord").join(traces.select(F.col("id").alias("trace_id"), "n"), "trace_id"), ["n", "span_ord"], "place")
+    first = spans.groupBy("n").agg(F.min("place").alias("first"))
+    spans = staged(spans.join(first, "n").withColumn("doc_ord", F.col("place") - F.col("first") + 1).drop("span_ord", "place", "first"), "import-spans")
     whole = F.array().cast("array<string>")
-    docs = traces.join(F.broadcast(numbered), traces["id"] == numbered["trace_id"]).select(F.col("n").alias("trace_ord"), F.lit(0).cast("long").alias("doc_ord"), whole.alias("path"), _document(TRACE_FIELDS).alias("doc"))
+    docs = traces.select(F.col("n").alias("trace_ord"), F.lit(0).cast("long").alias("doc_ord"), whole.alias("path"), _document(TRACE_FIELDS).alias("doc"))
     docs = docs.unionByName(spans.select(F.col("n").alias("trace_ord"), "doc_ord", F.array(*map(F.lit, documents.SPAN)).alias("path"), _document(SPAN_FIELDS).alias("doc")))
     safe, leaves = documents.redact_documents(docs)
     safe = staged(safe, "import-safe")
@@ -210,15 +197,17 @@ def import_traces(spark: SparkSession, provider: str, source: str, out: str, lim
     run_id = run_id or uuid.uuid4().hex
     now = dt.datetime.now(dt.UTC).isoformat()
     s = spans.join(safe.filter("doc_ord > 0").withColumnRenamed("trace_ord", "n"), ["n", "doc_ord"]).withColumns(_fields(F.col("doc"), SPAN_FIELDS)).drop("doc")
-    t = traces.join(F.broadcast(numbered), traces["id"] == numbered["trace_id"]).join(safe.filter("doc_ord = 0").select(F.col("trace_ord").alias("n"), "doc"), "n").withColumns(_fields(F.col("doc"), TRACE_FIELDS))
+    t = traces.join(safe.filter("doc_ord = 0").select(F.col("trace_ord").alias("n"), "doc"), "n").withColumns(_fields(F.col("doc"), TRACE_FIELDS))
     t = t.withColumns({"provider": F.lit(provider), "import_run_id": F.lit(run_id), "imported_at": F.lit(now)})
     t, s = pseudonymous(t, s, key)
-    replace(s.select("n", "doc_ord", *readers.SPAN_COLUMNS), f"{out}/spans")
-    replace(t.select("n", *TRACE_COLUMNS), f"{out}/traces")
+    parts = {"spans": s.select("n", "doc_ord", *readers.SPAN_COLUMNS), "traces": t.select("n", *TRACE_COLUMNS)}
+    made = {name: versions.written(df, out) for name, df in parts.items()}
     stats = documents.statistics(leaves)
     manifest = {"version": VERSION, "mandatory": True, "language": "en", "value_redaction_applied": True, "redaction_available": True, "ruleset_hash": detectors.ruleset_hash(), "pseudonymization": SCHEME, "model": {"name": "patterns", "version": "1", "checksum_verified": True}}
-    manifest |= stats | {"trace_count": traces.count(), "span_count": spans.count(), "provider": provider, "import_run_id": run_id, "imported_at": now, "sha256": _digests(spark, out)}
-    write_text(spark, f"{out}/manifest.json", json.dumps(manifest, sort_keys=True))
+    manifest |= stats | {"trace_count": traces.count(), "span_count": spans.count(), "provider": provider, "import_run_id": run_id, "imported_at": now, "sha256": _digests(spark, out, made)}
+    schemas = {name: df.schema.json() for name, df in parts.items()}
+    versions.transact(spark, out, lambda _: versions.Change(made, schemas, tuple(made), {"manifest": manifest}))
+    write_text(spark, f"{out}/manifest.json", json.dumps(manifest, sort_keys=True))  # for those who look; the version holds its own
     return manifest
 
 
@@ -235,8 +224,8 @@ def import_records(spark: SparkSession, provider: str, payload: object, out: str
 TRACE_COLUMNS = ("id", "name", "provider", "import_run_id", "imported_at", "started_at", "ended_at", "duration_ms", "status", "input", "output", "span_count")
 
 
-def _digests(spark: SparkSession, out: str) -> str:
-    return f"{digest(spark, f'{out}/traces')},{digest(spark, f'{out}/spans')}"
+def _digests(spark: SparkSession, out: str, members: Mapping[str, versions.Parts]) -> str:
+    return ",".join(digest(spark, f"{out.rstrip('/')}/{members[name][versions.WHOLE]}") for name in ("traces", "spans"))
 
 
 def warnings(manifest: dict) -> list[str]:
@@ -246,19 +235,19 @@ def warnings(manifest: dict) -> list[str]:
     return out + ([f"redaction changed {changed} value(s)"] if changed else [])
 
 
-def load(spark: SparkSession, out: str, part: str = "spans") -> DataFrame:
-    """The spans or traces of an import, if its manifest is safe, its files are those that were written and their
-    columns those of the format."""
-    try:
-        manifest = json.loads(read_text(spark, f"{out}/manifest.json"))
-    except Exception as error:
-        raise GateError("no readable manifest") from error
+def load(spark: SparkSession, out: str, part: str = "spans", number: int | None = None) -> DataFrame:
+    """The spans or traces of an import, by default the last into this folder, if its manifest is safe, its files are
+    those that were written and their columns those of the format. An import under way or cut short is not seen."""
+    found = versions.version(spark, out, number)
+    manifest = found.state.get("manifest")
+    if not manifest:
+        raise GateError("no readable manifest")
     problem = manifest_problem(manifest)
     if problem:
         raise GateError(problem)
-    if _digests(spark, out) != manifest.get("sha256"):
+    if _digests(spark, out, found.members) != manifest.get("sha256"):
         raise GateError("the files are not those of the manifest")
-    df = spark.read.parquet(f"{out}/{part}")
+    df = versions.read(spark, out, part, found)
     wanted = {"n", "doc_ord", *readers.SPAN_COLUMNS} if part == "spans" else {"n", *TRACE_COLUMNS}
     if set(df.columns) != wanted:
         raise GateError("the columns are not those of the format")
@@ -284,16 +273,11 @@ def capture_provider(spark: SparkSession, provider: str, source: str) -> str:
     return provider
 
 
-RAW = {"raw_source": True, "mandatory": False, "value_redaction_applied": False, "redaction_available": False}
-
-
-def write_spans(spans: DataFrame, folder: str, run_id: str) -> dict:
-    """A run's raw spans and their manifest, which is never safe: raw spans become evidence by an import only."""
-    spark = spans.sparkSession
-    spans.write.mode("append").json(f"{folder}/spans")
-    counts = spark.read.schema("trace_id string").json(f"{folder}/spans").agg(F.count("*").alias("spans"), F.count_distinct("trace_id").alias("traces")).first()
-    manifest = {"run_id": run_id, "source": "local-jsonl", "files": ["spans"], "span_count": counts.spans, "trace_count": counts.traces, "created_at": dt.datetime.now(dt.UTC).isoformat(), "redaction": RAW, **RAW}
-    write_text(spark, f"{folder}/manifest.json", json.dumps(manifest, sort_keys=True))
+def write_spans(spans: DataFrame, folder: str, run_id: str, batch: tuple[str, int] | None = None) -> dict:
+    """Adds to a run's raw spans and writes their manifest, which is never safe: raw spans become evidence by an import
+    only. Counts are carried on from append to append; a batch, (source, number), is added once."""
+    manifest = exporter.append(spans, folder, run_id, batch)
+    write_text(spans.sparkSession, f"{folder}/manifest.json", json.dumps(manifest, sort_keys=True))
     return manifest
 
 
@@ -331,7 +315,8 @@ TRIAL_COLUMNS = ("nodeid", "group_id", "case_id", "trial_index", "configured_tri
 
 
 def write_run(trials: DataFrame, out: str, run_id: str, complete: bool = True, interruption: str | None = None) -> dict:
-    """A run's trials in order, its aggregates and summary, and its manifest. A broken contract leaves the old run."""
+    """A run's trials in order, its aggregates and summary, and its manifest, as one version. A broken contract, or a
+    writer that dies, leaves the old run."""
     spark = trials.sparkSession
     t = staged(trials.select(*TRIAL_COLUMNS), "run-trials")
     provisional = t.filter("status = 'provisional'").count()
@@ -340,31 +325,27 @@ def write_run(trials: DataFrame, out: str, run_id: str, complete: bool = True, i
         raise ValueError(f"{broken.rule}: {broken.key}")
     if complete and (provisional or interruption):
         raise ValueError("a complete run is neither interrupted nor provisional")
-    replace(t.orderBy("group_id", "trial_index", "nodeid"), f"{out}/trials")
-    replace(scoring.verdicts(t), f"{out}/aggregates")
-    for name, df in scoring.run_summary(t).items():
-        replace(df, f"{out}/summary/{name}")
+    members = {"trials": t.orderBy("group_id", "trial_index", "nodeid"), "aggregates": scoring.verdicts(t)}
+    members |= {f"summary/{name}": df for name, df in scoring.run_summary(t).items()}
     manifest = {"schema_version": RESULT, "run_id": run_id, "complete": complete, "interruption": interruption, "trials": t.count()}
-    write_text(spark, f"{out}/manifest.json", json.dumps(manifest, sort_keys=True))
+    versions.replace(spark, out, members, {"manifest": manifest})
     return manifest
 
 
-def load_run(spark: SparkSession, out: str) -> DataFrame:
+def load_run(spark: SparkSession, out: str, number: int | None = None) -> DataFrame:
     """The trials of a run, after its version, contract, aggregates and summary were found right."""
-    try:
-        manifest = json.loads(read_text(spark, f"{out}/manifest.json"))
-    except Exception as error:
-        raise ValueError("no readable result") from error
+    found = versions.version(spark, out, number)
+    manifest = found.state.get("manifest")
     if not isinstance(manifest, dict) or "schema_version" not in manifest:
-        raise ValueError("the result has no schema version")
+        raise ValueError("no readable result of a known schema version")
     if manifest["schema_version"] != RESULT:
         raise ValueError(f"unsupported schema version {manifest['schema_version']!r}")
-    t = spark.read.parquet(f"{out}/trials")
+    t = versions.read(spark, out, "trials", found)
     if set(t.columns) != set(TRIAL_COLUMNS):
         raise ValueError("the trials' columns are not those of the format")
     run = spark.createDataFrame([(manifest["run_id"], manifest["complete"], manifest["interruption"], t.filter("status = 'provisional'").count())], "run_id string, complete boolean, interruption string, provisional long")
-    stored = {name: spark.read.parquet(f"{out}/summary/{name}") for name in scoring.SUMMARY_PARTS}
-    problems = contracts.all_of(contracts.run_complete(run), contracts.trial_contract(t), contracts.derived_equal(t, spark.read.parquet(f"{out}/aggregates")), contracts.summary_equal(t, stored))
+    stored = {name: versions.read(spark, out, f"summary/{name}", found) for name in scoring.SUMMARY_PARTS}
+    problems = contracts.all_of(contracts.run_complete(run), contracts.trial_contract(t), contracts.derived_equal(t, versions.read(spark, out, "aggregates", found)), contracts.summary_equal(t, stored))
     broken = problems.first()
     if broken:
         raise ValueError(f"{broken.rule}: {broken.key}")

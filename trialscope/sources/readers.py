@@ -1,22 +1,25 @@
 """Readers of trace exports: JSON and JSONL records or span rows, OTLP JSON and observation exports.
 
-Files are read as text and parsed to variant; every reader ends in the same two tables. `spans` has one row per span in
-file order (trace_ord, span_ord), `traces` one row per trace. Rows that are no JSON objects are dropped; a line that is
-no JSON, a missing id, a span id used twice in a trace, and a mix of trace records and span rows fail the job.
+Files are read as text and parsed to variant once; each span is then shredded by a wide schema, whose table of keys finds
+the place of every alias as the object is read, so no key is looked up by itself. Every reader ends in the same two
+tables. `spans` has one row per span in file order (trace_ord, span_ord), `traces` one row per trace. Rows that are no
+JSON objects are dropped; a line that is no JSON, a missing id, a span id used twice in a trace, and a mix of trace
+records and span rows fail the job.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialscope.functions import expr, formats
+from trialscope.sources.stage import staged
 
 SPAN_COLUMNS = ("trace_id", "span_id", "parent_id", "name", "kind", "tool_name", "started_at", "ended_at", "duration_ms", "status", "status_message", "input", "output", "usage")
 
@@ -36,21 +39,60 @@ def path(key: str) -> str:
     return f'$["{key}"]'
 
 
-def text(v: Column, *keys: str) -> Column:
-    """The first of the keys that is neither absent nor null, as text."""
-    return F.coalesce(*(F.try_variant_get(v, path(k), "string") for k in keys))
+#: from_json reads a text of any length; an object that has a field of another type keeps the others.
+OPTIONS = {"mode": "PERMISSIVE", "maxStringLen": str((1 << 31) - 1)}
+
+
+def shape(texts: Iterable[str] = (), values: Iterable[str] = (), **nested: T.StructType) -> T.StructType:
+    """The keys that are read of an object, in one pass over it: as text, as variant, or as objects themselves."""
+    kinds: dict[str, T.DataType] = dict.fromkeys(texts, T.StringType()) | dict.fromkeys(values, T.VariantType()) | nested
+    return T.StructType([T.StructField(k, t) for k, t in kinds.items()])
+
+
+class Fields:
+    """The fields of an object that was read by a shape."""
+
+    def __init__(self, object_: Column, of: T.StructType):
+        self.object, self.kinds = object_, {f.name: f.dataType for f in of}
+
+    def __getitem__(self, key: str) -> Column:
+        if key not in self.kinds:
+            raise KeyError(key)
+        return self.object.getField(key)
+
+    def nested(self, key: str) -> Fields:
+        return Fields(self[key], self.kinds[key])
 
+    def raw(self, *keys: str) -> Column:
+        """The first of the keys that is neither absent nor null, as variant."""
+        return F.coalesce(*(F.when(~F.is_variant_null(self[k]), self[k]) for k in keys))
 
-def whole(v: Column, *keys: str) -> Column:
-    """Like text, but a string that writes a fraction ("1.5") gives an empty text, which no number is read from: unlike
-    the number 1.5 it isn't cut to 1."""
+    def text(self, *keys: str) -> Column:
+        """The first of the keys that is neither absent nor null, as text."""
+        return F.coalesce(*(self[k] if self.kinds[k] == T.StringType() else self.raw(k).cast("string") for k in keys))
+
+
+def shredded(json_: Column, of: T.StructType) -> Column:
+    """The fields of an object's JSON, each of its keys looked up once in the shape's table."""
+    return F.from_json(json_, of, OPTIONS)
+
+
+def then(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with more columns, as a step by itself: an expression that is used more than once is computed once."""
+    return rows.withColumns(columns)
+
+
+def text(v: Column, *keys: str) -> Column:
+    """The first of the keys that is neither absent nor null, as text, of a variant of which few keys are read."""
+    return F.coalesce(*(F.try_variant_get(v, path(k), "string") for k in keys))
 
-    def one(k: str) -> Column:
-        got = F.try_variant_get(v, path(k), "string")
-        written = F.schema_of_variant(F.try_variant_get(v, path(k), "variant")) == "STRING"
-        return F.when(written & got.rlike(r"^\s*[+-]?(\d+\.\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?\d+[eE][+-]?\d+\s*$"), F.lit("")).otherwise(got)
 
-    return F.coalesce(*map(one, keys))
+def whole(value: Column) -> Column:
+    """A variant as text, but a string that writes a fraction ("1.5") gives an empty text, which no number is read from:
+    unlike the number 1.5 it isn't cut to 1."""
+    got = value.cast("string")
+    fraction = got.rlike(r"^\s*[+-]?(\d+\.\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?\d+[eE][+-]?\d+\s*$")
+    return F.when(fraction & F.to_json(value).startswith('"'), F.lit("")).otherwise(got)
 
 
 def raw(v: Column, *keys: str) -> Column:
@@ -59,10 +101,10 @@ def raw(v: Column, *keys: str) -> Column:
     return F.coalesce(*(F.when(~F.is_variant_null(x), x) for x in found))
 
 
-def items(v: Column, key: str) -> Column:
-    """The objects of an array under a key; none if it is absent or no array."""
-    got = F.coalesce(F.try_variant_get(v, path(key), "array<variant>"), F.array().cast("array<variant>"))
-    return F.filter(got, lambda x: F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False)))
+def objects(array: Column) -> Column:
+    """The JSON of an array's objects; what else it holds is left out. None if it is no array."""
+    got = F.coalesce(F.try_variant_get(array, "$", "array<variant>"), F.array().cast("array<variant>"))
+    return F.filter(F.transform(got, lambda x: F.to_json(x)), lambda x: x.startswith("{"))
 
 
 def required(value: Column, what: str) -> Column:
@@ -70,10 +112,10 @@ def required(value: Column, what: str) -> Column:
     return F.when(missing, F.raise_error(F.lit(f"{what} is missing")).cast("string")).otherwise(value)
 
 
-def status(v: Column, *keys: str) -> Column:
-    value = raw(v, *keys)
-    flag = F.when(F.schema_of_variant(value) == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
-    return F.when(flag.isNotNull(), expr.status_of_flag(flag)).otherwise(expr.status_of(F.try_variant_get(value, "$", "string")))
+def status(value: Column) -> Column:
+    """Of a variant: a boolean says whether there was an error."""
+    shown = value.cast("string")
+    return F.when(F.to_json(value).isin("true", "false"), expr.status_of_flag(shown == "true")).otherwise(expr.status_of(shown))
 
 
 def number(value: Column, kind: str) -> Column:
@@ -83,95 +125,130 @@ def number(value: Column, kind: str) -> Column:
     return F.when(~F.lower(value).isin("true", "false"), value.try_cast("double"))
 
 
-def attributes(v: Column, prefix: str) -> Callable[..., Column]:
-    """Looks up evidence attributes: the row's own keys win over metadata, that over attributes. Others aren't read."""
-    allowed = set(formats.evidence_keys(prefix))
-
-    def look(*keys: str, read: Callable = text) -> Column:
-        places = []
-        for k in keys:
-            if k not in allowed:
-                raise KeyError(k)
-            places += [read(v, k), read(F.try_variant_get(v, '$["metadata"]', "variant"), k), read(F.try_variant_get(v, '$["attributes"]', "variant"), k)]
-        return F.coalesce(*places)
-
-    return look
-
-
-def usage(v: Column, look: Callable[..., Column], prefix: str) -> Column:
-    """Tokens, cost, model and provider of a span."""
-    u, c = raw(v, *formats.USAGE), raw(v, *formats.COST)
-    tokens = lambda names, own, key: number(F.coalesce(whole(u, *names), whole(v, *own) if own else F.lit(None).cast("string"), look(key, read=whole)), "long")
-    inputs = tokens(formats.INPUT_TOKENS, ("inputUsage", "input_usage"), "gen_ai.usage.input_tokens")
-    outputs = tokens(formats.OUTPUT_TOKENS, ("outputUsage", "output_usage"), "gen_ai.usage.output_tokens")
-    total = tokens(formats.TOTAL_TOKENS, ("totalUsage", "total_usage"), "gen_ai.usage.total_tokens")
-    cost = F.coalesce(text(c, "total", "total_cost", "totalCost"), text(v, "totalCost", "total_cost", "calculatedTotalCost"), look(f"{prefix}.cost_usd", "cost_usd"))
-    return F.struct(
-        F.coalesce(expr.first_text(text(v, "modelProvider", "model_provider")), look(*formats.provider_keys(prefix))).alias("model_provider"),
-        F.coalesce(expr.first_text(text(v, "providedModelName", "model", "modelName", "model_name")), look(*formats.model_keys(prefix))).alias("model"),
-        inputs.alias("input_tokens"),
-        outputs.alias("output_tokens"),
-        expr.total_tokens(total, inputs, outputs).alias("total_tokens"),
-        tokens(formats.CACHE_READ, (), "gen_ai.usage.cache_read.input_tokens").alias("cache_read_input_tokens"),
-        tokens(formats.CACHE_WRITE, (), "gen_ai.usage.cache_creation.input_tokens").alias("cache_creation_input_tokens"),
-        number(cost, "double").alias("cost_usd"),
+#: Keys of evidence whose numbers are read by type.
+TOKEN_KEYS = tuple(f"gen_ai.usage.{k}" for k in ("input_tokens", "output_tokens", "total_tokens", "cache_read.input_tokens", "cache_creation.input_tokens"))
+#: For each of them, in this order, its column, its names in a usage object and those beside it.
+TOKENS = (
+    ("input_tokens", formats.INPUT_TOKENS, ("inputUsage", "input_usage")),
+    ("output_tokens", formats.OUTPUT_TOKENS, ("outputUsage", "output_usage")),
+    ("total_tokens", formats.TOTAL_TOKENS, ("totalUsage", "total_usage")),
+    ("cache_read_input_tokens", formats.CACHE_READ, ()),
+    ("cache_creation_input_tokens", formats.CACHE_WRITE, ()),
+)
+USAGE_SHAPE = shape(values=[n for _, names, _ in TOKENS for n in names])
+COST_SHAPE = shape(texts=("total", "total_cost", "totalCost"))
+MODELS = ("providedModelName", "model", "modelName", "model_name")
+COSTS = ("totalCost", "total_cost", "calculatedTotalCost")
+#: Keys of usage, cost, model and provider that any span may have.
+USAGE_TEXTS, USAGE_VALUES = ("model_provider", "modelProvider", *MODELS, *COSTS), (*formats.USAGE, *formats.COST, *(k for _, _, own in TOKENS for k in own))
+#: Keys of any span, trace record or observation.
+TEXTS = ("name", "type", "id", "traceName", "status_message", "statusMessage", "status.message", *formats.SPAN_TRACE_ID, *USAGE_TEXTS)
+VALUES = ("status", "spans", *formats.SPAN_MARKS, *formats.STARTED, *formats.ENDED, *formats.INPUT, *formats.OUTPUT, *USAGE_VALUES)
+
+
+def evidence_shape(prefix: str) -> T.StructType:
+    """The evidence attributes: others aren't read."""
+    return shape([k for k in formats.evidence_keys(prefix) if k not in TOKEN_KEYS], TOKEN_KEYS)
+
+
+def span_shape(prefix: str) -> T.StructType:
+    """What is read of a span row or a trace record: its own keys, among them the evidence, and two places of evidence."""
+    held = evidence_shape(prefix)
+    texts = (*(f.name for f in held if f.dataType == T.StringType()), *TEXTS, "tool_name", "toolName", "kind")
+    return shape(texts, (*VALUES, *formats.PARENT_MARKS, *TOKEN_KEYS, "status_code", "statusCode"), metadata=held, attributes=held)
+
+
+def observation_shape(prefix: str) -> T.StructType:
+    return shape((*TEXTS, "observationType", "observation_type", "parentObservationId", "parent_observation_id"), (*VALUES, "level", "error"), metadata=evidence_shape(prefix))
+
+
+def looker(*places: Fields) -> Callable[..., Column]:
+    """Looks up evidence attributes: for each key, the first of the places that has it."""
+    return lambda *keys: F.coalesce(*(place.text(k) for k in keys for place in places if k in place.kinds))
+
+
+def with_usage(rows: DataFrame, f: Fields, places: tuple[Fields, ...], prefix: str) -> DataFrame:
+    """rows with `usage`: tokens, cost, model and provider. Token counts of a place are taken by type if it holds
+    variants; if it holds texts, their tags told their types."""
+    look = looker(*places)
+    rows = then(rows, _u=f.raw(*formats.USAGE), _c=f.raw(*formats.COST))
+    rows = then(rows, _u=F.try_variant_get("_u", "$", USAGE_SHAPE.simpleString()), _c=F.try_variant_get("_c", "$", COST_SHAPE.simpleString()))
+    u, c = Fields(F.col("_u"), USAGE_SHAPE), Fields(F.col("_c"), COST_SHAPE)
+    typed = [p for p in places if p.kinds[TOKEN_KEYS[0]] != T.StringType()]
+    first = {f"_{n}": F.coalesce(u.raw(*names), *([f.raw(*own)] if own else []), *(p.raw(k) for p in typed)) for (n, names, own), k in zip(TOKENS, TOKEN_KEYS, strict=True)}
+    rows = then(rows, **first)
+    told = {f"_{n}": whole(F.col(f"_{n}")) if typed else F.coalesce(whole(F.col(f"_{n}")), look(k)) for (n, _, _), k in zip(TOKENS, TOKEN_KEYS, strict=True)}
+    cost = F.coalesce(c.text("total", "total_cost", "totalCost"), f.text(*COSTS), look(f"{prefix}.cost_usd", "cost_usd"))
+    provider, model = f.text("modelProvider", "model_provider"), f.text(*MODELS)
+    rows = then(rows, **told, _cost=cost, _provider=provider, _model=model)
+    rows = then(rows, **{f"_{n}": number(F.col(f"_{n}"), "long") for n, _, _ in TOKENS})
+    total = expr.total_tokens(F.col("_total_tokens"), F.col("_input_tokens"), F.col("_output_tokens"))
+    kept = F.struct(
+        F.coalesce(expr.first_text(F.col("_provider")), look(*formats.provider_keys(prefix))).alias("model_provider"),
+        F.coalesce(expr.first_text(F.col("_model")), look(*formats.model_keys(prefix))).alias("model"),
+        *(total.alias(n) if n == "total_tokens" else F.col(f"_{n}").alias(n) for n, _, _ in TOKENS),
+        number(F.col("_cost"), "double").alias("cost_usd"),
     )
-
-
-def _finish(rows: DataFrame, **columns: Column) -> DataFrame:
-    """Span rows with their duration, in SPAN_COLUMNS and file order."""
-    d = rows.select("trace_ord", "span_ord", *(c.alias(n) for n, c in columns.items()))
-    return d.withColumn("duration_ms", expr.duration_ms(F.col("started_at"), F.col("ended_at"))).select("trace_ord", "span_ord", *SPAN_COLUMNS)
-
-
-def json_spans(rows: DataFrame, prefix: str) -> DataFrame:
-    """rows: trace_ord, span_ord, trace_id (of the record, or null), v."""
-    v = F.col("v")
-    look = attributes(v, prefix)
-    tool = F.coalesce(expr.first_text(text(v, "tool_name", "toolName")), look(*formats.tool_name_keys(prefix)))
-    kind = expr.kind_of(F.trim(F.coalesce(expr.first_text(text(v, "kind", "type")), look(f"{prefix}.span.kind"))), tool)
-    trace = expr.first_text(text(v, *formats.SPAN_TRACE_ID), F.col("trace_id"))
-    return _finish(
-        rows,
-        trace_id=required(trace, "trace id"),
-        span_id=required(text(v, *formats.SPAN_ID[:2], "id", "observationId"), "span id"),
-        parent_id=text(v, "parent_span_id", "parentSpanId", "parent_id"),
-        name=F.coalesce(expr.first_text(text(v, "name")), kind),
-        kind=kind,
-        tool_name=tool,
-        started_at=expr.nanos_of(whole(v, *formats.STARTED)),
-        ended_at=expr.nanos_of(whole(v, *formats.ENDED)),
-        status=status(v, "status", "status_code", "statusCode"),
-        status_message=text(v, "status_message", "status.message"),
-        input=raw(v, *formats.INPUT),
-        output=raw(v, *formats.OUTPUT),
-        usage=usage(v, look, prefix),
+    return then(rows, usage=kept)
+
+
+def _finish(rows: DataFrame, kind: Column, name: Column) -> DataFrame:
+    """Span rows in SPAN_COLUMNS and file order, from rows with the parts' columns: texts of ids, name and kind, the
+    tool, variants of times and status, payloads and usage."""
+    told = {c: whole(F.col(c)) for c in ("_started", "_ended") if rows.schema[c].dataType == T.VariantType()}
+    rows = then(rows, kind=kind, **told)
+    rows = then(rows, started_at=expr.nanos_of(F.col("_started")), ended_at=expr.nanos_of(F.col("_ended")), name=name, trace_id=required(F.col("_trace"), "trace id"), span_id=required(F.col("_span"), "span id"), status=status(F.col("_status")))
+    return rows.withColumn("duration_ms", expr.duration_ms(F.col("started_at"), F.col("ended_at"))).select("trace_ord", "span_ord", *SPAN_COLUMNS)
+
+
+def json_spans(rows: DataFrame, prefix: str, of: T.StructType) -> DataFrame:
+    """rows: trace_ord, span_ord, trace_id (of the record, or null), r (by the shape)."""
+    f = Fields(F.col("r"), of)
+    places = (f, f.nested("metadata"), f.nested("attributes"))
+    look = looker(*places)
+    tool, kind = f.text("tool_name", "toolName"), f.text("kind", "type")
+    rows = then(
+        with_usage(rows, f, places, prefix),
+        _own_tool=tool,
+        _own_kind=kind,
+        _own_trace=f.text(*formats.SPAN_TRACE_ID),
+        _span=f.text(*formats.SPAN_ID[:2], "id", "observationId"),
+        parent_id=f.text("parent_span_id", "parentSpanId", "parent_id"),
+        _name=f.text("name"),
+        _started=f.raw(*formats.STARTED),
+        _ended=f.raw(*formats.ENDED),
+        _status=f.raw("status", "status_code", "statusCode"),
+        status_message=f.text("status_message", "status.message"),
+        input=f.raw(*formats.INPUT),
+        output=f.raw(*formats.OUTPUT),
     )
-
-
-def observation_spans(rows: DataFrame, prefix: str) -> DataFrame:
-    v, meta = F.col("v"), F.try_variant_get(F.col("v"), '$["metadata"]', "variant")
-    type_ = F.coalesce(expr.first_text(text(v, "type", "observationType", "observation_type")), F.lit("span"))
-    name = F.coalesce(expr.first_text(text(v, "name")), type_)
-    allowed = set(formats.evidence_keys(prefix))
-    look = lambda *keys, read=text: read(meta, *(k for k in keys if k in allowed))
-    tool = F.when(F.lower(type_) == "tool", name).otherwise(text(meta, "tool.name", f"{prefix}.tool.name", "openinference.tool.name"))
-    return _finish(
-        rows,
-        trace_id=required(expr.first_text(text(v, "traceId", "trace_id"), F.col("trace_id")), "trace id"),
-        span_id=required(text(v, *formats.SPAN_ID[:2], "id", "observationId"), "span id"),
-        parent_id=text(v, "parentObservationId", "parent_observation_id"),
-        name=name,
-        kind=expr.kind_of(F.trim(type_), tool),
-        tool_name=tool,
-        started_at=expr.nanos_of(whole(v, *formats.STARTED)),
-        ended_at=expr.nanos_of(whole(v, *formats.ENDED)),
-        status=status(v, "status", "level", "error"),
-        status_message=text(v, "status_message", "statusMessage"),
-        input=raw(v, *formats.INPUT),
-        output=raw(v, *formats.OUTPUT),
-        usage=usage(v, look, prefix),
+    rows = then(rows, tool_name=F.coalesce(expr.first_text(F.col("_own_tool")), look(*formats.tool_name_keys(prefix))), _kind=F.trim(F.coalesce(expr.first_text(F.col("_own_kind")), look(f"{prefix}.span.kind"))), _trace=expr.first_text(F.col("_own_trace"), F.col("trace_id")))
+    return _finish(rows, expr.kind_of(F.col("_kind"), F.col("tool_name")), F.coalesce(expr.first_text(F.col("_name")), F.col("kind")))
+
+
+def observation_spans(rows: DataFrame, prefix: str, of: T.StructType) -> DataFrame:
+    f = Fields(F.col("r"), of)
+    places = (f.nested("metadata"),)
+    look = looker(*places)
+    rows = then(
+        with_usage(rows, f, places, prefix),
+        _type=f.text("type", "observationType", "observation_type"),
+        _own_trace=f.text("traceId", "trace_id"),
+        _span=f.text(*formats.SPAN_ID[:2], "id", "observationId"),
+        parent_id=f.text("parentObservationId", "parent_observation_id"),
+        _name=f.text("name"),
+        _started=f.raw(*formats.STARTED),
+        _ended=f.raw(*formats.ENDED),
+        _status=f.raw("status", "level", "error"),
+        status_message=f.text("status_message", "statusMessage"),
+        input=f.raw(*formats.INPUT),
+        output=f.raw(*formats.OUTPUT),
+        _held_tool=look("tool.name", f"{prefix}.tool.name", "openinference.tool.name"),
     )
+    rows = then(rows, _type=F.coalesce(expr.first_text(F.col("_type")), F.lit("span")), _trace=expr.first_text(F.col("_own_trace"), F.col("trace_id")))
+    rows = then(rows, _name=F.coalesce(expr.first_text(F.col("_name")), F.col("_type")))
+    rows = then(rows, tool_name=F.when(F.lower("_type") == "tool", F.col("_name")).otherwise(F.col("_held_tool")))
+    return _finish(rows, expr.kind_of(F.trim("_type"), F.col("tool_name")), F.col("_name"))
 
 
 #: The tags of an OTLP value, in order.
@@ -200,51 +277,59 @@ def untagged_json(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda x: None if x is None else json.dumps(untagged(json.loads(x)), ensure_ascii=False))
 
 
+def payload_keys(prefix: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Keys of a span's input and output, in order."""
+    return ("input", "gen_ai.input.messages", "gen_ai.prompt", f"{prefix}.case.input"), ("output", "gen_ai.output.messages", "gen_ai.completion", f"{prefix}.final_output")
+
+
+def otlp_attributes(pairs: Column, prefix: str) -> Column:
+    """The evidence of a list of tagged attributes as JSON of an object: a key's last value that isn't null. Payloads stay
+    tagged; a scalar is what its tag holds, a list or key-value list what its entries hold."""
+    payloads = [k for keys in payload_keys(prefix) for k in keys]
+    known = F.transform(F.coalesce(pairs, F.array().cast("array<variant>")), lambda p: F.struct(text(p, "key").alias("key"), raw(p, "value").alias("value")))
+    known = F.filter(known, lambda p: p["key"].isin(*formats.evidence_keys(prefix)) & p["value"].isNotNull())
+    flat = lambda x: F.coalesce(text(x, *TAGS), F.to_json(x))
+
+    def held(p: Column) -> Column:
+        value = p["value"]
+        array = F.try_variant_get(value, '$["arrayValue"]["values"]', "array<variant>")
+        entries = F.try_variant_get(value, '$["kvlistValue"]["values"]', "array<variant>")
+        nested = F.to_json(F.map_from_entries(F.transform(entries, lambda x: F.struct(text(x, "key"), flat(raw(x, "value"))))))
+        tagged = F.to_json(value).startswith("{") & ~p["key"].isin(payloads)
+        return F.concat(F.lit('"'), p["key"], F.lit('":'), F.when(tagged, F.coalesce(F.to_json(raw(value, *TAGS)), F.to_json(F.transform(array, flat)), nested)).otherwise(F.to_json(value)))
+
+    return F.concat(F.lit("{"), F.array_join(F.transform(known, held), ","), F.lit("}"))  # nulls are left out
+
+
+def otlp_shape() -> T.StructType:
+    texts = ("traceId", "spanId", "parentSpanId", "name", "kind", "startTimeUnixNano", "endTimeUnixNano", *USAGE_TEXTS)
+    return shape(texts, ("attributes", *USAGE_VALUES), status=shape(("message",), ("code",)))
+
+
 def otlp_spans(rows: DataFrame, prefix: str) -> DataFrame:
-    v = F.col("v")
-    pairs = F.col("pairs")
-
-    def look(*keys: str, read: Callable | None = None) -> Column:  # tagged values tell their types themselves
-        def one(k: str) -> Column:
-            values = F.filter(pairs, lambda p: text(p, "key") == k)
-            value = F.try_variant_get(F.try_element_at(F.filter(values, lambda p: raw(p, "value").isNotNull()), F.lit(-1)), '$["value"]', "variant")
-            plain = F.when(~F.schema_of_variant(value).startswith("OBJECT"), F.try_variant_get(value, "$", "string"))
-            listed = F.try_variant_get(value, '$["arrayValue"]["values"]', "array<variant>")
-            array = F.when(listed.isNotNull(), F.to_json(F.transform(listed, lambda x: F.coalesce(text(x, *TAGS), F.to_json(x)))))
-            nested = F.try_variant_get(value, '$["kvlistValue"]["values"]', "array<variant>")
-            object_ = F.when(nested.isNotNull(), F.to_json(F.map_from_entries(F.transform(nested, lambda x: F.struct(text(x, "key"), F.coalesce(text(raw(x, "value"), *TAGS), F.to_json(raw(x, "value"))))))))
-            return F.coalesce(plain, text(value, *TAGS), array, object_)
-
-        return F.coalesce(*map(one, keys))
-
-    tool = look("tool.name", f"{prefix}.tool.name", "openinference.tool.name")
-    kind = expr.kind_of(F.trim(text(v, "kind")), tool)
-    rows = rows.withColumn("pairs", items(v, "attributes"))
-
-    def payload(*keys: str) -> Column:
-        """The first of the keys whose last value isn't null, as it is tagged."""
-
-        def one(k: str) -> Column:
-            values = F.filter(pairs, lambda p: (text(p, "key") == k) & raw(p, "value").isNotNull())
-            return F.to_json(raw(F.try_element_at(values, F.lit(-1)), "value"))
-
-        return F.parse_json(untagged_json(F.coalesce(*map(one, keys))))
-    return _finish(
-        rows,
-        trace_id=required(text(v, "traceId"), "trace id"),
-        span_id=required(text(v, "spanId"), "span id"),
-        parent_id=expr.first_text(text(v, "parentSpanId")),
-        name=F.coalesce(expr.first_text(text(v, "name")), kind),
-        kind=kind,
-        tool_name=tool,
-        started_at=expr.nanos_of(text(v, "startTimeUnixNano")),
-        ended_at=expr.nanos_of(text(v, "endTimeUnixNano")),
-        status=status(F.try_variant_get(v, '$["status"]', "variant"), "code"),
-        status_message=F.try_variant_get(v, '$["status"]["message"]', "string"),
-        input=payload("input", "gen_ai.input.messages", "gen_ai.prompt", f"{prefix}.case.input"),
-        output=payload("output", "gen_ai.output.messages", "gen_ai.completion", f"{prefix}.final_output"),
-        usage=usage(v, look, prefix),
+    """rows: trace_ord, span_ord, r (by otlp_shape)."""
+    payloads, of = payload_keys(prefix), otlp_shape()
+    kept = shape([k for k in formats.evidence_keys(prefix) if k not in sum(payloads, ())], sum(payloads, ()))
+    f, held = Fields(F.col("r"), of), Fields(F.col("held"), kept)
+    look, state = looker(held), f.nested("status")
+    rows = then(rows, pairs=F.try_variant_get(f["attributes"], "$", "array<variant>"))
+    rows = then(rows, held=shredded(otlp_attributes(F.col("pairs"), prefix), kept))
+    rows = then(
+        with_usage(rows, f, (held,), prefix),
+        tool_name=look("tool.name", f"{prefix}.tool.name", "openinference.tool.name"),
+        _trace=f.text("traceId"),
+        _span=f.text("spanId"),
+        _parent=f.text("parentSpanId"),
+        _kind=F.trim(f.text("kind")),
+        _name=f.text("name"),
+        _started=f.text("startTimeUnixNano"),
+        _ended=f.text("endTimeUnixNano"),
+        _status=state.raw("code"),
+        status_message=state.text("message"),
+        **{name: F.to_json(held.raw(*keys)) for name, keys in zip(("input", "output"), payloads, strict=True)},
     )
+    rows = then(rows, parent_id=expr.first_text(F.col("_parent")), input=F.parse_json(untagged_json("input")), output=F.parse_json(untagged_json("output")))
+    return _finish(rows, expr.kind_of(F.col("_kind"), F.col("tool_name")), F.coalesce(expr.first_text(F.col("_name")), F.col("kind")))
 
 
 def documents(spark: SparkSession, source: str) -> DataFrame:
@@ -254,74 +339,90 @@ def documents(spark: SparkSession, source: str) -> DataFrame:
         d = spark.read.text(source, wholetext=True).withColumn("file_ord", F.struct(F.input_file_name(), F.lit(0).cast("long")))
     else:
         d = spark.read.text(source).filter(F.trim("value") != "").withColumn("file_ord", F.struct(F.input_file_name(), F.monotonically_increasing_id()))
-    v = F.try_parse_json("value")
-    return d.select("file_ord", F.when(v.isNull(), F.raise_error(F.lit("malformed JSON")).cast("variant")).otherwise(v).alias("v"))
+    d = d.select("file_ord", F.try_parse_json("value").alias("v"))
+    return d.select("file_ord", F.when(F.col("v").isNull(), F.raise_error(F.lit("malformed JSON")).cast("variant")).otherwise(F.col("v")).alias("v"))
 
 
 def records(spark: SparkSession, source: str) -> DataFrame:
-    """(ord, v) of the objects of a source: list, {"traces": [...]}, or single object."""
+    """(ord, j), the JSON of the objects of a source: list, {"traces": [...]}, or single object."""
     d = documents(spark, source)
-    kind = F.schema_of_variant(F.col("v"))
-    inner = F.when(kind.startswith("ARRAY"), F.try_variant_get("v", "$", "array<variant>")).when(F.schema_of_variant(F.try_variant_get("v", '$["traces"]', "variant")).startswith("ARRAY"), F.try_variant_get("v", '$["traces"]', "array<variant>")).otherwise(F.array("v"))
-    rows = d.select("file_ord", F.posexplode(inner).alias("pos", "v")).select(F.struct("file_ord", "pos").alias("ord"), "v")
-    return rows.filter(F.schema_of_variant("v").startswith("OBJECT"))
+    d = then(d, listed=F.try_variant_get("v", "$", "array<variant>"), traces=F.try_variant_get("v", '$["traces"]', "array<variant>"))
+    held = F.transform(F.coalesce("listed", "traces", F.array("v")), lambda x: F.to_json(x))
+    rows = d.select("file_ord", F.posexplode(F.filter(held, lambda j: j.startswith("{"))).alias("pos", "j"))
+    return rows.select(F.struct("file_ord", "pos").alias("ord"), "j")
 
 
-def is_span_row(v: Column) -> Column:
-    marked = F.greatest(*(F.try_variant_get(v, path(k), "variant").isNotNull() for k in (*formats.SPAN_MARKS, *formats.PARENT_MARKS)))
-    listed = F.coalesce(F.schema_of_variant(F.try_variant_get(v, '$["spans"]', "variant")).startswith("ARRAY"), F.lit(False))
-    return marked & ~listed
+def is_span_row(f: Fields) -> Column:
+    marked = F.greatest(*(f[k].isNotNull() for k in (*formats.SPAN_MARKS, *formats.PARENT_MARKS)))
+    return marked & F.try_variant_get(f["spans"], "$", "array<variant>").isNull()
 
 
 def _numbered(spans: DataFrame) -> DataFrame:
-    """trace_ord: where the trace first appears."""
-    return spans.withColumn("trace_ord", F.min("span_ord").over(Window.partitionBy("trace_id")))
+    """trace_ord: where the trace first appears. The spans are shredded once, here; a large trace is not gathered."""
+    spans = staged(spans.drop("trace_ord"), "spans")
+    first = spans.groupBy("trace_id").agg(F.min("span_ord").alias("trace_ord"))
+    return spans.join(first, "trace_id").select("trace_ord", "span_ord", *SPAN_COLUMNS)
 
 
 def read_json(spark: SparkSession, source: str, prefix: str = formats.PREFIX) -> Export:
-    rows = records(spark, source)
-    shape = rows.agg(F.bool_or(is_span_row(F.col("v"))).alias("spans"), F.bool_or(~is_span_row(F.col("v"))).alias("records")).first()
-    if shape["spans"] and shape["records"]:
-        raise ValueError("trace records and span rows are mixed")
-    if shape["spans"]:
-        return Export(_numbered(json_spans(rows.select(F.col("ord").alias("trace_ord"), F.col("ord").alias("span_ord"), F.lit(None).cast("string").alias("trace_id"), "v"), prefix)))
-    r = rows.withColumn("trace_id", required(text(F.col("v"), "id", "trace_id", "traceId"), "trace id"))
-    inner = r.select(F.col("ord").alias("trace_ord"), "trace_id", F.posexplode(items(F.col("v"), "spans")).alias("pos", "v"))
-    spans = json_spans(inner.select("trace_ord", F.struct("trace_ord", "pos").alias("span_ord"), "trace_id", "v"), prefix)
-    return Export(spans, _stated(r, status(F.col("v"), "status", "status_code", "statusCode"), formats.INPUT, formats.OUTPUT))
-
-
-def _stated(rows: DataFrame, state: Column, inputs: tuple[str, ...], outputs: tuple[str, ...]) -> DataFrame:
-    v = F.col("v")
-    return rows.select("trace_id", F.col("ord").alias("trace_ord"), text(v, *formats.NAME).alias("name"), expr.nanos_of(whole(v, *formats.STARTED)).alias("started_at"), expr.nanos_of(whole(v, *formats.ENDED)).alias("ended_at"), state.alias("status"), raw(v, *inputs).alias("input"), raw(v, *outputs).alias("output"))
+    """The first object tells whether the source has span rows or trace records; one of the other kind fails the job."""
+    of = span_shape(prefix)
+    f = Fields(F.col("r"), of)
+    rows = records(spark, source).select("ord", shredded(F.col("j"), of).alias("r"))
+    rows = then(rows, is_span=is_span_row(f))
+    first = rows.select("is_span").first()
+    spans = bool(first and first.is_span)
+    rows = rows.filter(F.when(F.col("is_span") == F.lit(spans), True).otherwise(F.raise_error(F.lit("trace records and span rows are mixed")).cast("boolean")))
+    if spans:
+        none = F.lit(None).cast("string")
+        return Export(_numbered(json_spans(rows.select(F.col("ord").alias("trace_ord"), F.col("ord").alias("span_ord"), none.alias("trace_id"), "r"), prefix, of)))
+    r = then(rows, _id=f.text("id", "trace_id", "traceId"))
+    r = then(r, trace_id=required(F.col("_id"), "trace id"))
+    own = r.select(F.col("ord").alias("trace_ord"), "trace_id", F.posexplode(objects(f["spans"])).alias("pos", "j"))
+    spans = json_spans(own.select("trace_ord", F.struct("trace_ord", "pos").alias("span_ord"), "trace_id", shredded(F.col("j"), of).alias("r")), prefix, of)
+    return Export(staged(spans, "spans"), _stated(r, f, f.raw("status", "status_code", "statusCode"), formats.INPUT, formats.OUTPUT))
+
+
+def _stated(rows: DataFrame, f: Fields, state: Column, inputs: tuple[str, ...], outputs: tuple[str, ...]) -> DataFrame:
+    """What trace records say of themselves."""
+    rows = then(rows, _started=f.raw(*formats.STARTED), _ended=f.raw(*formats.ENDED), _status=state, name=f.text(*formats.NAME), input=f.raw(*inputs), output=f.raw(*outputs))
+    rows = then(rows, _started=whole(F.col("_started")), _ended=whole(F.col("_ended")))
+    return rows.select("trace_id", F.col("ord").alias("trace_ord"), "name", expr.nanos_of(F.col("_started")).alias("started_at"), expr.nanos_of(F.col("_ended")).alias("ended_at"), status(F.col("_status")).alias("status"), "input", "output")
 
 
 def read_otlp(spark: SparkSession, source: str, prefix: str = formats.PREFIX) -> Export:
-    d = documents(spark, source)
-    for level, key in (("resource", "resourceSpans"), ("scope", "scopeSpans"), ("span", "spans")):
-        d = d.select("file_ord", *[c for c in ("resource", "scope") if c in d.columns], F.posexplode(items(F.col("v"), key)).alias(level, "v"))
-    rows = d.select(F.struct("file_ord", "resource", "scope", "span").alias("span_ord"), "v")
+    d = documents(spark, source).select("file_ord", F.posexplode(objects(F.try_variant_get("v", '$["resourceSpans"]', "variant"))).alias("resource", "j"))
+    for level, key, inner in (("scope", "scopeSpans", "resource"), ("span", "spans", "scope")):
+        held = shredded(F.col("j"), shape(values=(key,))).getField(key)
+        d = d.select(*[c for c in ("file_ord", "resource", "scope") if c in d.columns], F.posexplode(objects(held)).alias(level, "j"))
+    rows = d.select(F.struct("file_ord", "resource", "scope", "span").alias("span_ord"), shredded(F.col("j"), otlp_shape()).alias("r"))
     return Export(_numbered(otlp_spans(rows.withColumn("trace_ord", F.col("span_ord")), prefix)))
 
 
 def read_observations(spark: SparkSession, source: str, prefix: str = formats.PREFIX) -> Export:
     """{"data": [...]} groups observations by trace; {"traces", "observations"} joins them to their traces, a trace's
     own observations before the top-level ones."""
-    d = documents(spark, source)
+    d, of = documents(spark, source), observation_shape(prefix)
+    f = Fields(F.col("r"), of)
+    none = F.lit(None)
+    at = lambda key: objects(F.try_variant_get("v", path(key), "variant"))
     if d.filter(F.try_variant_get("v", '$["data"]', "variant").isNotNull()).limit(1).count():
-        rows = d.select("file_ord", F.posexplode(items(F.col("v"), "data")).alias("pos", "v")).select(F.struct("file_ord", "pos").alias("span_ord"), "v")
-        spans = _numbered(observation_spans(rows.select(F.col("span_ord").alias("trace_ord"), "span_ord", F.lit(None).cast("string").alias("trace_id"), "v"), prefix))
-        named = rows.select(text(F.col("v"), "traceId", "trace_id").alias("trace_id"), "span_ord", text(F.col("v"), "traceName").alias("name"))
+        rows = d.select("file_ord", F.posexplode(at("data")).alias("pos", "j")).select(F.struct("file_ord", "pos").alias("span_ord"), shredded(F.col("j"), of).alias("r"))
+        spans = _numbered(observation_spans(rows.select(F.col("span_ord").alias("trace_ord"), "span_ord", none.cast("string").alias("trace_id"), "r"), prefix, of))
+        named = rows.select(f.text("traceId", "trace_id").alias("trace_id"), "span_ord", f.text("traceName").alias("name"))
         names = named.groupBy("trace_id").agg(F.min_by("name", "span_ord").alias("name"), F.min("span_ord").alias("trace_ord"))
-        none = F.lit(None)
         return Export(spans, names.select("trace_id", "trace_ord", "name", none.cast("long").alias("started_at"), none.cast("long").alias("ended_at"), F.lit("unknown").alias("status"), none.cast("variant").alias("input"), none.cast("variant").alias("output")))
-    r = records(spark, source).withColumn("trace_id", required(text(F.col("v"), "id", "trace_id", "traceId"), "trace id"))
-    nested = r.select("trace_id", F.col("ord").alias("trace_ord"), F.posexplode(items(F.col("v"), "observations")).alias("pos", "v"))
-    top = d.select(F.posexplode(items(F.col("v"), "observations")).alias("pos", "v")).withColumn("trace_id", text(F.col("v"), "traceId", "trace_id"))
-    top = top.join(r.select("trace_id", F.col("ord").alias("trace_ord")), "trace_id")
-    rows = nested.withColumn("late", F.lit(0)).unionByName(top.withColumn("late", F.lit(1)))
-    spans = observation_spans(rows.select("trace_ord", F.struct("trace_ord", "late", "pos").alias("span_ord"), "trace_id", "v"), prefix)
-    return Export(spans, _stated(r, status(F.col("v"), "status", "level", "error"), ("input",), ("output",)))
+    record = shape(("id", "trace_id", "traceId", *formats.NAME), ("status", "level", "error", "observations", "input", "output", *formats.STARTED, *formats.ENDED))
+    t = Fields(F.col("r"), record)
+    r = then(records(spark, source), r=shredded(F.col("j"), record))
+    r = then(r, _id=t.text("id", "trace_id", "traceId"))
+    r = then(r, trace_id=required(F.col("_id"), "trace id"))
+    nested = r.select("trace_id", F.col("ord").alias("trace_ord"), F.posexplode(objects(t["observations"])).alias("pos", "j"))
+    nested = nested.select("trace_id", "trace_ord", "pos", F.lit(0).alias("late"), shredded(F.col("j"), of).alias("r"))
+    top = d.select(F.posexplode(at("observations")).alias("pos", "j")).select("pos", F.lit(1).alias("late"), shredded(F.col("j"), of).alias("r"))
+    top = top.withColumn("trace_id", f.text("traceId", "trace_id")).join(r.select("trace_id", F.col("ord").alias("trace_ord")), "trace_id")
+    rows = nested.unionByName(top).select("trace_ord", F.struct("trace_ord", "late", "pos").alias("span_ord"), "trace_id", "r")
+    return Export(staged(observation_spans(rows, prefix, of), "spans"), _stated(r, t, t.raw("status", "level", "error"), ("input",), ("output",)))
 
 
 READERS = {"json": read_json, "jsonl": read_json, "local-jsonl": read_json, "otlp": read_otlp, "langfuse": read_observations}

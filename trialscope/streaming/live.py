@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from trialscope.operators import scoring
-from trialscope.sources.stage import exists, staged
+from trialscope.sources import versions
 
 
 def trace_sessions(spans: DataFrame, gap: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
@@ -65,24 +64,16 @@ def verdict_counts(trials: DataFrame) -> DataFrame:
     return trials.groupBy("group_id").agg(F.count("*").alias("total"), *map(count, ("pass", "fail", "error")))
 
 
-def upsert(path: str, key: str = "nodeid", order: str = "ord", parts: int = 64) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink: the latest row of each key, in a table of `parts` parts by the key's hash. A batch rewrites the
-    parts that its keys are in and no others; a batch that comes again changes nothing. latest_rows reads the table."""
+def upsert(path: str, key: str = "nodeid", order: str = "ord", parts: int = 64, source: str = "stream") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink: the latest row of each key, in a versioned table of `parts` parts by the key's hash. A batch
+    writes anew the parts that its keys are in and commits them as one version; a batch of this source that comes again
+    is not applied. latest_rows reads the table, during a batch the version before it."""
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        dealt = staged(batch.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")), "upsert-batch")
-        touched = [r[0] for r in dealt.select("_part").distinct().collect()]  # at most `parts`
-        if not touched:
-            return
-        new = dealt
-        if exists(spark, path):
-            new = spark.read.schema(dealt.schema).parquet(path).filter(F.col("_part").isin(touched)).unionByName(dealt)
-        last = staged(scoring.latest(new, key, order).select(dealt.columns), "upsert")  # the parts are read before they are replaced
-        last.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(path)
+        versions.upsert(batch.sparkSession, path, batch, key, order, parts, (source, number))
 
     return run
 
 
-def latest_rows(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("_part")
+def latest_rows(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
+    return versions.read(spark, path, at=number)
