@@ -52,8 +52,9 @@ def texts(rng, count, words, langs):
     return rows
 
 
-@pytest.mark.parametrize("split,part,fan", [(250_000, 1_000_000, 4096), (7, 20, 4096), (7, 20, 3)])
-def test_collocations(spark, monkeypatch, split, part, fan):
+@pytest.mark.parametrize("split,part,fan,listed", [(250_000, 1_000_000, 4096, 1 << 20), (7, 20, 4096, 0), (7, 20, 3, 1 << 20), (7, 20, 3, 0)])
+def test_collocations(spark, monkeypatch, split, part, fan, listed):
+    monkeypatch.setattr(phrases, "LIST_BYTES", listed)
     monkeypatch.setattr(phrases, "SPLIT", split)
     monkeypatch.setattr(phrases, "PART", part)
     monkeypatch.setattr(phrases, "FAN", fan)

@@ -63,9 +63,14 @@ def _bytes(df: DataFrame) -> Column:
     return of.cast("long")
 
 
+def size_of(side: DataFrame) -> int:
+    """Bytes of all rows, as _bytes reckons them."""
+    return side.agg(F.sum(_bytes(side))).first()[0] or 0
+
+
 def small(side: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """side marked for broadcast if a count proves it within the bound, else as it is (the join then shuffles)."""
-    return F.broadcast(side) if (side.agg(F.sum(_bytes(side))).first()[0] or 0) <= most else side
+    return F.broadcast(side) if size_of(side) <= most else side
 
 
 def text_of(column: str = "text") -> Column:

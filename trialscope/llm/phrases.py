@@ -19,13 +19,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialscope.llm.common import bucketed, fields, frugal, frugal_group, give_back, planes, ranked, small, text_of, unplanes, written
+from trialscope.llm.common import bucketed, fields, frugal, frugal_group, planes, ranked, size_of, small, text_of, unplanes, written
 
 LONGEST, LEAST, TOP, SCALE = 5, 100, 2000, 1000
 #: Bytes of one language's text that become a chunk, and of all languages' that a task holds.
 CHUNK_BYTES, HELD_BYTES = 8 << 20, 32 << 20
 #: Places of pivots that a part mines, about; a pivot with more than SPLIT places is dealt over several parts.
 PART, SPLIT = 1_000_000, 250_000
+#: Bytes of the list of frequent words that every task may get; a longer one is joined to the chunks' own words.
+LIST_BYTES = 16 << 20
 #: Parts to which a chunk is dealt at once; if there are more, it goes to groups of parts first.
 FAN = 4096
 #: Columns of a fragment: the neighbours within reach, the pivot in the middle.
@@ -189,29 +191,46 @@ def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(weights).astype(np.int64)
 
 
+def _fragments_of(codes: np.ndarray, code: np.ndarray, rank: np.ndarray, f: np.ndarray, tree: int, parts: int, chunk: int, split: int, fan: int) -> pa.Table:
+    """The fragments of one chunk, alike ones counted, by part, from the ranks and counts of its frequent words' codes. A
+    split pivot's go where the chunk's number says."""
+    rank_of = np.zeros(max(int(codes.max(initial=0)), int(code.max())) + 1, np.uint32)
+    rank_of[code] = rank + 1
+    times = np.ones(int(rank.max()) + 2, np.int64)  # by rank: the parts that a pivot is dealt over
+    times[rank + 1] = -(-f // split)
+    rows = fragments(rank_of[codes])
+    rows, weights = merged(rows, np.ones(len(rows), np.int64))
+    pivot = rows[:, REACH].astype(np.uint64)
+    salt = _mixed(np.full(1, chunk)) % times[pivot].astype(np.uint64)
+    to = (_mixed((pivot << np.uint64(24)) + salt) % np.uint64(parts)).astype(np.int64)
+    return _dealt(tree, parts, chunk, to, times[pivot] > 1, rows, weights, None if parts <= fan else fan)
+
+
 def _fragment_chunk(split: int, fan: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The fragments of one chunk, alike ones counted, by part. A split pivot's go where the chunk's number says."""
         if not left.num_rows or not right.num_rows:
             none = np.empty(0, np.int64)
             return _dealt(0, 1, 0, none, none, np.empty((0, WIDTH), np.uint32), none)
-        codes = unplanes(left.column("codes")[0].as_py(), np.uint32)
-        tree, chunk, parts = right.column("tree")[0].as_py(), left.column("chunk")[0].as_py(), right.column("parts")[0].as_py()
         known = right.column("words")[0].values
         code, rank, f = (known.field(k).to_numpy() for k in range(3))
-        rank_of = np.zeros(max(int(codes.max(initial=0)), int(code.max())) + 1, np.uint32)
-        rank_of[code] = rank + 1
-        times = np.ones(int(rank.max()) + 2, np.int64)  # by rank: the parts that a pivot is dealt over
-        times[rank + 1] = -(-f // split)
-        rows = fragments(rank_of[codes])
-        rows, weights = merged(rows, np.ones(len(rows), np.int64))
-        pivot = rows[:, REACH].astype(np.uint64)
-        salt = _mixed(np.full(1, chunk)) % times[pivot].astype(np.uint64)
-        to = (_mixed((pivot << np.uint64(24)) + salt) % np.uint64(parts)).astype(np.int64)
-        out = _dealt(tree, parts, chunk, to, times[pivot] > 1, rows, weights, None if parts <= fan else fan)
-        del rows, weights, codes
-        give_back()
-        return out
+        return _fragments_of(unplanes(left.column("codes")[0].as_py(), np.uint32), code, rank, f, right.column("tree")[0].as_py(), right.column("parts")[0].as_py(), left.column("chunk")[0].as_py(), split, fan)
+
+    return run
+
+
+def _fragment_chunks(known, split: int, fan: int) -> Callable:
+    """The same where the list of frequent words is small enough for every task: known has, by language, its number, its
+    parts, and the rank and count of each word."""
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                tree, parts, of = known.value.get(batch.column("lang")[k].as_py(), (0, 0, {}))
+                found = [(code, *of[w]) for code, w in enumerate(batch.column("words")[k].as_py(), 1) if w in of]
+                if found:
+                    code, rank, f = np.array(found, np.int64).T
+                    yield from _fragments_of(unplanes(batch.column("codes")[k].as_py(), np.uint32), code, rank, f, tree, parts, batch.column("chunk")[k].as_py(), split, fan).to_batches()
 
     return run
 
@@ -260,11 +279,16 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     words = written(words, "phrase-words")
     totals = chunks.groupBy("lang").agg(F.sum("n").alias("n"))
     langs = written(words.groupBy("tree", "lang").agg(F.sum("f").alias("places")).join(totals, "lang").select("tree", "lang", "n", F.ceil(F.col("places") / F.lit(PART)).cast("long").alias("parts")), "phrase-langs")
-    known = small(words.select("tree", "lang", "id", "word", "f"))
-    mapping = each.select("of", "lang", "code", "word").join(known, ["lang", "word"]).groupBy("of", "tree").agg(F.collect_list(F.struct("code", "id", "f")).alias("words"))
-    mapping = mapping.join(small(langs.select("tree", "parts")), "tree")
-    left, right = chunks.select("chunk", "codes").groupBy("chunk"), mapping.select("of", "tree", "parts", "words").groupBy("of")
-    dealt = left.cogroup(right).applyInArrow(_fragment_chunk(SPLIT, FAN), _DEALT)
+    known = words.join(langs.select("tree", "parts"), "tree").select("lang", "tree", "parts", "word", "id", "f")
+    if size_of(known) <= LIST_BYTES:
+        by_lang: dict[str, tuple[int, int, dict[str, tuple[int, int]]]] = {}
+        for r in known.toLocalIterator():
+            by_lang.setdefault(r.lang, (r.tree, r.parts, {}))[2][r.word] = (r.id, r.f)
+        dealt = chunks.select("chunk", "lang", "words", "codes").mapInArrow(_fragment_chunks(spark.sparkContext.broadcast(by_lang), SPLIT, FAN), _DEALT)
+    else:
+        mapping = each.select("of", "lang", "code", "word").join(known, ["lang", "word"]).groupBy("of", "tree", "parts").agg(F.collect_list(F.struct("code", "id", "f")).alias("words"))
+        left, right = chunks.select("chunk", "codes").groupBy("chunk"), mapping.select("of", "tree", "parts", "words").groupBy("of")
+        dealt = left.cogroup(right).applyInArrow(_fragment_chunk(SPLIT, FAN), _DEALT)
     most = langs.agg(F.max("parts")).first()[0] or 0
     if most > FAN:  # a chunk's share of a group of parts is small: so many chunks' shares are dealt together
         again = written(dealt, "phrase-groups").withColumn("some", F.pmod(F.xxhash64("chunk"), F.lit(-(-most // FAN))))
