@@ -85,6 +85,45 @@ def test_wrappers_of_the_article(wrapper):
     assert main_text(f"<body><div id='{wrapper}'><main>{body}</main></div>{talk}</body>") == want
 
 
+@pytest.mark.parametrize("form", ['<form id="aspnetForm" method=post>', "<form>", '<form class="page">'])
+def test_a_form_around_the_page_is_a_wrapper(form):
+    body, controls = "plain words " * 40, '<label>Your name</label><input name=a><select><option>x</select><button>Go</button><textarea>t</textarea>'
+    want = body.strip()
+    for main in (f"<main><p>{body}</p></main>", f"<article><p>{body}</p></article>", f"<div><p>{body}</p></div>"):
+        assert main_text(f"<body>{form}<nav>menu</nav>{controls}{main}<footer>f</footer></form></body>") == want
+        assert main_text(f"<body><form><p>Search the site</p>{controls}</form>{main}<form><p>Subscribe</p></form></body>") == want
+    inner = f"<main><p>{body}</p>{form}<p>Leave a reply here</p>{controls}</form></main>"
+    assert main_text(f"<body><form>{inner}</form></body>") == main_text(inner) == want
+
+
+def test_slugs_are_no_boxes():
+    page = '<article><h2 id="related-work">Related</h2><section id="social-impact"><p>Impact</p></section><p class="notice-period">Period</p><div id="on-sharing"><p>Sharing</p></div><h3 id="share">Share</h3><p id="ad">Ad</p>{}</article>'
+    text = "Related\n\nImpact\n\nPeriod\n\nSharing\n\nShare\n\nAd"
+    boxes = ["<div id='related'>x</div>", "<div class='related-posts'>x</div>", "<div class='social-links'>x</div>", "<section class='article-newsletter'>x</section>", "<div id='ad-slot'>x</div>", "<div class='comment-body'>x</div>", "<section id='comments'>x</section>", "<div class='notice'>x</div>"]
+    for box in ["", *boxes]:
+        assert main_text(page.format(box)) == text, box
+
+
+def test_unwanted_parts_of_a_line_go():
+    assert main_text('<article><p>a <span style="display:none">x <b>y</b></span> b <span hidden>z</span>c</p><p>d</p></article>') == "a b c\n\nd"
+    assert main_text('<article><p>a</p><span class="ad">x</span><p>b</p></article>') == "a\n\nb"
+    assert main_text('<my-app class="menu-open"><main><p>a</p></main></my-app>') == "a"
+
+
+def test_hidden_text_stays_out():
+    for style in ("display:none", "color: red; display : none;", "visibility:hidden", "DISPLAY:NONE !important"):
+        assert main_text(f'<article><p>seen</p><div style="{style}"><p>not seen</p></div><p style="{style}">nor this</p></article>') == "seen"
+    assert main_text('<article><p style="display:block">a</p><p style="background:url(display:none.png)">b</p></article>') == "a\n\nb"
+
+
+@pytest.mark.parametrize("tag", ['<div class="ad">', "<form>", '<div class="widget">', '<div class="comments">', "<section>"])
+def test_deep_nesting_takes_linear_time(tag):
+    began = time.process_time()
+    main_text(tag * 80_000 + "<main><p>x</p></main>" + "<p>y</p>" * 10)
+    main_text((tag + "t") * 80_000)
+    assert time.process_time() - began < 6
+
+
 def test_related_cards_stay_out():
     cards = "<div class='related'>" + "<article><h3>Card</h3><p>teaser</p></article>" * 9 + "</div>"
     assert main_text(f"<article><p>own text</p></article>{cards}") == "own text"

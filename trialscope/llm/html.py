@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 from typing import NamedTuple
 
@@ -28,9 +28,11 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 SPACED = frozenset("br td th wbr option img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math object select button canvas audio video".split())
-NOT_TEXT = frozenset("nav footer aside form menu dialog head search".split())
+NOT_TEXT = frozenset("nav footer aside menu dialog head search".split())
 MAIN = frozenset("article main".split())
 INNER = frozenset("p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd blockquote pre figure figcaption table caption thead tbody tfoot tr center address details summary".split())
+#: Elements whose ids are slugs.
+SLUGGED = frozenset("p h1 h2 h3 h4 h5 h6 hgroup".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 NAMES = frozenset("ad ads adv advert adverts advertisement adsense sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets pagination pager toolbar copyright disclaimer skip banner".split())
 
@@ -38,36 +40,44 @@ NAMES = frozenset("ad ads adv advert adverts advertisement adsense sponsor spons
 NEGATIONS = frozenset("has have no not with without hide is".split())
 TALK = frozenset("comment comments commentlist disqus respond replies".split())
 
+#: Last parts of a name that say it is a box on a page, not the slug of a heading.
+BOXES = frozenset("area bar block box boxes buttons card cards container form frame icons inner items links list module panel posts section slot stories strip unit wrap wrapper".split())
+_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!important\s*)?(?:;|$)")
+
 # a quote opens a value only after an equals sign
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]+|=\s*(?:"[^"]*"|'[^']*')|=)*+)>|</?[a-zA-Z][^>]*(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PART = re.compile(r"[^a-z0-9]+")
 
-CLEAN, SOFT, TALKING, HARD = range(4)
+CLEAN, FORM, SOFT, TALKING, HARD = range(5)
 
 
 class Line(NamedTuple):
-    """A block with text: hard if an element or role around it is never text; the numbers of the elements around it
-    whose class or id is unwanted; whether it lies in a main element; the share of link characters; the number of its
-    container; and of its outermost article, 0 if none."""
+    """A block with text: hard if an element or role around it is never text; the number of the innermost element around
+    it that is a form or whose class or id is unwanted, 0 if none; whether it lies in a main element; the share of link
+    characters; the number of its container; and of its outermost article, 0 if none."""
 
     text: str
     hard: bool
-    softs: tuple[int, ...]
+    soft: int
     main: bool
     share: float
     holder: int
     article: int
 
 
-def _named(words: str, in_main: bool, tag: str) -> int:
-    """Whether a class or id is one of NAMES: whole, or as the first or last part of a hyphenated one."""
+def _named(words: str, in_main: bool, tag: str, slug: bool) -> int:
+    """Whether a class or id is one of NAMES: whole, or as the first or last part of a hyphenated one. In a main element a
+    first part counts only in the name of a box, and in an id, which may be a heading's slug, a last part doesn't."""
     out = CLEAN
     for word in words.split():
         parts = [p for p in _PART.split(word) if p]
         if not parts or len(parts) > 1 and parts[0] in NEGATIONS:
             continue
         ends = {word, parts[0], parts[-1]}
+        if in_main and len(parts) > 1:
+            box = parts[-1] in BOXES or parts[-1] in NAMES
+            ends = {word} | ({parts[0]} if box or not slug and parts[0] in TALK else set()) | (set() if slug else {parts[-1]})
         if ends & TALK:
             return TALKING
         if ends & NAMES or "header" in ends and not in_main and tag not in ("h1", "h2", "h3"):
@@ -75,18 +85,20 @@ def _named(words: str, in_main: bool, tag: str) -> int:
     return out
 
 
-def _unwanted(tag: str, attributes: str, in_main: bool) -> int:
-    if tag in NOT_TEXT or tag == "header" and not in_main:
+def _unwanted(tag: str, attributes: str, in_main: bool, in_form: bool) -> int:
+    if tag in NOT_TEXT or tag == "header" and not in_main or tag in ("label", "legend") and in_form:
         return HARD
-    if not attributes or tag in ("html", "body"):
+    if tag in ("html", "body"):
         return CLEAN
-    out = CLEAN
-    for name, value in _ATTR.findall(attributes):
+    out = FORM if tag == "form" else CLEAN
+    for name, value in _ATTR.findall(attributes) if attributes else ():
         name, value = name.lower(), unescape(value.strip("\"'")).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES and tag not in MAIN:
             return HARD
-        if name in ("class", "id") and tag not in MAIN:
-            out = max(out, _named(value, in_main, tag))
+        if name == "style" and _HIDDEN.search(value):
+            return HARD
+        if name == "class" and tag not in MAIN or name == "id" and tag not in MAIN and tag not in SLUGGED:
+            out = max(out, _named(value, in_main, tag, name == "id"))
     return out
 
 
@@ -103,8 +115,11 @@ class Page:
 
     def __init__(self, page: str):
         self.lines: list[Line] = []
-        self.talk: set[int] = set()  # softs that are comments and the like
-        self.around: dict[int, tuple[int, ...]] = {}  # softs around each outermost article
+        self.parent = [0]  # of each soft the one around it, 0 none; a soft's number is greater than its parent's
+        self.talk = [False]  # whether a soft is comments and the like, or lies in such
+        self.form = [False]  # whether it is a form
+        self.marked = False  # whether it has a main element, comments' apart
+        self.around: dict[int, int] = {}  # the soft around each outermost article
         self.lifted: set[int] = set()  # softs around a main element: wrappers, not boxes
         self._read(page)
 
@@ -112,8 +127,7 @@ class Page:
         open_: list[_Open] = []
         count: Counter[str] = Counter()  # of open elements by tag
         holders = [0]  # the container within each open element, and 0 for the page
-        softs: tuple[int, ...] = ()
-        hard = main = links = opened = articles = article = linked = 0
+        soft = muted = hard = main = links = opened = articles = article = linked = 0
         parts: list[str] = []
 
         def flush() -> None:
@@ -121,24 +135,25 @@ class Page:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                self.lines.append(Line(text, hard > 0, softs, main > 0, linked / len(text), holders[-1], article if articles else 0))
+                self.lines.append(Line(text, hard > 0, soft, main > 0, linked / len(text), holders[-1], article if articles else 0))
             linked = 0
 
         def add(text: str) -> None:
             nonlocal linked
-            if text:
+            if text and not muted:
                 parts.append(text := unescape(text))
                 if links:
                     linked += len(text.strip())
 
         def close() -> str:
-            nonlocal hard, main, softs, articles
+            nonlocal hard, main, soft, muted, articles
             e = open_.pop()
             holders.pop()
             count[e.tag] -= 1
             hard, main, articles = hard - e.hard, main - e.main, articles - e.article
+            muted -= e.hard and e.tag not in BLOCKS
             if e.soft:
-                softs = softs[:-1]
+                soft = self.parent[e.soft]
             return e.tag
 
         at, size, lower = 0, len(page), None
@@ -167,7 +182,7 @@ class Page:
             if tag in SPACED:
                 parts.append(" ")
                 continue
-            what = CLEAN if closing or tag in VOID else _unwanted(tag, m[3], main > 0)
+            what = CLEAN if closing or tag in VOID else _unwanted(tag, m[3], main > 0, count["form"] > 0)
             if tag not in BLOCKS and not what and not (closing and any(e.tag == tag for e in open_[-3:])):
                 continue
             if tag in BLOCKS:
@@ -177,44 +192,72 @@ class Page:
                 parts.append(" ")
             if closing:
                 if count[tag]:
+                    if tag not in BLOCKS and open_[-1].soft:
+                        flush()
                     while close() != tag:
                         pass
             elif tag not in VOID and not m[3].endswith("/"):
                 if tag in ("p", "li") and open_ and open_[-1].tag == tag:
                     close()
-                if tag not in BLOCKS:
+                if tag not in BLOCKS and what != HARD:
                     flush()
+                muted += what == HARD and tag not in BLOCKS  # within a line: it goes on behind
                 opened += 1
-                soft = opened if what in (SOFT, TALKING) else 0
-                e = _Open(tag, what == HARD, soft, tag in MAIN, tag == "article")
+                boxed = what in (FORM, SOFT, TALKING)
+                if boxed:
+                    self.talk.append(what == TALKING or self.talk[soft])
+                    self.form.append(what == FORM)
+                    self.parent.append(soft)
+                    soft = len(self.parent) - 1
+                e = _Open(tag, what == HARD, soft if boxed else 0, tag in MAIN, tag == "article")
                 open_.append(e)
                 count[tag] += 1
                 holders.append(holders[-1] if tag in INNER else opened)
-                if soft:
-                    softs = (*softs, soft)
-                    if what == TALKING:
-                        self.talk.add(soft)
                 if e.article and not articles:
                     article = opened
-                    self.around[opened] = softs
+                    self.around[opened] = soft
                 hard, main, articles = hard + e.hard, main + e.main, articles + e.article
+                self.marked |= e.main and not hard and not self.talk[soft]
                 if tag == "main" and not hard:
-                    self.lifted.update(softs)
+                    self.lifted.add(soft)
         flush()
 
+    def _within(self, good: Callable[[int], bool]) -> list[bool]:
+        """Of each soft, whether it and all around it are good."""
+        out = [True]
+        for s in range(1, len(self.parent)):
+            out.append(out[self.parent[s]] and good(s))
+        return out
+
+    def _lift(self) -> list[bool]:
+        """Lifts what stands around lifted softs; of each soft, whether it and all around it are lifted."""
+        for s in range(len(self.parent) - 1, 0, -1):
+            if s in self.lifted:
+                self.lifted.add(self.parent[s])
+        return self._within(self.lifted.__contains__)
+
     def wanted(self) -> list[bool]:
         """Which lines are neither hard nor in an unwanted element. An element around a main element is a wrapper; so
-        are those around the longest article, comments apart, if the page has no other main element."""
-        keep = lambda x: not x.hard and self.lifted.issuperset(x.softs)
-        if not any(x.main and keep(x) for x in self.lines):
+        are those around the longest article, comments apart, if the page has no other main element; and so is a form
+        that holds most of the text, if the page has no main element at all."""
+        clear = self._lift()
+        if not any(x.main and not x.hard and clear[x.soft] for x in self.lines):
             size: Counter[int] = Counter()
             for x in self.lines:
-                if x.article and not x.hard and self.talk.isdisjoint(x.softs) and x.softs == self.around[x.article]:
+                if x.article and not x.hard and not self.talk[x.soft] and x.soft == self.around[x.article]:
                     size[x.article] += len(x.text)
             if size:
-                best = max(size, key=lambda k: (size[k], -k))
-                self.lifted.update(self.around[best])
-        return [keep(x) for x in self.lines]
+                self.lifted.add(self.around[max(size, key=lambda k: (size[k], -k))])
+            elif not self.marked:
+                held = [0] * len(self.parent)
+                own = self._within(lambda s: self.form[s] or s in self.lifted)
+                for x in self.lines:
+                    held[x.soft] += len(x.text) if not x.hard and own[x.soft] else 0
+                for s in range(len(self.parent) - 1, 0, -1):
+                    held[self.parent[s]] += held[s]
+                self.lifted.update(s for s in range(1, len(self.parent)) if self.form[s] and own[s] and 2 * held[s] > held[0])
+            clear = self._lift()
+        return [not x.hard and clear[x.soft] for x in self.lines]
 
 
 def _regions(weights: list[float], least: float) -> set[int]:
