@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import json
 import zlib
 from collections import defaultdict
 
@@ -41,12 +42,10 @@ def test_empty_tables(docs):
     assert bpe.round_trip(docs.limit(0)).count() == 0 and packing.pack(docs.limit(0)).count() == 0
 
 
-def test_packing(docs):
-    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
-    rows = packing.pack(docs.filter("doc_id is not null").dropDuplicates(["doc_id"])).collect()
+def packed(docs, **options):
+    """The pieces by document, whose windows were found whole."""
     windows, by_doc = defaultdict(list), defaultdict(list)
-    for r in rows:
+    for r in packing.pack(docs, **options).collect():
         windows[r.sequence_id].append(r)
         by_doc[r.doc_id].append(r)
     for pieces in windows.values():
@@ -55,14 +54,59 @@ def test_packing(docs):
             assert r.offset == at
             at += r.length
         assert at <= packing.WINDOW
-    assert set(by_doc) == set(range(len(TEXTS)))
+    return by_doc
+
+
+def same_ids(pieces, ids):
+    """Whether pieces are those of one document with these ids."""
+    ids, at = np.array([*ids, 1], "<u4"), 0
+    for r in sorted(pieces, key=lambda r: r.start):
+        assert (r.start, r.doc_tokens) == (at, len(ids))
+        at += r.length
+        assert r.ids_crc32 == zlib.crc32(ids[r.start : at].tobytes())
+    assert at == len(ids)
+
+
+SPECIAL = ["<|endoftext|>", "x <|endoftext|> y", " <|endoftext|>", "a  <|endoftext|>\n\n<|endoftext|><|endoftext|> b's", "<|endoftext", "<|endoftext|", "<<|endoftext|>>", "it<|endoftext|>'s  ", "<|ENDOFTEXT|> <|endoftext |>"]
+
+
+@pytest.mark.parametrize("added", [True, False])
+def test_packing(spark, added):
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    library.encode_special_tokens = not added  # its default, and the other way
+    texts = [*TEXTS, *SPECIAL]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    by_doc = packed(df, added=added)
+    assert set(by_doc) == set(range(len(texts)))
     for doc, pieces in by_doc.items():
-        ids, at = np.array([*library.encode(TEXTS[doc] or "", add_special_tokens=False).ids, 1], "<u4"), 0
-        for r in sorted(pieces, key=lambda r: r.start):
-            assert (r.start, r.doc_tokens) == (at, len(ids))
-            at += r.length
-            assert r.ids_crc32 == zlib.crc32(ids[r.start : at].tobytes())
-        assert at == len(ids)
+        same_ids(pieces, library.encode(texts[doc] or "", add_special_tokens=False).ids)
+
+
+def test_packing_of_repeated_and_nameless_rows(docs, messy):
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for df in (docs, messy):
+        tokens, starts = defaultdict(int), defaultdict(int)
+        for doc, pieces in packed(df).items():
+            tokens[doc], starts[doc] = sum(r.length for r in pieces), sum(r.start == 0 for r in pieces)
+        for r in df.collect():
+            starts[r.doc_id] -= 1
+            tokens[r.doc_id] -= len(library.encode(r.text or "", add_special_tokens=False).ids) + 1
+        assert not any(tokens.values()) and not any(starts.values())
+
+
+def test_added_tokens_of_one_start_and_of_odd_kinds(spark, tmp_path):
+    vocabulary = json.load(open(P.path("byte_bpe_50k.json"), encoding="utf-8"))
+    plain = vocabulary["added_tokens"][0]
+    vocabulary["added_tokens"] += [plain | {"id": 50257, "content": "<|endoftext|>more"}, plain | {"id": 50258, "content": "a+b"}]
+    path = tmp_path / "v.json"
+    path.write_text(json.dumps(vocabulary), encoding="utf-8")
+    library = Tokenizer.from_file(str(path))
+    texts = ["x <|endoftext|>more y", "a+ba+b a+", "<|endoftext|>mor"]
+    for doc, pieces in packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), vocabulary=str(path)).items():
+        same_ids(pieces, library.encode(texts[doc], add_special_tokens=False).ids)
+    path.write_text(json.dumps(vocabulary | {"added_tokens": [plain | {"lstrip": True}]}), encoding="utf-8")
+    with pytest.raises(ValueError):
+        packing.read_added(str(path))
 
 
 def test_windows_stay_bounded_and_full():

@@ -9,15 +9,16 @@ of MERGE others, by the same rule.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialscope.llm.bpe import named, pretokens, spread, word_codes, word_encoder
@@ -44,6 +45,28 @@ def read_vocabulary(path: str = VOCABULARY) -> dict[bytes, int]:
     return {bytes(byte_of[c] for c in token): i for token, i in wanted.items()}
 
 
+def read_added(path: str = VOCABULARY) -> dict[str, int]:
+    """The vocabulary's added tokens and their ids. Those that take the white space around them, or stand for whole words
+    alone, are refused: no text is split at such here."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    for token in found:
+        if token["single_word"] or token["lstrip"] or token["rstrip"] or token["normalized"]:
+            raise ValueError(f"{token['content']!r} is not a plain added token")
+    return {token["content"]: token["id"] for token in found}
+
+
+def split_at(text: Column, added: Iterable[str]) -> Column:
+    """The pre-tokens of a text, in which added tokens stand by themselves; between two of them the text is split as if
+    it were one of its own. Of added tokens that start at one place the longest counts."""
+    quoted = sorted((re.sub(r"([^A-Za-z0-9])", r"\\\1", t) for t in added), key=len, reverse=True)
+    if not quoted:
+        return pretokens(text)
+    any_ = "|".join(quoted)
+    parts = F.zip_with(F.split(text, any_), F.regexp_extract_all(text, F.lit(f"({any_})"), F.lit(1)), lambda own, token: F.concat(pretokens(F.coalesce(own, F.lit(""))), F.when(token.isNotNull(), F.array(token)).otherwise(F.array().cast("array<string>"))))
+    return F.when(text.rlike(any_), F.flatten(parts)).otherwise(pretokens(text))
+
+
 class Windows:
     """The open windows of a partition: (room, key), by room."""
 
@@ -94,18 +117,19 @@ def _ids_of(words: list[str], encode: Callable, seen: dict[str, list[int]]) -> t
     return np.cumsum(lengths) - lengths, lengths, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
 
 
-def _pack_batches(ranks, window: int, end: int) -> Callable:
+def _pack_batches(ranks, added: dict[str, int], window: int, end: int) -> Callable:
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, windows, task, n = word_encoder(*ranks.value), Windows(window, OPEN, SLACK), TaskContext.get().partitionId(), 0
         seen: dict[str, list[int]] = {}
+        own = lambda w: [added[w]] if w in added else encode(w)
         for batch in slices(batches, "tokens", BLOCK):
             words, codes, sizes = word_codes(batch.column("tokens"))
-            ids, ends = spread(codes, sizes, *_ids_of(words, encode, seen))
+            ids, ends = spread(codes, sizes, *_ids_of(words, own, seen))
             done: list[list] = []
             for doc, a, b in zip(batch.column("doc_id").to_pylist(), np.concatenate([[0], ends[:-1]]) if len(ends) else [], ends, strict=True):
-                own = np.append(ids[a:b], np.uint32(end)).astype("<u4")
-                windows.add(len(own), lambda x, y, own=own, doc=doc: (doc, x, y - x, zlib.crc32(own[x:y].tobytes()), len(own)), done)
+                all_ = np.append(ids[a:b], np.uint32(end)).astype("<u4")
+                windows.add(len(all_), lambda x, y, all_=all_, doc=doc: (doc, x, y - x, zlib.crc32(all_[x:y].tobytes()), len(all_)), done)
             yield _rows(done, task, n, True)
             n += len(done)
         yield _rows(list(windows.inside.values()), task, n, False)
@@ -144,16 +168,19 @@ def _merge(window: int) -> Callable:
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, window: int = WINDOW, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, window: int = WINDOW, end: int = END, added: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A document's tokens are its ids and then `end`; a null or empty text has only that one. Repeated rows are packed
-    each, null ids stay null, an empty table gives no rows.
+    A document's tokens are its ids and then `end`; a null or empty text has only that one. The vocabulary's added tokens
+    are recognised in texts, as the library does unless it is told otherwise; with added=False their strings are ordinary
+    text. Repeated rows are packed each, null ids stay null, an id that is no whole number becomes null or fails, as the
+    session's casts do; an empty table gives no rows and no other column is read.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(named(read_vocabulary(vocabulary)))
-    own = fields(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), pretokens(text_of()).alias("tokens"))
+    tokens = read_added(vocabulary) if added else {}
+    own = fields(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), split_at(text_of(), tokens).alias("tokens"))
     piece = "array<struct<doc_id: long, start: long, length: long, ids_crc32: long, doc_tokens: long, offset: long>>"
-    made = written(own.mapInArrow(_pack_batches(ranks, window, end), f"sequence_id long, closed boolean, merge long, pieces {piece}"), "windows")
+    made = written(own.mapInArrow(_pack_batches(ranks, tokens, window, end), f"sequence_id long, closed boolean, merge long, pieces {piece}"), "windows")
     merged = made.filter("not closed").groupBy("merge").applyInArrow(_merge(window), f"sequence_id long, pieces {piece}")
     rows = made.filter("closed").select("sequence_id", "pieces").unionByName(merged)
     return rows.select("sequence_id", F.explode("pieces").alias("p")).select("p.doc_id", "p.start", "p.length", "p.ids_crc32", "p.doc_tokens", "sequence_id", "p.offset")
