@@ -1,7 +1,9 @@
 """Exact dedup, line dedup and quality rules."""
 
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +65,26 @@ def test_counts():
         assert quality.counts(" ".join(words))[4] == len(hit)
 
 
+def test_counts_of_many_texts_are_those_of_each():
+    rng = random.Random(7)
+    texts = [None, "", " \n\t\x0b ", "a " * 9, "x"] + ["".join(rng.choice(["a", "b ", " ", "\n", "a b c d e f g h ", "\u00a0", "é#", "\t", "\x1c"]) for _ in range(rng.randrange(90))) for _ in range(60)]
+    together = quality.counts_of(pa.array(texts))
+    assert [tuple(int(c[i]) for c in together) for i in range(len(texts))] == [quality.counts(t or "") for t in texts]
+    for text in texts:
+        raw = (text or "").encode()
+        words, lines_ = raw.split(), [x for x in raw.split(b"\n") if x.strip()]
+        assert quality.counts(text or "")[:4] == (len(words), sum(len(w.decode()) for w in words), sum(map((text or "").count, "#*$%&|<>")), len(lines_) - len(set(lines_)))
+
+
+def test_a_very_long_text_takes_little_memory():
+    text = "one two three four five six seven eight nine ten " * 200_000
+    tracemalloc.start()
+    assert quality.counts(text)[4] == 2_000_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * len(text)
+
+
 def test_hosts(spark, messy, none):
     good, bad = " ".join(f"w{i}" for i in range(30)), "too short"
     rows = [(i, bad if i % 10 else good, "worst") for i in range(200)] + [(1000 + i, good if i % 10 else bad, f"h{i % 5}") for i in range(400)] + [(5000, good, None), (5001, None, "h1")]

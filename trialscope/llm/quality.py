@@ -6,11 +6,12 @@ empirical beta prior, and hosts whose rate is high beyond doubt reject all their
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,34 +22,76 @@ WINDOW = 8
 #: A host is rejected if its shrunk failure rate, less so many standard deviations, is above MAX_RATE.
 MAX_RATE, SURE = 0.6, 2.0
 
-_SYMBOLS = re.compile(r"[#*$%&|<>]")
+_SYMBOLS = r"[#*$%&|<>]"
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def _numbered(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A number for each pair, the same for equal pairs and for those alone."""
+    return pd.factorize(first.astype(np.int64) * (int(second.max(initial=0)) + 1) + second)[0]
+
+
+def _hashes(doc: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """64 bits of each window of words and its document."""
+    factors = np.random.Generator(np.random.PCG64(1)).integers(1, 1 << 63, WINDOW + 1, np.uint64) * np.array(2, np.uint64) + np.array(1, np.uint64)
+    mixed = (word.astype(np.uint64) + np.array(1, np.uint64)) * factors[-1]
+    mixed ^= mixed >> np.array(29, np.uint64)
+    m = max(len(word) - WINDOW + 1, 0)
+    out = doc[:m].astype(np.uint64) * factors[-1]
+    for k in range(WINDOW):
+        out += mixed[k : k + m] * factors[k]
+    return out
+
+
+def _repeated_words(doc: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
+    """By document, how many words lie in windows of WINDOW words found twice or more in the document. Windows whose hash
+    is found once are not; the others are numbered word by word."""
+    hashes = _hashes(doc, word)
+    at = np.flatnonzero(doc[: len(hashes)] == doc[len(doc) - len(hashes) :])
+    order = at[np.argsort(hashes[at])]
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if len(order) else order
+    key = doc[order]
+    for k in range(WINDOW):
+        key = _numbered(key, word[order + k])
+    start = order[np.bincount(key, minlength=1)[key] > 1]
+    begun = np.bincount(start, minlength=len(doc) + WINDOW + 1)
+    begun[WINDOW:] -= np.bincount(start, minlength=len(doc) + 1)[: len(doc) + 1]
+    return np.bincount(doc[np.cumsum(begun[: len(doc)]) > 0], minlength=n)
+
+
+def counts_of(texts: pa.Array) -> list[np.ndarray]:
+    """The base counts of texts, in the order of _COUNTS. Words are runs of anything but ASCII white space; a null text
+    has none. All texts of an array are counted together, with some tens of bytes a word."""
+    n = len(texts)
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+
+    def flat(lists: pa.LargeListArray | pa.ListArray, keep: Callable) -> tuple[np.ndarray, pa.DictionaryArray]:
+        doc = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+        values = lists.flatten()
+        kept = keep(values)
+        return doc[kept.to_numpy(zero_copy_only=False)], values.filter(kept).dictionary_encode()
+
+    full = lambda values: pc.greater(pc.binary_length(values), 0)
+    doc, words = flat(pc.ascii_split_whitespace(texts), full)
+    word = words.indices.to_numpy().astype(np.int64)
+    chars = pc.utf8_length(words.dictionary).to_numpy(zero_copy_only=False)[word] if len(word) else word
+    line_doc, lines = flat(pc.split_pattern(texts, "\n"), lambda values: full(pc.ascii_trim_whitespace(values)))
+    line = lines.indices.to_numpy().astype(np.int64)
+    distinct = line_doc[~pd.Series(line_doc * (len(lines.dictionary) + 1) + line).duplicated().to_numpy()]
+    by = lambda d: np.bincount(d, minlength=n)
+    return [by(doc), np.bincount(doc, weights=chars, minlength=n).astype(np.int64), pc.count_substring_regex(texts, pattern=_SYMBOLS).to_numpy(zero_copy_only=False), by(line_doc) - by(distinct), _repeated_words(doc, word, n)]
+
+
 def counts(text: str) -> tuple[int, int, int, int, int]:
-    """The base counts of one text, in the order of _COUNTS. Words are runs of anything but ASCII white space."""
-    if not text:
-        return 0, 0, 0, 0, 0
-    raw = text.encode("utf-8", "surrogatepass")
-    words = raw.split()
-    blank = sum(raw.count(b) for b in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"))
-    lines = [x for x in raw.split(b"\n") if x.strip()]
-    grams = list(zip(*(words[i:] for i in range(WINDOW)), strict=False))
-    repeated = 0
-    if len(set(grams)) < len(grams):
-        seen, end = Counter(grams), 0
-        for i, gram in enumerate(grams):
-            if seen[gram] > 1:
-                repeated += i + WINDOW - max(i, end)
-                end = i + WINDOW
-    return len(words), len(text) - blank, len(_SYMBOLS.findall(text)), len(lines) - len(set(lines)), repeated
+    """The same of one text."""
+    return tuple(int(c[0]) for c in counts_of(pa.array([text], pa.string())))
 
 
 @frugal
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        rows = [counts(x.as_py() or "") for x in batch.column("text")]
-        columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5
+        columns = [pa.array(c, pa.int64()) for c in counts_of(batch.column("text"))]
         own = ["doc_id", "host", "a", "b"]
         yield pa.RecordBatch.from_arrays([*map(batch.column, own), *columns], [*own, *_COUNTS])
 
