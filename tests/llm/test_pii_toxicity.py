@@ -129,16 +129,61 @@ class Plain:
             part = {"y": str(y), "m": f"{m:02d}" if month_wide else str(m), "d": f"{d:02d}" if day_wide else str(d)}
             return sep.join(part[x] for x in order)
 
+    def iban(self, v):
+        own = re.sub("[ -]", "", v)
+        body = self.text(own[4:], "iban")
+        check = 98 - int("".join(str(int(x, 36)) for x in body + own[:2] + "00")) % 97
+        new = iter(f"{own[:2]}{check:02d}{body}")
+        return "".join(c if c in " -" else next(new) for c in v)
+
+    def ip6(self, v):
+        digits = [int(c, 16) for c in v if c != ":"]
+        left, right = digits[: len(digits) // 2], digits[len(digits) // 2 :]
+        text = lambda half: "".join("abcdefghijklmnop"[d] for d in half)
+
+        def moved(half, other, i):
+            noise = self.noise("ip6", i, text(other))
+            return [(d + int(noise[2 * (k % 32) : 2 * (k % 32) + 2], 16)) % 16 for k, d in enumerate(half)]
+
+        for i in range(pii.TURNS):
+            if i % 2:
+                right = moved(right, left, i)
+            else:
+                left = moved(left, right, i)
+        new = iter("".join(f"{d:x}" for d in left + right))
+        out = "".join(c if c == ":" else next(new) for c in v)
+        return out.upper() if re.search("[A-F]", v) else out
+
     def email(self, v):
         name, host = v.split("@")
         return f"{self.text(name, 'email')}@{host}"
 
 
+def made_iban(rng, length):
+    land = rng.choice(pii.IBAN_LENGTHS[length].split())
+    body = "".join(rng.choice("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(length - 4))
+    check = 98 - int("".join(str(int(x, 36)) for x in body + land + "00")) % 97
+    return f"{land}{check:02d}{body}"
+
+
+def test_printed_ibans_are_linked_to_stored_ones(spark):
+    rng = random.Random(5)
+    stored = [made_iban(rng, n) for n in pii.IBAN_LENGTHS for _ in range(3)] + ["DE89370400440532013000", "GB82WEST12345698765432"]
+    printed = [" ".join(v[i : i + 4] for i in range(0, len(v), 4)) for v in stored]
+    around = [f"to {v} USD 500, 12 AB" for v in printed] + [f"{v} {w}" for v, w in itertools.pairwise(printed)]
+    out = changed(spark, stored + printed + around)
+    own, shown, rest = out[: len(stored)], out[len(stored) : 2 * len(stored)], out[2 * len(stored) :]
+    assert [s.replace(" ", "") for s in shown] == own and all(a != b for a, b in zip(own, stored, strict=True))
+    assert rest == [f"to {v} USD 500, 12 AB" for v in shown] + [f"{v} {w}" for v, w in itertools.pairwise(shown)]
+    left = ["DE89 3704 0044 0532 0130 01", "DE89 3704 0044 0532 013", "12:30:45", "std::vector<int>", "abc::def", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "00:1b:44:11:3a:b7", "::"]
+    assert changed(spark, left) == left
+
+
 def test_against_a_plain_network_with_neighbours(spark):
     rng, plain = random.Random(11), Plain(KEY)
 
     def value():
-        kind = rng.choice(["card", "ssn", "ip", "iso", "dotted", "narrow", "us", "email"])
+        kind = rng.choice(["card", "ssn", "ip", "iso", "dotted", "narrow", "us", "email", "iban", "iban", "ip6"])
         y, m, d = rng.randrange(1900, 2100), rng.randrange(1, 13), rng.randrange(1, 29)
         if kind == "card":
             head = f"{rng.randrange(2, 7)}{rng.randrange(10**14):014d}"
@@ -148,6 +193,15 @@ def test_against_a_plain_network_with_neighbours(spark):
         if kind == "ssn":
             v = f"{rng.randrange(100, 600)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}"
             return v, plain.ssn(v)
+        if kind == "iban":
+            v = made_iban(rng, rng.choice(list(pii.IBAN_LENGTHS)))
+            sep = rng.choice(["", " ", "-"])
+            v = sep.join(v[i : i + 4] for i in range(0, len(v), 4))
+            return v, plain.iban(v)
+        if kind == "ip6":
+            group = lambda: f"{rng.randrange(1 << rng.choice([4, 8, 16])):x}"
+            v = rng.choice([":".join(group() for _ in range(8)), f"2001:db8:{group()}::{group()}", "fe80::1", "2001:DB8::8A2E:370:7334", f"fd00:{group()}::"])
+            return v, plain.ip6(v)
         if kind == "ip":
             v = ".".join(str(rng.randrange(256)) for _ in range(4))
             return v, plain.ip(v)

@@ -1,6 +1,6 @@
 """Format-preserving Feistel pseudonyms, in DataFrame functions only.
 
-Validated card numbers, IBANs, social security and phone numbers, IPv4 addresses and dates, and with them e-mail local
+Validated card numbers, IBANs, social security and phone numbers, IP addresses and dates, and with them e-mail local
 parts and secrets, are permuted by a keyed Feistel network within their own format: digits stay digits, cards keep a
 valid check digit, dates stay dates. Equal values get equal pseudonyms in every document, so links survive; the key
 alone can undo them.
@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import secrets
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +24,28 @@ TURNS = 8
 #: Dates are permuted among the days from the first to the last.
 FIRST, LAST = dt.date(1900, 1, 1), dt.date(2099, 12, 31)
 
+#: Countries by the length of their IBANs.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """An IBAN as it is stored, or of a known country as it is printed: in groups of four, by blanks or hyphens."""
+    rest = lambda n: rf"(?:[ -]?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf"[ -]?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    printed = "|".join(rf"(?:{lands.replace(' ', '|')})\d{{2}}{rest(n)}" for n, lands in IBAN_LENGTHS.items())
+    return rf"(?<![A-Za-z0-9])(?:[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}}|{printed})(?![A-Za-z0-9])"
+
+
 #: The formats looked for, the earlier ones first.
 FORMATS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9+/_-]{8,}[\"']?)",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": _iban_pattern(),
+    "ip6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*\d)[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![0-9A-Za-z:])",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}([./])\d{1,2}\1\d{4})(?![\d/-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -135,17 +153,64 @@ def _card(m: Column, key: Column) -> Column:
     return F.concat(head, F.element_at(tail, 1).cast("string"))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is computed once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _mod97(value: Column) -> Column:
     """The remainder of an IBAN, its first four characters at the end and letters as numbers from 10."""
     turned = F.concat(F.substring(value, F.lit(5), F.length(value)), F.substring(value, 1, 4))
     code = lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
-    step = lambda a, i: F.pmod(F.when(code(F.substring(turned, i, F.lit(1))) > 9, a * 100).otherwise(a * 10) + code(F.substring(turned, i, F.lit(1))), F.lit(97)).cast("long")
-    return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0).cast("long"), step)
+    step = lambda a, c: F.pmod(F.when(code(c) > 9, a * 100).otherwise(a * 10) + code(c), F.lit(97)).cast("long")
+    return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0).cast("long"), step)
+
+
+def _compact(m: Column) -> Column:
+    return F.regexp_replace(m, "[ -]", "")
+
+
+def _laid_out(value: Column, as_: Column) -> Column:
+    """The characters of value in the places of as_, whose blanks and hyphens stay."""
+    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+
+    def place(s, c):
+        gap = c.isin(" ", "-")
+        return F.struct(F.concat(s["out"], F.when(gap, c).otherwise(F.substring(value, s["at"], F.lit(1)))).alias("out"), F.when(gap, s["at"]).otherwise(s["at"] + 1).alias("at"))
+
+    return F.aggregate(F.filter(F.split(as_, ""), lambda c: c != ""), start, place, lambda s: s["out"])
 
 
 def _iban(m: Column, key: Column) -> Column:
-    land, body = F.substring(m, 1, 2), permuted(F.substring(m, F.lit(5), F.length(m)), key, "iban")
-    return F.concat(land, F.lpad((98 - _mod97(F.concat(land, F.lit("00"), body))).cast("string"), 2, "0"), body)
+    """The country stays. The pseudonym is that of the number, however it is printed, in the same print."""
+    own, land = _compact(m), F.substring(m, 1, 2)
+    made = lambda body: F.concat(land, F.lpad((98 - _mod97(F.concat(land, F.lit("00"), body))).cast("string"), 2, "0"), body)
+    return _once(_once(permuted(F.substring(own, F.lit(5), F.length(own)), key, "iban"), made), lambda new: _laid_out(new, m))
+
+
+def _ip6(m: Column, key: Column) -> Column:
+    """Its hexadecimal digits are moved, its colons stay; letters are as large as they were, small if there were none."""
+    digits = F.lower(F.replace(m, F.lit(":"), F.lit("")))
+    letters = F.translate(digits, "0123456789abcdef", "abcdefghijklmnop")
+    cut = F.floor(F.length(letters) / 2).cast("int")
+    own = F.concat(key, F.lit("ip6"))
+
+    def moved(half: Column, noise: Column) -> Column:
+        return _once(noise, lambda n: shifted(half, n))
+
+    def shifted(half: Column, noise: Column) -> Column:
+        by = lambda i: F.conv(F.substring(noise, 2 * F.pmod(i - 1, F.lit(32)) + 1, F.lit(2)), 16, 10).cast("int")
+        places = F.when(F.length(half) > 0, F.sequence(F.lit(1), F.length(half))).otherwise(F.array().cast("array<int>"))
+        return F.array_join(F.transform(places, lambda i: F.char(97 + F.pmod(F.ascii(F.substring(half, i, F.lit(1))) - 97 + by(i), F.lit(16)))), "")
+
+    def turn(s, i):
+        even = F.pmod(i, F.lit(2)) == 0
+        return F.struct(F.when(even, moved(s["l"], _noise(own, i, s["r"]))).otherwise(s["l"]).alias("l"), F.when(even, s["r"]).otherwise(moved(s["r"], _noise(own, i, s["l"]))).alias("r"))
+
+    start = F.struct(F.substring(letters, F.lit(1), cut).alias("l"), F.substring(letters, cut + 1, F.length(letters)).alias("r"))
+    new = F.translate(F.aggregate(F.sequence(F.lit(0), F.lit(TURNS - 1)), start, turn, lambda s: F.concat(s["l"], s["r"])), "abcdefghijklmnop", "0123456789abcdef")
+    laid = _once(new, lambda x: F.replace(_laid_out(x, F.replace(m, F.lit(":"), F.lit("-"))), F.lit("-"), F.lit(":")))
+    return F.when(m.rlike("[A-F]"), F.upper(laid)).otherwise(laid)
 
 
 def _ssn_valid(m: Column) -> Column:
@@ -224,14 +289,15 @@ def kind_of(m: Column) -> Column:
     is_ = lambda k: m.rlike(f"^(?:{FORMATS[k]})$")
     octets = F.forall(F.split(m, r"\."), lambda x: x.cast("int") < 256)
     card = F.length(_digits(m)).between(13, 19) & F.call_function("luhn_check", _digits(m))
-    out = F.when(is_("email"), "email").when(is_("secret"), "secret").when(is_("iban") & (F.when(is_("iban"), _mod97(m)) == 1), "iban")
+    out = F.when(is_("email"), "email").when(is_("secret"), "secret").when(is_("iban") & (F.when(is_("iban"), _mod97(_compact(m))) == 1), "iban")
+    out = out.when(is_("ip6") & (F.size(F.filter(F.split(m, ":"), lambda x: x != "")) <= F.when(m.contains("::"), 7).otherwise(8)), "ip6")
     out = out.when(is_("ip") & F.when(is_("ip"), octets), "ip").when(is_("date") & F.when(is_("date"), _day(m).isNotNull()), "date")
     return out.when(_ssn_valid(m), "ssn").when(is_("card") & card, "card").when(is_("phone"), "phone")
 
 
 def pseudonym(m: Column, kind: Column, key: Column) -> Column:
     out = None
-    for name, make in {"email": _email, "secret": _hidden, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}.items():
+    for name, make in {"email": _email, "secret": _hidden, "iban": _iban, "ip6": _ip6, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}.items():
         out = F.when(kind == name, make(m, key)) if out is None else out.when(kind == name, make(m, key))
     return out.otherwise(m)
 

@@ -13,7 +13,7 @@ from trialscope.plans.adapters import table
 from trialscope.plans.register import query
 from trialscope.sources import artifacts, readers, versions
 from trialscope.sources.stage import shared_dir
-from trialscope.streaming import live
+from trialscope.streaming import live, watch
 
 KEY = b"0123456789abcdef0123456789abcdef"
 
@@ -310,6 +310,37 @@ def streamed_open_operations(spark, d):
     return last.select(F.col("nodeid").cast("long").alias("nodeid"), "o.operation").filter("operation is not null")
 
 
+@query("""WITH n AS (SELECT user_id || '.' || (epoch(ts)::BIGINT // 259200) AS nodeid, event_id, ts, event_type, user_id, event_id = min(event_id) OVER (PARTITION BY user_id, epoch(ts)::BIGINT // 259200) AS first FROM events),
+    s AS (SELECT nodeid, ts AS started, ts + to_hours(12 * (user_id % 4 + 1)::INT) AS deadline FROM n WHERE first),
+    l AS (SELECT s.* FROM s LEFT JOIN (SELECT nodeid, min(ts) AS ended FROM n WHERE event_type = 'purchase' AND NOT first GROUP BY nodeid) USING (nodeid) WHERE (ended IS NULL OR ended >= deadline) AND deadline < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)),
+    b AS (SELECT n.* FROM n JOIN l USING (nodeid) WHERE ts < deadline AND NOT first),
+    p AS (SELECT nodeid, arg_max(['setup', 'call', 'teardown', 'call'][(event_id % 4)::INT + 1], event_id) AS phase FROM b WHERE event_type IN ('signup', 'error') GROUP BY nodeid),
+    o AS (SELECT nodeid, event_id, ['judge', 'simulator', 'llm'][(event_id % 3)::INT + 1] AS operation, CASE WHEN event_type = 'view' THEN 1 ELSE -1 END AS step FROM b WHERE event_type IN ('view', 'click')),
+    c AS (SELECT *, sum(step) OVER w AS total FROM o WINDOW w AS (PARTITION BY nodeid, operation ORDER BY event_id)),
+    d AS (SELECT *, total - least(0, min(total) OVER (PARTITION BY nodeid, operation ORDER BY event_id)) AS depth FROM c),
+    e AS (SELECT *, arg_max(depth, event_id) OVER (PARTITION BY nodeid, operation) AS last FROM d),
+    r AS (SELECT nodeid, arg_max(operation, event_id) AS operation FROM e WHERE step = 1 AND last > 0 AND depth = last GROUP BY nodeid)
+    SELECT nodeid, epoch_us(started) AS started, epoch_us(deadline) AS deadline, coalesce(phase, 'setup') AS phase, operation,
+        CASE WHEN coalesce(phase, 'setup') <> 'call' THEN 'harness' WHEN operation IN ('judge', 'simulator') THEN operation ELSE 'agent' END AS category, CASE WHEN coalesce(phase, 'setup') <> 'call' THEN coalesce(phase, 'setup') ELSE 'timeout' END AS kind
+    FROM l LEFT JOIN p USING (nodeid) LEFT JOIN r USING (nodeid)""")
+def streamed_timeouts(spark, d):
+    """Trials whose timers ran out, classed by the phase and the open operation at their deadline: a trial is a user's
+    three days, its first event the start and a purchase the end."""
+    with watch.rocksdb(spark):
+        out = _streamed(watched_events(spark, d), lambda e: watch.timeouts(e, "1 hour"), "timeouts")
+    return out.withColumns({c: F.unix_micros(c) for c in ("started", "deadline")}).drop("batch")
+
+
+def watched_events(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    nodeid = F.concat(text("user_id"), F.lit("."), F.floor(F.unix_seconds("ts") / 259200).cast("string"))
+    first = e.groupBy(nodeid.alias("nodeid")).agg(F.min("event_id").alias("first"))
+    e = e.withColumn("nodeid", nodeid).join(first, "nodeid")
+    kind = F.when(F.col("event_id") == F.col("first"), "start").when(F.col("event_type") == "purchase", "end").when(F.col("event_type") == "view", "open").when(F.col("event_type") == "click", "close").otherwise("phase")
+    pick = lambda *of: F.element_at(F.array(*map(F.lit, of)), (F.col("event_id") % len(of)).cast("int") + 1)
+    return e.select("nodeid", "ts", F.col("event_id").alias("ord"), kind.alias("event"), pick("setup", "call", "teardown", "call").alias("phase"), pick("judge", "simulator", "llm").alias("operation"), (12 * 3600 * (F.col("user_id") % 4 + 1)).cast("double").alias("timeout_s"))
+
+
 @query("SELECT l_orderkey::VARCHAR AS nodeid, arg_max(l_partkey, (l_linenumber, l_partkey)) AS part FROM lineitem GROUP BY l_orderkey")
 def streamed_upserts(spark, d):
     """Trial snapshots of a stream, the latest kept of each node, in a table of which a batch rewrites parts."""
