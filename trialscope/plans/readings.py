@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialscope.operators import detectors, documents
+from trialscope.operators import detectors, documents, locators
 from trialscope.plans.adapters import table
 from trialscope.plans.register import query
 from trialscope.sources import artifacts, readers, versions
@@ -341,6 +341,26 @@ def watched_events(spark: SparkSession, d: str) -> DataFrame:
     return e.select("nodeid", "ts", F.col("event_id").alias("ord"), kind.alias("event"), pick("setup", "call", "teardown", "call").alias("phase"), pick("judge", "simulator", "llm").alias("operation"), (12 * 3600 * (F.col("user_id") % 4 + 1)).cast("double").alias("timeout_s"))
 
 
+@query("""WITH l AS (SELECT c_custkey AS k, c_custkey % 6 AS kind, row_number() OVER (PARTITION BY c_custkey % 6 IN (0, 3, 5) ORDER BY c_custkey) AS mail, row_number() OVER (PARTITION BY c_custkey % 6 IN (4, 5) ORDER BY c_custkey) AS ip FROM customer)
+    SELECT k AS c_custkey, [1, 0, 0, 1, 1, 2][kind + 1] AS n_spans, CASE kind WHEN 0 THEN 'https://files.example.org:8443/a/[EMAIL_ADDRESS_' || mail || ']/x' WHEN 1 THEN 'https://files.example.org/c' || k || '%2540example.org'
+        WHEN 2 THEN 'https://files.example.org/clean%20path/%C3%BC' WHEN 3 THEN '/srv/data/[EMAIL_ADDRESS_' || mail || ']' || chr(92) || 'notes'
+        WHEN 4 THEN 'http://[IP_ADDRESS_' || ip || ']:80/x' ELSE 'http://[IP_ADDRESS_' || ip || ']/[EMAIL_ADDRESS_' || mail || ']' END AS redacted FROM l""")
+def redacted_locators(spark, d):
+    """Locators with encoded, doubly encoded and clean segments, paths, and hosts that are addresses."""
+    k = text("c_custkey")
+    of = [
+        ("https://u:p@files.example.org:8443/a/c", k, "%40example.org/x?q=1#f"),
+        ("https://files.example.org/c", k, "%2540example.org"),
+        ("https://files.example.org:0/clean%20path/%C3%BC",),
+        ("/srv/data/c", k, "@example.org\\notes"),
+        ("http://10.0.7.", (F.col("c_custkey") % 256).cast("string"), ":80/x"),
+        ("http://[fe80::", (F.col("c_custkey") % 10000).cast("string"), "]/c", k, "@example.org"),
+    ]
+    made = F.array(*[F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]) for parts in of])
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("trace_ord"), F.lit(0).cast("long").alias("leaf_ord"), F.element_at(made, (F.col("c_custkey") % 6).cast("int") + 1).alias("locator"))
+    return locators.redact_locators(c).select(F.col("trace_ord").alias("c_custkey"), "n_spans", "redacted")
+
+
 @query("SELECT l_orderkey::VARCHAR AS nodeid, arg_max(l_partkey, (l_linenumber, l_partkey)) AS part FROM lineitem GROUP BY l_orderkey")
 def streamed_upserts(spark, d):
     """Trial snapshots of a stream, the latest kept of each node, in a table of which a batch rewrites parts."""
