@@ -83,7 +83,8 @@ class Watch(StatefulProcessor):
             self._forget()
             return iter(())
         deadline = started + timeout
-        before = sorted(e for e in (tuple(x) for x in self.events.get()) if e[0] < deadline) if self.events.exists() else []
+        known = (tuple(x) for x in self.events.get()) if self.events.exists() else ()
+        before = sorted((e for e in known if e[0] < deadline), key=lambda e: (e[1], e[0]))
         phase, operation = state_of([e[2:] for e in before])
         self._forget()
         category, kind = failure_of(phase, operation)
@@ -112,7 +113,8 @@ def timeouts(events: DataFrame, late: str = "1 minute") -> DataFrame:
     """The trials of a stream that time out, each once, when the watermark passes its deadline. events: nodeid, ts, ord,
     event (start, phase, open, close or end), phase, operation, timeout_s (of a start); in any order within the watermark.
 
-    An end before the deadline is in time. Events from the deadline on say nothing. The stream wants RocksDB for its state
+    An end before the deadline is in time. Events from the deadline on say nothing; those before it are taken in the
+    order of ord. The stream wants RocksDB for its state
     (`rocksdb`).
     """
     e = events.select(F.col("nodeid").cast("string").alias("nodeid"), "ts", F.col("ord").cast("long").alias("ord"), "event", "phase", "operation", F.col("timeout_s").cast("double").alias("timeout_s"))
@@ -126,14 +128,14 @@ def timed_out(events: DataFrame, now) -> DataFrame:
     ends = events.filter("event = 'end'").groupBy("nodeid").agg(F.min("ts").alias("ended"))
     lost = starts.join(ends, "nodeid", "left").filter((F.col("ended").isNull() | (F.col("ended") >= F.col("deadline"))) & (F.col("deadline") < now)).drop("ended")
     before = events.join(lost.select("nodeid", "deadline"), "nodeid").filter(F.col("ts") < F.col("deadline"))
-    phases = before.filter("event = 'phase' and phase is not null").groupBy("nodeid").agg(F.max_by("phase", F.struct("ts", "ord")).alias("phase"))
+    phases = before.filter("event = 'phase' and phase is not null").groupBy("nodeid").agg(F.max_by("phase", F.struct("ord", "ts")).alias("phase"))
     own = Window.partitionBy("nodeid", "operation")
     step = F.when(F.col("event") == "open", 1).otherwise(-1)
-    o = before.filter("event in ('open', 'close')").withColumn("total", F.sum(step).over(own.orderBy("ts", "ord").rowsBetween(Window.unboundedPreceding, 0)))
+    o = before.filter("event in ('open', 'close')").withColumn("total", F.sum(step).over(own.orderBy("ord", "ts").rowsBetween(Window.unboundedPreceding, 0)))
     # an end without a start is ignored: depth is counted from the lowest total so far
-    o = o.withColumn("depth", F.col("total") - F.least(F.lit(0), F.min("total").over(own.orderBy("ts", "ord").rowsBetween(Window.unboundedPreceding, 0))))
-    o = o.withColumn("last", F.max_by("depth", F.struct("ts", "ord")).over(own))
-    began = o.filter("event = 'open' and last > 0 and depth = last").groupBy("nodeid").agg(F.max_by("operation", F.struct("ts", "ord")).alias("operation"))
+    o = o.withColumn("depth", F.col("total") - F.least(F.lit(0), F.min("total").over(own.orderBy("ord", "ts").rowsBetween(Window.unboundedPreceding, 0))))
+    o = o.withColumn("last", F.max_by("depth", F.struct("ord", "ts")).over(own))
+    began = o.filter("event = 'open' and last > 0 and depth = last").groupBy("nodeid").agg(F.max_by("operation", F.struct("ord", "ts")).alias("operation"))
     # of each name the last start to its final depth is the one still open; of all names the latest
     d = lost.join(phases, "nodeid", "left").join(began, "nodeid", "left").withColumn("phase", F.coalesce("phase", F.lit("setup")))
     return d.select(F.col("nodeid").cast("string").alias("nodeid"), "started", "deadline", "phase", "operation", queues.timeout_failure(F.col("phase"), F.col("operation")).alias("category"), queues.timeout_kind(F.col("phase")).alias("kind"))
