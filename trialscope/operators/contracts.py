@@ -53,11 +53,14 @@ def trial_rows(trials: DataFrame) -> DataFrame:
 
 
 def derived_equal(trials: DataFrame, stored: DataFrame) -> DataFrame:
-    """Stored aggregates that differ from those derived anew, on either side."""
+    """Stored aggregates that differ from those derived anew, on either side, as often as one side has them more: both
+    sides are counted in one pass."""
     now = scoring.verdicts(trials)
     columns = [c for c in now.columns if c in stored.columns]
-    a, b = now.select(columns), stored.select(columns)
-    return _rows(a.exceptAll(b), "aggregate missing", F.col("group_id"), F.col("verdict")).unionByName(_rows(b.exceptAll(a), "aggregate not derived", F.col("group_id"), F.col("verdict")))
+    both = now.select(*columns, F.lit(1).alias("n")).unionByName(stored.select(*columns, F.lit(-1).alias("n")))
+    odd = both.groupBy(*columns).agg(F.sum("n").alias("n")).filter("n <> 0")
+    rule = F.when(F.col("n") > 0, "aggregate missing").otherwise("aggregate not derived")
+    return odd.select(rule.alias("rule"), F.col("group_id").cast("string").alias("key"), F.col("verdict").cast("string").alias("detail"), F.explode(F.sequence(F.lit(1).cast("long"), F.abs("n")))).drop("col")
 
 
 def nested_trials(aggregates: DataFrame, trials: DataFrame) -> DataFrame:
@@ -96,7 +99,8 @@ def messages(rows: DataFrame) -> DataFrame:
     text where it is due; each call of an assistant turn is answered once, by id, before the next other turn or the end,
     and nothing else is answered.
 
-    A turn that isn't a tool's opens a block, which its answers belong to; ids may come again in a later block.
+    A turn that isn't a tool's opens a block, which its answers belong to; ids may come again in a later block. One
+    shuffle, by case.
     """
     w = Window.partitionBy("case_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     none = F.array().cast("array<string>")
@@ -115,16 +119,19 @@ def messages(rows: DataFrame) -> DataFrame:
         "answer without id": (F.col("role") == "tool") & (F.coalesce("tool_call_id", F.lit("")) == ""),
     }
     found = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items())), lambda x: x.isNotNull())
-    place = F.concat_ws("/", F.col("case_id").cast("string"), F.col("turn").cast("string"))
-    by_row = m.select(F.explode(found).alias("rule"), place.alias("key"), F.col("role").alias("detail"))
-    made = m.filter(speaks).select("case_id", "block", "turn", F.explode(F.array_distinct(F.coalesce("ids", none))).alias("call")).filter("call <> ''")
-    answers = m.filter("role = 'tool' and tool_call_id <> ''").select("case_id", "block", "turn", F.col("tool_call_id").alias("call"))
-    keys = ["case_id", "block", "call"]
-    first = answers.groupBy(*keys).agg(F.count("*").alias("n"), F.max("turn").alias("turn"))
-    open_ = _rows(made.join(answers, keys, "left_anti"), "tool call not answered", place, F.col("call"))
-    unknown = _rows(answers.join(made, keys, "left_anti"), "unknown tool call id", place, F.col("call"))
-    again = _rows(first.filter("n > 1").join(made.drop("turn"), keys, "left_semi"), "tool call answered again", place, F.col("call"))
-    return all_of(by_row, open_, unknown, again)
+    one = lambda rule, made, call: F.struct(rule.cast("string").alias("rule"), made.cast("boolean").alias("made"), call.cast("string").alias("call"))
+    null = F.lit(None)
+    broken = F.transform(found, lambda rule: one(rule, null, null))
+    made = F.transform(F.filter(F.array_distinct(F.when(speaks, F.coalesce("ids", none)).otherwise(none)), lambda x: x != ""), lambda x: one(null, F.lit(True), x))
+    answer = F.filter(F.array(one(null, F.lit(False), F.when(F.col("role") == "tool", F.col("tool_call_id")))), lambda x: x["call"] != "")
+    e = m.select("case_id", "block", "turn", "role", F.inline(F.concat(broken, made, answer)))
+    # a call and its answers lie together, the answers first and of these the last one first
+    call = Window.partitionBy("case_id", "block", "call").orderBy("made", F.desc("turn"))
+    whole = call.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    e = e.withColumns({"at": F.row_number().over(call), "calls": F.count_if("made").over(whole), "answers": F.count_if(~F.col("made")).over(whole)})
+    by_call = F.when(F.col("made"), F.when(F.col("answers") == 0, "tool call not answered")).when(F.col("calls") == 0, "unknown tool call id").when((F.col("answers") > 1) & (F.col("at") == 1), "tool call answered again")
+    e = e.withColumns({"detail": F.when(F.col("rule").isNotNull(), F.col("role")).otherwise(F.col("call")), "rule": F.when(F.col("rule").isNotNull(), F.col("rule")).when(F.col("made").isNotNull(), by_call)})
+    return e.filter("rule is not null").select("rule", F.concat_ws("/", F.col("case_id").cast("string"), F.col("turn").cast("string")).alias("key"), "detail")
 
 
 def case_rows(cases: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trialscope.functions import expr, formats
+from trialscope.sources.stage import dealt
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,13 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact table, from lineitem: one trial per row, a group per order."""
-    li = table(spark, sf_dir, "lineitem")
-    rank = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
-    group = Window.partitionBy("l_orderkey")
+    li = dealt(table(spark, sf_dir, "lineitem").withColumn("group_id", F.col("l_orderkey").cast("string")), "group_id")
+    rank = Window.partitionBy("group_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+    group = Window.partitionBy("group_id")
     status = F.when(F.col("l_suppkey") % 11 == 0, "skipped").when((F.col("l_returnflag") == "N") | (F.col("l_partkey") % 2 == 0), "pass").when(F.col("l_returnflag") == "A", "fail").otherwise("error")
     category = F.when(status == "fail", "agent").when(status == "error", F.element_at(F.array(*map(F.lit, formats.CATEGORIES)), (F.col("l_suppkey") % 7).cast("int") + 1))
     return li.select(
-        F.col("l_orderkey").cast("string").alias("group_id"),
+        "group_id",
         F.row_number().over(rank).cast("long").alias("trial_index"),
         (F.count("*").over(group) + F.when(F.col("l_orderkey") % 5 == 0, 1).otherwise(0)).alias("configured_trials"),
         status.alias("status"),

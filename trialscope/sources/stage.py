@@ -29,6 +29,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a task that works on them in Python.
+ROWS_OF_PYTHON = 5_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly over tasks whose number follows its rows: for work in Python on rows that may come from one small
+    file, which one task reads. Counting reads no columns of a table."""
+    return df.repartition(max(1, -(-df.count() // ROWS_OF_PYTHON)))
+
+
+def dealt(df: DataFrame, *keys: str, rows_a_task: int = 500_000) -> DataFrame:
+    """df by keys, over more parts than the session's if its rows ask for it: windows and aggregates by the keys then
+    shuffle no more, and what a task holds stays the same however large the table is."""
+    parts = -(-df.count() // rows_a_task)
+    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """df with its rows' place (from 0) by order, as the column `name`, staged. Rows are dealt by range and sorted within
     their task, which numbers its own; only the tasks' counts are summed in one place, a row each."""
