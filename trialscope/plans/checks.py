@@ -10,6 +10,7 @@ from trialscope.functions import expr
 from trialscope.operators import contracts, conversations, payloads, queues, scoring, traces
 from trialscope.plans.adapters import spans, table, trials
 from trialscope.plans.register import query
+from trialscope.sources.stage import dealt
 
 
 def text(c: str) -> Column:
@@ -32,18 +33,17 @@ def pick(key: Column, *values) -> Column:
     UNION ALL SELECT 'empty tool calls', l_orderkey || '/300', 'assistant' FROM m WHERE l_orderkey % 3 = 1 GROUP BY l_orderkey""")
 def message_contract(spark, d):
     """A case an order: a user turn, an assistant turn with a call a line, answers, and a last turn."""
-    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), "l_linenumber").distinct()
-    call = F.concat(F.lit("c"), text("l_linenumber"))
-    kind, none = "array<struct<id: string>>", F.lit(None)
-    base = li.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(call)), lambda c: F.struct(c.alias("id"))).alias("tool_calls"))
-    columns = lambda df, turn, role, content, calls, answer: df.select("case_id", turn.cast("long").alias("turn"), role.alias("role"), content.cast("string").alias("content"), calls.cast(kind).alias("tool_calls"), answer.cast("string").alias("tool_call_id"))
-    key = F.col("case_id")
-    first = columns(base, F.lit(0), F.when(key % 7 == 0, "robot").otherwise("user"), F.when(key % 7 != 1, "hi"), none, none)
-    asks = columns(base, F.lit(1), F.lit("assistant"), none, F.col("tool_calls"), none)
-    answers = columns(li, 1 + F.col("l_linenumber"), F.lit("tool"), F.lit("r"), none, F.when(F.col("l_linenumber") % 4 == 3, F.concat(F.lit("x"), text("l_linenumber"))).otherwise(call))
-    again = columns(li.filter("l_linenumber % 4 = 2 and case_id % 5 = 0"), 101 + F.col("l_linenumber"), F.lit("tool"), F.lit("r"), none, call)
-    last = columns(base, F.lit(300), F.lit("assistant"), F.when(key % 3 == 2, "done"), F.when(key % 3 == 1, F.array().cast(kind)), none)
-    return contracts.messages(contracts.all_of(first, asks, answers, again, last))
+    li = dealt(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), "l_linenumber"), "case_id")
+    cases = li.groupBy("case_id").agg(F.array_sort(F.collect_set("l_linenumber")).alias("lines"))  # an order has a few lines
+    key, none = F.col("case_id"), F.lit(None)
+    call = lambda n: F.concat(F.lit("c"), n.cast("string"))
+    turn = lambda turn, role, content, calls, answer: F.struct(turn.cast("long").alias("turn"), role.alias("role"), content.cast("string").alias("content"), calls.cast("array<struct<id: string>>").alias("tool_calls"), answer.cast("string").alias("tool_call_id"))
+    first = turn(F.lit(0), F.when(key % 7 == 0, "robot").otherwise("user"), F.when(key % 7 != 1, "hi"), none, none)
+    asks = turn(F.lit(1), F.lit("assistant"), none, F.transform("lines", lambda n: F.struct(call(n).alias("id"))), none)
+    answers = F.transform("lines", lambda n: turn(1 + n, F.lit("tool"), F.lit("r"), none, F.when(n % 4 == 3, F.concat(F.lit("x"), n.cast("string"))).otherwise(call(n))))
+    again = F.transform(F.filter("lines", lambda n: (n % 4 == 2) & (key % 5 == 0)), lambda n: turn(101 + n, F.lit("tool"), F.lit("r"), none, call(n)))
+    last = turn(F.lit(300), F.lit("assistant"), F.when(key % 3 == 2, "done"), F.when(key % 3 == 1, F.array().cast("array<struct<id: string>>")), none)
+    return contracts.messages(cases.select("case_id", F.inline(F.concat(F.array(first, asks), answers, again, F.array(last)))))
 
 
 @query("""SELECT 'complete run is interrupted or provisional' AS rule, c_custkey::VARCHAR AS key, (c_custkey % 3)::VARCHAR AS detail FROM customer WHERE c_custkey % 2 = 0 AND (c_custkey % 5 = 0 OR c_custkey % 3 > 0)""")
