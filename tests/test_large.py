@@ -7,9 +7,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from trialscope.functions import expr
 from trialscope.operators import contracts, scoring
 from trialscope.plans import catalog, checks, readings
-from trialscope.sources import stage
+from trialscope.sources import readers, stage
 from trialscope.streaming import watch
 
 
@@ -101,3 +102,24 @@ def test_stored_aggregates_are_counted_once_a_side(spark):
     assert sorted(map(tuple, found.collect())) == [("aggregate not derived", "g", "pass"), ("aggregate not derived", "g", "stale")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("min_by") == 4  # the trials are aggregated once for each side of the comparison, here four times in all
+
+
+def test_objects_are_shredded_once(spark, tmp_path):
+    """A check of each object isn't pushed below the shredding, nor are upper levels of an export written as JSON again."""
+    (tmp_path / "a.jsonl").write_text('{"span_id":"1","trace_id":"t"}\n')
+    rows = []
+    keep = readers.json_spans
+    try:
+        readers.json_spans = lambda r, *a: rows.append(r) or keep(r, *a)
+        readers.read(spark, "jsonl", str(tmp_path / "a.jsonl"))
+    finally:
+        readers.json_spans = keep
+    plan = rows[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+
+
+def test_numbers_of_texts(spark):
+    texts = ["12", " 12 ", "\t-3\n", "", "x", "1.5", "1e3", "true", "inf", "NaN", "9223372036854775808", "+7", ".5", "5d"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", expr.long_of(F.col("t")).eqNullSafe(F.col("t").try_cast("long")).alias("l"), expr.double_of(F.col("t")).eqNullSafe(F.col("t").try_cast("double")).alias("d")).collect()
+    assert [r.t for r in got if not (r.l and r.d)] == []

@@ -35,6 +35,16 @@ def runtime_kind(explicit: Column, tool_name: Column, operation: Column, has_gen
     return F.when(F.coalesce(explicit != "", F.lit(False)), explicit).when(tool, "tool").when(operation.isNotNull(), by_operation).when(has_genai, "llm").otherwise("span")
 
 
+def long_of(value: Column) -> Column:
+    """The long that a text writes, else null. What is no number isn't cast: a failed cast costs an exception a row."""
+    return F.when(value.rlike(r"^[\s\p{Cntrl}]*[+-]?[0-9]+[\s\p{Cntrl}]*$"), value.try_cast("long"))
+
+
+def double_of(value: Column) -> Column:
+    """The double that a text writes, else null. Texts without a digit are cast only if they may name a number."""
+    return F.when(value.rlike(r"[0-9]|[iInN]"), value.try_cast("double"))
+
+
 def nanos_of(value: Column) -> Column:
     """Unix nanoseconds of an integer text (as it is), a float text (truncated) or an ISO timestamp (naive is UTC).
 
@@ -43,7 +53,7 @@ def nanos_of(value: Column) -> Column:
     s = F.trim(value)
     iso = (F.unix_micros(F.try_to_timestamp(s)) / F.lit(1e6) * F.lit(1e9)).cast("long")
     number = F.when(s.rlike(r"^[+-]?\d+\.\d*$"), s.try_cast("double").cast("long"))
-    return F.coalesce(s.try_cast("long"), number, F.when(s.rlike(r"^\d{4}-"), iso))
+    return F.coalesce(long_of(s), number, F.when(s.rlike(r"^\d{4}-"), iso))
 
 
 def nanos_of_timestamp(ts: Column) -> Column:

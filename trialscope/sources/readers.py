@@ -121,8 +121,8 @@ def status(value: Column) -> Column:
 def number(value: Column, kind: str) -> Column:
     """Long or double of a text; booleans and other text give null, a fraction is cut for longs if it was a number."""
     if kind == "long":
-        return F.when(~F.lower(value).isin("true", "false"), F.coalesce(F.trim(value).try_cast("long"), value.try_cast("double").cast("long")))
-    return F.when(~F.lower(value).isin("true", "false"), value.try_cast("double"))
+        return F.when(~F.lower(value).isin("true", "false"), F.coalesce(expr.long_of(F.trim(value)), expr.double_of(value).cast("long")))
+    return F.when(~F.lower(value).isin("true", "false"), expr.double_of(value))
 
 
 #: Keys of evidence whose numbers are read by type.
@@ -372,7 +372,8 @@ def read_json(spark: SparkSession, source: str, prefix: str = formats.PREFIX) ->
     rows = then(rows, is_span=is_span_row(f))
     first = rows.select("is_span").first()
     spans = bool(first and first.is_span)
-    rows = rows.filter(F.when(F.col("is_span") == F.lit(spans), True).otherwise(F.raise_error(F.lit("trace records and span rows are mixed")).cast("boolean")))
+    # a column, as a filter would be pushed below the shredding and shred each object a second time
+    rows = rows.select("ord", F.when(F.col("is_span") == F.lit(spans), F.col("r")).otherwise(F.raise_error(F.lit("trace records and span rows are mixed")).cast(of)).alias("r"))
     if spans:
         none = F.lit(None).cast("string")
         return Export(_numbered(json_spans(rows.select(F.col("ord").alias("trace_ord"), F.col("ord").alias("span_ord"), none.alias("trace_id"), "r"), prefix, of)))
@@ -391,10 +392,11 @@ def _stated(rows: DataFrame, f: Fields, state: Column, inputs: tuple[str, ...],
 
 
 def read_otlp(spark: SparkSession, source: str, prefix: str = formats.PREFIX) -> Export:
-    d = documents(spark, source).select("file_ord", F.posexplode(objects(F.try_variant_get("v", '$["resourceSpans"]', "variant"))).alias("resource", "j"))
-    for level, key, inner in (("scope", "scopeSpans", "resource"), ("span", "spans", "scope")):
-        held = shredded(F.col("j"), shape(values=(key,))).getField(key)
-        d = d.select(*[c for c in ("file_ord", "resource", "scope") if c in d.columns], F.posexplode(objects(held)).alias(level, "j"))
+    d = documents(spark, source)
+    for level, key in (("resource", "resourceSpans"), ("scope", "scopeSpans")):  # what is no object has no such list
+        held = F.coalesce(F.try_variant_get("v", path(key), "array<variant>"), F.array().cast("array<variant>"))
+        d = d.select(*[c for c in d.columns if c != "v"], F.posexplode(held).alias(level, "v"))
+    d = d.select("file_ord", "resource", "scope", F.posexplode(objects(F.try_variant_get("v", path("spans"), "variant"))).alias("span", "j"))
     rows = d.select(F.struct("file_ord", "resource", "scope", "span").alias("span_ord"), shredded(F.col("j"), otlp_shape()).alias("r"))
     return Export(_numbered(otlp_spans(rows.withColumn("trace_ord", F.col("span_ord")), prefix)))
 
